@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, chat, decontaminate, sharding, url_filter, warc
+from . import bpe, chat, decontaminate, langid, neardup, quality, sharding, toxicity, url_filter, warc
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -16,9 +16,13 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op3_bpe": bpe.query,
         "op4_chat": chat.query,
         "op5_decontaminate": decontaminate.query,
+        "op6_toxicity": toxicity.query,
+        "op7_quality": quality.query,
+        "op8_langid": langid.query,
+        "op9_neardup": neardup.query,
         "op10_url_filter": url_filter.query,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_warc": warc.ORACLE, "op4_chat": chat.ORACLE, "op5_decontaminate": decontaminate.ORACLE}
+    return {"op1_warc": warc.ORACLE, "op4_chat": chat.ORACLE, "op5_decontaminate": decontaminate.ORACLE, "op7_quality": quality.ORACLE}
