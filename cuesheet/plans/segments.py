@@ -21,7 +21,7 @@ def _(t):
 
 
 @query("b2_effective_cps", "segments", """
-SELECT DISTINCT media_id, CAST(floor(12.0::DOUBLE * (1 + (media_id % 3) * 0.25::DOUBLE) * least(1.0::DOUBLE, greatest(0.5::DOUBLE, (media_id % 7) * 0.25::DOUBLE)) * 1000 + 0.5) AS BIGINT) AS cps_milli FROM segments""")
+SELECT DISTINCT media_id, CAST(floor(12.0::DOUBLE * (1 + (media_id % 3) * 0.25::DOUBLE) / least(1.0::DOUBLE, greatest(0.5::DOUBLE, (media_id % 7) * 0.25::DOUBLE)) * 1000 + 0.5) AS BIGINT) AS cps_milli FROM segments""")
 def _(t):
     m = F.col("media_id")
     cps = S.effective_cps(F.lit(CPS), 1 + m % 3 * 0.25, m % 7 * 0.25)
