@@ -5,17 +5,23 @@ Times are whole milliseconds. A segment table has (media_id, seg_id, start_ms, e
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
 
-MEDIA = Window.partitionBy("media_id")
-ORDERED = MEDIA.orderBy("start_ms", "seg_id")
 # Code point ranges of the three audits of left-over script.
 CJK_BASE = "\\u4E00-\\u9FFF"
 CJK_WIDE = "\\u3400-\\u4DBF\\u4E00-\\u9FFF"
 CJK_FULL = "\\u3400-\\u4DBF\\u4E00-\\u9FFF\\uAC00-\\uD7AF\\u3040-\\u30FF"
 
 
+def media() -> WindowSpec:
+    return Window.partitionBy("media_id")
+
+
+def in_order() -> WindowSpec:
+    return media().orderBy("start_ms", "seg_id")
+
+
 def nonzero(c: Column) -> Column:
     return F.nullif(c, F.lit(0))
 
@@ -52,7 +58,7 @@ def shift(segs: DataFrame, ms: int, columns: list[str]) -> DataFrame:
 
 def annotate_slots(segs: DataFrame, tail_ms: int = 2000, least: int = 300) -> DataFrame:
     """Time from a start to the next; the last segment has its duration and a tail."""
-    to_next = F.lead("start_ms").over(ORDERED) - F.col("start_ms")
+    to_next = F.lead("start_ms").over(in_order()) - F.col("start_ms")
     return segs.withColumn("slot_ms", F.greatest(F.lit(least), F.coalesce(to_next, F.col("end_ms") - F.col("start_ms") + tail_ms)).cast("long"))
 
 
@@ -71,18 +77,18 @@ def flag_rate(segs: DataFrame, least_ms: int = 500, samples: int = 5) -> DataFra
     """Marks segments whose CJK characters per second are under 0.4 or over 3 times the media's median."""
     measured = F.when((F.col("end_ms") - F.col("start_ms")) >= least_ms, cjk_count(F.col("text"), CJK_WIDE) * 1000 / (F.col("end_ms") - F.col("start_ms")))
     rated = segs.withColumn("rate", F.when(measured > 0, measured))
-    stats = rated.withColumns({"mid": F.median("rate").over(MEDIA), "n_rates": F.count("rate").over(MEDIA)})
+    stats = rated.withColumns({"mid": F.median("rate").over(media()), "n_rates": F.count("rate").over(media())})
     odd = (F.col("n_rates") >= samples) & ((F.col("rate") < 0.4 * F.col("mid")) | (F.col("rate") > 3 * F.col("mid")))
     return stats.withColumn("rate_suspect", F.coalesce(odd, F.lit(False))).drop("mid", "n_rates")
 
 
 def flag_gap(segs: DataFrame, least_ms: int = 1500) -> DataFrame:
     """Marks both sides of gaps over ``least_ms`` and over three times the media's median positive gap."""
-    gap = F.lead("start_ms").over(ORDERED) - F.col("end_ms")
-    gaps = segs.withColumn("gap_ms", gap).withColumn("_mid", F.median(F.when(F.col("gap_ms") > 0, F.col("gap_ms"))).over(MEDIA))
+    gap = F.lead("start_ms").over(in_order()) - F.col("end_ms")
+    gaps = segs.withColumn("gap_ms", gap).withColumn("_mid", F.median(F.when(F.col("gap_ms") > 0, F.col("gap_ms"))).over(media()))
     wide = F.coalesce(F.col("gap_ms") > F.greatest(F.lit(least_ms), 3 * F.col("_mid")), F.lit(False))
     marked = gaps.withColumn("_wide", wide)
-    return marked.withColumn("gap_suspect", F.col("_wide") | F.coalesce(F.lag("_wide").over(ORDERED), F.lit(False))).drop("_mid", "_wide")
+    return marked.withColumn("gap_suspect", F.col("_wide") | F.coalesce(F.lag("_wide").over(in_order()), F.lit(False))).drop("_mid", "_wide")
 
 
 def review_flags(segs: DataFrame, cps: float) -> DataFrame:
@@ -103,7 +109,7 @@ def review_gate(flagged: DataFrame, share: float = 0.35) -> DataFrame:
 
 def check_edits(segs: DataFrame, least_ms: int = 200) -> DataFrame:
     """Segments with the first broken rule: negative start, too short, overlap with the one before or after."""
-    before, after = F.lag("end_ms").over(ORDERED), F.lead("start_ms").over(ORDERED)
+    before, after = F.lag("end_ms").over(in_order()), F.lead("start_ms").over(in_order())
     broken = F.when(F.col("start_ms") < 0, "negative").when(F.col("end_ms") - F.col("start_ms") < least_ms, "short")
     broken = broken.when(F.col("start_ms") < before, "overlaps_previous").when(F.col("end_ms") > after, "overlaps_next")
     return segs.withColumn("problem", broken)
@@ -145,14 +151,14 @@ def chunk_words(words: DataFrame, n: int = 4) -> DataFrame:
 def context(segs: DataFrame, n: int = 2) -> DataFrame:
     """Texts of the n segments before and after, joined by blanks, without the segment itself."""
     def near(a: int, b: int) -> Column:
-        return F.array_join(F.collect_list("text").over(ORDERED.rowsBetween(a, b)), " ")
+        return F.array_join(F.collect_list("text").over(in_order().rowsBetween(a, b)), " ")
 
     return segs.withColumns({"before": near(-n, -1), "after": near(1, n)})
 
 
 def plan_batches(segs: DataFrame, size: int) -> DataFrame:
     """Even batches per media: as few as hold ``size`` each, larger ones first, sizes one apart at most."""
-    n, rn = F.count("*").over(MEDIA), F.row_number().over(ORDERED) - 1
+    n, rn = F.count("*").over(media()), F.row_number().over(in_order()) - 1
     made = segs.withColumns({"_n": n, "_rn": rn}).withColumn("_b", F.ceil(F.col("_n") / size))
     base, extra = F.floor(F.col("_n") / F.col("_b")), F.col("_n") % F.col("_b")
     big = extra * (base + 1)
@@ -163,7 +169,7 @@ def plan_batches(segs: DataFrame, size: int) -> DataFrame:
 def sample_lines(segs: DataFrame, most: int = 120) -> DataFrame:
     """All lines of short media; else a third each from the head, around the middle and from the tail."""
     third = most // 3
-    marked = segs.withColumns({"_n": F.count("*").over(MEDIA), "_rn": F.row_number().over(ORDERED) - 1})
+    marked = segs.withColumns({"_n": F.count("*").over(media()), "_rn": F.row_number().over(in_order()) - 1})
     mid = F.floor(F.col("_n") / 2) - third // 2
     keep = (F.col("_n") <= most) | (F.col("_rn") < third) | F.col("_rn").between(mid, mid + third - 1) | (F.col("_rn") >= F.col("_n") - third)
     return marked.where(keep).drop("_n", "_rn")
@@ -179,7 +185,7 @@ def syllable_load(segs: DataFrame, limit: float = 4.5) -> DataFrame:
 def side_by_side(orig: DataFrame, tran: DataFrame) -> DataFrame:
     """Both by position, with tenths of characters per second of the translation."""
     def numbered(df: DataFrame, text: str) -> DataFrame:
-        return df.select("media_id", F.row_number().over(ORDERED).alias("row"), F.col(text).alias(f"{text}_shown"), (F.col("end_ms") - F.col("start_ms")).alias(f"{text}_ms"))
+        return df.select("media_id", F.row_number().over(in_order()).alias("row"), F.col(text).alias(f"{text}_shown"), (F.col("end_ms") - F.col("start_ms")).alias(f"{text}_ms"))
 
     both = numbered(orig, "text").join(numbered(tran, "text_vi"), ["media_id", "row"], "full")
     ms = F.greatest(F.lit(100), F.coalesce("text_vi_ms", "text_ms"))
@@ -199,7 +205,7 @@ def profile_speakers(segs: DataFrame) -> DataFrame:
     per = segs.withColumn("ms", F.col("end_ms") - F.col("start_ms")).groupBy("media_id", "speaker").agg(
         F.sum("ms").alias("total_ms"), F.count("*").alias("n"), F.min("start_ms").alias("first_ms"), F.max("end_ms").alias("last_ms")
     )
-    all_ms, lo, hi = F.sum("total_ms").over(MEDIA), F.min("first_ms").over(MEDIA), F.max("last_ms").over(MEDIA)
+    all_ms, lo, hi = F.sum("total_ms").over(media()), F.min("first_ms").over(media()), F.max("last_ms").over(media())
     share = F.col("total_ms") / all_ms
     cover = (F.col("last_ms") - F.col("first_ms")) / F.greatest(hi - lo, F.lit(1))
     per = per.withColumns({"share_pct": F.floor(share * 100), "cover_pct": F.floor(cover * 100), "narrator": (share >= 0.35) & (cover >= 0.60) & (F.col("n") >= 2)})
@@ -213,8 +219,8 @@ def srt_time(ms: Column) -> Column:
 
 def srt_bodies(segs: DataFrame, text: str = "text") -> DataFrame:
     """One numbered subtitle body per media."""
-    cue = F.concat(F.row_number().over(ORDERED).cast("string"), F.lit("\n"), srt_time(F.col("start_ms")), F.lit(" --> "), srt_time(F.col("end_ms")), F.lit("\n"), F.col(text), F.lit("\n"))
-    rows = segs.select("media_id", F.row_number().over(ORDERED).alias("rn"), cue.alias("cue"))
+    cue = F.concat(F.row_number().over(in_order()).cast("string"), F.lit("\n"), srt_time(F.col("start_ms")), F.lit(" --> "), srt_time(F.col("end_ms")), F.lit("\n"), F.col(text), F.lit("\n"))
+    rows = segs.select("media_id", F.row_number().over(in_order()).alias("rn"), cue.alias("cue"))
     body = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("rn", "cue"))), lambda x: x["cue"]), "\n")
     return rows.groupBy("media_id").agg(body.alias("body"))
 
