@@ -15,7 +15,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from ..sources import views
 
-MODULES = ["accounts", "segments", "intervals", "folds", "text", "memory", "media", "streams"]
+MODULES = ["accounts", "segments", "intervals", "folds", "text", "memory", "media", "streams", "corpora"]
 _QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 _ORACLE: dict[str, str] = {}
 
