@@ -222,9 +222,10 @@ def with_revisits(records: DataFrame, min_revisit: int = 0) -> DataFrame:
     """records(id long, uri, payload) -> record_id, uri, record_type, refers_to, payload."""
     keyed = records.select("id", "uri", F.coalesce("payload", F.lit(b"")).alias("payload"))
     keyed = keyed.withColumns({"_sha": F.unhex(F.sha1("payload")), "_n": F.octet_length("payload")})
-    keepers = keyed.groupBy("_sha", "_n").agg(F.max("id").alias("_keeper"))
-    older = (F.col("_n") >= min_revisit) & (F.col("id") < F.col("_keeper"))
-    return keyed.join(keepers, ["_sha", "_n"]).select(
+    shared = keyed.groupBy("_sha", "_n").agg(F.max("id").alias("_keeper"), F.count("*").alias("_c")).where("_c > 1").drop("_c")
+    keepers = materialise(shared, "warc-keepers")  # written first: Spark can split a hot digest only in a join of two scans
+    older = (F.col("_n") >= min_revisit) & F.coalesce(F.col("id") < F.col("_keeper"), F.lit(False))
+    return keyed.join(keepers, ["_sha", "_n"], "left").select(
         F.col("id").cast("string").alias("record_id"), "uri",
         F.when(older, "revisit").otherwise("response").alias("record_type"),
         F.when(older, F.col("_keeper").cast("string")).alias("refers_to"), "payload",
