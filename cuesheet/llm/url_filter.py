@@ -25,7 +25,7 @@ from pyspark.ml.functions import vector_to_array
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import table
+from .common import join_checked, table
 
 # Terms in host names that mark a url as spam for training.
 SEED_TERMS = ["casino", "bets", "pills", "adult", "ads-track", "spam", "porn", "viagra", "poker", "lottery"]
@@ -109,15 +109,14 @@ def features(urls: DataFrame, seeds: list[str]) -> DataFrame:
 
 
 def with_suffixes(rows: DataFrame) -> DataFrame:
-    """Suffix statistics over all urls. Aggregated before the join; suffixes are public top-level labels, and the join
-    carries no size hint, so Spark picks it by the size it finds."""
+    """Suffix statistics over all urls, aggregated before the join, which broadcasts them only after counting them."""
     stats = rows.groupBy("suffix").agg(F.count("*").alias("_n"), F.sum("label").alias("_bad"))
     whole = stats.agg(F.sum("_n").alias("_all"), F.sum("_bad").alias("_all_bad"))
     prior = F.col("_all_bad") / F.col("_all")
-    table = stats.crossJoin(F.broadcast(whole)).select(  # one row
+    told = stats.crossJoin(F.broadcast(whole)).select(  # one row
         "suffix", (F.col("_n") / F.col("_all")).alias("suffix_share"), ((F.col("_bad") + 20 * prior) / (F.col("_n") + 20)).alias("suffix_rate")
     )
-    return rows.join(table, "suffix")
+    return join_checked(rows, told, ["suffix"], "inner", "suffixes")
 
 
 def fit(rows: DataFrame, max_train: int = MAX_TRAIN, trees: int = 12, depth: int = 4, seed: int = 5):
