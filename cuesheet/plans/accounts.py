@@ -61,7 +61,7 @@ def _(t):
 q AS (SELECT *, row_number() OVER (PARTITION BY platform ORDER BY s DESC, host) AS place FROM p WHERE r >= 0.7)
 SELECT platform, host, CAST(floor(s / 1000) AS BIGINT) AS kb_s, place FROM q WHERE place <= 3""")
 def _(t):
-    return A.fastest_hosts(t.transfers).select("platform", "host", F.floor(F.col("avg_speed") / 1000).alias("kb_s"), "place")
+    return A.fastest_hosts(t.transfers).select("platform", "host", F.floor(F.col("avg_speed") / 1000).alias("kb_s"), F.col("place").cast("long").alias("place"))
 
 
 @query("d13_summary", "paid_orders", """

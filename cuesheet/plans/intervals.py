@@ -97,7 +97,7 @@ def _(t):
     frames = t.frames.select("media_id", "idx", (F.col("idx") * 200).cast("long").alias("start_ms"), (F.col("idx") * 200).cast("long").alias("end_ms"))
     windows = t.frames.where("idx % 40 = 7").select("media_id", (F.col("idx") * 200).cast("long").alias("b_start_ms"), (F.col("idx") * 200 + 1000).cast("long").alias("b_end_ms"))
     hit = F.col("start_ms").between(F.col("b_start_ms"), F.col("b_end_ms"))
-    return I.overlap_join(frames, windows, ["media_id"], hit, how="left_semi").select("media_id", "idx")
+    return I.overlap_join(frames, windows, ["media_id"], hit, how="left_semi").select("media_id", F.col("idx").cast("long").alias("idx"))
 
 
 @query("e10_union_intervals", "segments", """
@@ -133,4 +133,4 @@ SELECT media_id, seg_id, greatest(a, min(t) - 40) AS speech_start_ms, least(b, m
 def _(t):
     lo = (F.col("idx") * 10).cast("long")
     segs = t.frames.where("idx % 50 = 3").select("media_id", F.col("idx").alias("seg_id"), lo.alias("start_ms"), (lo + 320).alias("end_ms"))
-    return I.speech_extent(t.frames, segs, 10, 0.9).select("media_id", "seg_id", "speech_start_ms", "speech_end_ms", "n_active")
+    return I.speech_extent(t.frames, segs, 10, 0.9).select("media_id", F.col("seg_id").cast("long").alias("seg_id"), "speech_start_ms", "speech_end_ms", "n_active")

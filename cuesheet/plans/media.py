@@ -67,7 +67,7 @@ SELECT media_id, ts FROM (SELECT *, row_number() OVER (PARTITION BY media_id ORD
 def _(t):
     i = F.col("idx")
     feats = t.frames.select("media_id", i.alias("ts"), (F.col("rms") * 10).alias("sharp"), F.col("amp").alias("bright"), (i % 3).alias("faces"), (i * 7 % 100 / 100).alias("blur"))
-    return M.best_frame(feats).select("media_id", "ts")
+    return M.best_frame(feats).select("media_id", F.col("ts").cast("long").alias("ts"))
 
 
 @query("f6_cast_voices", "segments")

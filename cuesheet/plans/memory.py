@@ -34,7 +34,7 @@ def _(t):
 
 
 @query("c10_take_checkpoint", "segments", """
-, b AS (SELECT media_id, seg_id // 3 AS batch, seg_id, text FROM segments), s AS (SELECT media_id, seg_id, CASE WHEN (media_id + seg_id) % 9 = 0 THEN 'x' ELSE text END AS st FROM segments WHERE (media_id + seg_id) % 14 <> 0)
+, b AS (SELECT media_id, CAST(seg_id // 3 AS BIGINT) AS batch, seg_id, text FROM segments), s AS (SELECT media_id, seg_id, CASE WHEN (media_id + seg_id) % 9 = 0 THEN 'x' ELSE text END AS st FROM segments WHERE (media_id + seg_id) % 14 <> 0)
 SELECT b.media_id, batch, bool_and(coalesce(st = text, false)) AS reused, count(*) AS n FROM b LEFT JOIN s ON s.media_id = b.media_id AND s.seg_id = b.seg_id GROUP BY ALL""")
 def _(t):
     m = F.col("media_id") + F.col("seg_id")
@@ -53,7 +53,7 @@ def _(t):
 
 
 @query("c7_merge_translations", "segments", """
-, b AS (SELECT media_id, seg_id // 4 AS batch, seg_id, text_vi, row_number() OVER (PARTITION BY media_id, seg_id // 4 ORDER BY seg_id) AS pos FROM segments)
+, b AS (SELECT media_id, CAST(seg_id // 4 AS BIGINT) AS batch, seg_id, text_vi, row_number() OVER (PARTITION BY media_id, seg_id // 4 ORDER BY seg_id) AS pos FROM segments)
 SELECT media_id, batch, seg_id, CASE WHEN media_id % 3 = 0 THEN text_vi WHEN seg_id % 5 = 0 THEN NULL ELSE text_vi END AS text_vi, media_id % 3 <> 0 AND seg_id % 5 = 0 AS missing FROM b""")
 def _(t):
     from pyspark.sql import Window

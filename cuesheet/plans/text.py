@@ -119,7 +119,7 @@ def _(t):
 
 
 @query("h17_run_keys", "segments", """
-SELECT media_id, seg_id // 3 AS batch, substr(sha256(string_agg(seg_id || chr(31) || text, chr(30) ORDER BY seg_id)), 1, 16) AS key FROM segments GROUP BY ALL""")
+SELECT media_id, CAST(seg_id // 3 AS BIGINT) AS batch, substr(sha256(string_agg(seg_id || chr(31) || text, chr(30) ORDER BY seg_id)), 1, 16) AS key FROM segments GROUP BY ALL""")
 def _(t):
     return J.run_keys(t.segments.withColumn("batch", F.floor(F.col("seg_id") / 3)), "batch")
 
