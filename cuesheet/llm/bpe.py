@@ -23,9 +23,11 @@ table gives an empty result; other columns stay.
 from __future__ import annotations
 
 import base64
+import gc
 import heapq
 import re
 from collections.abc import Iterator
+from functools import cached_property
 from itertools import chain
 
 import numpy as np
@@ -48,24 +50,29 @@ def load_ranks(path: str) -> dict[bytes, int]:
 
 
 # The general pre-split pattern, and the same with its classes spelled out for the first 256 characters,
-# which the standard library matches faster.
+# which the standard library matches faster. There, words come first: nothing before them can match at the same place.
 _GENERAL = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 _L, _N, _S = "A-Za-zªµºÀ-ÖØ-öø-ÿ", "0-9²³¹¼½¾", " \t\n\r\f\v\x85\xa0"
-_LATIN_1 = f"'s|'t|'re|'ve|'m|'ll|'d| ?[{_L}]+| ?[{_N}]+| ?[^{_S}{_L}{_N}]+|[{_S}]+(?![^{_S}])|[{_S}]+"
+_LATIN_1 = f" ?[{_L}]+|'s|'t|'re|'ve|'m|'ll|'d| ?[{_N}]+| ?[^{_S}{_L}{_N}]+|[{_S}]+(?![^{_S}])|[{_S}]+"
 
 
 class _Memo(dict):
-    """Tokens of pieces met so far; emptied when full, long pieces are not kept."""
-
-    def __init__(self, make):
-        self.make = make
-
-    def __missing__(self, piece: str) -> list[int]:
-        made = self.make(piece)
-        if len(piece) <= 4 * LEAF:
-            if len(self) >= MEMO:
-                self.clear()
-            self[piece] = made
+    """Results of ``make`` for keys met so far, in two generations: when the young one is full it becomes the old one, so
+    frequent keys stay and memory is bounded. Keys longer than ``longest`` are not kept."""
+
+    def __init__(self, make, longest: int, most: int):
+        self.make, self.longest, self.most, self.old = make, longest, most, {}
+
+    def __missing__(self, key):
+        made = self.old.get(key)
+        if made is None:
+            made = self.make(key)
+            if len(key) > self.longest:
+                return made
+        if len(self) >= self.most:
+            self.old = dict(self)
+            self.clear()
+        self[key] = made
         return made
 
 
@@ -77,26 +84,35 @@ class TreeBPE:
         self.bytes = [b""] * (max(ranks.values(), default=-1) + 1)
         for b, i in ranks.items():
             self.bytes[i] = b
-        self.memo = _Memo(self.piece)
+        self.memo = _Memo(self.piece, 4 * LEAF, MEMO // 2)
+        self.first = [ranks[bytes([b])] for b in range(256)]  # a byte-level vocabulary has all of them
         self.quick = re.compile(_LATIN_1) if pattern == _GENERAL else None
         self.seams: dict[tuple[int, int], bool] = {}
 
+    @cached_property
+    def merges(self) -> dict[int, int]:
+        """Two neighbouring tokens as one number -> the token they merge into, which is its rank. Decoding never asks."""
+        ranks = self.ranks
+        return {
+            ranks[b[:k]] << 32 | ranks[b[k:]]: i for b, i in ranks.items() for k in range(1, len(b)) if b[:k] in ranks and b[k:] in ranks
+        }
+
     def direct(self, data: bytes) -> list[int]:
         """Merges the lowest-ranked neighbours, leftmost first, until none is left."""
         if len(data) > 4 * LEAF:
             return self._by_heap(data)
-        ranks, none = self.ranks, _NO_MERGE
-        parts = [data[i : i + 1] for i in range(len(data))]
-        pairs = [ranks.get(data[i : i + 2], none) for i in range(len(data) - 1)]
+        merge, none = self.merges.get, _NO_MERGE
+        ids = [self.first[b] for b in data]
+        pairs = [merge(a << 32 | b, none) for a, b in zip(ids, ids[1:], strict=False)]
         while pairs and (best := min(pairs)) != none:
             i = pairs.index(best)
-            parts[i : i + 2] = [parts[i] + parts[i + 1]]
-            del pairs[i]
+            ids[i] = best
+            del ids[i + 1], pairs[i]
             if i < len(pairs):
-                pairs[i] = ranks.get(parts[i] + parts[i + 1], none)
+                pairs[i] = merge(best << 32 | ids[i + 1], none)
             if i:
-                pairs[i - 1] = ranks.get(parts[i - 1] + parts[i], none)
-        return [ranks[p] for p in parts]
+                pairs[i - 1] = merge(ids[i - 1] << 32 | best, none)
+        return ids
 
     def _by_heap(self, data: bytes) -> list[int]:
         """The same for long windows: linked neighbours and a heap of possible merges."""
@@ -147,10 +163,10 @@ class TreeBPE:
         half = len(data) // 2
         return self.join(self.reduce(data[:half]), self.reduce(data[half:]))
 
-    def piece(self, text: str) -> list[int]:
+    def piece(self, text: str) -> tuple[int, ...]:
         data = text.encode()
         whole = self.ranks.get(data)
-        return [whole] if whole is not None else self.reduce(data)
+        return (whole,) if whole is not None else tuple(self.reduce(data))
 
     def pieces(self, text: str):
         if len(text) >= WHOLE:
@@ -208,7 +224,12 @@ class Tokenizer:
         def encode(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
             own = _worker(shared)
             for texts in batches:
-                yield pd.Series([np.array(own.encode(t), dtype=np.int32) if t else np.empty(0, np.int32) for t in texts])
+                gc.disable()  # the memo is large and without cycles; tracing it again and again costs a sixth of the time
+                try:
+                    ids = [np.array(own.encode(t), dtype=np.int32) if t else np.empty(0, np.int32) for t in texts]
+                finally:
+                    gc.enable()
+                yield pd.Series(ids)
 
         @F.pandas_udf(T.BinaryType())
         def decode(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
