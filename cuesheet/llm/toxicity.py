@@ -91,7 +91,7 @@ class Machine:
         return 1.0 / (1.0 + np.exp(-np.clip(z, -30, 30)))
 
 
-def fit_machine(rows: list[np.ndarray], y: np.ndarray, place: np.ndarray, epochs: int = 20, rate: float = 0.1, l2: float = 2e-4, seed: int = 11) -> Machine:
+def fit_machine(rows: list[np.ndarray], y: np.ndarray, place: np.ndarray, epochs: int = 60, rate: float = 0.15, l2: float = 5e-5, seed: int = 11) -> Machine:
     """AdaGrad over small batches; rows hold the inputs that are present."""
     n_in = int(place.max()) + 1 if len(place) else 0
     share = float(y.mean()) if len(y) else 0.0
