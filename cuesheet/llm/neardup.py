@@ -10,15 +10,17 @@ index. Texts with 0.8 or more are linked; classes are the connected components o
    few draws. Vectorised over the documents of an Arrow batch.
 2. Equal texts become one node (their least doc_id), so copies cost one row each and no pair.
 3. Banding: ``BANDS`` bands of ``ROWS`` registers; at similarity 0.8 a pair shares one with probability 0.999998.
-4. Candidates. Buckets of up to ``SMALL`` nodes test all their pairs (at most SMALL - 1 partners a node). A larger
-   bucket tests its nodes against one hub, the node with most company in all its buckets. What the hub leaves out is
-   found by its residue: if x is not linked to hub h but is linked to y, then x and y share a shingle that h lacks,
-   since without one the intersection of x and y would lie inside h and x would be as close to h as to y. So nodes of the
-   hub's buckets meet again under the shingles h lacks; that index is as large as the differing text, and its buckets
-   are tested the same way.
+4. Candidates. Buckets of up to ``SMALL`` nodes test all their pairs. A larger bucket first tests its nodes against one
+   hub, the node with most company in all its buckets; that joins most of a family in one class, whose inner pairs need no
+   test. What is left of a larger bucket are the pairs of different classes. They are compared in blocks of two times about
+   ``BLOCK`` nodes, the nodes outside the bucket's largest class with all others, by the registers they share: a pair at
+   similarity 0.8 shares at least ``AGREE`` of 100 but for 1 in 69 million. First the best of these for every node and
+   class of a block is verified, then, after joining classes again, every pair that is still between two classes. So no
+   pair of a bucket is left out, whatever its similarity to a hub, save those already in one class.
 5. Links are verified on whole texts, classes found by alternating large-star and small-star steps, each written out.
 
-Nothing is collected; buckets are only aggregated (size, hub) and joined, and joins on hot nodes can be split by Spark.
+Nothing is collected; buckets are only aggregated (size, hub, largest class) and joined, joins on hot nodes can be split by
+Spark, and a large bucket is dealt over its blocks.
 
 Defined cases: null, empty and wordless texts are classes of their own; a text of under five words is one shingle;
 repeated ids share a class if their texts do; documents with a null id take part under a negative number made from their
@@ -43,7 +45,8 @@ REGISTERS, ROWS = 100, 4
 BANDS = REGISTERS // ROWS
 THRESHOLD = 0.8
 SMALL = 16
-FAMILY = 0.5  # nodes at least this close to a hub enter its residue index
+AGREE = 56  # registers in common from which a pair of a larger bucket is verified
+BLOCK = 512
 _MEMO = 200_000
 _A, _B, _C = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
 
@@ -122,29 +125,29 @@ def similarity(a: tuple[np.ndarray, np.ndarray], b: tuple[np.ndarray, np.ndarray
     return float((1.0 / ((above_x[k] + only_a) / xs + (below_y[k] + only_b) / ys)).sum())
 
 
-@F.pandas_udf(T.ArrayType(T.LongType()))
-def _bands(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+@F.pandas_udf(T.StructType().add("bands", T.ArrayType(T.LongType())).add("sketch", T.BinaryType()))
+def _signed(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
+    """Band keys, and the low byte of every register."""
     known = _WordHashes()
     for texts in batches:
         sets = [shingles(t, known) for t in texts]
-        keys = band_keys(signatures(sets))
-        yield pd.Series([k if len(s[0]) else None for k, s in zip(keys, sets, strict=True)], dtype=object)
+        sig = signatures(sets)
+        low = sig.astype(np.uint8)
+        out = [(k, b.tobytes()) if len(s[0]) else (None, None) for k, b, s in zip(band_keys(sig), low, sets, strict=True)]
+        yield pd.DataFrame({"bands": pd.Series([x[0] for x in out], dtype=object), "sketch": pd.Series([x[1] for x in out], dtype=object)})
 
 
-@F.pandas_udf(T.StructType().add("similarity", "double").add("residue", T.ArrayType(T.LongType())))
-def _compare(batches: Iterator[tuple[pd.Series, pd.Series, pd.Series]]) -> Iterator[pd.DataFrame]:
-    """Similarity of hub and other; where wanted, the other's shingles that the hub lacks."""
+@F.pandas_udf(T.DoubleType())
+def _compare(batches: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.Series]:
+    """Similarity of two texts."""
     known = _WordHashes()
-    for hubs, others, wanted in batches:
+    for hubs, others in batches:
         out, text, own = [], None, None
-        for hub, other, want in zip(hubs, others, wanted, strict=True):
+        for hub, other in zip(hubs, others, strict=True):
             if hub != text or own is None:
                 text, own = hub, shingles(hub, known)
-            it = shingles(other, known)
-            s = similarity(own, it)
-            more = np.setdiff1d(it[0], own[0], assume_unique=True).view(np.int64) if want and s >= FAMILY else None
-            out.append((s, more))
-        yield pd.DataFrame(out, columns=["similarity", "residue"])
+            out.append(similarity(own, shingles(other, known)))
+        yield pd.Series(out, dtype=float)
 
 
 def _text_key(c: str = "text"):
@@ -152,64 +155,97 @@ def _text_key(c: str = "text"):
 
 
 def nodes(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """docs(doc_id, text) -> rows(doc_id, k, bands) and nodes(node, k, bands), both written out."""
+    """docs(doc_id, text) -> rows(doc_id, k, bands, sketch) and nodes(node, k, bands, sketch), both written out."""
     bounded_batches(docs.sparkSession)
-    rows = materialise(docs.select("doc_id", _text_key().alias("k"), _bands("text").alias("bands")), "signatures")
+    signed = docs.select("doc_id", _text_key().alias("k"), _signed("text").alias("s"))
+    rows = materialise(signed.select("doc_id", "k", "s.bands", "s.sketch"), "signatures")
     synthetic = -1 - F.pmod(F.xxhash64("k"), F.lit(1 << 60))
-    least = rows.where(F.col("bands").isNotNull()).groupBy("k").agg(F.min(F.struct("doc_id", "bands")).alias("m"), F.min("doc_id").alias("id"))
-    made = least.select(F.coalesce("id", synthetic).alias("node"), "k", F.col("m.bands").alias("bands"))
+    least = rows.where(F.col("bands").isNotNull()).groupBy("k").agg(F.min(F.struct("doc_id", "bands", "sketch")).alias("m"), F.min("doc_id").alias("id"))
+    made = least.select(F.coalesce("id", synthetic).alias("node"), "k", "m.bands", "m.sketch")
     return rows, materialise(made, "nodes")
 
 
-def candidates(members: DataFrame, key: list[str], only: str | None = None) -> tuple[DataFrame, DataFrame]:
-    """members(key..., node[, only]) -> all pairs (a, b) of small buckets, and (a = hub, b) of larger ones.
-    With ``only``, buckets without a node so marked are left out, and so are pairs of two nodes not marked.
+def candidates(members: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """members(key, node) -> all pairs (a, b) of small buckets, (a = hub, b) of larger ones, and members of larger ones.
     Sizes and hubs are written before they are joined: a join straight onto an aggregate shares its partitioning, and Spark
     could not split a hot bucket there."""
-    marks = [F.max(only).alias("_any")] if only else []
-    sizes = materialise(members.groupBy(*key).agg(F.count("*").alias("n"), *marks).where("n > 1" + (" and _any" if only else "")), "sizes")
-    held = materialise(members.join(sizes.drop("_any"), key), "buckets")
+    sizes = materialise(members.groupBy("key").agg(F.count("*").alias("n")).where("n > 1"), "sizes")
+    held = materialise(members.join(sizes, "key"), "buckets")
     small, large = held.where(F.col("n") <= SMALL), held.where(F.col("n") > SMALL)
-    other = small.select(*key, F.col("node").alias("b"), *([F.col(only).alias("_b")] if only else []))
-    pairs = small.withColumnRenamed("node", "a").join(other, key).where("a < b")
-    if only:
-        pairs = pairs.where(F.col(only) | F.col("_b"))
+    pairs = small.withColumnRenamed("node", "a").join(small.select("key", F.col("node").alias("b")), "key").where("a < b")
     company = large.groupBy("node").agg(F.sum("n").alias("company"))
-    led = materialise(large.join(company, "node").groupBy(*key).agg(F.max_by("node", F.struct("company", -F.col("node"))).alias("a")), "hubs")
-    stars = large.join(led, key).where(F.col("a") != F.col("node")).select("a", F.col("node").alias("b"))
-    return pairs.select("a", "b").distinct(), stars.distinct()
+    led = materialise(large.join(company, "node").groupBy("key").agg(F.max_by("node", F.struct("company", -F.col("node"))).alias("a")), "hubs")
+    stars = large.join(led, "key").where(F.col("a") != F.col("node")).select("a", F.col("node").alias("b"))
+    return pairs.select("a", "b").distinct(), stars.distinct(), large.select("key", "node")
+
+
+def _close(best: bool):
+    def run(block: pd.DataFrame) -> pd.DataFrame:
+        """Pairs of a block in different classes with AGREE registers in common, each in its first common band only; with
+        best, for every node on the left the closest of each class."""
+        x, y = block[block["left"]], block[~block["left"]]
+        if not len(x) or not len(y):
+            return pd.DataFrame({"a": [], "b": []}, dtype="int64")
+        sx, sy = (np.frombuffer(b"".join(z["sketch"]), np.uint8).reshape(len(z), REGISTERS) for z in (x, y))
+        same = np.zeros((len(x), len(y)), np.uint8)
+        for r in range(REGISTERS):
+            same += sx[:, r, None] == sy[None, :, r]
+        i, j = np.nonzero((same >= AGREE) & (x["root"].to_numpy()[:, None] != y["root"].to_numpy()[None, :]))
+        if len(i):
+            bx, by = np.stack(x["bands"].to_numpy()), np.stack(y["bands"].to_numpy())
+            first = np.empty(len(i), bool)
+            for at in range(0, len(i), 50_000):
+                p, q = i[at : at + 50_000], j[at : at + 50_000]
+                first[at : at + 50_000] = bx[p, (bx[p] == by[q]).argmax(1)] == block["key"].iat[0]
+            i, j = i[first], j[first]
+        a, b = x["node"].to_numpy()[i], y["node"].to_numpy()[j]
+        out = pd.DataFrame({"a": np.minimum(a, b), "b": np.maximum(a, b)})
+        if best:
+            out = out[~pd.DataFrame({"a": a, "r": y["root"].to_numpy()[j], "s": -same[i, j].astype(int)}).sort_values("s", kind="stable").duplicated(["a", "r"]).sort_index()]
+        return out
+
+    return run
+
+
+def between_classes(large: DataFrame, edges: DataFrame, known: DataFrame, best: bool) -> DataFrame:
+    """large(key, node), links so far -> pairs (a < b) of one bucket and different classes that may be similar."""
+    rooted = materialise(large.join(components(edges), "node", "left").withColumn("root", F.coalesce("root", "node")), "rooted")
+    per = rooted.groupBy("key", "root").agg(F.count("*").alias("c"))
+    led = per.groupBy("key").agg(F.count("*").alias("classes"), F.sum("c").alias("n"), F.max(F.struct("c", "root")).alias("m")).where("classes > 1")
+    parts = led.select("key", F.col("m.root").alias("most"), F.ceil((F.col("n") - F.col("m.c")) / BLOCK).cast("int").alias("p"), F.ceil(F.col("n") / BLOCK).cast("int").alias("q"))
+    mixed = rooted.join(materialise(parts, "mixed"), "key")
+    full = materialise(mixed.join(known.select("node", "bands", "sketch"), "node"), "mixed-buckets")
+    dealt, own = F.xxhash64("node"), ["node", "root", "bands", "sketch"]
+    i, j = F.sequence(F.lit(0), F.col("p") - 1), F.sequence(F.lit(0), F.col("q") - 1)
+    left = full.where("root <> most").select("key", F.pmod(dealt, "p").cast("int").alias("i"), F.explode(j).alias("j"), F.lit(True).alias("left"), *own)
+    right = full.select("key", F.explode(i).alias("i"), F.pmod(dealt, "q").cast("int").alias("j"), F.lit(False).alias("left"), *own)
+    return left.union(right).groupBy("key", "i", "j").applyInPandas(_close(best), "a long, b long").distinct()
 
 
 def verify(pairs: DataFrame, docs: DataFrame, known: DataFrame, label: str) -> DataFrame:
-    """pairs(a, b, residue wanted) -> a, b, similarity, residue; written out."""
+    """pairs(a, b) -> a, b, similarity; written out."""
     ids = pairs.select(F.col("a").alias("node")).union(pairs.select("b")).distinct().join(known.select("node", "k"), "node")
     keyed = docs.where(F.col("text").isNotNull()).select("doc_id", "text", _text_key().alias("k"))
     found = join_checked(keyed, ids, ["k"], "inner", f"{label}-ids").where((F.col("doc_id") == F.col("node")) | F.col("doc_id").isNull())
     texts = materialise(found.select("node", "text").dropDuplicates(["node"]), f"{label}-texts")
     both = pairs.join(texts.select(F.col("node").alias("a"), F.col("text").alias("ta")), "a")
     both = both.join(texts.select(F.col("node").alias("b"), F.col("text").alias("tb")), "b")
-    told = both.select("a", "b", _compare("ta", "tb", "wanted").alias("c"))
-    return materialise(told.select("a", "b", "c.similarity", "c.residue"), f"{label}-verified")
+    return materialise(both.select("a", "b", _compare("ta", "tb").alias("similarity")), f"{label}-verified")
 
 
 def links(docs: DataFrame, known: DataFrame) -> DataFrame:
-    """Verified links (a, b) between nodes."""
-    pairs, stars = candidates(known.select("node", F.explode("bands").alias("key")), ["key"])
-    tested = pairs.withColumn("wanted", F.lit(False)).union(stars.withColumn("wanted", F.lit(True)))
-    tested = materialise(tested.groupBy("a", "b").agg(F.max("wanted").alias("wanted")), "pairs")
-    first = verify(tested, docs, known, "first")
-    good = first.where(F.col("similarity") >= THRESHOLD).select("a", "b")
-    family = first.where(F.col("residue").isNotNull())
-    out = family.withColumn("outside", F.col("similarity") < THRESHOLD)
-    again, hubs = candidates(
-        out.select(F.col("a").alias("hub"), F.explode("residue").alias("shingle"), F.col("b").alias("node"), "outside"),
-        ["hub", "shingle"], "outside",
-    )
-    more = again.union(hubs).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
-    done = first.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
-    rest = materialise(more.join(done, ["a", "b"], "left_anti").withColumn("wanted", F.lit(False)), "more-pairs")
-    second = verify(rest, docs, known, "second").where(F.col("similarity") >= THRESHOLD).select("a", "b")
-    return good.union(second)
+    """Verified links (a, b) between nodes: all that join two classes."""
+    pairs, stars, large = candidates(known.select("node", F.explode("bands").alias("key")))
+    told = verify(materialise(pairs.union(stars).distinct(), "pairs"), docs, known, "first")
+    for best in (True, False):
+        good = told.where(F.col("similarity") >= THRESHOLD).select("a", "b")
+        found = materialise(between_classes(large, good, known, best), "between")
+        if found.isEmpty():
+            return good
+        done = told.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
+        rest = materialise(found.join(done, ["a", "b"], "left_anti"), "more-pairs")
+        told = told.union(verify(rest, docs, known, "best" if best else "rest"))
+    return told.where(F.col("similarity") >= THRESHOLD).select("a", "b")
 
 
 def components(edges: DataFrame) -> DataFrame:

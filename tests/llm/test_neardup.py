@@ -99,6 +99,19 @@ def test_residue_index_finds_links_past_the_hub(spark):
     assert {frozenset(i for i in got if got[i] == c) for c in set(got.values())} == {frozenset(docs[i][0] for i in g) for g in want}
 
 
+def test_long_hub_that_holds_the_shared_text(spark):
+    """One bucket; its hub, the least node, holds all that x and y share, and much more that keeps it far from both."""
+    rng = random.Random(9)
+    words = lambda n: [f"w{rng.randrange(10**6)}" for _ in range(n)]
+    shared = words(90)
+    docs = [(0, " ".join(shared + words(100)))] + [(k, " ".join(words(100))) for k in range(1, 20)]
+    docs += [(100, " ".join([*shared, *words(3)])), (101, " ".join([*shared, *words(4)]))]
+    df = spark.createDataFrame(docs, "doc_id long, text string")
+    known = N.nodes(df)[1].withColumn("bands", N.F.expr("transform(bands, x -> 1L)"))
+    got = {frozenset((r["a"], r["b"])) for r in N.links(df, known).collect()}
+    assert got == {frozenset((100, 101))}
+
+
 def test_edges(spark):
     df = spark.createDataFrame([(1, "a b c d e f"), (1, "a b c d e f"), (None, "a b c d e f"), (2, "q w e r t y")], "doc_id long, text string")
     assert sorted(str(r["doc_id"]) for r in N.keep_one(df).collect()) == ["1", "2", "None"]
