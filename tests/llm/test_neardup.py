@@ -112,6 +112,26 @@ def test_long_hub_that_holds_the_shared_text(spark):
     assert got == {frozenset((100, 101))}
 
 
+def test_links_past_the_hub_in_a_large_family(spark, monkeypatch):
+    """A family of variants at 0.7 to 0.9 in one bucket gives the classes of brute force, also where blocks are small."""
+    monkeypatch.setattr(N, "BLOCK", 60, raising=False)
+    rng = random.Random(10)
+    words = [[f"w{rng.randrange(10**6)}" for _ in range(200)]]
+    for k in range(1, 160):
+        t = list(words[rng.randrange(len(words))])
+        for i in rng.sample(range(200), rng.randrange(3, 7)):
+            t[i] = f"edit{k}-{i}"
+        words.append(t)
+    docs = [(k, " ".join(t)) for k, t in enumerate(words)]
+    df = spark.createDataFrame(docs, "doc_id long, text string")
+    known = N.nodes(df)[1].withColumn("bands", N.F.expr("transform(bands, x -> 1L)"))
+    roots = {r["node"]: r["root"] for r in N.components(N.links(df, known)).collect()}
+    groups = {}
+    for k, _ in docs:
+        groups.setdefault(roots.get(k, k), set()).add(k)
+    assert {frozenset(g) for g in groups.values()} == brute(docs)
+
+
 def test_edges(spark):
     df = spark.createDataFrame([(1, "a b c d e f"), (1, "a b c d e f"), (None, "a b c d e f"), (2, "q w e r t y")], "doc_id long, text string")
     assert sorted(str(r["doc_id"]) for r in N.keep_one(df).collect()) == ["1", "2", "None"]
