@@ -40,7 +40,7 @@ def fuse(asr: DataFrame, ocr: DataFrame) -> DataFrame:
     per = hit.groupBy("media_id", "seg_id").agg(text.alias("ocr_text"), F.avg("confidence").alias("confidence"), F.sum("overlap_ms").alias("overlap_ms"))
     both = asr.join(per, ["media_id", "seg_id"], "left")
     a, o = ocr_normal(F.col("text")), ocr_normal(F.col("ocr_text"))
-    both = both.withColumn("similarity", F.when(F.col("ocr_text").isNull(), 0.0).otherwise(ratio_udf()(F.substring(a, 1, 150), F.substring(o, 1, 150))))
+    both = both.withColumn("similarity", F.when(F.col("ocr_text").isNull(), 0.0).otherwise(ratio_udf()(a, o)))
     span = F.greatest(F.lit(1), F.col("end_ms") - F.col("start_ms"))
     fit = F.least(F.lit(1.0), F.length(o) * 1000.0 / span / 6)
     share = F.least(F.lit(1.0), F.col("overlap_ms") / span)

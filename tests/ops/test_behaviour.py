@@ -119,6 +119,15 @@ def test_repair_makes_json_of_what_was_cut(items, cut):
         assert broken == "" or "\\" in whole or whole[: max(1, len(whole) - cut)].rstrip()[-1:] not in "]}\""
 
 
+def test_fuse_reads_whole_texts(spark):
+    rng = random.Random(11)
+    said, shown = ("".join(rng.choice(x) for _ in range(450)) for x in ("abcdefgh", "qrstuvwx"))
+    asr = spark.createDataFrame([(1, 1, 0, 9000, said[:150] + said)], "media_id long, seg_id long, start_ms long, end_ms long, text string")
+    ocr = spark.createDataFrame([(1, 1, 0, 9000, said[:150] + shown, 0.9)], "media_id long, ocr_id long, b_start_ms long, b_end_ms long, ocr_text string, confidence double")
+    got = media.fuse(asr, ocr).first()
+    assert got["similarity"] < 0.5 and got["decision"] == "replace"
+
+
 def test_merge_frames(spark):
     rows = [(1, t, x, s) for t, x, s in [(1, "hello world", 0.5), (2, "hello worle", 0.9), (3, "", 1.0), (4, "other", 0.3), (5, "other", 0.2)]]
     got = media.merge_frames(spark.createDataFrame(rows, "media_id long, t long, text string, score double")).orderBy("start").collect()
