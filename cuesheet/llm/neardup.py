@@ -8,23 +8,28 @@ index. Texts with 0.8 or more are linked; classes are the connected components o
    registers, and each register keeps the shingle that arrives first. Two texts agree in a register with probability =
    their similarity. A shingle stops as soon as its next arrival is later than all registers, so most stop after a
    few draws. Vectorised over the documents of an Arrow batch.
-2. Equal texts become one node (their least doc_id), so copies cost one row each and no pair.
+2. Equal texts become one node, numbered by text and not by id, so copies cost one row each and no pair.
 3. Banding: ``BANDS`` bands of ``ROWS`` registers; at similarity 0.8 a pair shares one with probability 0.999998.
 4. Candidates. Buckets of up to ``SMALL`` nodes test all their pairs. A larger bucket first tests its nodes against one
    hub, the node with most company in all its buckets; that joins most of a family in one class, whose inner pairs need no
-   test. What is left of a larger bucket are the pairs of different classes. They are compared in blocks of two times about
-   ``BLOCK`` nodes, the nodes outside the bucket's largest class with all others, by the registers they share: a pair at
-   similarity 0.8 shares at least ``AGREE`` of 100 but for 1 in 69 million. First the best of these for every node and
-   class of a block is verified, then, after joining classes again, every pair that is still between two classes. So no
-   pair of a bucket is left out, whatever its similarity to a hub, save those already in one class.
+   test. The pairs still between two classes are left. Every node of a large bucket has a home, the hub with most company
+   among those of its buckets; a family has one home as a rule.
+   Same home: the home's nodes outside its largest class meet all its nodes in blocks, with their shingles. A block finds
+   the pairs with ``AGREE`` of 100 registers in common (a pair at 0.8 has them but for 1 in 69 million), works out their
+   exact similarity, and returns only the links that join two classes: never more rows than nodes.
+   Different homes: what shares a bucket is compared there by registers, and verified on texts.
+   So no pair of a bucket is left out, whatever its similarity to a hub, save those already in one class.
 5. Links are verified on whole texts, classes found by alternating large-star and small-star steps, each written out.
 
 Nothing is collected; buckets are only aggregated (size, hub, largest class) and joined, joins on hot nodes can be split by
-Spark, and a large bucket is dealt over its blocks.
-
-Defined cases: null, empty and wordless texts are classes of their own; a text of under five words is one shingle;
-repeated ids share a class if their texts do; documents with a null id take part under a negative number made from their
-text; an empty table gives an empty result; other columns are ignored, or kept by ``keep_one``.
+Spark, and a large group is dealt over blocks of at most about ``BLOCK`` nodes and ``BLOCK_ITEMS`` shingles a side. The
+work inside the blocks of a home is quadratic in those of its nodes that link neither to the hub nor through it.
+
+Defined cases: null, empty and wordless texts are classes of their own; a text of under five words is one shingle; a class
+is named by its least doc_id; where that names several classes, since an id came with several texts, the class of the
+least text digest has it, and the others, like classes without any id, have a negative number made from their least text
+digest; repeated rows share a class and ``keep_one`` keeps one of them; an empty table gives an empty result; other columns
+are ignored, or kept by ``keep_one``.
 """
 
 from __future__ import annotations
@@ -34,7 +39,7 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import xxhash
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -46,7 +51,7 @@ BANDS = REGISTERS // ROWS
 THRESHOLD = 0.8
 SMALL = 16
 AGREE = 56  # registers in common from which a pair of a larger bucket is verified
-BLOCK = 512
+BLOCK, BLOCK_ITEMS = 512, 4_000_000
 _MEMO = 200_000
 _A, _B, _C = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
 
@@ -114,6 +119,8 @@ def similarity(a: tuple[np.ndarray, np.ndarray], b: tuple[np.ndarray, np.ndarray
     both, i, j = np.intersect1d(a[0], b[0], assume_unique=True, return_indices=True)
     if not len(both):
         return 0.0
+    if a[1].max() == b[1].max() == 1:  # the plain Jaccard index
+        return len(both) / (len(a[0]) + len(b[0]) - len(both))
     x, y = a[1][i], b[1][j]
     only_a, only_b = a[1].sum() - x.sum(), b[1].sum() - y.sum()
     ratio = x / y  # at shingle i the denominator is sum_j max(x_j / x_i, y_j / y_i), shared and unshared j
@@ -150,23 +157,36 @@ def _compare(batches: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.Seri
         yield pd.Series(out, dtype=float)
 
 
+@F.pandas_udf(T.StructType().add("items", T.ArrayType(T.LongType())).add("counts", T.ArrayType(T.FloatType())))
+def _shingled(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
+    """Sorted shingle hashes; counts only where a shingle repeats."""
+    known = _WordHashes()
+    for texts in batches:
+        sets = [shingles(t, known) for t in texts]
+        counts = [c.astype(np.float32) if len(c) and c.max() > 1 else None for _, c in sets]
+        yield pd.DataFrame({"items": pd.Series([h.view(np.int64) for h, _ in sets], dtype=object), "counts": pd.Series(counts, dtype=object)})
+
+
 def _text_key(c: str = "text"):
     return F.unhex(F.md5(F.encode(F.col(c), "UTF-8")))
 
 
+def _synthetic(k: str):
+    return -1 - F.pmod(F.xxhash64(k), F.lit(1 << 60))
+
+
 def nodes(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """docs(doc_id, text) -> rows(doc_id, k, bands, sketch) and nodes(node, k, bands, sketch), both written out."""
+    """docs(doc_id, text) -> rows(doc_id, k, bands, sketch) and nodes(node, doc_id, k, bands, sketch), both written out; k is
+    the text's digest, a node's doc_id the least with that text."""
     bounded_batches(docs.sparkSession)
     signed = docs.select("doc_id", _text_key().alias("k"), _signed("text").alias("s"))
     rows = materialise(signed.select("doc_id", "k", "s.bands", "s.sketch"), "signatures")
-    synthetic = -1 - F.pmod(F.xxhash64("k"), F.lit(1 << 60))
-    least = rows.where(F.col("bands").isNotNull()).groupBy("k").agg(F.min(F.struct("doc_id", "bands", "sketch")).alias("m"), F.min("doc_id").alias("id"))
-    made = least.select(F.coalesce("id", synthetic).alias("node"), "k", "m.bands", "m.sketch")
-    return rows, materialise(made, "nodes")
+    least = rows.where(F.col("bands").isNotNull()).groupBy("k").agg(F.min("doc_id").alias("doc_id"), F.min(F.struct("bands", "sketch")).alias("m"))
+    return rows, materialise(least.select(F.monotonically_increasing_id().alias("node"), "doc_id", "k", "m.bands", "m.sketch"), "nodes")
 
 
 def candidates(members: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """members(key, node) -> all pairs (a, b) of small buckets, (a = hub, b) of larger ones, and members of larger ones.
+    """members(key, node) -> all pairs (a, b) of small buckets, (a = hub, b) of larger ones, and large(key, node, home).
     Sizes and hubs are written before they are joined: a join straight onto an aggregate shares its partitioning, and Spark
     could not split a hot bucket there."""
     sizes = materialise(members.groupBy("key").agg(F.count("*").alias("n")).where("n > 1"), "sizes")
@@ -174,78 +194,187 @@ def candidates(members: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
     small, large = held.where(F.col("n") <= SMALL), held.where(F.col("n") > SMALL)
     pairs = small.withColumnRenamed("node", "a").join(small.select("key", F.col("node").alias("b")), "key").where("a < b")
     company = large.groupBy("node").agg(F.sum("n").alias("company"))
-    led = materialise(large.join(company, "node").groupBy("key").agg(F.max_by("node", F.struct("company", -F.col("node"))).alias("a")), "hubs")
-    stars = large.join(led, "key").where(F.col("a") != F.col("node")).select("a", F.col("node").alias("b"))
-    return pairs.select("a", "b").distinct(), stars.distinct(), large.select("key", "node")
-
-
-def _close(best: bool):
-    def run(block: pd.DataFrame) -> pd.DataFrame:
-        """Pairs of a block in different classes with AGREE registers in common, each in its first common band only; with
-        best, for every node on the left the closest of each class."""
-        x, y = block[block["left"]], block[~block["left"]]
-        if not len(x) or not len(y):
-            return pd.DataFrame({"a": [], "b": []}, dtype="int64")
-        sx, sy = (np.frombuffer(b"".join(z["sketch"]), np.uint8).reshape(len(z), REGISTERS) for z in (x, y))
-        same = np.zeros((len(x), len(y)), np.uint8)
-        for r in range(REGISTERS):
-            same += sx[:, r, None] == sy[None, :, r]
-        i, j = np.nonzero((same >= AGREE) & (x["root"].to_numpy()[:, None] != y["root"].to_numpy()[None, :]))
-        if len(i):
-            bx, by = np.stack(x["bands"].to_numpy()), np.stack(y["bands"].to_numpy())
-            first = np.empty(len(i), bool)
-            for at in range(0, len(i), 50_000):
-                p, q = i[at : at + 50_000], j[at : at + 50_000]
-                first[at : at + 50_000] = bx[p, (bx[p] == by[q]).argmax(1)] == block["key"].iat[0]
-            i, j = i[first], j[first]
-        a, b = x["node"].to_numpy()[i], y["node"].to_numpy()[j]
-        out = pd.DataFrame({"a": np.minimum(a, b), "b": np.maximum(a, b)})
-        if best:
-            out = out[~pd.DataFrame({"a": a, "r": y["root"].to_numpy()[j], "s": -same[i, j].astype(int)}).sort_values("s", kind="stable").duplicated(["a", "r"]).sort_index()]
+    first = F.max(F.struct("company", (-F.col("node")).alias("minus")))
+    led = materialise(large.join(company, "node").groupBy("key").agg(first.alias("hub")), "hubs")
+    starred = materialise(large.select("key", "node").join(led, "key"), "stars")
+    homes = materialise(starred.groupBy("node").agg((-F.max("hub")["minus"]).alias("home")), "homes")
+    stars = starred.select((-F.col("hub.minus")).alias("a"), F.col("node").alias("b")).where("a <> b")
+    return pairs.select("a", "b").distinct(), stars.distinct(), starred.select("key", "node").join(homes, "node")
+
+
+def _agreeing(x: pd.DataFrame, y: pd.DataFrame) -> np.ndarray:
+    """For every two rows, whether AGREE registers are the same and the roots differ."""
+    sx, sy = (np.frombuffer(b"".join(z["sketch"]), np.uint8).reshape(len(z), REGISTERS) for z in (x, y))
+    same = np.zeros((len(x), len(y)), np.uint8)
+    for r in range(REGISTERS):
+        same += sx[:, r, None] == sy[None, :, r]
+    return (same >= AGREE) & (x["root"].to_numpy()[:, None] != y["root"].to_numpy()[None, :])
+
+
+def _shared(x: list[np.ndarray], y: list[np.ndarray], width: int = 4096) -> np.ndarray:
+    """Number of items in common for each of x and each of y: products of 0/1 matrices over ``width`` items at a time."""
+    allx, ally = np.concatenate(x), np.concatenate(y)
+    both = np.intersect1d(allx, ally)
+    out = np.zeros((len(x), len(y)), np.float32)
+    if not len(both):
         return out
-
-    return run
-
-
-def between_classes(large: DataFrame, edges: DataFrame, known: DataFrame, best: bool) -> DataFrame:
-    """large(key, node), links so far -> pairs (a < b) of one bucket and different classes that may be similar."""
-    rooted = materialise(large.join(components(edges), "node", "left").withColumn("root", F.coalesce("root", "node")), "rooted")
-    per = rooted.groupBy("key", "root").agg(F.count("*").alias("c"))
-    led = per.groupBy("key").agg(F.count("*").alias("classes"), F.sum("c").alias("n"), F.max(F.struct("c", "root")).alias("m")).where("classes > 1")
-    parts = led.select("key", F.col("m.root").alias("most"), F.ceil((F.col("n") - F.col("m.c")) / BLOCK).cast("int").alias("p"), F.ceil(F.col("n") / BLOCK).cast("int").alias("q"))
-    mixed = rooted.join(materialise(parts, "mixed"), "key")
-    full = materialise(mixed.join(known.select("node", "bands", "sketch"), "node"), "mixed-buckets")
-    dealt, own = F.xxhash64("node"), ["node", "root", "bands", "sketch"]
+    placed = []
+    for side, items in ((x, allx), (y, ally)):
+        row, at = np.repeat(np.arange(len(side)), [len(s) for s in side]), np.searchsorted(both, items)
+        known = both[np.minimum(at, len(both) - 1)] == items
+        order = np.argsort(at[known], kind="stable")
+        placed.append((row[known][order], at[known][order]))
+    for start in range(0, len(both), width):
+        parts = []
+        for side, (row, at) in zip((x, y), placed, strict=True):
+            i, j = np.searchsorted(at, [start, start + width])
+            part = np.zeros((len(side), width), np.float32)
+            part[row[i:j], at[i:j] - start] = 1
+            parts.append(part)
+        out += parts[0] @ parts[1].T
+    return out
+
+
+def _joining(a: np.ndarray, b: np.ndarray, ra: np.ndarray, rb: np.ndarray) -> pd.DataFrame:
+    """Those of the links (a, b), with roots, that join two classes not yet joined."""
+    up: dict[int, int] = {}
+
+    def top(r: int) -> int:
+        while (u := up.get(r, r)) != r:
+            up[r] = up.get(u, u)
+            r = u
+        return r
+
+    kept = []
+    for p, (i, j) in enumerate(zip(ra.tolist(), rb.tolist(), strict=True)):
+        i, j = top(i), top(j)
+        if i != j:
+            up[max(i, j)] = min(i, j)
+            kept.append(p)
+    return pd.DataFrame({"a": a[kept], "b": b[kept]})
+
+
+def _block_links(block: pd.DataFrame) -> pd.DataFrame:
+    """Links between the block's left and right nodes that join two classes."""
+    x, y = block[block["left"]], block[~block["left"]]
+    none = pd.DataFrame({"a": [], "b": []}, dtype="int64")
+    if not len(x) or not len(y):
+        return none
+    near = _agreeing(x, y)
+    some, other = near.any(1), near.any(0)
+    if not some.any():
+        return none
+    x, y, near = x[some], y[other], near[some][:, other]
+    hx, hy = ([np.asarray(i, np.int64).view(np.uint64) for i in z["items"]] for z in (x, y))
+    cx, cy = ([None if c is None else np.asarray(c, float) for c in z["counts"]] for z in (x, y))
+    shared = _shared(hx, hy)
+    whole = np.array([len(i) for i in hx])[:, None] + np.array([len(i) for i in hy])[None, :] - shared
+    linked = near & (shared / whole >= THRESHOLD)
+    repeats = near & (np.array([c is not None for c in cx])[:, None] | np.array([c is not None for c in cy])[None, :])
+    for i, j in zip(*np.nonzero(repeats), strict=True):
+        one, two = ((h, np.ones(len(h)) if c is None else c) for h, c in ((hx[i], cx[i]), (hy[j], cy[j])))
+        linked[i, j] = similarity(one, two) >= THRESHOLD
+    i, j = np.nonzero(linked)
+    return _joining(*(z[c].to_numpy()[k] for c in ("node", "root") for z, k in ((x, i), (y, j))))
+
+
+def _block_pairs(block: pd.DataFrame) -> pd.DataFrame:
+    """Pairs of a bucket's block with different homes that may be links, each in its first common band only."""
+    x, y = block[block["left"]], block[~block["left"]]
+    if not len(x) or not len(y):
+        return pd.DataFrame({"a": [], "b": []}, dtype="int64")
+    i, j = np.nonzero(_agreeing(x, y) & (x["home"].to_numpy()[:, None] != y["home"].to_numpy()[None, :]))
+    if len(i):
+        bx, by = np.stack(x["bands"].to_numpy()), np.stack(y["bands"].to_numpy())
+        first = np.empty(len(i), bool)
+        for at in range(0, len(i), 50_000):
+            p, q = i[at : at + 50_000], j[at : at + 50_000]
+            first[at : at + 50_000] = bx[p, (bx[p] == by[q]).argmax(1)] == block["key"].iat[0]
+        i, j = i[first], j[first]
+    a, b = x["node"].to_numpy()[i], y["node"].to_numpy()[j]
+    return pd.DataFrame({"a": np.minimum(a, b), "b": np.maximum(a, b)})
+
+
+def _dealt(full: DataFrame, parts: DataFrame, aside: str, columns: list[str]) -> DataFrame:
+    """full(key, ...) in blocks: those whose ``aside`` is not the group's most frequent one (left) against all (right).
+    parts(key, most, p, q): that value, and into how many parts the two sides go."""
+    placed = full.join(materialise(parts, "parts"), "key")
+    dealt = F.xxhash64("node")
     i, j = F.sequence(F.lit(0), F.col("p") - 1), F.sequence(F.lit(0), F.col("q") - 1)
-    left = full.where("root <> most").select("key", F.pmod(dealt, "p").cast("int").alias("i"), F.explode(j).alias("j"), F.lit(True).alias("left"), *own)
-    right = full.select("key", F.explode(i).alias("i"), F.pmod(dealt, "q").cast("int").alias("j"), F.lit(False).alias("left"), *own)
-    return left.union(right).groupBy("key", "i", "j").applyInPandas(_close(best), "a long, b long").distinct()
+    left = placed.where(F.col(aside) != F.col("most"))
+    left = left.select("key", F.pmod(dealt, "p").cast("int").alias("i"), F.explode(j).alias("j"), F.lit(True).alias("left"), *columns)
+    right = placed.select("key", F.explode(i).alias("i"), F.pmod(dealt, "q").cast("int").alias("j"), F.lit(False).alias("left"), *columns)
+    return left.union(right).groupBy("key", "i", "j")
+
+
+def _parts(full: DataFrame, aside: str, others: str, items: Column) -> DataFrame:
+    """For every key with several values of aside and of others: the most frequent value of aside, and numbers of parts."""
+    per = full.groupBy("key", aside).agg(F.count("*").alias("c"), F.sum(items).alias("s"), F.min(others).alias("o1"), F.max(others).alias("o2"))
+    led = per.groupBy("key").agg(
+        F.count("*").alias("values"), F.sum("c").alias("n"), F.sum("s").alias("w"), F.max(F.struct("c", "s", aside)).alias("m"),
+        F.min("o1").alias("o1"), F.max("o2").alias("o2"),
+    ).where((F.col("values") > 1) & (F.col("o1") < F.col("o2")))
+    number = lambda n, w: F.ceil(F.greatest(n / BLOCK, w / BLOCK_ITEMS)).cast("int")
+    return led.select("key", F.col(f"m.{aside}").alias("most"), number(F.col("n") - F.col("m.c"), F.col("w") - F.col("m.s")).alias("p"), number(F.col("n"), F.col("w")).alias("q"))
+
+
+def within_homes(homes: DataFrame, roots: DataFrame, docs: DataFrame, known: DataFrame) -> DataFrame:
+    """homes(node, home), roots so far -> further links (a, b) between nodes of one home and different classes."""
+    rooted = homes.join(roots, "node", "left").select("node", F.col("home").alias("key"), F.coalesce("root", "node").alias("root"))
+    rooted = materialise(rooted, "rooted")
+    mixed = rooted.groupBy("key").agg(F.min("root").alias("r1"), F.max("root").alias("r2")).where("r1 < r2").select("key")
+    members = materialise(rooted.join(materialise(mixed, "mixed"), "key"), "mixed-homes")
+    texts = _texts(members.select("node"), docs, known, "homes")
+    made = materialise(texts.select("node", _shingled("text").alias("s")).select("node", "s.items", "s.counts"), "shingles")
+    full = members.join(made, "node").join(known.select("node", "sketch"), "node")
+    parts = _parts(members.join(made.select("node", F.size("items").alias("size")), "node"), "root", "root", F.col("size"))
+    groups = _dealt(full, parts, "root", ["node", "root", "sketch", "items", "counts"])
+    return materialise(groups.applyInPandas(_block_links, "a long, b long").distinct(), "home-links")
+
+
+def across_homes(large: DataFrame, roots: DataFrame, known: DataFrame) -> DataFrame:
+    """large(key, node, home), roots so far -> pairs (a < b) of one bucket, different homes and classes, that may be links."""
+    homes = large.groupBy("key").agg(F.min("home").alias("h1"), F.max("home").alias("h2")).where("h1 < h2").select("key")
+    mixed = large.join(materialise(homes, "several-homes"), "key")
+    rooted = materialise(mixed.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node")), "rooted")
+    groups = _dealt(rooted.join(known.select("node", "bands", "sketch"), "node"), _parts(rooted, "home", "root", F.lit(0)), "home", ["node", "root", "home", "bands", "sketch"])
+    return materialise(groups.applyInPandas(_block_pairs, "a long, b long").distinct(), "across")
+
+
+def _texts(ids: DataFrame, docs: DataFrame, known: DataFrame, label: str) -> DataFrame:
+    """ids(node) -> node, text; written out. Of copies only rows with the least id are read on."""
+    wanted = ids.distinct().join(known.select("node", "k", F.col("doc_id").alias("least")), "node")
+    keyed = docs.where(F.col("text").isNotNull()).select("doc_id", "text", _text_key().alias("k"))
+    found = join_checked(keyed, wanted, ["k"], "inner", f"{label}-ids").where(F.col("doc_id").eqNullSafe(F.col("least")))
+    return materialise(found.select("node", "text").dropDuplicates(["node"]), f"{label}-texts")
 
 
 def verify(pairs: DataFrame, docs: DataFrame, known: DataFrame, label: str) -> DataFrame:
-    """pairs(a, b) -> a, b, similarity; written out."""
-    ids = pairs.select(F.col("a").alias("node")).union(pairs.select("b")).distinct().join(known.select("node", "k"), "node")
-    keyed = docs.where(F.col("text").isNotNull()).select("doc_id", "text", _text_key().alias("k"))
-    found = join_checked(keyed, ids, ["k"], "inner", f"{label}-ids").where((F.col("doc_id") == F.col("node")) | F.col("doc_id").isNull())
-    texts = materialise(found.select("node", "text").dropDuplicates(["node"]), f"{label}-texts")
+    """pairs(a, b) -> those that are links; written out."""
+    texts = _texts(pairs.select(F.col("a").alias("node")).union(pairs.select("b")), docs, known, label)
     both = pairs.join(texts.select(F.col("node").alias("a"), F.col("text").alias("ta")), "a")
     both = both.join(texts.select(F.col("node").alias("b"), F.col("text").alias("tb")), "b")
-    return materialise(both.select("a", "b", _compare("ta", "tb").alias("similarity")), f"{label}-verified")
+    told = materialise(both.select("a", "b", _compare("ta", "tb").alias("similarity")), f"{label}-verified")
+    return told.where(F.col("similarity") >= THRESHOLD).select("a", "b")
 
 
-def links(docs: DataFrame, known: DataFrame) -> DataFrame:
-    """Verified links (a, b) between nodes: all that join two classes."""
+def links(docs: DataFrame, known: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Verified links (a, b) between nodes, all that join two classes; and their components (node, root)."""
     pairs, stars, large = candidates(known.select("node", F.explode("bands").alias("key")))
-    told = verify(materialise(pairs.union(stars).distinct(), "pairs"), docs, known, "first")
-    for best in (True, False):
-        good = told.where(F.col("similarity") >= THRESHOLD).select("a", "b")
-        found = materialise(between_classes(large, good, known, best), "between")
-        if found.isEmpty():
-            return good
-        done = told.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
-        rest = materialise(found.join(done, ["a", "b"], "left_anti"), "more-pairs")
-        told = told.union(verify(rest, docs, known, "best" if best else "rest"))
-    return told.where(F.col("similarity") >= THRESHOLD).select("a", "b")
+    large = materialise(large, "large")
+    good = verify(materialise(pairs.union(stars).distinct(), "pairs"), docs, known, "first")
+    roots = components(good)
+    if large.isEmpty():
+        return good, roots
+    more = within_homes(large.select("node", "home").distinct(), roots, docs, known)
+    if not more.isEmpty():
+        good = good.union(more)
+        roots = components(good)
+    rest = across_homes(large, roots, known)
+    if not rest.isEmpty():
+        good = good.union(verify(rest, docs, known, "across"))
+        roots = components(good)
+    return good, roots
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -265,26 +394,46 @@ def components(edges: DataFrame) -> DataFrame:
         now = materialise(small.union(lower).distinct(), "edges")
 
 
+def _named(docs: DataFrame) -> DataFrame:
+    """docs(doc_id, text) -> doc_id, k, class_id, worded, kept per row; kept: the row is the class's least by (id, text digest)."""
+    docs = docs.select("doc_id", "text")
+    rows, known = nodes(docs)
+    _, roots = links(docs, known)
+    rooted = materialise(known.select("node", "doc_id", "k").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node")), "roots")
+    place = F.min(F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "k")).alias("first")
+    least = materialise(rooted.groupBy("root").agg(place, F.min("k").alias("least_k")).withColumn("id", F.col("first.doc_id")), "least")
+    shared = least.where(F.col("id").isNotNull()).groupBy("id").agg(F.count("*").alias("n"), F.min("least_k").alias("owner_k")).where("n > 1")
+    owned = join_checked(least, shared.select("id", "owner_k"), ["id"], "left", "shared-ids")
+    owner = F.col("id").isNotNull() & (F.col("owner_k").isNull() | (F.col("owner_k") == F.col("least_k")))
+    named = owned.select("root", "first", F.when(owner, F.col("id")).otherwise(_synthetic("least_k")).alias("class_id"))
+    told = materialise(rooted.select("k", "root").join(materialise(named, "names"), "root").select("k", "class_id", "first"), "named")
+    is_first = F.col("doc_id").eqNullSafe(F.col("first.doc_id")) & (F.col("k") == F.col("first.k"))
+    return rows.select("doc_id", "k").join(told, "k", "left").select(
+        "doc_id", "k", F.coalesce("class_id", "doc_id", _synthetic("k"), F.lit(-1)).alias("class_id"),
+        F.col("first").isNotNull().alias("worded"), F.when(F.col("first").isNull(), True).otherwise(is_first).alias("kept"),
+    )
+
+
 def classes(docs: DataFrame) -> DataFrame:
-    """docs(doc_id, text) -> doc_id, node (least id with the same text), class_id (least id of the class)."""
-    rows, known = nodes(docs.select("doc_id", "text"))
-    roots = components(links(docs.select("doc_id", "text"), known))
-    named = materialise(known.select("node", "k").join(roots, "node", "left").select("k", "node", F.coalesce("root", "node").alias("root")), "roots")
-    return rows.select("doc_id", "k").join(named, "k", "left").select(
-        "doc_id", F.coalesce("node", "doc_id").alias("node"), F.coalesce("root", "doc_id").alias("class_id")
-    )
+    """docs(doc_id, text) -> doc_id, class_id, kept per row. Rows alike in id and text are kept alike."""
+    return _named(docs).select("doc_id", "class_id", "kept")
 
 
 def keep_one(docs: DataFrame) -> DataFrame:
-    """The document with the least id of each class; columns as given. Rows with a null id stay."""
-    told = materialise(classes(docs).groupBy("doc_id").agg(F.count("*").alias("n"), F.min("class_id").alias("c")), "class-of")
-    gone = told.where(F.col("doc_id").isNotNull() & ((F.col("c") != F.col("doc_id")) | (F.col("n") > 1))).select("doc_id")
-    again = told.where(F.col("doc_id").isNotNull() & (F.col("c") == F.col("doc_id")) & (F.col("n") > 1)).select("doc_id")
-    kept = join_checked(docs, gone, ["doc_id"], "left_anti", "copies").select(*docs.columns)
-    repeated = join_checked(docs, again, ["doc_id"], "left_semi", "repeated").dropDuplicates(["doc_id"])
-    return kept.union(repeated.select(*docs.columns))
+    """One document of each class, that of the least id; columns as given. Of rows alike in id and text one stays."""
+    per = _named(docs).where("worded").groupBy("doc_id", "k", "kept").agg(F.count("*").alias("n")).where("NOT kept OR n > 1")
+    told = materialise(per.select(F.col("doc_id").alias("_nd_id"), F.col("k").alias("_nd_k"), "kept"), "copies")
+    keyed = docs.withColumn("_nd_text", _text_key())
+
+    def meeting(how: str, which: DataFrame) -> DataFrame:
+        few = which.count() <= 500_000
+        same = (F.col("_nd_text") == F.col("_nd_k")) & F.col("doc_id").eqNullSafe(F.col("_nd_id"))
+        return keyed.join(F.broadcast(which) if few else which.hint("merge"), same, how)
+
+    once = meeting("left_anti", told.select("_nd_id", "_nd_k")).select(*docs.columns)
+    repeated = meeting("left_semi", told.where("kept").select("_nd_id", "_nd_k")).dropDuplicates(["doc_id", "_nd_text"])
+    return once.union(repeated.select(*docs.columns))
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
-    told = classes(table(spark, sf_dir, "documents").select("doc_id", "text"))
-    return told.select("doc_id", "class_id", (F.col("doc_id") == F.col("class_id")).alias("kept"))
+    return classes(table(spark, sf_dir, "documents").select("doc_id", "text"))
