@@ -51,9 +51,22 @@ def materialise(df: DataFrame, label: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
-def bounded_batches(spark: SparkSession, rows: int = 256) -> None:
-    """Rows in an Arrow batch, so that a batch of very long texts stays small."""
+def bounded_batches(spark: SparkSession, rows: int = 256, size: str = "16m") -> None:
+    """Rows and bytes in an Arrow batch, so that a batch of very long texts stays small. Spark reads these settings of the
+    session when a plan runs, so they stay set."""
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", size)
+
+
+def set_aside(df: DataFrame, *made: str) -> DataFrame:
+    """df, with columns that have the name of one still to be made renamed to ``<name>_in`` (or ``<name>_in_in`` and so on)."""
+    for name in made:
+        for old in [c for c in df.columns if c.lower() == name.lower()]:
+            new = old + "_in"
+            while new.lower() in {c.lower() for c in df.columns} | {m.lower() for m in made}:
+                new += "_in"
+            df = df.withColumnRenamed(old, new)
+    return df
 
 
 def text_or_empty(name: str = "text") -> Column:

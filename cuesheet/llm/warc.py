@@ -3,7 +3,8 @@
 ``write_warc`` streams records into gzip-member WARC/1.1 files, one file per task, and returns the index (path, offset,
 length, record id). ``read_warc`` turns files into rows (record_id, chunk_no, chunk, end_offset, digest so far): a
 payload of any size passes in chunks of at most ``chunk_bytes``, each row carrying the running SHA-1, so neither reading
-nor checking a record needs it whole. The last chunk's digest must equal the header's.
+nor checking a record needs it whole. When writing, a record's payload is one value of the incoming row, which Spark
+holds whole; from there on it is hashed and compressed in pieces, in batches bounded by rows and bytes. The last chunk's digest must equal the header's.
 
 Files go to the shared folder under a name that no other task attempt uses; the index holds only those of successful
 attempts and is itself written, so a lost executor costs a rewritten file and nothing else.
@@ -30,7 +31,7 @@ from pyarrow import fs
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import materialise, qualified, table, work_path
+from .common import bounded_batches, materialise, qualified, table, work_path
 
 CHUNK = 1 << 20
 INDEX = "path string, offset long, length long, record_id string"
@@ -205,7 +206,7 @@ def write_warc(records: DataFrame, folder: str, chunk_bytes: int = CHUNK) -> Dat
     spark = records.sparkSession
     full = qualified(spark, folder)
     scheme = full.split("://")[0] + "://" if "://" in full else ""
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "256")
+    bounded_batches(spark)
     shaped = records.select("record_id", "uri", "record_type", "refers_to", "payload")
     index = materialise(shaped.mapInArrow(_writer(full, chunk_bytes), INDEX), "warc-index")
     return index.withColumn("path", F.concat(F.lit(scheme if scheme == "file://" else full[: len(full) - len(_open(full)[1])]), "path"))
