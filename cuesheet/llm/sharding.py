@@ -9,7 +9,8 @@ positions inside the partitions and one running sum over partition counts: no si
 equal in all of these are spread by a random last sort column; they are alike, so the result is the same.
 
 Defined cases: null key sorts first; a null text has no bytes (size 8, crc 0); repeated rows each get a slot; an
-empty table gives an empty result; extra columns are kept, helper columns start with ``_fs_``.
+empty table gives an empty result; extra columns are kept, those named like a result as ``<name>_in``; helper columns
+start with ``_fs_``.
 """
 
 from __future__ import annotations
@@ -20,7 +21,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import materialise, table, text_or_empty
+from .common import materialise, set_aside, table, text_or_empty
 
 ROUNDS = 6
 _MIX = (0xBF58476D1CE4E5B9, 0x94D049BB133111EB)
@@ -101,7 +102,9 @@ def shard_rows(df: DataFrame, order: list[str], shards: int, seed: int = 17) ->
     """df with row_number, position, shard and slot."""
     if shards < 1:
         raise ValueError("shards must be at least 1")
-    numbered, n = number_rows(df, order)
+    kept = set_aside(df, "row_number", "position", "shard", "slot")
+    renamed = dict(zip(df.columns, kept.columns, strict=True))
+    numbered, n = number_rows(kept, [renamed[c] for c in order])
 
     @F.pandas_udf(T.LongType())
     def position(r: pd.Series) -> pd.Series:
@@ -110,7 +113,7 @@ def shard_rows(df: DataFrame, order: list[str], shards: int, seed: int = 17) ->
     return (
         numbered.withColumn("position", position("row_number"))
         .withColumn("shard", F.pmod("position", F.lit(shards)).cast("int"))
-        .withColumn("slot", F.floor((F.col("position") - F.col("shard")) / F.lit(shards)).cast("long"))
+        .withColumn("slot", F.expr(f"position div {shards}"))
     )
 
 

@@ -43,9 +43,10 @@ def test_query(spark, sf):
 
 def test_edges(spark):
     rows = [(None, 8, 0)] * 3 + [(5, 9, 7)] * 40 + [(i, 8, 0) for i in range(30)]
-    df = spark.createDataFrame(rows, "doc_id long, size long, text_crc32 long").selectExpr("*", "'x' AS row_id", "1 AS part")
+    df = spark.createDataFrame(rows, "doc_id long, size long, text_crc32 long").selectExpr("*", "'x' AS row_number", "1 AS position", "'mine' AS shard", "2L AS slot")
     got = sharding.shard_rows(df, ["doc_id", "size", "text_crc32"], 24).collect()
     _check(rows, got)
+    assert {(r["row_number_in"], r["position_in"], r["shard_in"], r["slot_in"]) for r in got} == {("x", 1, "mine", 2)}
     again = sharding.shard_rows(df.repartition(7), ["doc_id", "size", "text_crc32"], 24).collect()
     key = lambda r: (r["doc_id"], r["shard"], r["slot"])
     assert Counter(map(key, got)) == Counter(map(key, again))
