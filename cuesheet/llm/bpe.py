@@ -1,7 +1,8 @@
 """Byte-level BPE by monoid tree reduction.
 
-A piece (one match of the pre-split pattern) is halved down to short leaves, leaves are merged directly, and neighbours
-are joined: the bytes around the seam are encoded anew in a window that grows until the tokens at its edges are stable.
+A piece (one match of the pre-split pattern) that is no token itself is halved down to leaves of ``LEAF`` bytes, leaves are
+merged directly, and neighbours are joined: the bytes around the seam are encoded anew in a window that grows until the
+tokens at its edges are stable. The leaves of many pieces are merged at once, as rows of a numpy matrix.
 
 Stability. Call a pair of tokens (a, b) stable if encoding bytes(a)+bytes(b) gives exactly [a, b]. A token sequence is
 the encoding of its bytes if and only if all its neighbours are stable, given that every token encodes to itself: a merge
@@ -11,13 +12,13 @@ the window too; so a window whose two outer seams are stable ends the search. Sh
 direct encoding. ``tests/llm/test_bpe.py`` holds this against the tiktoken library.
 
 Joining is associative with the empty sequence as neutral element, so the tree's shape doesn't matter. Decoding
-concatenates byte strings up a tree of halves.
+concatenates byte strings up a tree of halves, from runs of ``RUN`` tokens.
 
 The ranks are broadcast (a fixed vocabulary, about a megabyte). Pieces repeat, so each worker keeps the tokens of up to
 ``MEMO`` pieces.
 
 Defined cases: a null or empty text has no tokens and decodes to no bytes; repeated rows are encoded alike; an empty
-table gives an empty result; other columns stay.
+table gives an empty result; other columns stay, one named like the result as ``<name>_in``.
 """
 
 from __future__ import annotations
@@ -36,11 +37,14 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import bounded_batches, table, text_or_empty
+from .common import bounded_batches, set_aside, table, text_or_empty
 
-LEAF = 24
+LEAF = 24  # bytes
 MEMO = 400_000
+RUN = 256  # tokens that decoding concatenates at once
+_LONG = 96  # bytes from which merging uses a heap
 _NO_MERGE = 1 << 62
+TOGETHER = 1 << 20
 WHOLE = 1 << 22  # texts above this many characters are pre-split piece by piece, without a list of all pieces
 
 
@@ -69,11 +73,89 @@ class _Memo(dict):
             made = self.make(key)
             if len(key) > self.longest:
                 return made
+        self.put(key, made)
+        return made
+
+    def put(self, key, made) -> None:
         if len(self) >= self.most:
             self.old = dict(self)
             self.clear()
         self[key] = made
-        return made
+
+
+class _LeafTable:
+    """Merges many short byte strings at once: each is a row of tokens beside a row of the ranks of its neighbours; every
+    step merges the lowest-ranked, leftmost pair of each row. Ranks of pairs come from an open-addressing table."""
+
+    BITS, EMPTY = 21, -1
+
+    def __init__(self, first: list[int], merges: dict[int, int]):
+        self.first = np.array(first, np.int64)
+        keys = np.fromiter(merges, np.int64, len(merges))
+        values = np.fromiter(merges.values(), np.int64, len(merges))
+        if 2 * len(keys) > 1 << self.BITS:
+            raise ValueError("more merges than the table has room for")
+        self.keys, self.values = np.full(1 << self.BITS, self.EMPTY), np.zeros(1 << self.BITS, np.int64)
+        at = self._slot(keys)
+        while len(keys):  # of those that want a free slot the first gets it, the others go on
+            free = np.flatnonzero(self.keys[at] == self.EMPTY)
+            _, one = np.unique(at[free], return_index=True)
+            won = free[one]
+            self.keys[at[won]], self.values[at[won]] = keys[won], values[won]
+            left = np.ones(len(keys), bool)
+            left[won] = False
+            keys, values, at = keys[left], values[left], (at[left] + 1) & ((1 << self.BITS) - 1)
+        pairs = self.first[:, None] << 32 | self.first[None, :]
+        self.bytes = self.rank(pairs.ravel()).reshape(256, 256)
+
+    def _slot(self, keys: np.ndarray) -> np.ndarray:
+        return ((keys.view(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(64 - self.BITS)).astype(np.int64)
+
+    def rank(self, keys: np.ndarray) -> np.ndarray:
+        """What the two tokens of each key merge into, or _NO_MERGE."""
+        out = np.full(len(keys), _NO_MERGE)
+        left, at = np.arange(len(keys)), self._slot(keys)
+        while len(left):
+            seen = self.keys[at]
+            hit = seen == keys[left]
+            out[left[hit]] = self.values[at[hit]]
+            on = ~hit & (seen != self.EMPTY)
+            left, at = left[on], (at[on] + 1) & ((1 << self.BITS) - 1)
+        return out
+
+    def encode(self, strings: list[bytes]) -> list[tuple[int, ...]]:
+        if not strings:
+            return []
+        out: list[tuple[int, ...]] = [()] * len(strings)
+        n = np.array([len(s) for s in strings])
+        width = int(n.max())
+        raw = np.frombuffer(b"".join(s.ljust(width, b"\0") for s in strings), np.uint8).reshape(len(strings), width)
+        row, ids = np.arange(len(strings)), self.first[raw]
+        ranks = np.full(raw.shape, _NO_MERGE)  # its last column stays: the last token has no right neighbour
+        ranks[:, :-1] = np.where(np.arange(1, width) < n[:, None], self.bytes[raw[:, :-1], raw[:, 1:]], _NO_MERGE)
+        while len(row):
+            at = ranks.argmin(1)
+            best = ranks[np.arange(len(row)), at]
+            done = best == _NO_MERGE
+            if done.any():
+                for r, tokens, k in zip(row[done].tolist(), ids[done].tolist(), n[done].tolist(), strict=True):
+                    out[r] = tuple(tokens[:k])
+                on = ~done
+                row, ids, ranks, n, at, best = row[on], ids[on], ranks[on], n[on], at[on], best[on]
+                if not len(row):
+                    break
+            every, place = np.arange(len(row)), np.arange(ids.shape[1] - 1)
+            moved = place + (place > at[:, None])
+            ids = np.take_along_axis(ids, moved, 1)
+            ids[every, at] = best
+            n = n - 1
+            ranks = np.take_along_axis(ranks, place + (place >= at[:, None]), 1)
+            ranks[every, at] = _NO_MERGE
+            r = np.flatnonzero(at + 1 < n)
+            ranks[r, at[r]] = self.rank(best[r] << 32 | ids[r, at[r] + 1])
+            r = np.flatnonzero(at > 0)
+            ranks[r, at[r] - 1] = self.rank(ids[r, at[r] - 1] << 32 | best[r])
+        return out
 
 
 class TreeBPE:
@@ -84,11 +166,15 @@ class TreeBPE:
         self.bytes = [b""] * (max(ranks.values(), default=-1) + 1)
         for b, i in ranks.items():
             self.bytes[i] = b
-        self.memo = _Memo(self.piece, 4 * LEAF, MEMO // 2)
+        self.memo = _Memo(self.piece, _LONG, MEMO // 2)
         self.first = [ranks[bytes([b])] for b in range(256)]  # a byte-level vocabulary has all of them
         self.quick = re.compile(_LATIN_1) if pattern == _GENERAL else None
         self.seams: dict[tuple[int, int], bool] = {}
 
+    @cached_property
+    def leaf_table(self) -> _LeafTable:
+        return _LeafTable(self.first, self.merges)
+
     @cached_property
     def merges(self) -> dict[int, int]:
         """Two neighbouring tokens as one number -> the token they merge into, which is its rank. Decoding never asks."""
@@ -99,7 +185,7 @@ class TreeBPE:
 
     def direct(self, data: bytes) -> list[int]:
         """Merges the lowest-ranked neighbours, leftmost first, until none is left."""
-        if len(data) > 4 * LEAF:
+        if len(data) > _LONG:
             return self._by_heap(data)
         merge, none = self.merges.get, _NO_MERGE
         ids = [self.first[b] for b in data]
@@ -144,12 +230,12 @@ class TreeBPE:
             known = self.seams[key] = self.direct(self.bytes[a] + self.bytes[b]) == [a, b]
         return known
 
-    def join(self, left: list[int], right: list[int]) -> list[int]:
+    def join(self, left: tuple[int, ...], right: tuple[int, ...]) -> tuple[int, ...]:
         if not left or not right or self.stable(left[-1], right[0]):
             return left + right
         i = j = 1
         while True:
-            window = self.direct(b"".join(self.bytes[t] for t in left[len(left) - i :] + right[:j]))
+            window = tuple(self.direct(b"".join(map(self.bytes.__getitem__, left[len(left) - i :] + right[:j]))))
             ok_left = i == len(left) or self.stable(left[len(left) - i - 1], window[0])
             ok_right = j == len(right) or self.stable(window[-1], right[j])
             if ok_left and ok_right:
@@ -157,16 +243,16 @@ class TreeBPE:
             i = i if ok_left else min(2 * i, len(left))
             j = j if ok_right else min(2 * j, len(right))
 
-    def reduce(self, data: bytes) -> list[int]:
+    def reduce(self, data: bytes) -> tuple[int, ...]:
         if len(data) <= LEAF:
-            return self.direct(data)
+            return tuple(self.direct(data))
         half = len(data) // 2
         return self.join(self.reduce(data[:half]), self.reduce(data[half:]))
 
     def piece(self, text: str) -> tuple[int, ...]:
         data = text.encode()
         whole = self.ranks.get(data)
-        return (whole,) if whole is not None else tuple(self.reduce(data))
+        return (whole,) if whole is not None else self.reduce(data)
 
     def pieces(self, text: str):
         if len(text) >= WHOLE:
@@ -179,12 +265,54 @@ class TreeBPE:
             return self.quick.findall(text)
         return self.split.findall(text)
 
+    def learn(self, pieces: set[str]) -> None:
+        """Puts the tokens of pieces into the memo, those of one leaf together."""
+        memo, ranks, leaves = self.memo, self.ranks, []
+        for p in pieces:
+            if p in memo or p in memo.old:
+                continue
+            data = p.encode()
+            if (whole := ranks.get(data)) is not None:
+                memo.put(p, (whole,))
+            elif len(data) <= LEAF:
+                leaves.append((p, data))
+        leaves.sort(key=lambda x: len(x[1]))
+        for at in range(0, len(leaves), 4096):
+            part = leaves[at : at + 4096]
+            for (p, _), made in zip(part, self.leaf_table.encode([d for _, d in part]), strict=True):
+                memo.put(p, made)
+
     def encode(self, text: str) -> list[int]:
         return list(chain.from_iterable(map(self.memo.__getitem__, self.pieces(text))))
 
+    def encode_all(self, texts) -> list[np.ndarray]:
+        """Token ids of each text; the pieces of about ``TOGETHER`` characters are learnt together."""
+        out: list[np.ndarray] = []
+        held: list[list[str]] = []
+        size = 0
+
+        def flush() -> None:
+            if held:
+                self.learn(set().union(*held))
+            out.extend(np.array(list(chain.from_iterable(map(self.memo.__getitem__, pieces))), dtype=np.int32) for pieces in held)
+            held.clear()
+
+        for t in texts:
+            if len(t) >= WHOLE:
+                flush()
+                out.append(np.array(self.encode(t), dtype=np.int32))
+                continue
+            held.append(self.pieces(t))
+            size += len(t)
+            if size >= TOGETHER:
+                flush()
+                size = 0
+        flush()
+        return out
+
     def decode(self, ids) -> bytes:
         n = len(ids)
-        if n <= 1 << 16:
+        if n <= RUN:
             return b"".join(map(self.bytes.__getitem__, ids))
         return self.decode(ids[: n // 2]) + self.decode(ids[n // 2 :])
 
@@ -226,7 +354,7 @@ class Tokenizer:
             for texts in batches:
                 gc.disable()  # the memo is large and without cycles; tracing it again and again costs a sixth of the time
                 try:
-                    ids = [np.array(own.encode(t), dtype=np.int32) if t else np.empty(0, np.int32) for t in texts]
+                    ids = own.encode_all(texts)
                 finally:
                     gc.enable()
                 yield pd.Series(ids)
@@ -253,11 +381,11 @@ def public_tokenizer(spark: SparkSession, name: str = "byte_bpe_50k.tiktoken") -
 
 
 def with_tokens(df: DataFrame, tokenizer: Tokenizer, text: str = "text", out: str = "token_ids") -> DataFrame:
-    return df.withColumn(out, tokenizer.encode(text_or_empty(text)))
+    return set_aside(df, out).withColumn(out, tokenizer.encode(text_or_empty(text)))
 
 
 def with_round_trip(df: DataFrame, tokenizer: Tokenizer, ids: str = "token_ids", out: str = "decoded") -> DataFrame:
-    return df.withColumn(out, tokenizer.decode(F.col(ids)))
+    return set_aside(df, out).withColumn(out, tokenizer.decode(F.col(ids)))
 
 
 def digests(df: DataFrame) -> DataFrame:

@@ -37,7 +37,24 @@ def test_any_text_as_the_library(s):
 @given(st.text(alphabet="abcdehinorst", min_size=2, max_size=200), st.integers(1, 199))
 def test_joining_is_associative_and_direct(s, cut):
     b, cut = s.encode(), cut % len(s)
-    assert OWN.join(OWN.direct(b[:cut]), OWN.direct(b[cut:])) == OWN.direct(b)
+    assert OWN.join(tuple(OWN.direct(b[:cut])), tuple(OWN.direct(b[cut:]))) == tuple(OWN.direct(b)) == OWN.reduce(b)
+
+
+def test_leaves_together_as_one_by_one():
+    rng = random.Random(5)
+    strings = [bytes(rng.choice(b"aeinrst \xc3\xa9\x00") for _ in range(rng.randrange(1, bpe.LEAF + 1))) for _ in range(3000)]
+    assert OWN.leaf_table.encode(strings) == [tuple(OWN.direct(s)) for s in strings] and OWN.leaf_table.encode([]) == []
+
+
+def test_batches_as_the_library(monkeypatch):
+    """Small memos and portions, so that pieces are forgotten and learnt again."""
+    monkeypatch.setattr(bpe, "TOGETHER", 500)
+    monkeypatch.setattr(bpe, "WHOLE", 3000)
+    own = bpe.TreeBPE(RANKS, P.PATTERN)
+    own.memo.most = 50
+    rng = random.Random(6)
+    texts = ["", *(" ".join("".join(rng.choice("aeinrstö") for _ in range(rng.randrange(1, 40))) for _ in range(rng.randrange(1, 300))) for _ in range(40))]
+    assert [i.tolist() for i in own.encode_all(texts)] == [REF.encode_ordinary(t) for t in texts]
 
 
 def test_long_piece_in_bounded_time():
@@ -47,10 +64,10 @@ def test_long_piece_in_bounded_time():
 
 def test_columns(spark):
     rows = [(1, None), (2, ""), (3, "The end."), (3, "The end."), (4, "x" * 50_000), (None, "naïve")]
-    df = spark.createDataFrame(rows, "doc_id long, text string").selectExpr("*", "1 AS token_ids_old", "'k' AS decoded_by")
+    df = spark.createDataFrame(rows, "doc_id long, text string").selectExpr("*", "1 AS token_ids", "'k' AS decoded")
     tok = bpe.public_tokenizer(spark)
     got = bpe.with_round_trip(bpe.with_tokens(df, tok), tok).collect()
-    assert len(got) == 6
+    assert len(got) == 6 and {(r["token_ids_in"], r["decoded_in"]) for r in got} == {(1, "k")}
     for r in got:
         assert r["token_ids"] == REF.encode_ordinary(r["text"] or "") and bytes(r["decoded"]) == (r["text"] or "").encode()
     assert bpe.digests(bpe.with_round_trip(bpe.with_tokens(df.limit(0), tok), tok)).count() == 0
