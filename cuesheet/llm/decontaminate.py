@@ -6,12 +6,12 @@ of the words from there; hashes meet the broadcast windows in a hash join and ea
 scan is one chain of generated code (explode, hash, join, verify): word arrays are carried by reference and only hits
 leave it. No Python runs anywhere.
 
-The broadcast is bounded: windows are counted first and, above ``max_windows`` (default one million, some 200 MB), dealt
-by hash into blocks; the documents are scanned once per block.
+The broadcast is bounded: windows are written and counted first, a window once for every item that has it, and, above
+``max_windows`` (default one million, some 200 MB), dealt by hash into blocks; the documents are scanned once per block.
 
 Defined cases: null or wordless text has no words and no hits; items without words have no window; equal items all
-count; repeated document rows are judged one by one; empty tables give empty results; other columns are kept by
-``decontaminate`` and never read, helper columns start with ``_dc_``.
+count; every document row is judged by its own text, whatever its id; empty tables give empty results; other columns are
+kept by ``decontaminate`` and never read, helper columns start with ``_dc_``.
 """
 
 from __future__ import annotations
@@ -22,7 +22,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import ascii_lower, join_checked, table, text_or_empty
+from .common import ascii_lower, join_checked, materialise, table, text_or_empty
 
 SEPARATORS = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 SIZE = 10
@@ -66,8 +66,8 @@ def _by_length(name: str, value, lengths) -> Column:
 def hits(docs: DataFrame, items: DataFrame, size: int = SIZE, max_windows: int = MAX_WINDOWS) -> DataFrame:
     """docs(_dc_row, doc_id, text) -> verified hits (_dc_row, doc_id, at, length, item_ids, n_words), and for each
     document one row of length 0 that carries n_words."""
-    known = windows(items, size)
-    shape = known.groupBy("length").agg(F.count("*").alias("n")).collect()  # at most ``size`` rows
+    known = materialise(windows(items, size), "windows")
+    shape = known.groupBy("length").agg(F.sum(F.size("item_ids")).alias("n")).collect()  # at most ``size`` rows
     lengths, blocks = sorted(r["length"] for r in shape), max(1, math.ceil(sum(r["n"] for r in shape) / max_windows))
     w = docs.select("_dc_row", "doc_id", words(text_or_empty()).alias("words")).withColumn("n_words", F.size("words"))
     parts = []
@@ -115,22 +115,23 @@ def numbered(docs: DataFrame) -> DataFrame:
 
 
 def decontaminate(docs: DataFrame, items: DataFrame, size: int = SIZE, max_windows: int = MAX_WINDOWS) -> DataFrame:
-    """docs without the documents that hold a benchmark window; columns as given. Rows with the same id fall together;
-    rows with a null id are judged by row."""
-    found = hits(numbered(docs), items, size, max_windows).where(F.col("length") > 0)
-    bad = found.select("doc_id").where(F.col("doc_id").isNotNull()).distinct()
-    kept = join_checked(docs.where(F.col("doc_id").isNotNull()), bad, ["doc_id"], "left_anti", "leaked").select(*docs.columns)
-    own = numbered(docs.where(F.col("doc_id").isNull()))  # the scan's statistics skip files without null ids
-    leaked = hits(own, items, size, max_windows).where(F.col("length") > 0).select("_dc_row").distinct()
-    return kept.unionByName(own.join(leaked, "_dc_row", "left_anti").select(*docs.columns))
+    """docs without the rows whose text holds a benchmark window; columns as given. Rows are told apart by a digest of
+    their text, so a clean row stays even if another with its id goes."""
+    digest = F.unhex(F.md5(F.encode(F.col("text"), "UTF-8")))
+    texts = docs.where(F.col("text").isNotNull()).select(digest.alias("_dc_row"), F.lit(None).cast("long").alias("doc_id"), "text")
+    bad = hits(texts, items, size, max_windows).where(F.col("length") > 0).select("_dc_row").distinct()
+    return join_checked(docs.withColumn("_dc_row", digest), bad, ["_dc_row"], "left_anti", "leaked").select(*docs.columns)
 
 
 def remove_spans(docs: DataFrame, items: DataFrame, size: int = SIZE) -> DataFrame:
-    """doc_id, text with the words inside hits cut out (remaining words in lower case, joined by one space)."""
+    """doc_id, text with the words inside hits cut out (remaining words in lower case, joined by one space). What stays
+    are the stretches after each hit word and before the first, so the work is in proportion to the words."""
     rows = numbered(docs).select("_dc_row", "doc_id", "text")
     found = judge(rows, items, size).select("_dc_row", "positions")
-    kept = F.filter(words(text_or_empty()), lambda w, i: ~F.array_contains("positions", i))
-    joined = rows.join(found, "_dc_row")
+    joined = rows.join(found, "_dc_row").withColumn("_dc_words", words(text_or_empty()))
+    ends = F.array_append(F.col("positions"), F.size("_dc_words"))  # the end of the stretch before each hit word, and of the last
+    starts = F.concat(F.array(F.lit(0)), F.transform("positions", lambda p: p + 1))
+    kept = F.flatten(F.transform(F.arrays_zip(starts.alias("a"), ends.alias("z")), lambda s: F.slice("_dc_words", s["a"] + 1, s["z"] - s["a"])))
     clean = F.when(F.size("positions") == 0, F.col("text")).otherwise(F.array_join(kept, " "))
     return joined.select("doc_id", clean.alias("text"))
 

@@ -53,12 +53,15 @@ def test_removal(spark):
     docs, items, d, b = frames(spark)
     kept = D.decontaminate(d, b)
     assert kept.columns == d.columns
-    told = brute(docs, items)
-    dirty = {i for i, _, hit, _ in told if hit and i is not None}
-    want = sorted([i for i, t in docs if i is not None and i not in dirty]) + ["null"] * sum(1 for i, _, hit, _ in told if i is None and not hit)
-    assert sorted([r["doc_id"] for r in kept.collect() if r["doc_id"] is not None]) + ["null"] * kept.where("doc_id IS NULL").count() == want
+    clean = sorted(str(i) for i, _, hit, _ in brute(docs, items) if not hit)
+    assert sorted(str(r["doc_id"]) for r in kept.collect()) == clean
+    same_id = spark.createDataFrame([(1, "one two three"), (1, "clean text"), (1, None)], "doc_id long, text string")
+    assert sorted(str(r["text"]) for r in D.decontaminate(same_id, b).collect()) == ["None", "clean text"]
     spans = {r["doc_id"]: r["text"] for r in D.remove_spans(d.where("doc_id = 104"), b).collect()}
     assert spans[104] == ""
+    rows = [(1, "Alpha one two three beta, gamma one TWO three"), (2, "nothing here"), (3, None), (4, "zeta zeta a zeta")]
+    cut = {r["doc_id"]: r["text"] for r in D.remove_spans(spark.createDataFrame(rows, "doc_id long, text string"), b).collect()}
+    assert cut == {1: "alpha beta gamma", 2: "nothing here", 3: None, 4: "a"}
 
 
 def test_empty_tables_and_native(spark, sf):
