@@ -11,8 +11,9 @@ apart. Training: logistic loss, AdaGrad, on at most about ``max_train`` labelled
 The model is a few hundred kilobytes whatever the corpus; every document is scored whole.
 
 Defined cases: null, empty and wordless texts score sigmoid(w0); documents without a label are only scored; several
-labels of a document: toxic if any says so; null labels are ignored; without both labels the score is the share of
-toxic labels (0 without any); repeated rows score alike; an empty table gives an empty result; other columns are kept.
+labels of a document: toxic if any says so; of several texts under one id one is learnt from; null labels are ignored; without both labels the score is the share of
+toxic labels (0 without any); repeated rows score alike; an empty table gives an empty result; other columns are
+kept, one named like the result as ``<name>_in``.
 """
 
 from __future__ import annotations
@@ -24,11 +25,11 @@ from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import bounded_batches, held_out, join_checked, materialise, table, text_or_empty
+from .common import bounded_batches, held_out, join_checked, materialise, set_aside, table, text_or_empty
 
 BUCKETS = 1 << 18
 KEEP = 2048
@@ -141,6 +142,8 @@ def train(docs: DataFrame, labels: DataFrame, max_train: int = MAX_TRAIN, keep:
     """docs(doc_id, text), labels(doc_id, toxic) -> machine."""
     bounded_batches(docs.sparkSession)
     drawn = join_checked(docs.select("doc_id", "text"), _drawn(labels, max_train), ["doc_id"], "inner", "drawn-labels")
+    one = F.row_number().over(Window.partitionBy("doc_id").orderBy(F.xxhash64("text")))  # of rows that repeat an id
+    drawn = drawn.withColumn("_tx_one", one).where("_tx_one = 1")
 
     @F.pandas_udf(T.ArrayType(T.IntegerType()))
     def buckets(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
@@ -174,7 +177,7 @@ def with_score(docs: DataFrame, model: Machine, text: str = "text", out: str = "
         for texts in batches:
             yield pd.Series([own.score(_terms(t, known)) for t in texts], dtype=float)
 
-    return docs.withColumn(out, score(text_or_empty(text)))
+    return set_aside(docs, out).withColumn(out, score(text_or_empty(text)))
 
 
 def reject(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD) -> DataFrame:

@@ -1,4 +1,6 @@
 import random
+import re
+import zlib
 
 import numpy as np
 
@@ -59,9 +61,37 @@ def test_held_out_and_edges(spark):
     assert {r["score"] for r in X.with_score(d, flat).collect()} == {X.with_score(d.limit(1), flat).first()["score"]}
 
 
-def test_given_labels(spark, sf):
-    from cuesheet.llm.common import table
+def slow_score(m, text):
+    """w0 + sum of weights + sum over pairs, by the terms of the text."""
+    words = set("".join(c if c.isalnum() and not re.match(r"[\d_]", c) else " " for c in text.lower()).split())
+    terms = {b for w in words for b in X.word_buckets(w)}
+    at = sorted({int(m.place[b]) for b in terms if m.place[b] >= 0})
+    pairs = sum(float(m.v[i] @ m.v[j]) for k, i in enumerate(at) for j in at[k + 1 :])
+    z = m.bias + sum(float(m.w[i]) for i in at) + pairs
+    return 1 / (1 + np.exp(-np.clip(z, -30, 30)))
 
-    y = {r["doc_id"]: r["toxic"] for r in table(spark, sf, "labels").collect()}
-    got = [r for r in X.query(spark, sf).collect() if r["doc_id"] in y and not r["held_out"]]
-    assert sum(r["predicted"] == y[r["doc_id"]] for r in got) >= 0.9 * len(got)
+
+def test_query_against_slow_scores(spark, sf):
+    docs = spark.read.parquet(f"{sf}/documents.parquet")
+    m = X.train(docs.select("doc_id", "text"), spark.read.parquet(f"{sf}/labels.parquet").select("doc_id", "toxic"))
+    texts = {r["doc_id"]: r["text"] or "" for r in docs.collect()}
+    for r in X.query(spark, sf).collect():
+        assert abs(r["score"] - slow_score(m, texts[r["doc_id"]])) < 1e-6 and r["predicted"] == int(r["score"] >= X.THRESHOLD)
+        assert r["held_out"] == (zlib.crc32(str(r["doc_id"]).encode()) % 4 == 2)
+
+
+def test_held_out_recall(spark):
+    """On rows that nothing was learnt from: at least 0.8 of toxic documents caught, 0.98 of others left alone."""
+    sf = "/root/testdata/sf0.1"
+    y = {r["doc_id"]: r["toxic"] for r in spark.read.parquet(f"{sf}/labels.parquet").collect()}
+    got = [r for r in X.query(spark, sf).collect() if r["held_out"] and y.get(r["doc_id"]) is not None]
+    toxic, clean = ([r["predicted"] for r in got if y[r["doc_id"]] == k] for k in (1, 0))
+    assert len(toxic) > 50 and sum(toxic) >= 0.8 * len(toxic) and sum(clean) <= 0.02 * len(clean)
+
+
+def test_repeated_ids_are_learnt_from_once(spark):
+    docs = [(1, "w x y idiotica")] * 300 + [(i, f"word{'abc'[i % 3]} other") for i in range(2, 60)]
+    df = spark.createDataFrame(docs, "doc_id long, text string").selectExpr("*", "'mine' AS score")
+    labels = spark.createDataFrame([(i, int(i == 1)) for i in range(1, 60)], "doc_id long, toxic int")
+    got = X.with_score(df, X.train(df, labels)).collect()
+    assert {r["score_in"] for r in got} == {"mine"} and len(got) == len(docs)
