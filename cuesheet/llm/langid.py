@@ -8,27 +8,29 @@ probability p = f^HASHES, so its count c of n is corrected to (c - p n) / (1 - p
 
 N-grams are four letters of a lower-cased text, in which runs of other characters are one space. A language keeps its
 ``TOP`` most frequent n-grams, except those that another language uses more than ``RATIO`` times as often; frequencies
-come from at most about ``max_docs`` documents per language, drawn by a hash of the id, outside the held-out quarter.
+come from at most ``max_docs`` documents per language, outside the held-out quarter: about as many are drawn by a hash of id
+and text, and of those the first by that hash.
 
 Defined cases: null text or a text without a letter is ``und`` with score 0; documents with a null lang teach nothing;
 ties go to the language first in text order; letters but no known n-gram: the language of most training documents, score
 0; nothing to learn from: all ``und``; repeated rows are judged alike; an empty table gives an empty result; other
-columns are never read.
+columns are kept, those named ``lang_pred`` or ``score`` as ``lang_pred_in`` and ``score_in``.
 """
 
 from __future__ import annotations
 
 import re
+import sys
 from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import bounded_batches, held_out, materialise, table, text_or_empty
+from .common import bounded_batches, held_out, materialise, set_aside, table, text_or_empty
 
 N = 4
 SLOTS = 1 << 19
@@ -38,7 +40,9 @@ RATIO = 4.0
 MAX_DOCS = 1_500
 MAX_LANGS = 64
 _SCALE = 1 << 30
-_SPACES = re.compile(r"[\W\d_]+")
+# Python's \w holds numbers such as 1/2 or Roman numerals too; letters are what isalpha says.
+_NUMBERS = "".join(re.escape(c) for c in map(chr, range(sys.maxunicode + 1)) if c.isalnum() and not c.isalpha())
+_SPACES = re.compile(rf"[\W_{_NUMBERS}]+")
 _M1, _M2 = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F)
 UND = "und"
 
@@ -109,7 +113,9 @@ def train(docs: DataFrame, max_docs: int = MAX_DOCS, top: int = TOP) -> Model:
     share = F.lit(0)
     for lang, n in sizes.items():
         share = F.when(F.col("lang") == lang, int(min(1.0, max_docs / n) * _SCALE)).otherwise(share)
-    drawn = known.where(F.pmod(F.xxhash64("doc_id"), F.lit(_SCALE)) < share)
+    drawn = known.withColumn("_li_draw", F.pmod(F.xxhash64("doc_id", "text"), F.lit(_SCALE))).where(F.col("_li_draw") < share)
+    place = F.row_number().over(Window.partitionBy("lang").orderBy("_li_draw", "doc_id"))  # a hot group of equal rows ends here
+    drawn = drawn.withColumn("_li_place", place).where(F.col("_li_place") <= max_docs)
 
     @F.pandas_udf(T.ArrayType(T.LongType()))
     def grams(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
@@ -143,6 +149,7 @@ def with_language(docs: DataFrame, model: Model) -> DataFrame:
         for texts in batches:
             yield pd.DataFrame([own.predict(t) for t in texts], columns=["lang_pred", "score"])
 
+    docs = set_aside(docs, "lang_pred", "score")
     return docs.withColumn("_li", predict(text_or_empty())).withColumns({"lang_pred": F.col("_li.lang_pred"), "score": F.col("_li.score")}).drop("_li")
 
 
