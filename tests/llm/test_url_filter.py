@@ -1,3 +1,5 @@
+import math
+
 from cuesheet.llm import url_filter as U
 
 CASES = {
@@ -18,9 +20,10 @@ CASES = {
 
 def test_rules_and_edges(spark):
     rows = [(i, u) for i, u in enumerate([*CASES, *CASES])] + [(99, "http://h.org/" + "a" * 60_000)]
-    df = spark.createDataFrame(rows, "page_id long, url string").selectExpr("*", "1 AS label_", "'x' AS suffix_")
+    df = spark.createDataFrame(rows, "page_id long, url string").selectExpr("*", "1 AS label", "'x' AS suffix", "7 AS features", "'mine' AS host", "9 AS depth")
     got = {r["page_id"]: r for r in U.filter_urls(df).collect()}
     assert len(got) == len(rows)
+    assert {(r["label"], r["suffix"], r["features"], r["host_in"], r["depth"]) for r in got.values()} == {(1, "x", 7, "mine", 9)}
     for i, u in rows[:-1]:
         host, path, rule, verdict = CASES[u]
         r = got[i]
@@ -40,6 +43,44 @@ def test_trees_find_hosts_of_the_seeds_shape(spark):
     assert sum(v == "block" for k, v in got.items() if k >= 10_000) >= 140 and sum(v == "block" for k, v in got.items() if k < 10_000) <= 6
 
 
+def test_features_and_suffixes_against_python(spark):
+    urls = ["http://A-b.Org/x/Y?q=1&r=22#f", "https://x.com", None, "no url", "http://x.com/a//b?"] * 2
+    df = spark.createDataFrame([(u,) for u in urls], "url string")
+    host, path = U.parts(U.F.col("url"))
+    each = df.groupBy("url").agg(U.F.count("*").alias("_uf_n")).withColumns({"host": host, "path": path})
+    each = U.features(each.withColumn("_uf_label", U.seeded(U.F.col("host"), ["a-b"])))
+    for r in each.collect():
+        u, h, p = r["url"] or "", r["host"], r["path"]
+        q = u.split("?", 1)[1].split("#")[0] if "?" in u else ""
+        n = max(1, len(u))
+        assert (r["_uf_n_url"], r["_uf_n_host"], r["_uf_n_path"], r["_uf_n_query"]) == (len(u), len(h), len(p), len(q))
+        assert (r["_uf_labels"], r["_uf_depth"], r["_uf_longest_label"]) == (len(h.split(".")), p.count("/"), max(map(len, h.split("."))))
+        assert r["_uf_params"] == (q.count("&") + 1 if q else 0) and r["_uf_host_hyphens"] == h.count("-")
+        for k, kind in (("digit", str.isdigit), ("hyphen", "-".__eq__), ("upper", str.isupper)):
+            assert abs(r[f"_uf_{k}_ratio"] - sum(map(kind, u)) / n) < 1e-12
+        bits = -sum(h.count(c) / len(h) * math.log2(h.count(c) / len(h)) for c in set(h)) if h else 0
+        assert abs(r["_uf_host_entropy"] - bits) < 1e-9
+    got = {r["_uf_suffix"]: (r["_uf_suffix_share"], r["_uf_suffix_rate"]) for r in U.suffix_statistics(each).collect()}
+    assert abs(got["org"][0] - 0.2) < 1e-12 and abs(got["org"][1] - (2 + 20 * 0.2) / 22) < 1e-12 and abs(got["com"][1] - 4 / 24) < 1e-12
+
+
+def test_given_labels_and_hot_urls(spark):
+    rows = [(i, f"http://site{i}.org/{'x' * (40 if i % 3 == 0 else 4)}") for i in range(300)] + [(10_000 + i, "http://hot.org/xxxx") for i in range(300)]
+    df = spark.createDataFrame(rows + [(-1, None)] * 200, "page_id long, url string")
+    labelled = spark.createDataFrame([(u, int(i % 3 == 0)) for i, u in rows[:300:2]] + [(rows[0][1], 0), ("http://unknown.org/", 1), (rows[1][1], None)], "url string, label int")
+    got = {r["page_id"]: r["verdict"] for r in U.filter_urls(df, rules=[], labelled=labelled).collect()}
+    assert sum((got[i] == "block") == (i % 3 == 0) for i in range(1, 300, 2)) >= 140 and got[10_000] == "allow"
+
+
+def test_held_out_hosts(spark, sf):
+    """The verdicts of hosts that the trees have not seen agree with the weak labels: what is learnt is their shape."""
+    pages = spark.read.parquet(f"{sf}/pages.parquet").select("url").distinct()
+    host, _ = U.parts(U.F.col("url"))
+    named = pages.withColumns({"label": U.seeded(host, U.SEED_TERMS), "unseen": U.F.pmod(U.F.xxhash64(host), U.F.lit(4)) == 0})
+    got = U.filter_urls(named, rules=[], labelled=named.where("NOT unseen").select("url", "label")).where("unseen").collect()
+    assert sum((r["verdict"] == "block") == (r["label"] == 1) for r in got) >= 0.9 * len(got) > 0
+
+
 def test_query_is_native(spark, sf):
     out = U.query(spark, sf)
     plan = out._jdf.queryExecution().executedPlan().toString()
