@@ -1,6 +1,10 @@
 """Every query with a DuckDB equivalent gives the same rows as it."""
 
 import os
+import shutil
+import subprocess
+import sys
+from pathlib import Path
 
 import duckdb
 import pytest
@@ -46,7 +50,22 @@ def test_same_rows(name, spark, sf, con):
 
 @pytest.mark.parametrize("name", sorted(set(registry.queries()) - set(registry.oracle_sql())))
 def test_others_run(name, spark, sf):
-    assert registry.queries()[name](spark, sf).columns
+    made = registry.queries()[name](spark, sf)
+    assert len(set(made.columns)) == len(made.columns)
+    assert len(made.collect()) > 0
+
+
+def test_entry_without_the_corpus_operators(tmp_path):
+    """Without both corpus folders and corpus_pipeline.py, or without the folders only, the other queries are all there."""
+    top = Path(__file__).parents[2]
+    for also_pipeline in (False, True):
+        copy = tmp_path / str(also_pipeline)
+        skip = shutil.ignore_patterns("llm", ".git", "__pycache__", *["corpus_pipeline.py"] * also_pipeline)
+        shutil.copytree(top, copy, ignore=skip)
+        told = "import __spark_entry__ as e; q = e.queries(); e.oracle_sql(); print(len(q), 'pipeline' in q)"
+        env = {**os.environ, "PYTHONPATH": os.pathsep.join(p for p in sys.path if p and Path(p).resolve() != top)}
+        done = subprocess.run([sys.executable, "-c", told], cwd=copy, env=env, capture_output=True, text=True)
+        assert done.stdout.split() == [str(len(registry.queries())), "False"], done.stderr
 
 
 def test_entry(spark):
