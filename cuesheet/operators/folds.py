@@ -46,5 +46,5 @@ def fold(
             F.array_append(acc["out"], told).alias("out"),
         )
 
-    out = grouped.select(*key, F.explode(F.aggregate("items", zero, merge, lambda acc: acc["out"])).alias("o"))
-    return out.select(*key, "o.*")
+    out = grouped.select(*key, F.explode(F.aggregate("items", zero, merge, lambda acc: acc["out"])).alias("_out"))
+    return out.select(*key, "_out.*")

@@ -179,7 +179,7 @@ def select_clips(candidates: DataFrame, k: int) -> DataFrame:
         "items", F.array().cast(kind),
         lambda acc, x: F.when((F.size(acc) < k) & ~overlaps(acc, x), F.array_append(acc, x)).otherwise(acc),
     )
-    return grouped.select("media_id", F.posexplode(chosen).alias("place", "c")).select("media_id", "place", "c.*")
+    return grouped.select("media_id", F.posexplode(chosen).alias("place", "_clip")).select("media_id", "place", "_clip.*")
 
 
 def cluster_regions(boxes: DataFrame, frames: DataFrame, near: float = 0.06, occurrence: float = 0.20) -> DataFrame:
@@ -198,7 +198,7 @@ def cluster_regions(boxes: DataFrame, frames: DataFrame, near: float = 0.06, occ
         told = F.struct(*[b[k].cast("double").alias(k) for k in "xywh"], c.alias("c"))
         return F.struct(F.when(new, F.array_append(acc["lead"], lead)).otherwise(acc["lead"]).alias("lead"), F.array_append(acc["out"], told).alias("out"))
 
-    each = grouped.select("media_id", F.explode(F.aggregate("items", zero, step, lambda a: a["out"])).alias("b")).select("media_id", "b.*")
+    each = grouped.select("media_id", F.explode(F.aggregate("items", zero, step, lambda a: a["out"])).alias("_box")).select("media_id", "_box.*")
     per = each.groupBy("media_id", "c").agg(
         F.count("*").alias("n"), F.min("x").alias("x0"), F.min("y").alias("y0"), F.max(F.col("x") + F.col("w")).alias("x1"), F.max(F.col("y") + F.col("h")).alias("y1")
     )
@@ -231,7 +231,7 @@ def merge_boxes(boxes: DataFrame, overlap: float = 0.5, gap: float = 0.05) -> Da
         return F.when(at == 0, F.array_append(acc, own)).otherwise(F.transform(acc, lambda m, i: F.when(i == at - 1, hull(m)).otherwise(m)))
 
     merged = F.aggregate("items", F.array().cast(kind), step)
-    return grouped.select("media_id", "frame", F.posexplode(merged).alias("box", "b")).select("media_id", "frame", "box", "b.*")
+    return grouped.select("media_id", "frame", F.posexplode(merged).alias("box", "_box")).select("media_id", "frame", "box", "_box.*")
 
 
 def merge_regions(manual: DataFrame, auto: DataFrame, dx: float = 0.08, dy: float = 0.06) -> DataFrame:
@@ -248,4 +248,4 @@ def merge_regions(manual: DataFrame, auto: DataFrame, dx: float = 0.08, dy: floa
         return F.when(near, acc).otherwise(F.array_append(acc, own))
 
     kept = F.filter(F.aggregate(F.col("items"), zero, step), lambda m: m["n"] >= 0)
-    return rows.select("media_id", F.explode(kept).alias("r")).select("media_id", F.col("r.n").alias("n"))
+    return rows.select("media_id", F.explode(kept).alias("_kept")).select("media_id", F.col("_kept.n").alias("n"))

@@ -77,10 +77,67 @@ MACHINES = {
 }
 
 
+#: Event time as in the streams, and where the watermark ends up; the checks are written from the rules, not the step functions.
+TIMED = """, v AS (SELECT *, epoch_us(ts) / 1e6::DOUBLE AS tm FROM events), wm AS (SELECT max(tm) - 3600 AS mark FROM v)"""
+JOBS = TIMED + """
+, n AS (SELECT CAST(user_id AS VARCHAR) AS key, event_id, event_type AS kind, event_id % 10 = 0 AS final, event_id % 50 AS cur, tm, row_number() OVER (PARTITION BY user_id ORDER BY tm, event_id) AS rn FROM v)"""
+HOSTS = TIMED + """
+, n AS (SELECT 'h' || user_id % 20 AS host, event_id, event_type <> 'error' AS ok, value AS speed, event_type = 'error' AND event_id % 2 = 0 AS limited, tm, row_number() OVER (PARTITION BY user_id % 20 ORDER BY tm, event_id) AS rn FROM v)"""
+CHECKS = {
+    "s1_hold_lifecycle": TIMED + """
+, h AS (SELECT event_id // 8 AS hold_id, CASE event_type WHEN 'signup' THEN 'create' WHEN 'purchase' THEN 'commit' ELSE 'accrue' END AS kind, event_id % 5 AS job,
+    CAST(floor(value) AS BIGINT) AS amount, event_type <> 'error' AS ok, tm, row_number() OVER (PARTITION BY event_id // 8 ORDER BY tm, event_id) AS rn FROM v),
+c AS (SELECT hold_id, arg_min(amount, rn) AS est, arg_min(tm, rn) + 172800 AS due, min(rn) AS first FROM h WHERE kind = 'create' GROUP BY hold_id),
+e AS (SELECT hold_id, max(tm) AS last_at FROM h GROUP BY hold_id),
+m AS (SELECT c.hold_id, min(rn) AS rn, arg_min(tm, rn) AS tm FROM c JOIN h ON h.hold_id = c.hold_id AND kind = 'commit' AND rn > first AND tm < due GROUP BY c.hold_id),
+z AS (SELECT c.*, m.rn AS stop, CASE WHEN m.rn IS NOT NULL THEN 'committed' WHEN due <= greatest(last_at, mark) THEN 'expired' END AS status, coalesce(m.tm, due) AS tm
+  FROM c JOIN e USING (hold_id) LEFT JOIN m USING (hold_id), wm),
+j AS (SELECT z.hold_id, job, arg_min(amount, rn) AS amount FROM z JOIN h ON h.hold_id = z.hold_id AND kind = 'accrue' AND ok AND rn > first AND h.tm < due AND (stop IS NULL OR rn < stop) GROUP BY ALL),
+u AS (SELECT hold_id, sum(amount) AS used, count(*) AS jobs FROM j GROUP BY hold_id)
+SELECT hold_id, status, est AS estimated, CAST(coalesce(used, 0) AS BIGINT) AS used, CAST(greatest(0, est - coalesce(used, 0)) AS BIGINT) AS remaining, coalesce(jobs, 0) AS jobs, tm AS "at" FROM z LEFT JOIN u USING (hold_id) WHERE status IS NOT NULL""",
+    "s3_deferred_grant": TIMED + """
+SELECT CAST(user_id AS VARCHAR) AS fingerprint, CAST(50 AS BIGINT) AS amount, min(tm) + 3600 AS "at" FROM v, wm GROUP BY user_id, mark HAVING min(tm) + 3600 <= greatest(max(tm), mark)""",
+    "s4_payment": TIMED + """
+, n AS (SELECT event_id // 3 AS order_code, event_type = 'purchase' AS pay, event_id % 6 AS amount, tm, row_number() OVER (PARTITION BY event_id // 3 ORDER BY tm, event_id) AS rn FROM v),
+o AS (SELECT order_code, min(tm) + 900 AS due, max(tm) AS last_at, min(rn) FILTER (NOT pay) AS made, arg_min(amount, rn) FILTER (NOT pay) AS want FROM n GROUP BY order_code),
+p AS (SELECT n.*, made > rn OR made IS NULL OR amount = want AS good FROM n JOIN o USING (order_code) WHERE pay),
+f AS (SELECT order_code, min(rn) AS rn, arg_min(tm, rn) AS tm FROM p WHERE good GROUP BY order_code)
+SELECT order_code, 'paid' AS status, tm AS "at" FROM f
+UNION ALL SELECT p.order_code, 'mismatch', p.tm FROM p LEFT JOIN f USING (order_code) WHERE NOT good AND (f.rn IS NULL OR p.rn < f.rn)
+UNION ALL SELECT order_code, 'expired', due FROM o LEFT JOIN f USING (order_code), wm WHERE (f.tm IS NULL OR f.tm >= due) AND due <= greatest(last_at, mark)""",
+    "s5_sliding_quota": JOBS + """
+, r AS (WITH RECURSIVE f(key, rn, event_id, t, ok) AS (
+  SELECT key, CAST(0 AS BIGINT), CAST(NULL AS BIGINT), CAST([] AS DOUBLE[]), false FROM n WHERE rn = 1
+  UNION ALL SELECT key, rn, event_id, CASE WHEN ok THEN list_append(t, tm) ELSE t END, ok FROM (
+    SELECT *, len(t) < 2 AND (len(t) = 0 OR tm - t[-1] >= 600) AS ok FROM (SELECT n.*, list_filter(f.t, lambda x: x > n.tm - 36000) AS t FROM f JOIN n ON n.key = f.key AND n.rn = f.rn + 1))) SELECT * FROM f WHERE rn > 0)
+SELECT key AS fingerprint, event_id, ok AS allowed FROM r""",
+    "s6_throttle": JOBS + """
+, r AS (WITH RECURSIVE f(key, rn, event_id, kind, tm, shown) AS (
+  SELECT key, CAST(0 AS BIGINT), CAST(NULL AS BIGINT), '', -1e18::DOUBLE, false FROM n WHERE rn = 1
+  UNION ALL SELECT n.key, n.rn, n.event_id, CASE WHEN n.kind <> f.kind OR final OR n.tm - f.tm >= 3600 THEN n.kind ELSE f.kind END, CASE WHEN n.kind <> f.kind OR final OR n.tm - f.tm >= 3600 THEN n.tm ELSE f.tm END,
+    n.kind <> f.kind OR final OR n.tm - f.tm >= 3600 FROM f JOIN n ON n.key = f.key AND n.rn = f.rn + 1) SELECT * FROM f WHERE shown)
+SELECT key AS job, event_id, kind FROM r""",
+    "s7_concurrency": HOSTS + """
+, r AS (WITH RECURSIVE f(host, rn, event_id, k, good, best, changed) AS (
+  SELECT host, CAST(0 AS BIGINT), CAST(NULL AS BIGINT), 4, 0, 0.0::DOUBLE, -1e18::DOUBLE FROM n WHERE rn = 1
+  UNION ALL SELECT host, rn, event_id, CASE WHEN NOT ok THEN CASE WHEN free THEN greatest(1, k // 2) ELSE k END WHEN up THEN k + 1 ELSE k END, CASE WHEN NOT ok OR up THEN 0 ELSE g END, best,
+    CASE WHEN (NOT ok AND free) OR (ok AND up) THEN tm ELSE changed END FROM (
+    SELECT *, g >= 3 AND free AND k < 16 AS up FROM (
+      SELECT *, CASE WHEN speed >= 0.75::DOUBLE * best THEN good + 1 ELSE 0 END AS g, tm - changed >= 3 AS free FROM (
+        SELECT n.*, f.k, f.good, greatest(f.best, n.speed) AS best, f.changed FROM f JOIN n ON n.host = f.host AND n.rn = f.rn + 1)))) SELECT * FROM f WHERE rn > 0)
+SELECT host, event_id, CAST(k AS INT) AS connections FROM r""",
+    "s8_rolling_health": HOSTS + """
+SELECT host, event_id, greatest(0.0::DOUBLE, least(100.0::DOUBLE, 100.0::DOUBLE * sum(ok::INT) OVER w / count(*) OVER w - 10 * sum(limited::INT) OVER w)) AS health
+FROM n WINDOW w AS (PARTITION BY host ORDER BY rn ROWS 49 PRECEDING)""",
+    "s11_online_eta": JOBS + """
+SELECT key AS job, event_id, CASE WHEN cur < 3 OR tm - since <= 0 THEN 0.0::DOUBLE ELSE (tm - since) / cur * (50 - cur) END AS eta_s FROM (SELECT *, first_value(tm) OVER (PARTITION BY key ORDER BY rn) AS since FROM n)""",
+}
+
+
 def _register(name: str) -> None:
     machine, shape = MACHINES[name]
 
-    @query(name)
+    @query(name, "", CHECKS[name])
     def _(t):
         return M.written(t.spark, M.stream(shape(live(t)), machine), work_folder(t.spark))
 

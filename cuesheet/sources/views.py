@@ -59,15 +59,16 @@ SELECT event_id, ts, CASE user_id % 3 WHEN 0 THEN 'p0' WHEN 1 THEN 'p1' ELSE 'p2
 SELECT l_suppkey AS media_id, ROW_NUMBER() OVER (PARTITION BY l_suppkey
          ORDER BY l_orderkey, l_linenumber, l_partkey, l_shipdate, l_extendedprice) - 1 AS idx, l_discount AS rms, l_quantity / 50 AS amp FROM {lineitem}""",
     "boxes": """
-SELECT media_id, CAST(FLOOR(idx / 3.0) AS BIGINT) AS frame, idx % 3 AS box, (idx * 37 % 40) / 100.0 AS x,
-       CASE WHEN idx % 4 = 0 THEN 0.10 ELSE 0.80 END AS y, 0.30 AS w, 0.05 + (idx % 3) / 100.0 AS h, 0.50 + rms AS confidence
-FROM {frames} WHERE idx < 90""",
+SELECT media_id, CAST(FLOOR(idx / 3.0) AS BIGINT) AS frame, idx % 3 AS box, CAST(idx * 37 % 40 AS DOUBLE) / 100 AS x,
+       CASE WHEN idx % 4 = 0 THEN CAST(0.10 AS DOUBLE) ELSE CAST(0.80 AS DOUBLE) END AS y, CAST(0.30 AS DOUBLE) AS w,
+       CAST(5 + idx % 3 AS DOUBLE) / 100 AS h, 0.50 + rms AS confidence
+FROM {frames}""",
     "files": """
 SELECT doc_id, source AS project, n_chars AS size_bytes, doc_id * 3600 AS mtime FROM {documents}""",
     "urls": """
 SELECT page_id, CASE page_id % 4 WHEN 0 THEN url
        WHEN 1 THEN concat('https://www.youtube.com/watch?v=', LPAD(CAST(page_id % 50 AS STRING), 11, 'a'), '&utm_source=feed')
-       WHEN 2 THEN concat('https://www.bilibili.com/video/BV', LPAD(CAST(page_id % 50 AS STRING), 10, '1'), '?p=', CAST(1 + page_id % 2 AS STRING))
+       WHEN 2 THEN concat('https://www.bilibili.com/video/BV', LPAD(CAST(page_id % 50 AS STRING), 10, '1'), '?p=', CAST(1 + page_id % 2 AS STRING), '&vd_source=ab12')
        ELSE concat('https://www.douyin.com/jingxuan?modal_id=', CAST(7000000000000000000 + page_id % 50 AS STRING)) END AS url FROM {pages}""",
     "voiceprints": """
 SELECT vec_id % 10 AS media_id, vec_id AS seg_id, embedding, label FROM {embeddings}""",

@@ -2,7 +2,8 @@
 
 A machine's ``step`` takes the state (a dict, or None for a new key) and one event, and gives output rows and the next
 state; ``due`` names the event time at which the machine acts by itself, and ``fire`` what it does then. States are small
-by design (counters, or lists with a fixed bound), so memory grows with the number of open keys only.
+by design (counters, or lists with a fixed bound), so memory grows with the number of open keys only; a hold keeps the ids
+of its jobs until it closes.
 """
 
 from __future__ import annotations
@@ -102,7 +103,7 @@ def written(spark: SparkSession, df: DataFrame, folder: str) -> DataFrame:
 
 def hold_lifecycle(ttl_s: float = 48 * 3600) -> Machine:
     """Events kind create (amount = estimate), accrue (job, amount, ok), commit. Creating twice or accruing a job twice
-    changes nothing; a hold is committed on request or after its time to live. At most 10,000 jobs a hold."""
+    changes nothing; a hold is committed on request or after its time to live. An open hold keeps the ids of its jobs."""
 
     def close(s: State, at: float, how: str) -> tuple[list[tuple], State | None]:
         used = sum(s["jobs"].values())
@@ -116,7 +117,7 @@ def hold_lifecycle(ttl_s: float = 48 * 3600) -> Machine:
         if e["kind"] == "commit":
             return close(s, e["at"], "committed")
         job = str(e["job"])
-        if e["ok"] and job not in s["jobs"] and len(s["jobs"]) < 10_000:
+        if e["ok"] and job not in s["jobs"]:
             s["jobs"][job] = int(e["amount"])
         return [], s
 
