@@ -126,13 +126,19 @@ def ip_recent(devices: DataFrame, seconds: int = 86_400, cap: int = 3) -> DataFr
     return devices.withColumns({"recent": n, "trial": n < cap})
 
 
-def evict(files: DataFrame, now: int, max_age: int, budget: int, key: list[str]) -> DataFrame:
-    """Files with the reason to remove them: too old, else beyond the budget counted from the newest."""
-    young = Window.partitionBy(*key, F.col("old")).orderBy(F.col("mtime").desc(), F.col("doc_id").desc())
-    marked = files.withColumn("old", F.lit(now) - F.col("mtime") > max_age)
-    upto = marked.withColumn("upto", F.sum("size_bytes").over(young.rowsBetween(Window.unboundedPreceding, 0)))
-    reason = F.when(F.col("old"), "age").when(F.col("upto") > budget, "budget")
-    return upto.withColumn("reason", reason).where(F.col("reason").isNotNull()).drop("old", "upto")
+def evict(files: DataFrame, now: int, max_age: int, budget: int, key: list[str], slice_s: int = 86_400) -> DataFrame:
+    """Files with the reason to remove them: too old, else beyond the budget counted from the newest. The running size is that
+    of all newer slices of time (one row per key and slice) plus that inside the file's own slice, so a key that holds most
+    rows is spread over its slices."""
+    marked = files.withColumns({"old": F.lit(now) - F.col("mtime") > max_age, "slice": F.floor(F.col("mtime") / slice_s)})
+    young = marked.where("NOT old")
+    sums = young.groupBy(*key, "slice").agg(F.sum("size_bytes").alias("in_slice"))
+    newer = Window.partitionBy(*key).orderBy(F.col("slice").desc()).rowsBetween(Window.unboundedPreceding, -1)
+    before = sums.select(*key, "slice", F.coalesce(F.sum("in_slice").over(newer), F.lit(0)).alias("newer"))
+    own = Window.partitionBy(*key, "slice").orderBy(F.col("mtime").desc(), F.col("doc_id").desc()).rowsBetween(Window.unboundedPreceding, 0)
+    beyond = young.join(before, [*key, "slice"]).where(F.col("newer").isNotNull()).withColumn("upto", F.col("newer") + F.sum("size_bytes").over(own))
+    over = beyond.where(F.col("upto") > budget).select(*files.columns, F.lit("budget").alias("reason"))
+    return marked.where("old").select(*files.columns, F.lit("age").alias("reason")).unionByName(over)
 
 
 def retry_plan(attempts: DataFrame, base: float = 1.0, cap: float = 30.0, most: int = 5) -> DataFrame:

@@ -10,12 +10,15 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..functions.text import ocr_normal, ratio_udf
-from . import folds, intervals
-from .segments import CJK_WIDE, cjk_count, flag_gap, flag_rate
+from ..functions.text import align, ocr_normal, ratio_udf
+from . import folds, intervals, timeline
+from .segments import CJK_BASE, CJK_WIDE, cjk_count, flag_gap, flag_rate
 
-# Weights of the five fusion scores (duration fit, confidence, length, overlap, agreement).
-WEIGHTS = (0.30, 0.20, 0.20, 0.15, 0.15)
+# Fixed values of the fusion: weights of its scores and thresholds of its rules.
+WEIGHTS = {"asr": 0.30, "ocr": 0.20, "align": 0.20, "temporal": 0.15, "completeness": 0.15}
+OVERRIDE, MERGE, ALIKE, UNLIKE, LEAST_SURE, LEAST_CJK = 0.75, 0.80, 0.85, 0.60, 0.60, 3
+# Fixed values of display cues.
+LINE, LINE_ALONE, LINES, LEAST_CUE_MS, PAUSE = 42, 28, 2, 800, 0.6
 
 
 def suspects(segs: DataFrame, chunks: DataFrame) -> DataFrame:
@@ -33,27 +36,76 @@ def suspects(segs: DataFrame, chunks: DataFrame) -> DataFrame:
     return segs.join(reasons, ["media_id", "seg_id"], "left")
 
 
-def fuse(asr: DataFrame, ocr: DataFrame) -> DataFrame:
-    """One decision per ASR segment against the OCR text that overlaps it: keep, merge, replace or asr_only."""
+def fuse(asr: DataFrame, ocr: DataFrame, doubted: DataFrame | None = None) -> DataFrame:
+    """One decision per ASR segment against the OCR texts that touch it, by five scores and the rules below in order, and one
+    per OCR text that touches none but is long and sure enough. doubted(media_id, seg_id): suspect segments.
+
+    rule 1  nothing was heard, three CJK characters or more are seen, sure enough: the OCR text and its time
+    rule 2  alike, and the OCR text adds to either end: the merged text
+    rule 3  very much alike: the ASR text
+    rule 4  unlike, or a low final score: the ASR text as a fallback; else the ASR text"""
     hit = intervals.match_ocr(asr.select("media_id", "seg_id", "start_ms", "end_ms"), ocr)
-    text = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("b_start_ms", "ocr_id", "ocr_text"))), lambda x: x["ocr_text"]), "")
-    per = hit.groupBy("media_id", "seg_id").agg(text.alias("ocr_text"), F.avg("confidence").alias("confidence"), F.sum("overlap_ms").alias("overlap_ms"))
-    both = asr.join(per, ["media_id", "seg_id"], "left")
+    shown = F.array_sort(F.collect_list(F.struct("b_start_ms", "ocr_id", F.trim("ocr_text").alias("t"))))
+    per = hit.groupBy("media_id", "seg_id").agg(
+        F.array_join(F.transform(shown, lambda x: x["t"]), "").alias("ocr_text"), F.avg("confidence").alias("sure"),
+        F.min("b_start_ms").alias("o_start"), F.max("b_end_ms").alias("o_end"),
+    )
+    both = asr.withColumn("text", F.trim(F.coalesce("text", F.lit("")))).join(per, ["media_id", "seg_id"], "left")
+    if doubted is None:
+        both = both.withColumn("_doubted", F.lit(False))
+    else:
+        both = both.join(doubted.select("media_id", "seg_id", F.lit(True).alias("_doubted")).distinct(), ["media_id", "seg_id"], "left")
+    told = both.withColumns({f"_{k}": v for k, v in align(F.col("text"), F.col("ocr_text")).items()})
+    rate = cjk_count(F.col("text"), CJK_BASE) / F.greatest(F.lit(0.1), (F.col("end_ms") - F.col("start_ms")) / 1000)
+    heard = 0.6 * (F.col("text") != "").cast("int") + 0.2 * (~F.coalesce("_doubted", F.lit(False))).cast("int") + 0.2 * rate.between(0.5, 6.0).cast("int")
+    common = F.least("end_ms", "o_end") - F.greatest("start_ms", "o_start")
+    hull = F.greatest(F.greatest("end_ms", "o_end") - F.least("start_ms", "o_start"), F.lit(1))
     a, o = ocr_normal(F.col("text")), ocr_normal(F.col("ocr_text"))
-    both = both.withColumn("similarity", F.when(F.col("ocr_text").isNull(), 0.0).otherwise(ratio_udf()(a, o)))
-    span = F.greatest(F.lit(1), F.col("end_ms") - F.col("start_ms"))
-    fit = F.least(F.lit(1.0), F.length(o) * 1000.0 / span / 6)
-    share = F.least(F.lit(1.0), F.col("overlap_ms") / span)
-    size = F.least(F.length(o), F.length(a)) / F.greatest(F.lit(1), F.greatest(F.length(o), F.length(a)))
-    score = WEIGHTS[0] * fit + WEIGHTS[1] * F.col("confidence") + WEIGHTS[2] * size + WEIGHTS[3] * share + WEIGHTS[4] * F.col("similarity")
-    decision = F.when(F.col("ocr_text").isNull(), "asr_only").when(F.col("similarity") >= 0.85, "keep")
-    decision = decision.when((F.col("similarity") >= 0.5) & (F.col("confidence") >= 0.6), "merge").when(score >= 0.6, "replace").otherwise("keep")
-    return both.withColumns({"score": F.coalesce(score, F.lit(0.0)), "decision": decision})
-
-
-def ocr_only(asr: DataFrame, ocr: DataFrame, least_cjk: int = 3, least_confidence: float = 0.6) -> DataFrame:
-    """OCR rows that match no ASR segment, have enough CJK characters and confidence."""
-    good = ocr.where((cjk_count(F.col("ocr_text"), CJK_WIDE) >= least_cjk) & (F.col("confidence") >= least_confidence))
+    part = ((a != "") & o.contains(a)) | ((o != "") & a.contains(o))
+    like = F.col("_similarity")
+    seen = F.col("ocr_text").isNotNull()
+    scores = {
+        "asr": F.least(F.lit(1.0), heard), "ocr": F.greatest(F.lit(0.0), F.least(F.lit(1.0), F.col("sure"))), "align": like,
+        "temporal": F.greatest(F.lit(0.0), common / hull), "completeness": F.when(part, 1.0).when(like >= 0.5, like).otherwise(0.0),
+    }
+    alone = {"asr": 1.0, "ocr": 0.0, "align": 1.0, "temporal": 0.0, "completeness": 1.0}
+    final = sum(w * scores[k] for k, w in WEIGHTS.items())
+    both = told.withColumns({f"{k}_score": F.when(seen, v).otherwise(alone[k]) for k, v in scores.items()}).withColumn("final_score", F.when(seen, final).otherwise(1.0))
+    from_ocr = (a == "") & (cjk_count(F.col("ocr_text"), CJK_BASE) >= LEAST_CJK) & (F.col("ocr_score") >= LEAST_SURE)
+    adds = (F.col("_added_prefix") != "") | (F.col("_added_suffix") != "")
+    rule = F.when(~seen, 0).when(from_ocr, 1).when((like >= MERGE) & adds, 2).when(like >= ALIKE, 3)
+    rule = rule.when((like < UNLIKE) | (F.col("final_score") < OVERRIDE), 4).otherwise(0)
+    names = F.when(~seen, "keep_asr_no_ocr").when(rule == 1, "ocr_override_empty").when(rule == 2, "merged_prefix_suffix")
+    names = names.when(rule == 3, "keep_asr_high_similarity").when(rule == 4, "keep_asr_fallback").otherwise("keep_asr")
+    each = [*[f"{k}_score" for k in WEIGHTS], "final_score"]
+    decided = both.select(
+        "media_id", F.col("seg_id").cast("long").alias("seg_id"), F.lit(None).cast("long").alias("ocr_id"), names.alias("decision"), rule.alias("rule"), *each,
+        F.col("text").alias("asr_text"), F.coalesce("ocr_text", F.lit("")).alias("ocr_text"),
+        F.when(rule == 1, F.col("ocr_text")).when(rule == 2, F.col("_merged")).otherwise(F.col("text")).alias("final_text"),
+        F.when(rule == 1, F.col("o_start")).otherwise(F.col("start_ms")).alias("start_ms"), F.when(rule == 1, F.col("o_end")).otherwise(F.col("end_ms")).alias("end_ms"),
+    )
+    own = {"asr_score": 0.0, "ocr_score": F.col("confidence"), "align_score": 0.0, "temporal_score": 0.0, "completeness_score": 1.0, "final_score": 0.8}
+    free = ocr_only(asr, ocr, LEAST_CJK, LEAST_SURE, "narrow")
+    standalone = free.select(
+        "media_id", F.lit(None).cast("long").alias("seg_id"), F.col("ocr_id").cast("long").alias("ocr_id"), F.lit("ocr_standalone").alias("decision"), F.lit(1).alias("rule"),
+        *[(F.lit(v) if isinstance(v, float) else v).alias(k) for k, v in own.items()], F.lit("").alias("asr_text"), F.trim("ocr_text").alias("ocr_text"),
+        F.trim("ocr_text").alias("final_text"), F.col("b_start_ms").alias("start_ms"), F.col("b_end_ms").alias("end_ms"),
+    )
+    return decided.unionByName(standalone)
+
+
+def fused_timeline(decisions: DataFrame) -> DataFrame:
+    """The fused texts in order of time, without overlaps, numbered anew: media_id, new_id, start_ms, end_ms, final_text."""
+    w = Window.partitionBy("media_id").orderBy("start_ms", F.col("seg_id").isNull(), "seg_id", "ocr_id")
+    rows = decisions.withColumn("no", F.row_number().over(w))
+    placed = timeline.deoverlap(rows.select("media_id", F.col("no").alias("seg_id"), "start_ms", "end_ms"))
+    return placed.join(rows.select("media_id", F.col("no").alias("seg_id"), "final_text"), ["media_id", "seg_id"]).drop("seg_id")
+
+
+def ocr_only(asr: DataFrame, ocr: DataFrame, least_cjk: int = 3, least_confidence: float = 0.6, kind: str = "wide") -> DataFrame:
+    """OCR rows that match no ASR segment, have enough CJK characters (with or without extension A) and confidence."""
+    counted = cjk_count(F.col("ocr_text"), CJK_WIDE if kind == "wide" else CJK_BASE)
+    good = ocr.where((counted >= least_cjk) & (F.col("confidence") >= least_confidence))
     hit = intervals.match_ocr(asr.select("media_id", "seg_id", "start_ms", "end_ms"), good).select("media_id", "ocr_id").distinct()
     return good.join(hit, ["media_id", "ocr_id"], "left_anti")
 
@@ -113,7 +165,7 @@ def cast_voices(profiles: DataFrame, voices: DataFrame, most_voices: int = 10_00
         return F.array_append(acc, F.struct(p["speaker"].alias("speaker"), chosen.alias("voice")))
 
     done = F.aggregate("items", F.array().cast(kind), step)
-    return both.select("media_id", F.explode(done).alias("r")).select("media_id", "r.*")
+    return both.select("media_id", F.explode(done).alias("_cast")).select("media_id", "_cast.*")
 
 
 def fill_embeddings(prints: DataFrame) -> DataFrame:
@@ -213,53 +265,121 @@ def relabel(clusters: DataFrame, ms: str) -> DataFrame:
     return clusters.join(per.select("media_id", "cluster", (F.row_number().over(w) - 1).alias("speaker_id")), ["media_id", "cluster"])
 
 
-def split_long(segs: DataFrame, most_ms: int = 6000) -> DataFrame:
-    """Segments over most_ms are cut at sentence ends, or clause ends where there is none; pieces are packed up to most_ms
-    with time by share of characters, and numbered anew per media."""
-    long = (F.col("end_ms") - F.col("start_ms")) > most_ms
-    sentences = F.split(F.trim("text"), r"(?<=[.!?…])\s+")
-    clauses = F.split(F.trim("text"), r"(?<=[,;:])\s+")
-    pieces = F.when(~long, F.array("text")).when(F.size(sentences) > 1, sentences).otherwise(clauses)
-    rate = (F.col("end_ms") - F.col("start_ms")) / F.greatest(F.lit(1), F.length("text"))
+def _by_time(chunks: DataFrame, ends) -> DataFrame:
+    """chunks(..., start_ms, end_ms, _c array): _t, the bounds of the chunks from start to end. ``ends(start, i)``: where
+    chunk i, which begins at start, ends; the last ends with the segment."""
+    zero = F.array(F.col("start_ms").cast("double"))
+    inner = F.sequence(F.lit(1), F.size("_c") - 1)
+    bounds = F.when(F.size("_c") < 2, zero).otherwise(F.aggregate(inner, zero, lambda acc, i: F.array_append(acc, ends(F.element_at(acc, -1), i).cast("double"))))
+    return chunks.withColumn("_t", F.array_append(bounds, F.col("end_ms").cast("double")))
+
+
+def split_long(segs: DataFrame, most_ms: int = 10_000) -> DataFrame:
+    """Segments over most_ms are cut at sentence ends, or at clause ends where there is none; sentences are packed up to
+    most_ms by share of characters. A cut is where the last word before it ends if the segment has words(word, t1_ms), else
+    by share of characters; it stays 100 ms inside. Pieces are numbered anew per media."""
+    clean = F.trim("text")
+    filled = lambda pattern: F.filter(F.split(clean, pattern), lambda x: x != "")
+    sentences, clauses = filled(r"(?<=[.!?;。！？；])\s*"), filled(r"(?<=[,，、：:\-])\s*")
+    cut = F.when(F.size(sentences) > 1, sentences).otherwise(clauses)
+    whole = (F.col("end_ms") - F.col("start_ms") <= most_ms) | (F.size(cut) <= 1)
+    timed = "words" in segs.columns
+    rows = segs.withColumn("_p", F.when(whole, F.array("text")).otherwise(cut)).withColumn("_all", F.aggregate("_p", F.lit(0), lambda n, x: n + F.length(x)))
+    span = F.col("end_ms") - F.col("start_ms")
     kind = "array<struct<text:string,n:int>>"
 
     def pack(acc: Column, p: Column) -> Column:
         last = F.element_at(acc, -1)
-        joined = F.concat(last["text"], F.lit(" "), p)
-        fits = (F.size(acc) > 0) & (F.length(joined) * rate <= most_ms)
         own = F.struct(p.alias("text"), F.length(p).alias("n"))
-        return F.when(fits, F.array_append(F.slice(acc, 1, F.size(acc) - 1), F.struct(joined.alias("text"), F.length(joined).alias("n")))).otherwise(F.array_append(acc, own))
+        longer = F.struct(F.concat(last["text"], F.lit(" "), p).alias("text"), (last["n"] + F.length(p)).alias("n"))
+        fits = (last["n"] + F.length(p)) / F.greatest("_all", F.lit(1)) * span <= most_ms
+        return F.when(F.size(acc) == 0, F.array(own)).when(fits, F.array_append(F.slice(acc, 1, F.size(acc) - 1), longer)).otherwise(F.array_append(acc, own)).cast(kind)
+
+    packed = rows.withColumn("_c", F.aggregate("_p", F.array().cast(kind), pack))
+
+    def end(start: Column, i: Column) -> Column:
+        estimate = start + F.element_at("_c", i)["n"] / F.greatest("_all", F.lit(1)) * span
+        at = estimate
+        if timed:
+            upto = F.aggregate(F.slice("_c", 1, i), F.lit(0), lambda n, x: n + x["n"])
+            zero = F.struct(F.lit(0).alias("n"), F.lit(None).cast("double").alias("t"))
+            step = lambda acc, w: F.struct((acc["n"] + F.length(w["word"])).alias("n"), F.when(acc["t"].isNotNull() | (acc["n"] + F.length(w["word"]) < upto), acc["t"]).otherwise(w["t1_ms"].cast("double")).alias("t"))
+            at = F.coalesce(F.aggregate(F.coalesce("words", F.array().cast(segs.schema["words"].dataType)), zero, step)["t"], estimate)
+        return F.round(F.least(F.greatest(at, start + 100), F.col("end_ms") - 100))
+
+    each = _by_time(packed, end).select("media_id", "seg_id", "end_ms", F.col("_t"), F.size("_c").alias("_k"), F.posexplode("_c").alias("pos", "_x"))
+    began, ended = F.element_at("_t", F.col("pos") + 1), F.element_at("_t", F.col("pos") + 2)
+    began = F.when((F.col("pos") == F.col("_k") - 1) & (F.col("_k") > 1), F.least(began, F.col("end_ms") - 100)).otherwise(began)
+    made = each.select("media_id", "seg_id", "pos", F.col("_x.text").alias("text"), began.cast("long").alias("start_ms"), ended.cast("long").alias("end_ms"))
+    return made.withColumn("new_id", F.row_number().over(Window.partitionBy("media_id").orderBy("start_ms", "seg_id", "pos"))).drop("pos")
+
+
+def _lines(text: Column, width: int) -> Column:
+    """Words filled greedily into lines of a width; a longer word is a line."""
+    def put(acc: Column, w: Column) -> Column:
+        joined = F.concat(F.element_at(acc, -1), F.lit(" "), w)
+        return F.when(F.size(acc) == 0, F.array(w)).when(F.length(joined) <= width, F.array_append(F.slice(acc, 1, F.size(acc) - 1), joined)).otherwise(F.array_append(acc, w))
 
-    packed = segs.withColumn("_p", F.when(F.lit(True), F.aggregate(pieces, F.array().cast(kind), lambda acc, p: F.when(F.size(acc) == 0, F.array(F.struct(p.alias("text"), F.length(p).alias("n")))).otherwise(pack(acc, p)).cast(kind))))
-    each = packed.select("media_id", "seg_id", "start_ms", "end_ms", F.size("_p").alias("k"), F.aggregate("_p", F.lit(0), lambda s, x: s + x["n"]).alias("all"), F.posexplode("_p").alias("pos", "x"))
-    seg = Window.partitionBy("media_id", "seg_id").orderBy("pos")
-    upto = F.sum("x.n").over(seg)
-    span = F.col("end_ms") - F.col("start_ms")
-    timed = each.withColumn("upto", upto).select(
-        "media_id", "seg_id", "pos", F.col("x.text").alias("text"),
-        (F.col("start_ms") + F.floor(span * (F.col("upto") - F.col("x.n")) / F.greatest("all", F.lit(1)))).alias("start_ms"),
-        (F.col("start_ms") + F.floor(span * F.col("upto") / F.greatest("all", F.lit(1)))).alias("end_ms"),
-    )
-    return timed.withColumn("new_id", F.row_number().over(Window.partitionBy("media_id").orderBy("start_ms", "seg_id", "pos"))).drop("pos")
+    return F.aggregate(F.split(text, " "), F.array().cast("array<string>"), put)
 
 
-def split_for_display(segs: DataFrame, width: int = 42, lines: int = 2) -> DataFrame:
-    """Words packed into cues of at most width x lines characters, with time by share of characters."""
+def split_for_display(segs: DataFrame, lines: int = LINES) -> DataFrame:
+    """Cues of at most ``lines`` lines: clauses packed up to a cue's width; from a clause wider than a cue whole lines come off
+    first, each a cue. Time by words, with a pause after a clause mark; ``lines`` holds the text as it is wrapped (at most that
+    many lines, as the reference shows it), ``text`` all of it."""
+    width = LINE_ALONE if lines == 1 else LINE
     most = width * lines
-    words = F.split(F.trim("text"), r"\s+")
-
-    def pack(acc: Column, w: Column) -> Column:
-        joined = F.concat(F.element_at(acc, -1), F.lit(" "), w)
-        return F.when(F.length(joined) <= most, F.array_append(F.slice(acc, 1, F.size(acc) - 1), joined)).otherwise(F.array_append(acc, w))
-
-    cues = F.aggregate(words, F.array().cast("array<string>"), lambda acc, w: F.when(F.size(acc) == 0, F.array(w)).otherwise(pack(acc, w)))
-    each = segs.select("media_id", "seg_id", "start_ms", "end_ms", F.posexplode(cues).alias("pos", "text"))
-    seg = Window.partitionBy("media_id", "seg_id")
-    upto, whole = F.sum(F.length("text")).over(seg.orderBy("pos")), F.sum(F.length("text")).over(seg)
-    span = F.col("end_ms") - F.col("start_ms")
-    return each.withColumns({"u": upto, "a": F.greatest(whole, F.lit(1))}).select(
-        "media_id", "seg_id", "pos", "text", (F.col("start_ms") + F.floor(span * (F.col("u") - F.length("text")) / F.col("a"))).alias("start_ms"),
-        (F.col("start_ms") + F.floor(span * F.col("u") / F.col("a"))).alias("end_ms"),
+    clean = F.trim(F.regexp_replace(F.coalesce("text", F.lit("")), r"\s+", " "))
+    kind = "struct<heads:array<string>,line:string,used:int,rest:string>"
+
+    def off(part: Column) -> Column:
+        """The lines that come off a wide clause, and what is left of it."""
+        zero = F.struct(F.array().cast("array<string>").alias("heads"), F.lit("").alias("line"), F.lit(0).alias("used"), F.lit(None).cast("string").alias("rest")).cast(kind)
+
+        def take(acc: Column, w: Column) -> Column:
+            joined = F.when(acc["line"] == "", w).otherwise(F.concat(acc["line"], F.lit(" "), w))
+            fits = (acc["line"] == "") | (F.length(joined) <= width)
+            used = acc["used"] + F.length(acc["line"]) + 1
+            last = F.length(part) - used <= most
+            more = F.struct(acc["heads"].alias("heads"), joined.alias("line"), acc["used"].alias("used"), F.lit(None).cast("string").alias("rest"))
+            line = F.struct(F.array_append(acc["heads"], acc["line"]).alias("heads"), F.when(last, "").otherwise(w).alias("line"), used.alias("used"), F.when(last, w).alias("rest"))
+            done = F.struct(acc["heads"].alias("heads"), acc["line"].alias("line"), acc["used"].alias("used"), F.concat(acc["rest"], F.lit(" "), w).alias("rest"))
+            return F.when(acc["rest"].isNotNull(), done).when(fits, more).otherwise(line).cast(kind)
+
+        def items(acc: Column) -> Column:
+            heads = F.transform(F.when(acc["line"] == "", acc["heads"]).otherwise(F.array_append(acc["heads"], acc["line"])), lambda x: F.struct(x.alias("t"), F.lit(True).alias("own")))
+            return F.when(acc["rest"].isNull(), heads).otherwise(F.array_append(heads, F.struct(acc["rest"].alias("t"), F.lit(False).alias("own"))))
+
+        whole = F.array(F.struct(part.alias("t"), F.lit(False).alias("own")))
+        return F.when(F.length(part) <= most, whole).otherwise(F.aggregate(F.split(part, " "), zero, take, items))
+
+    parts = F.filter(F.split(clean, r"(?<=[,.!?;…])\s+"), lambda x: x != "")
+    state = "struct<out:array<string>,cur:string>"
+
+    def pack(acc: Column, x: Column) -> Column:
+        flushed = F.when(acc["cur"] == "", acc["out"]).otherwise(F.array_append(acc["out"], acc["cur"]))
+        joined = F.when(acc["cur"] == "", x["t"]).otherwise(F.concat(acc["cur"], F.lit(" "), x["t"]))
+        own = F.struct(F.array_append(flushed, x["t"]).alias("out"), F.lit("").alias("cur"))
+        more = F.struct(acc["out"].alias("out"), joined.alias("cur"))
+        new = F.struct(flushed.alias("out"), x["t"].alias("cur"))
+        return F.when(x["own"], own).when((acc["cur"] == "") | (F.length(joined) <= most), more).otherwise(new).cast(state)
+
+    zero = F.struct(F.array().cast("array<string>").alias("out"), F.lit("").alias("cur")).cast(state)
+    finish = lambda acc: F.when(acc["cur"] == "", acc["out"]).otherwise(F.array_append(acc["out"], acc["cur"]))
+    cues = F.when(F.length(clean) <= most, F.array(clean)).otherwise(F.aggregate(F.flatten(F.transform(parts, off)), zero, pack, finish))
+    weigh = lambda c: F.greatest(F.lit(1.0), F.size(F.split(c, " ")) + F.when(c.rlike(r"[,;:—\-…]$"), PAUSE).otherwise(0.0))
+    rows = segs.withColumn("_c", cues).where(clean != "").withColumn("_w", F.transform("_c", weigh))
+    span = F.greatest(F.lit(0), F.col("end_ms") - F.col("start_ms"))
+    roomy = span >= LEAST_CUE_MS * F.size("_c")
+
+    def end(start: Column, i: Column) -> Column:
+        share = span * F.element_at("_w", i) / F.aggregate("_w", F.lit(0.0), lambda s, x: s + x)
+        return F.least(start + F.when(roomy, F.greatest(share, F.lit(LEAST_CUE_MS))).otherwise(share), F.col("end_ms"))
+
+    each = _by_time(rows, end).select("media_id", "seg_id", "_t", F.posexplode("_c").alias("pos", "text"))
+    return each.select(
+        "media_id", "seg_id", "pos", "text", F.array_join(F.slice(_lines(F.col("text"), width), 1, lines), "\n").alias("lines"),
+        F.round(F.element_at("_t", F.col("pos") + 1)).cast("long").alias("start_ms"), F.round(F.element_at("_t", F.col("pos") + 2)).cast("long").alias("end_ms"),
     )
 
 

@@ -41,18 +41,19 @@ def read_manifest(lines: DataFrame) -> DataFrame:
     return rows.withColumn("_rn", first).where("_rn = 1").drop("_rn")
 
 
-def route_logs(lines: DataFrame, rules: DataFrame) -> DataFrame:
+def route_logs(lines: DataFrame, rules: DataFrame, most: int = 1000) -> DataFrame:
     """lines(id, line) with the label of the first rule(no, pattern, label) that matches; lines without one lose urls and
-    numbers, and are dropped if they look technical. Rules are a short table; it is checked before the broadcast."""
-    few = rules.count()
-    if few > 1000:
-        raise ValueError(f"{few} rules; at most 1000 can be tried on every line")
-    hit = lines.join(F.broadcast(rules), F.expr("line rlike pattern"))
-    best = hit.groupBy("id").agg(F.min(F.struct("no", "label")).alias("b")).select("id", F.col("b.label").alias("label"))
-    told = lines.join(best, "id", "left")
+    numbers, and are dropped if they look technical. Rules are a short table, counted first; they become one chain of
+    conditions, so a line is read once, stops at its first match, and nothing is joined."""
+    few = rules.orderBy("no").limit(most + 1).collect()
+    if len(few) > most:
+        raise ValueError(f"more than {most} rules")
+    label = F.lit(None).cast("string")
+    for r in reversed(few):
+        label = F.when(F.col("line").rlike(r["pattern"]), r["label"]).otherwise(label)
     scrubbed = F.regexp_replace(F.regexp_replace("line", r"https?://\S+", "<url>"), r"\d+", "<n>")
-    shown = F.when(F.col("label").isNotNull(), F.col("label")).otherwise(scrubbed)
-    return told.withColumn("shown", shown).where(F.col("label").isNotNull() | ~F.col("line").rlike("Traceback|Exception|0x[0-9a-f]"))
+    told = lines.withColumn("label", label)
+    return told.withColumn("shown", F.coalesce("label", scrubbed)).where(F.col("label").isNotNull() | ~F.col("line").rlike("Traceback|Exception|0x[0-9a-f]"))
 
 
 def salvage(responses: DataFrame, schema: str) -> DataFrame:
@@ -88,7 +89,55 @@ def run_keys(segs: DataFrame, batch: str) -> DataFrame:
     return segs.groupBy("media_id", batch).agg(F.substring(F.sha2(F.array_join(ordered, "\x1e"), 256), 1, 16).alias("key"))
 
 
-def episode(title: Column) -> Column:
-    """Episode number of a title: a marked number, else none."""
-    found = F.regexp_extract(title, r"(?i)(?:tập|ep(?:isode)?\.?|part|#|p)\s*([0-9]{1,4})", 1)
-    return F.when(found != "", found.cast("int"))
+# Chinese digits, and the marks by which titles and urls name an episode.
+CHINESE_DIGITS = {"零": 0, "一": 1, "二": 2, "两": 2, "三": 3, "四": 4, "五": 5, "六": 6, "七": 7, "八": 8, "九": 9}
+EPISODE_MARKS = {
+    "query": r"(?iu)[?&](?:p|index|ep|episode|part)=(\d+)",
+    "range": r"(?iu)(?:full|tập|tap|ep|part)?\s*(\d+)\s*[-–~到至_]\s*(\d+)",
+    "all": r"全\s*(\d+)\s*[集话話]",
+    "whole": r"(?iu)(trọn bộ|toàn tập|full bộ|full season|合集)",
+    "last": r"(?iu)(tập cuối|đại kết cục|kết thúc|final|the end|大结局|结局)",
+    "numeral": r"第\s*([0-9零一二两三四五六七八九十百]+)\s*[集话話回期]",
+    "single": r"(?iu)(?:tập|tap|ep|e|chương|chuong|part)\s*[\._\-\s]*0*([1-9]\d*)",
+    "bracket": r"[\[\(【]0*([1-9]\d*)[\]\)】]",
+}
+LONGEST_RANGE, HOUR_S, HALF_HOUR_S = 2000, 3600, 1800
+
+
+def chinese_number(text: Column) -> Column:
+    """A number below 1000 in Arabic or Chinese digits (tens 十, hundreds 百); null if it is neither."""
+    digits = F.create_map(*[F.lit(x) for pair in CHINESE_DIGITS.items() for x in pair])
+
+    def before(unit: str) -> Column:
+        digit = F.regexp_extract(text, f"([{''.join(CHINESE_DIGITS)}])?{unit}", 1)
+        return F.when(~text.contains(unit), 0).when(digit == "", 1).otherwise(digits[digit])
+
+    last = F.regexp_extract(text, f"([{''.join(CHINESE_DIGITS)}])$", 1)
+    ones = F.when(last == "", 0).otherwise(digits[last])
+    return F.when(text.rlike("^[0-9]+$"), text.try_cast("long")).when(text.rlike("^[零一二两三四五六七八九十百]+$"), F.nullif((100 * before("百") + 10 * before("十") + ones).cast("long"), F.lit(0)))
+
+
+def episode(title: Column, url: Column, seconds: Column) -> Column:
+    """The badge of a video: an episode, a range of them, the whole or the last one, by the first mark found in the url's
+    query, then in title and url, else by length."""
+    both = F.concat_ws(" ", F.coalesce(title, F.lit("")), F.coalesce(url, F.lit("")))
+
+    def found(mark: str, group: int = 1, where: Column = both) -> Column:
+        return F.nullif(F.regexp_extract(where, EPISODE_MARKS[mark], group), F.lit(""))
+
+    def one(number: Column) -> Column:
+        return F.concat(F.lit("TẬP "), F.regexp_replace(number, r"^0+(?=\d)", ""))
+
+    first, last = found("range").try_cast("long"), found("range", 2).try_cast("long")
+    length = F.coalesce(seconds, F.lit(0))
+    return F.coalesce(
+        one(found("query", 1, F.coalesce(url, F.lit("")))),
+        F.when((first < last) & (last <= LONGEST_RANGE), F.concat_ws("-", first.cast("string"), last.cast("string"))),
+        F.concat(F.lit("1-"), found("all")),
+        F.when(found("whole").isNotNull(), "TRỌN BỘ"),
+        F.when(found("last").isNotNull(), "TẬP CUỐI"),
+        one(chinese_number(found("numeral")).cast("string")),
+        F.concat(F.lit("TẬP "), found("single")),
+        F.concat(F.lit("TẬP "), found("bracket")),
+        F.when(length >= HOUR_S, "1-100").when(length >= HALF_HOUR_S, "TRỌN BỘ").otherwise("TẬP 1"),
+    )

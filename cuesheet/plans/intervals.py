@@ -101,12 +101,13 @@ def _(t):
 
 
 @query("e10_union_intervals", "segments", """
-, w AS (SELECT media_id, greatest(0, start_ms - 400) AS lo, least(end_ms + 400, 20000) AS hi FROM segments WHERE start_ms < 20000),
+, w AS (SELECT media_id, greatest(0, start_ms - 400) AS lo, least(end_ms + 400, max(end_ms) OVER (PARTITION BY media_id)) AS hi FROM segments),
 n AS (SELECT *, CASE WHEN lo > max(hi) OVER (PARTITION BY media_id ORDER BY lo, hi ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) THEN 1 ELSE 0 END AS f FROM w),
 i AS (SELECT *, sum(f) OVER (PARTITION BY media_id ORDER BY lo, hi ROWS UNBOUNDED PRECEDING) AS g FROM n)
 SELECT media_id, min(lo) AS start_ms, max(hi) AS end_ms, count(*) AS n FROM i GROUP BY media_id, g""")
 def _(t):
-    return I.union_intervals(t.segments.where("start_ms < 20000"), ["media_id"], 400, F.lit(20000).cast("long")).drop("island")
+    ends = t.segments.groupBy("media_id").agg(F.max("end_ms").alias("length_ms"))
+    return I.union_intervals(t.segments.join(ends, "media_id"), ["media_id"], 400, F.col("length_ms")).drop("island")
 
 
 @query("d19_envelope", "frames", """

@@ -6,24 +6,46 @@ from pyspark.sql import functions as F
 
 from ..operators import media as M
 from ..operators import segments as S
-from .intervals import _chunks, _ocr
+from .intervals import CHUNKS, _chunks, _ocr
 from .registry import query
-from .segments import WORD_SQL
-
-
-@query("e4_suspects", "segments")
+from .segments import RATE_SQL, WORD_SQL
+
+
+@query("e4_suspects", "segments", CHUNKS + RATE_SQL + """
+, e2 AS (SELECT media_id, seg_id, 1 AS k, 'rate' AS why FROM m WHERE n >= 5 AND (rate < 0.4 * mid OR rate > 3 * mid)),
+g AS (SELECT media_id, seg_id, start_ms, lead(start_ms) OVER (PARTITION BY media_id ORDER BY start_ms, seg_id) - end_ms AS gap FROM segments),
+gm AS (SELECT *, median(CASE WHEN gap > 0 THEN gap END) OVER (PARTITION BY media_id) AS mid FROM g),
+gw AS (SELECT *, coalesce(gap > greatest(1500, 3 * mid), false) AS wide FROM gm),
+e3 AS (SELECT media_id, seg_id, 2 AS k, 'gap' AS why FROM (SELECT *, wide OR coalesce(lag(wide) OVER (PARTITION BY media_id ORDER BY start_ms, seg_id), false) AS bad FROM gw) WHERE bad),
+cov AS (SELECT c.media_id, chunk_id, c.start_ms, c.end_ms, coalesce(max(least(c.end_ms, s.end_ms) - greatest(c.start_ms, s.start_ms)), 0) AS shared
+  FROM chunks c LEFT JOIN segments s ON s.media_id = c.media_id AND least(c.end_ms, s.end_ms) - greatest(c.start_ms, s.start_ms) > 0 GROUP BY ALL),
+fr AS (SELECT * FROM cov WHERE shared < 0.5 * (end_ms - start_ms)),
+nr AS (SELECT f.media_id, chunk_id, arg_min(seg_id, abs((f.start_ms + f.end_ms) // 2 - (s.start_ms + s.end_ms) // 2) * 1000000 + seg_id) AS seg_id FROM fr f JOIN segments s USING (media_id) GROUP BY ALL),
+every AS (SELECT * FROM e2 UNION SELECT * FROM e3 UNION SELECT media_id, seg_id, 3, 'chunk' FROM nr),
+told AS (SELECT media_id, seg_id, string_agg(why, ',' ORDER BY k) AS reasons FROM every GROUP BY ALL)
+SELECT media_id, seg_id, reasons FROM segments LEFT JOIN told USING (media_id, seg_id)""")
 def _(t):
     return M.suspects(t.segments, _chunks(t)).select("media_id", "seg_id", "reasons")
 
 
+def _fused(t):
+    """OCR texts that lack, repeat or add something, so that every rule has its cases."""
+    k = (F.col("media_id") + F.col("ocr_id")) % 6
+    text = F.when(k == 1, F.concat(F.lit("前後"), "text", F.lit("再見"))).when(k == 2, F.concat(F.lit("漢字"), F.reverse("text"))).when(k == 3, F.expr("substring(text, 4)"))
+    late = F.when(k == 4, 86_400_000).otherwise(0)  # touches no segment
+    ocr = _ocr(t).withColumnRenamed("ocr_text", "text").withColumns({"text": F.concat(text.otherwise(F.col("text")), F.lit("看見漢")), "b_start_ms": F.col("b_start_ms") + late, "b_end_ms": F.col("b_end_ms") + late})
+    said = t.segments.withColumn("text", F.when(F.col("seg_id") % 5 == 0, "…").otherwise(F.col("text")))
+    return M.fuse(said, ocr.withColumnRenamed("text", "ocr_text"), M.suspects(t.segments, _chunks(t)).where("reasons IS NOT NULL"))
+
+
 @query("e5_fuse", "segments ocr_segments")
 def _(t):
-    return M.fuse(t.segments, _ocr(t)).select("media_id", "seg_id", "decision", F.floor(F.col("score") * 1000).alias("score_milli"))
+    return _fused(t).select("media_id", "seg_id", "ocr_id", "decision", "rule", F.round("final_score", 3).alias("final_score"), "final_text", "start_ms", "end_ms")
 
 
 @query("g2_fusion_report", "segments ocr_segments")
 def _(t):
-    return M.fuse(t.segments, _ocr(t)).groupBy("media_id", "decision").agg(F.count("*").alias("n"))
+    return _fused(t).groupBy("media_id", "decision").agg(F.count("*").alias("n"))
 
 
 @query("g1_ocr_only", "segments ocr_segments", """
@@ -38,7 +60,7 @@ def _(t):
 def _(t):
     shown = F.concat("text", F.when(F.col("n") % 3 == 0, ".").otherwise(""))
     frames = t.segments.select("media_id", "seg_id", "text", F.explode(F.sequence(F.lit(0), F.lit(4))).alias("n"))
-    frames = frames.select("media_id", (F.col("seg_id") * 10 + F.col("n")).alias("t"), F.substring(shown, -120, 120).alias("text"), (F.col("n") / 10).alias("score"))
+    frames = frames.select("media_id", (F.col("seg_id") * 10 + F.col("n")).alias("t"), shown.alias("text"), (F.col("n") / 10).alias("score"))
     return M.merge_frames(frames).select("media_id", "start", "end", "text", "stability")
 
 
@@ -70,10 +92,22 @@ def _(t):
     return M.best_frame(feats).select("media_id", F.col("ts").cast("long").alias("ts"))
 
 
-@query("f6_cast_voices", "segments")
+@query("f6_cast_voices", "segments", """
+, q AS (SELECT media_id, speaker, sum(end_ms - start_ms) AS ms FROM segments GROUP BY ALL),
+pr AS (SELECT *, floor(ms / sum(ms) OVER (PARTITION BY media_id) * 100) AS pct FROM q),
+n AS (SELECT media_id, speaker, CASE WHEN pct % 2 = 0 THEN 'male' ELSE 'female' END AS gender, CASE WHEN pct > 95 THEN 'star' END AS fixed,
+  row_number() OVER (PARTITION BY media_id ORDER BY ms DESC, speaker) AS rn FROM pr),
+vs AS (SELECT list({'voice': 'v' || s_suppkey, 'gender': CASE WHEN s_suppkey % 2 = 0 THEN 'male' ELSE 'female' END, 'warmth': s_suppkey / 100::DOUBLE} ORDER BY 'v' || s_suppkey) AS voices FROM supplier),
+r AS (WITH RECURSIVE f(media_id, rn, speaker, used, voice) AS (
+  SELECT media_id, CAST(0 AS BIGINT), '', CAST([] AS VARCHAR[]), '' FROM n WHERE rn = 1
+  UNION ALL SELECT media_id, rn, speaker, list_append(used, voice), voice FROM (
+    SELECT *, coalesce(fixed, voices[list_position(worth, list_max(worth))].voice) AS voice FROM (
+      SELECT n.*, used, voices, list_transform(voices, lambda v: ((CASE WHEN v.gender = n.gender THEN 1.0::DOUBLE ELSE 0.4::DOUBLE END) + v.warmth) * (CASE WHEN list_contains(used, v.voice) THEN 0.80::DOUBLE ELSE 1.0::DOUBLE END)) AS worth
+      FROM f JOIN n ON n.media_id = f.media_id AND n.rn = f.rn + 1, vs))) SELECT * FROM f WHERE rn > 0)
+SELECT media_id, speaker, voice FROM r""")
 def _(t):
     profiles = S.profile_speakers(t.segments).select("media_id", "speaker", F.when(F.col("share_pct") % 2 == 0, "male").otherwise("female").alias("gender"), "total_ms", F.when(F.col("share_pct") > 95, "star").alias("override"))
-    voices = t.supplier.where("s_suppkey <= 8").select(F.concat(F.lit("v"), F.col("s_suppkey").cast("string")).alias("voice"), F.when(F.col("s_suppkey") % 2 == 0, "male").otherwise("female").alias("gender"), (F.col("s_suppkey") / 100).alias("warmth"))
+    voices = t.supplier.select(F.concat(F.lit("v"), F.col("s_suppkey").cast("string")).alias("voice"), F.when(F.col("s_suppkey") % 2 == 0, "male").otherwise("female").alias("gender"), (F.col("s_suppkey") / 100).alias("warmth"))
     return M.cast_voices(profiles, voices)
 
 
@@ -86,17 +120,16 @@ def _(t):
 
 
 @query("j2_spread", "voiceprints", """
-, v AS (SELECT seg_id // 200 AS g, media_id, seg_id, embedding FROM voiceprints),
-p AS (SELECT a.media_id * 1000 + a.g AS media_id, 1 - list_cosine_similarity(a.embedding::DOUBLE[], b.embedding::DOUBLE[]) AS d FROM v a JOIN v b ON a.media_id = b.media_id AND a.g = b.g AND a.seg_id < b.seg_id)
+, v AS (SELECT media_id, seg_id, embedding FROM voiceprints),
+p AS (SELECT a.media_id, 1 - list_cosine_similarity(a.embedding::DOUBLE[], b.embedding::DOUBLE[]) AS d FROM v a JOIN v b ON a.media_id = b.media_id AND a.seg_id < b.seg_id)
 SELECT media_id, count(*) AS pairs, CAST(round(quantile_cont(d, 0.9) * 10000) AS BIGINT) AS p90, quantile_cont(d, 0.9) < 0.3 AS one_speaker FROM p GROUP BY media_id""")
 def _(t):
-    prints = t.voiceprints.withColumn("media_id", F.col("media_id") * 1000 + F.floor(F.col("seg_id") / 200))
-    return M.spread(prints).withColumn("p90", F.round(F.col("p90") * 10000).cast("long"))
+    return M.spread(t.voiceprints).withColumn("p90", F.round(F.col("p90") * 10000).cast("long"))
 
 
 @query("j3_cluster_speakers", "voiceprints")
 def _(t):
-    return M.cluster_speakers(t.voiceprints.withColumn("media_id", F.col("media_id") * 1000 + F.floor(F.col("seg_id") / 200)))
+    return M.cluster_speakers(t.voiceprints)
 
 
 @query("j4_relabel", "voiceprints", """
@@ -109,7 +142,9 @@ def _(t):
 
 @query("e14_split_long", "segments")
 def _(t):
-    return M.split_long(t.segments)
+    words = S.word_times(t.segments).groupBy("media_id", "seg_id").agg(F.array_sort(F.collect_list(F.struct("pos", "word", "t1_ms"))).alias("words"))
+    heard = t.segments.join(words.withColumn("words", F.when(F.col("seg_id") % 3 > 0, F.col("words"))), ["media_id", "seg_id"], "left")
+    return M.split_long(heard)
 
 
 @query("e15_display_cues", "segments")
@@ -157,7 +192,12 @@ def _(t):
     return M.acoustic_align(t.frames, segs)
 
 
-@query("f3_snap_range", "segments")
+@query("f3_snap_range", "segments", """
+, w AS (SELECT media_id, seg_id AS req, start_ms + 700 AS a, end_ms + 300 AS z FROM segments WHERE seg_id % 2 = 1),
+n AS (SELECT w.*, (SELECT arg_min(s.start_ms, abs(s.start_ms - w.a) * 1000000 + s.seg_id) FROM segments s WHERE s.media_id = w.media_id) AS na FROM w),
+e AS (SELECT n.*, (SELECT min(s.end_ms) FROM segments s WHERE s.media_id = n.media_id AND s.end_ms >= greatest(n.z, n.na + 15000)) AS one,
+  (SELECT max(s.end_ms) FROM segments s WHERE s.media_id = n.media_id AND s.end_ms <= n.na + 60000) AS two FROM n)
+SELECT media_id, req, na AS new_a_ms, coalesce(CASE WHEN one <= na + 60000 THEN one WHEN two > na THEN two END, na + 60000) AS new_z_ms FROM e""")
 def _(t):
     wanted = t.segments.where("seg_id % 2 = 1").select("media_id", F.col("seg_id").alias("req"), (F.col("start_ms") + 700).alias("a_ms"), (F.col("end_ms") + 300).alias("z_ms"))
     return M.snap_range(t.segments, wanted, 15_000, 60_000)

@@ -35,10 +35,10 @@ def _(t):
 
 
 @query("b4_terminal_punct", "segments", r"""
-, c AS (SELECT media_id, seg_id, regexp_replace(trim(regexp_replace(substr(text, 1, 40 + seg_id), '\s+', ' ', 'g')), '[,;\-–— ]+$', '') AS c FROM segments)
+, c AS (SELECT media_id, seg_id, regexp_replace(trim(regexp_replace(text, '\s+', ' ', 'g')), '[,;\-–— ]+$', '') AS c FROM segments)
 SELECT media_id, seg_id, CASE WHEN c = '' OR regexp_matches(c, '[.!?…:]$') THEN c ELSE c || '.' END AS text FROM c""")
 def _(t):
-    return t.segments.select("media_id", "seg_id", S.terminal_punct(F.substr("text", F.lit(1), 40 + F.col("seg_id"))).alias("text"))
+    return t.segments.select("media_id", "seg_id", S.terminal_punct(F.col("text")).alias("text"))
 
 
 @query("b5_rescale", "segments", """

@@ -20,8 +20,9 @@ def _(t):
 @query("h3_similarity", "segments ocr_segments")
 def _(t):
     both = t.segments.join(t.ocr_segments.select("media_id", F.col("ocr_id").alias("seg_id"), F.col("text").alias("ocr_text")), ["media_id", "seg_id"])
-    cut = F.substring("ocr_text", 3, 200)
-    return both.select("media_id", "seg_id", F.floor(X.ratio_udf()(F.substring("text", 1, 200), cut) * 1000).alias("ratio_milli"))
+    shown = F.when(F.col("seg_id") % 2 == 0, F.expr("substring(ocr_text, 3)")).otherwise(F.concat(F.lit("¡前"), "ocr_text", F.lit("後!")))
+    told = both.select("media_id", "seg_id", *[x.alias(n) for n, x in X.align(F.col("text"), shown).items()])
+    return told.withColumns({"ratio_milli": F.floor(F.col("similarity") * 1000)}).drop("similarity")
 
 
 @query("h4_glossary", "")
@@ -50,15 +51,16 @@ def _(t):
 
 
 @query("h9_compact", "segments", r"""
-SELECT media_id, seg_id, regexp_replace(replace(substr(text, 1, 40) || ' rất là ok', 'rất là', ''), '\s+', ' ', 'g') AS compact FROM segments""")
+SELECT media_id, seg_id, regexp_replace(replace(text || ' rất là ok', 'rất là', ''), '\s+', ' ', 'g') AS compact FROM segments""")
 def _(t):
-    return t.segments.select("media_id", "seg_id", X.compact(F.concat(F.substring("text", 1, 40), F.lit(" rất là ok"))).alias("compact"))
+    return t.segments.select("media_id", "seg_id", X.compact(F.concat("text", F.lit(" rất là ok"))).alias("compact"))
 
 
 URL_SQL = r"""
 , p AS (SELECT page_id, url, lower(regexp_extract(url, '^([a-zA-Z]+://[^/?#]*)', 1)) AS h, lower(regexp_replace(regexp_extract(url, '^[a-zA-Z]+://[^/?#]*([^?#]*)', 1), '/+$', '')) AS pa,
   regexp_extract(url, '\?([^#]*)', 1) AS q, regexp_extract(url, '[?&]modal_id=(\d+)', 1) AS modal FROM urls),
-k AS (SELECT *, lower(array_to_string(list_filter(string_split(q, '&'), lambda x: x <> '' AND NOT starts_with(lower(x), 'utm_') AND NOT list_contains(['spm_id_from','spm_id','si','fbclid','feature','from_source','is_from_webapp','sender_device'], lower(split_part(x, '=', 1)))), '&')) AS kept FROM p),
+k AS (SELECT *, lower(array_to_string(list_filter(string_split(q, '&'), lambda x: x <> '' AND NOT starts_with(lower(x), 'utm_') AND NOT list_contains(['spm_id_from','spm_id','si','fbclid','feature','from_source','is_from_webapp','sender_device'], lower(split_part(x, '=', 1)))
+  AND NOT (contains(h, 'bilibili.com') AND list_contains(['vd_source','share_source','from_spmid','share_medium','share_plat','share_session_id','share_tag','bbid','ts','buvid','mid'], lower(split_part(x, '=', 1))))), '&')) AS kept FROM p),
 u AS (SELECT page_id, CASE WHEN contains(h, 'douyin.com') AND modal <> '' THEN 'https://www.douyin.com/video/' || modal ELSE h || pa || CASE WHEN kept <> '' THEN '?' || kept ELSE '' END END AS canon,
   CASE WHEN regexp_extract(url, '(BV[a-zA-Z0-9]{10})', 1) <> '' THEN regexp_extract(url, '(BV[a-zA-Z0-9]{10})', 1) WHEN contains(url, 'youtube.com') THEN regexp_extract(url, '[?&]v=([^&#]+)', 1)
    WHEN modal <> '' THEN modal ELSE '' END AS vid, coalesce(nullif(regexp_extract(url, '[?&]p=([^&#]*)', 1), ''), '1') AS part FROM k)"""
@@ -67,7 +69,9 @@ u AS (SELECT page_id, CASE WHEN contains(h, 'douyin.com') AND modal <> '' THEN '
 @query("h10_canonical_url", "urls", URL_SQL + " SELECT page_id, canon, vid, part FROM u")
 def _(t):
     u = F.col("url")
-    return t.urls.select("page_id", X.canonical_url(u).alias("canon"), X.video_id(u).alias("vid"), X.url_part(u).alias("part"))
+    note = F.when(F.col("page_id") % 2 == 0, F.concat(F.lit("look: "), u, F.lit(" , so good"))).otherwise(F.concat(u, F.lit("...")))
+    pasted = t.urls.select("page_id", X.pasted_url(note).alias("url"))
+    return pasted.select("page_id", X.canonical_url(u).alias("canon"), X.video_id(u).alias("vid"), X.url_part(u).alias("part"))
 
 
 @query("c12_same_media", "urls", URL_SQL + """
@@ -101,7 +105,7 @@ def _(t):
 
 @query("h14_salvage", "segments")
 def _(t):
-    row = F.to_json(F.struct(F.col("seg_id").alias("id"), F.substring("text", 1, 30).alias("text")))
+    row = F.to_json(F.struct(F.col("seg_id").alias("id"), "text"))
     packed = t.segments.groupBy("media_id").agg(F.concat(F.lit("["), F.array_join(F.array_sort(F.collect_list(row)), ", "), F.lit("]")).alias("j"))
     m = F.col("media_id")
     raw = F.when(m % 4 == 0, F.col("j")).when(m % 4 == 1, F.concat(F.lit("```json\n"), "j", F.lit("\n```"))).when(m % 4 == 2, F.concat(F.lit("Here: "), "j", F.lit(" done")))
@@ -124,10 +128,10 @@ def _(t):
     return J.run_keys(t.segments.withColumn("batch", F.floor(F.col("seg_id") / 3)), "batch")
 
 
-@query("h11_episode", "urls", r"""
-SELECT page_id, CASE WHEN page_id % 4 = 3 THEN NULL ELSE CAST(page_id % 37 AS INT) END AS episode FROM urls""")
+@query("h11_episode", "")
 def _(t):
-    n = (F.col("page_id") % 37).cast("string")
-    p = F.col("page_id") % 4
-    title = F.when(p == 0, F.concat(F.lit("Phim hay Tập "), n)).when(p == 1, F.concat(F.lit("Story EP."), n)).when(p == 2, F.concat(F.lit("abc #"), n)).otherwise("no number")
-    return t.urls.select("page_id", J.episode(title).alias("episode"))
+    """Page titles, two in three with an episode mark of some kind, beside their urls."""
+    marks = ["Tập 12", "ep.07", "1-30", "全40集", "trọn bộ", "大结局", "第一百零五集", "第十七话", "(9)", "Part 0003", "x"]
+    mark = F.element_at(F.array(*map(F.lit, marks)), (F.col("page_id") % (3 * len(marks)) % len(marks) + 1).cast("int"))
+    title = F.concat_ws(" ", F.regexp_extract("html", "(?s)<title>(.*?)</title>", 1), F.when(F.col("page_id") % 3 > 0, mark))
+    return t.pages.select("page_id", J.episode(title, F.col("url"), F.col("page_id") % 5 * 1000).alias("episode"))

@@ -2,6 +2,7 @@
 
 import json
 import random
+import re
 from difflib import SequenceMatcher
 
 import pytest
@@ -10,7 +11,7 @@ from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 from cuesheet.functions import text as X
-from cuesheet.operators import folds, intervals, media, segments, timeline
+from cuesheet.operators import folds, intervals, media, segments, texts, timeline
 from cuesheet.plans import registry, streams
 from cuesheet.sources import files, views
 from cuesheet.streaming import machines
@@ -102,9 +103,51 @@ def test_ratio_and_glossary(spark):
     assert out == ["NYC and Jorvik, newer", None]
 
 
-@pytest.mark.parametrize("text,want", [("3,5 kg", "ba phẩy năm ki lô gam"), ("1.500 m", "một nghìn năm trăm mét"), ("5-9", "năm đến chín"), ("105", "một trăm lẻ năm"), ("21", "hai mươi mốt"), ("007", "không không bảy")])
-def test_spoken(text, want):
-    assert X.spoken(text) == want
+SPOKEN = {
+    "3,5 kg": "ba phẩy năm kilôgam", "1.500 m": "một nghìn năm trăm mét", "5-9": "năm đến chín", "105": "một trăm lẻ năm",
+    "21": "hai mươi mốt", "007": "không không bảy", "[Nhạc] 15": "mười lăm", "$100": "một trăm đô la", "10h30": "mười giờ ba mươi phút",
+    "8h": "tám giờ", "7:05": "bảy giờ không năm phút", "Top 10": "tốp mười", "No.1": "số một", "30/4/1975": "ba mươi tháng tư năm một nghìn chín trăm bảy mươi lăm",
+    "ngày 20/11": "ngày hai mươi tháng mười một", "tháng 4/2024": "tháng tư năm hai nghìn không trăm hai mươi tư", "37°C": "ba mươi bảy độ C",
+    "3/4": "ba phần tư", "1/2": "một phần hai", "90%": "chín mươi phần trăm", "32MB": "ba mươi hai megabyte", "RTX 5060": "RTX năm không sáu không",
+    "2000": "hai nghìn", "AI và CPU": "A I và C P U", "a@b + c": "a a còng b cộng c", "50.000đ": "năm mươi nghìn đồng", "2,75": "hai phẩy bảy năm", "": "",
+}
+
+
+@pytest.mark.parametrize("text", sorted(SPOKEN))
+def test_spoken(text):
+    assert X.spoken(text) == SPOKEN[text]
+
+
+def value(words):
+    """A number from its Vietnamese words, read from the right by thousands."""
+    small = {"không": 0, "một": 1, "mốt": 1, "hai": 2, "ba": 3, "bốn": 4, "tư": 4, "năm": 5, "lăm": 5, "sáu": 6, "bảy": 7, "tám": 8, "chín": 9, "mười": 10}
+    total = triple = digit = 0
+    scale, out = {"nghìn": 10**3, "triệu": 10**6, "tỷ": 10**9}, []
+    for w in words.split():
+        if w in small:
+            triple, digit = (triple + 10, 0) if w == "mười" else (triple, small[w])
+            triple += digit if w != "mười" else 0
+        elif w == "mươi":
+            triple += digit * 9
+        elif w == "trăm":
+            triple += digit * 99
+        elif w in scale:
+            if triple:
+                out.append([triple, scale[w]])
+            else:
+                out[-1][1] *= scale[w]
+            triple = 0
+        elif w != "lẻ":
+            raise ValueError(w)
+        digit = digit if w in small and w != "mười" else 0
+    total = sum(a * b for a, b in out)
+    return total + triple
+
+
+@settings(max_examples=400, deadline=None)
+@given(st.one_of(st.integers(0, 10**21 - 1), st.integers(0, 2000)))
+def test_number_words_can_be_read_back(n):
+    assert value(X.number_words(n)) == n
 
 
 @settings(max_examples=100, deadline=None)
@@ -119,13 +162,191 @@ def test_repair_makes_json_of_what_was_cut(items, cut):
         assert broken == "" or "\\" in whole or whole[: max(1, len(whole) - cut)].rstrip()[-1:] not in "]}\""
 
 
+def letters(text):
+    wide = {ord(a): b for a, b in zip(X.FULL_WIDTH, X.HALF_WIDTH, strict=True)}
+    return "".join(c for c in (text or "").translate(wide) if c.isalnum())
+
+
+def han(text):
+    return sum("\u4e00" <= c <= "\u9fff" for c in text)
+
+
+def judged(seg, ocrs, doubted):
+    """The decision of one segment, by the rules as they are written down."""
+    text = (seg["text"] or "").strip()
+    met = sorted((o for o in ocrs if seg["end_ms"] >= o["b_start_ms"] and seg["start_ms"] <= o["b_end_ms"]), key=lambda o: (o["b_start_ms"], o["ocr_id"]))
+    if not met:
+        return "keep_asr_no_ocr", 1.0, text
+    shown = "".join(o["ocr_text"].strip() for o in met)
+    a, o = letters(text), letters(shown)
+    like = SequenceMatcher(None, a, o).ratio() if a and o else float(a == o)
+    lo, hi = min(x["b_start_ms"] for x in met), max(x["b_end_ms"] for x in met)
+    seconds = max(0.1, (seg["end_ms"] - seg["start_ms"]) / 1000)
+    sure = sum(x["confidence"] for x in met) / len(met)
+    heard = (0.6 if text else 0) + (0 if doubted else 0.2) + (0.2 if 0.5 <= han(text) / seconds <= 6 else 0)
+    apart = max(0, min(seg["end_ms"], hi) - max(seg["start_ms"], lo)) / max(1, max(seg["end_ms"], hi) - min(seg["start_ms"], lo))
+    full = 1.0 if (a and a in o) or (o and o in a) else like if like >= 0.5 else 0.0
+    final = 0.3 * heard + 0.2 * sure + 0.2 * like + 0.15 * apart + 0.15 * full
+    if not a and han(shown) >= 3 and sure >= 0.6:
+        return "ocr_override_empty", final, shown
+    if like >= 0.8 and a and a != o and a in o:
+        return "merged_prefix_suffix", final, o
+    if like >= 0.85:
+        return "keep_asr_high_similarity", final, text
+    return ("keep_asr_fallback" if like < 0.6 or final < 0.75 else "keep_asr"), final, text
+
+
+def test_fuse_against_the_rules(spark, sf):
+    t = registry.Tables(spark, sf)
+    from cuesheet.plans.media import _fused
+
+    called = {}
+    with pytest.MonkeyPatch.context() as mp:
+        mp.setattr(media, "fuse", lambda asr, ocr, doubted: called.update(asr=asr, ocr=ocr, doubted=doubted))
+        _fused(t)
+    got = media.fuse(called["asr"], called["ocr"], called["doubted"]).collect()
+    doubted = {(r["media_id"], r["seg_id"]) for r in called["doubted"].collect()}
+    ocrs = {}
+    for o in called["ocr"].collect():
+        ocrs.setdefault(o["media_id"], []).append(o)
+    told = {(r["media_id"], r["seg_id"]): r for r in got if r["seg_id"] is not None}
+    segs = called["asr"].collect()
+    assert len(told) == len(segs) and len({r["decision"] for r in got}) >= 6
+    for s in segs:
+        name, final, text = judged(s, ocrs.get(s["media_id"], []), (s["media_id"], s["seg_id"]) in doubted)
+        r = told[(s["media_id"], s["seg_id"])]
+        assert (r["decision"], r["final_text"]) == (name, text) and abs(r["final_score"] - final) < 1e-6
+    alone = {(m, o["ocr_id"]) for m, os in ocrs.items() for o in os if han(o["ocr_text"]) >= 3 and o["confidence"] >= 0.6
+             and not any(s["media_id"] == m and s["end_ms"] >= o["b_start_ms"] and s["start_ms"] <= o["b_end_ms"] for s in segs)}
+    assert {(r["media_id"], r["ocr_id"]) for r in got if r["decision"] == "ocr_standalone"} == alone != set()
+    line = media.fused_timeline(spark.createDataFrame(got)).orderBy("media_id", "new_id").collect()
+    assert len(line) == len(got)
+    assert all(a["end_ms"] <= b["start_ms"] for a, b in zip(line, line[1:], strict=False) if a["media_id"] == b["media_id"])
+
+
 def test_fuse_reads_whole_texts(spark):
     rng = random.Random(11)
     said, shown = ("".join(rng.choice(x) for _ in range(450)) for x in ("abcdefgh", "qrstuvwx"))
     asr = spark.createDataFrame([(1, 1, 0, 9000, said[:150] + said)], "media_id long, seg_id long, start_ms long, end_ms long, text string")
     ocr = spark.createDataFrame([(1, 1, 0, 9000, said[:150] + shown, 0.9)], "media_id long, ocr_id long, b_start_ms long, b_end_ms long, ocr_text string, confidence double")
     got = media.fuse(asr, ocr).first()
-    assert got["similarity"] < 0.5 and got["decision"] == "replace"
+    assert got["align_score"] < 0.5 and got["decision"] == "keep_asr_fallback"
+
+
+@pytest.mark.parametrize("a,o,want", [("你好。", "你好", (1.0, "你好", "", "")), ("你好", "啊你好呀", (2 * 2 / 6, "啊你好呀", "啊", "呀")), ("", "呀", (0.0, "呀", "", "呀")), ("呀", "", (0.0, "呀", "", "")), (None, "!", (1.0, "", "", "")), ("ab", "ba", (0.5, "ab", "", ""))])
+def test_align(spark, a, o, want):
+    df = spark.createDataFrame([(a, o)], "a string, o string")
+    r = df.select(*[c.alias(n) for n, c in X.align(F.col("a"), F.col("o")).items()]).first()
+    assert abs(r["similarity"] - want[0]) < 1e-9 and (r["merged"], r["added_prefix"], r["added_suffix"]) == want[1:]
+
+
+EPISODES = [
+    (("Phim 5", "http://x/?a=1&p=012", 0), "TẬP 12"), (("Tập 1-30", "", 0), "1-30"), (("30-1 Tập 4", "", 0), "TẬP 4"), (("1-3000", "", 0), "TẬP 1"), (("全40集", "", 0), "1-40"),
+    (("TRỌN BỘ", "", 0), "TRỌN BỘ"), (("大结局", "", 0), "TẬP CUỐI"), (("第一百零五集", "", 0), "TẬP 105"), (("第十七话", "", 0), "TẬP 17"), (("第二十集", "", 0), "TẬP 20"), (("第42回", "", 0), "TẬP 42"),
+    (("Ep.05", "", 0), "TẬP 5"), (("【9】", None, None), "TẬP 9"), ((None, None, 4000), "1-100"), (("x", None, 2000), "TRỌN BỘ"), (("x", "", 10), "TẬP 1"), (("9" * 30 + "-" + "9" * 31, "", 0), "TẬP 1"),
+]
+
+
+def test_episode(spark):
+    df = spark.createDataFrame([(i, *given) for i, (given, _) in enumerate(EPISODES)], "i int, title string, url string, s int")
+    got = {r["i"]: r["e"] for r in df.select("i", texts.episode(F.col("title"), F.col("url"), F.col("s")).alias("e")).collect()}
+    assert [got[i] for i in range(len(EPISODES))] == [want for _, want in EPISODES]
+
+
+def test_pasted_urls(spark):
+    cases = {"7.4 复制 https://v.douyin.com/iAbc/ 打开": "https://v.douyin.com/iAbc", "see www.douyin.com/video/12!": "https://www.douyin.com/video/12", "plain": "plain", "x iesdouyin.com/a?b=1": "https://iesdouyin.com/a?b=1", None: ""}
+    df = spark.createDataFrame([(k,) for k in cases], "t string")
+    assert {r["t"]: r["u"] for r in df.select("t", X.pasted_url(F.col("t")).alias("u")).collect()} == cases
+
+
+def packed_sentences(text, words, start, end, most):
+    """split_long of one segment, step by step; words: (word, end) or None."""
+    cut = [x for x in re.split(r"(?<=[.!?;。！？；])\s*", text.strip()) if x]
+    if len(cut) <= 1:
+        cut = [x for x in re.split(r"(?<=[,，、：:\-])\s*", text.strip()) if x]
+    if end - start <= most or len(cut) <= 1:
+        return [(text, start, end)]
+    whole, groups = sum(map(len, cut)), [[cut[0]]]
+    for s in cut[1:]:
+        if (sum(map(len, groups[-1])) + len(s)) / whole * (end - start) > most:
+            groups.append([])
+        groups[-1].append(s)
+    out, at, used = [], start, 0
+    for g in groups[:-1]:
+        used += sum(map(len, g))
+        z, upto = at + sum(map(len, g)) / whole * (end - start), 0
+        for w, t in words or []:
+            upto += len(w)
+            if upto >= used:
+                z = t
+                break
+        z = round(min(max(z, at + 100), end - 100))
+        out.append((" ".join(g), at, z))
+        at = z
+    return [*out, (" ".join(groups[-1]), min(at, end - 100), end)]
+
+
+def test_split_long_step_by_step(spark):
+    rng = random.Random(8)
+    rows = []
+    for i in range(60):
+        text = "".join("".join(rng.choice("abcd ") for _ in range(rng.randrange(1, 30))) + rng.choice([". ", "。", ", ", "; ", " "]) for _ in range(rng.randrange(1, 12)))
+        start, end = 1000 * i, 1000 * i + rng.choice([900, 9000, 25_000, 40_000])
+        each = text.split()
+        words = [(w, start + (end - start) * (k + 1) // max(1, len(each))) for k, w in enumerate(each)] if i % 2 else None
+        rows.append((1, i, start, end, text, words))
+    df = spark.createDataFrame(rows, "media_id long, seg_id int, start_ms long, end_ms long, text string, words array<struct<word:string,t1_ms:long>>")
+    got = [(r["seg_id"], r["text"], r["start_ms"], r["end_ms"]) for r in media.split_long(df, 8000).orderBy("new_id").collect()]
+    want = [(i, *x) for _, i, a, z, text, words in rows for x in packed_sentences(text, words, a, z, 8000)]
+    assert sorted(got) == sorted(want)
+
+
+def display_cues(text, start, end, n):
+    """split_for_display of one segment, step by step: (text, start, end) with times as numbers."""
+    width = 28 if n == 1 else 42
+    text = " ".join(text.split())
+    if not text:
+        return []
+    cues, cur = [], ""
+    for part in re.split(r"(?<=[,.!?;…])\s+", text) if len(text) > width * n else [text]:
+        while len(part) > width * n:
+            words = part.split(" ")
+            line = words.pop(0)
+            while words and len(line) + 1 + len(words[0]) <= width:
+                line += " " + words.pop(0)
+            cues += [c for c in (cur, line) if c]
+            cur, part = "", " ".join(words)
+        if not part:
+            continue
+        if cur and len(cur) + 1 + len(part) > width * n:
+            cues.append(cur)
+            cur = part
+        else:
+            cur = f"{cur} {part}".strip()
+    cues += [cur] if cur else []
+    weights = [max(1.0, len(c.split()) + (0.6 if c[-1] in ",;:—-…" else 0)) for c in cues]
+    span, at, out = end - start, float(start), []
+    for i, c in enumerate(cues):
+        share = span * weights[i] / sum(weights)
+        share = max(share, 800) if span >= 800 * len(cues) else share
+        z = float(end) if i == len(cues) - 1 else min(at + share, end)
+        out.append((c, at, z))
+        at = z
+    return out
+
+
+@pytest.mark.parametrize("n", [1, 2])
+def test_display_step_by_step(spark, n):
+    rng = random.Random(9 + n)
+    rows = []
+    for i in range(60):
+        words = ["".join(rng.choice("abcdé") for _ in range(rng.choice([1, 3, 8, 8, 60]))) + rng.choice(["", "", "", ",", ".", " -", "…"]) for _ in range(rng.randrange(0, 50))]
+        rows.append((1, i, 1000 * i, 1000 * i + rng.choice([0, 700, 9000, 30_000]), " ".join(words)))
+    df = spark.createDataFrame(rows, "media_id long, seg_id int, start_ms long, end_ms long, text string")
+    got = sorted((r["seg_id"], r["pos"], r["text"], r["start_ms"], r["end_ms"]) for r in media.split_for_display(df, n).collect())
+    want = [(i, p, c, a, z) for _, i, s, e, text in rows for p, (c, a, z) in enumerate(display_cues(text, s, e, n))]
+    assert [g[:3] for g in got] == [w[:3] for w in want]
+    assert all(abs(g[3] - w[3]) <= 0.5 + 1e-6 and abs(g[4] - w[4]) <= 0.5 + 1e-6 for g, w in zip(got, want, strict=True))
 
 
 def test_merge_frames(spark):
@@ -149,7 +370,7 @@ def test_long_splits_cover_the_segment(spark, sf):
     from pyspark.sql import Window
 
     given_ = views.load(spark, sf, "segments")
-    for made in (media.split_long(given_), media.split_for_display(given_)):
+    for made in (media.split_long(given_, 4000), media.split_for_display(given_)):
         w = Window.partitionBy("media_id", "seg_id").orderBy("start_ms", "end_ms")
         gaps = made.withColumn("g", F.col("start_ms") - F.lag("end_ms").over(w)).where("g <> 0").count()
         ends = made.groupBy("media_id", "seg_id").agg(F.min("start_ms").alias("a"), F.max("end_ms").alias("z")).join(given_, ["media_id", "seg_id"])
