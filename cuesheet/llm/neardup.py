@@ -421,7 +421,8 @@ def classes(docs: DataFrame) -> DataFrame:
 
 def keep_one(docs: DataFrame) -> DataFrame:
     """One document of each class, that of the least id; columns as given. Of rows alike in id and text one stays."""
-    per = _named(docs).where("worded").groupBy("doc_id", "k", "kept").agg(F.count("*").alias("n")).where("NOT kept OR n > 1")
+    rows = materialise(_named(docs), "classes")  # an aggregate straight on its join would keep Spark from splitting a hot text
+    per = rows.where("worded").groupBy("doc_id", "k", "kept").agg(F.count("*").alias("n")).where("NOT kept OR n > 1")
     told = materialise(per.select(F.col("doc_id").alias("_nd_id"), F.col("k").alias("_nd_k"), "kept"), "copies")
     keyed = docs.withColumn("_nd_text", _text_key())
 
