@@ -28,7 +28,7 @@ def _(t):
 @query("h4_glossary", "")
 def _(t):
     rows = t.documents.select("doc_id", "source", "text")
-    return J.changed(rows, "text", X.glossary_udf(TERMS)(F.col("text")), "source")
+    return J.changed(J.per_distinct(rows, "text", "put", X.glossary_udf(TERMS)), "text", F.col("put"), "source")
 
 
 @query("h5_find_replace", "", r"""

@@ -5,6 +5,7 @@ import random
 import re
 from difflib import SequenceMatcher
 
+import numpy as np
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
@@ -355,6 +356,19 @@ def test_merge_frames(spark):
     assert [(r["start"], r["end"], r["text"], r["stability"]) for r in got] == [(1, 2, "hello worle", 2), (4, 5, "other", 2)]
 
 
+@pytest.mark.parametrize("block", [3, 7, 1000])
+def test_spread_against_numpy(spark, block):
+    rng = np.random.default_rng(5)
+    rows = [(m, i, rng.normal(size=6).tolist() if m < 3 else [1.0, 2.0]) for m, n in ((1, 2), (2, 60), (3, 9)) for i in range(n)] + [(4, 1, [1.0]), (2, 99, None)]
+    got = {r["media_id"]: r for r in media.spread(spark.createDataFrame(rows, "media_id long, seg_id long, embedding array<double>"), block).collect()}
+    for m in (1, 2, 3):
+        x = np.array([v for k, _, v in rows if k == m and v])
+        x /= np.linalg.norm(x, axis=1, keepdims=True)
+        d = np.clip(1 - x @ x.T, 0, 2)[np.triu_indices(len(x), 1)]
+        assert got[m]["pairs"] == len(d) and abs(got[m]["p90"] - np.percentile(d, 90)) < 1e-6
+    assert set(got) == {1, 2, 3}
+
+
 def test_speakers(spark):
     rng = random.Random(9)
     noise = lambda: 0.2 * rng.random()
