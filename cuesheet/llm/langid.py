@@ -40,9 +40,9 @@ RATIO = 4.0
 MAX_DOCS = 1_500
 MAX_LANGS = 64
 _SCALE = 1 << 30
-# Python's \w holds numbers such as 1/2 or Roman numerals too; letters are what isalpha says.
-_NUMBERS = "".join(re.escape(c) for c in map(chr, range(sys.maxunicode + 1)) if c.isalnum() and not c.isalpha())
-_SPACES = re.compile(rf"[\W_{_NUMBERS}]+")
+_SPACES = re.compile(r"[\W\d_]+")
+#: Python's \w holds numbers such as 1/2 or Roman numerals too; letters are what isalpha says.
+_NUMBERS = {c: " " for c in range(sys.maxunicode + 1) if chr(c).isalnum() and not chr(c).isalpha()}
 _M1, _M2 = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F)
 UND = "und"
 
@@ -50,6 +50,8 @@ UND = "und"
 def gram_hashes(text: str) -> np.ndarray:
     """A 64-bit hash for each n-gram of letters; None-like empty array if there is no letter."""
     clean = _SPACES.sub(" ", text.lower()).strip()
+    if not clean.replace(" ", "").isalpha():  # rare, so the slower step is not taken by every text
+        clean = _SPACES.sub(" ", clean.translate(_NUMBERS)).strip()
     if not clean:
         return np.empty(0, np.uint64)
     codes = np.frombuffer(f" {clean} ".encode("utf-32-le"), np.uint32).astype(np.uint64)
