@@ -17,6 +17,12 @@ from .segments import CJK_BASE, CJK_WIDE, cjk_count, flag_gap, flag_rate
 # Fixed values of the fusion: weights of its scores and thresholds of its rules.
 WEIGHTS = {"asr": 0.30, "ocr": 0.20, "align": 0.20, "temporal": 0.15, "completeness": 0.15}
 OVERRIDE, MERGE, ALIKE, UNLIKE, LEAST_SURE, LEAST_CJK = 0.75, 0.80, 0.85, 0.60, 0.60, 3
+# Fixed values of the frame score, of voice casting and of the acoustic confidence.
+FRAME_WEIGHTS = {"sharp": 3.2, "contrast": 2.0, "saturation": 1.4, "balance": 35.0}
+DARK, BURNT, FLAT, BLURRED, BLUR_COST = 25.0, 238.0, 16.0, 8.0, 75.0
+CAST = {"gender": 0.40, "pitch": 0.20, "narrator": 0.25, "provider": 0.15}
+DEEP_HZ, USED_COST = 135.0, 0.80
+ENERGY_SHARE, ENERGY_FLOOR, LEAST_PEAK = 0.08, 0.003, 0.01
 # Fixed values of display cues.
 LINE, LINE_ALONE, LINES, LEAST_CUE_MS, PAUSE = 42, 28, 2, 800, 0.6
 
@@ -137,32 +143,68 @@ def pitch_stats(f0: DataFrame) -> DataFrame:
 
 
 def best_frame(features: DataFrame) -> DataFrame:
-    """features(media_id, ts, sharp, bright, faces, blur): rejected when dark or blurred; best weighted score, then earliest."""
-    ok = features.where((F.col("bright") >= 0.1) & (F.col("blur") <= 0.8))
-    score = 0.5 * F.col("sharp") + 0.3 * (1 - F.abs(F.col("bright") - 0.5)) + 0.2 * F.least(F.lit(1.0), F.col("faces") / 2)
-    return ok.groupBy("media_id").agg(F.max_by("ts", F.struct(F.round(score, 6).alias("s"), -F.col("ts"))).alias("ts"), F.max(F.round(score, 6)).alias("score"))
-
-
-def cast_voices(profiles: DataFrame, voices: DataFrame, most_voices: int = 10_000) -> DataFrame:
-    """profiles(media_id, speaker, gender, total_ms, override), voices(voice, gender, warmth): speakers by speaking time take
-    the best voice; a used one scores 0.80 of its value. Voices are a short catalogue, checked before the broadcast."""
+    """features(media_id, ts, luma, contrast, sharp, saturation), all on scales of 8 bits: the frame with the best score, then
+    the earliest. Dark, burnt-out and flat frames are rejected by a score below all others, so that a media of such frames only
+    still gets its least bad one. Missing values count as 0."""
+    luma, contrast, sharp, saturation = (F.coalesce(F.col(c).cast("double"), F.lit(0.0)) for c in ("luma", "contrast", "sharp", "saturation"))
+    balance = F.greatest(F.lit(0.0), 1 - F.abs(luma - 128.0) / 128.0)
+    total = sharp * FRAME_WEIGHTS["sharp"] + contrast * FRAME_WEIGHTS["contrast"] + saturation * FRAME_WEIGHTS["saturation"] + balance * FRAME_WEIGHTS["balance"]
+    total = F.floor((total - F.when(sharp < BLURRED, BLUR_COST).otherwise(0.0)) * 100 + 0.5) / 100
+    reason = F.when(luma < DARK, "dark").when(luma > BURNT, "overexposed").when(contrast < FLAT, "flat").otherwise("ok")
+    scored = features.select("media_id", "ts", reason.alias("reason"), F.when(reason.isin("dark", "overexposed"), -250.0).when(reason == "flat", -150.0).otherwise(total).alias("score"))
+    best = F.max_by(F.struct("ts", "score", "reason"), F.struct("score", -F.col("ts")))
+    return scored.groupBy("media_id").agg(best.alias("_best")).select("media_id", "_best.*")
+
+
+def _fit(p: Column, v: Column, used: Column, provider: str | None) -> Column:
+    """How well voice v suits speaker p, 0 to 1."""
+    known = p["gender"].isin("male", "female") & (F.coalesce(v["gender"], F.lit("")) != "")
+    gender = F.when(F.coalesce(known, F.lit(False)), (p["gender"] == v["gender"]).cast("double")).otherwise(0.5)
+    deep, young = (p["pitch_hz"] < DEEP_HZ) & (v["pitch_tag"] == "deep_male"), (p["pitch_hz"] >= DEEP_HZ) & (v["pitch_tag"] == "young_male")
+    tagged = F.coalesce(v["pitch_tag"], F.lit("")) != ""
+    pitch = F.when(tagged & (p["gender"] == "male") & (deep | young), 1.0).when(tagged & (p["gender"] == "male") & (v["gender"] == "male"), 0.8)
+    pitch = pitch.when((p["gender"] == "female") & v["pitch_tag"].isin("female", "child_or_high"), 1.0).otherwise(0.5)
+    narrator = F.when(p["narrator"], v["narrator_fit"]).otherwise(0.6)
+    source = F.when(v["provider"] == provider, 1.0).otherwise(0.5) if provider else F.lit(1.0)
+    raw = CAST["gender"] * gender + CAST["pitch"] * pitch + CAST["narrator"] * narrator + CAST["provider"] * source
+    return F.greatest(F.lit(0.0), F.least(F.lit(1.0), raw - F.when(F.array_contains(used, v["voice"]), USED_COST).otherwise(0.0)))
+
+
+def cast_voices(
+    profiles: DataFrame, voices: DataFrame, provider: str | None = None, auto: bool = True, default: str = "nam_bac_1", most_voices: int = 10_000
+) -> DataFrame:
+    """profiles(media_id, speaker, gender, pitch_hz, narrator, total_ms, override), voices(voice, gender, pitch_tag, narrator_fit,
+    provider): media_id, speaker, voice, source, score. Overrides that are not blank come first; then speakers by speaking time
+    take the best voice, the first by name of equal ones; a used voice loses 0.80. Only voices of ``provider`` are taken, if it
+    has any. Without ``auto`` or voices everyone gets ``default``. Voices are a short catalogue, checked before the broadcast."""
     if voices.count() > most_voices:
         raise ValueError(f"more than {most_voices} voices")
-    catalogue = voices.agg(F.array_sort(F.collect_list(F.struct("voice", "gender", F.col("warmth").cast("double").alias("warmth")))).alias("voices"))
-    grouped = folds.ordered(profiles.withColumn("neg", -F.col("total_ms")), ["media_id"], ["neg", "speaker"], ["speaker", "gender", "override"])
+    fit = F.coalesce(F.col("narrator_fit").cast("double"), F.lit(0.5)).alias("narrator_fit")
+    every = F.array_sort(F.collect_list(F.struct("voice", "gender", "pitch_tag", fit, "provider")))
+    catalogue = voices.where("voice IS NOT NULL").agg(every.alias("voices"))
+    if provider:
+        own = F.filter("voices", lambda v: v["provider"] == provider)
+        catalogue = catalogue.select(F.when(F.size(own) > 0, own).otherwise(F.col("voices")).alias("voices"))
+    people = profiles.withColumns({
+        "neg": -F.coalesce("total_ms", F.lit(0)), "override": F.nullif(F.trim("override"), F.lit("")), "narrator": F.coalesce("narrator", F.lit(False)), "pitch_hz": F.col("pitch_hz").cast("double"),
+    })
+    grouped = folds.ordered(people, ["media_id"], ["neg", "speaker"], ["speaker", "gender", "pitch_hz", "narrator", "override"])
     both = grouped.crossJoin(F.broadcast(catalogue))  # one row
-    kind = "array<struct<speaker:string,voice:string>>"
-
-    def step(acc: Column, p: Column) -> Column:
-        used = F.transform(acc, lambda a: a["voice"])
+    kind = "array<struct<speaker:string,voice:string,source:string,score:double>>"
+    fixed = F.filter(F.transform("items", lambda p: p["override"]), lambda v: v.isNotNull())
 
-        def value(v: Column) -> Column:
-            base = F.when(v["gender"] == p["gender"], 1.0).otherwise(0.4) + v["warmth"]
-            return F.struct((base * F.when(F.array_contains(used, v["voice"]), 0.80).otherwise(1.0)).alias("s"), v["voice"].alias("v"))
+    def told(p: Column, voice: Column, source: str, score: Column) -> Column:
+        return F.struct(p["speaker"].cast("string").alias("speaker"), voice.alias("voice"), F.lit(source).alias("source"), score.alias("score"))
 
-        best = F.aggregate(F.transform(F.col("voices"), value), F.struct(F.lit(-1.0).alias("s"), F.lit("").alias("v")), lambda a, b: F.when(b["s"] > a["s"], b).otherwise(a))
-        chosen = F.coalesce(p["override"], best["v"])
-        return F.array_append(acc, F.struct(p["speaker"].alias("speaker"), chosen.alias("voice")))
+    def step(acc: Column, p: Column) -> Column:
+        used = F.concat(fixed, F.transform(acc, lambda a: a["voice"]))
+        worth = F.transform(F.col("voices"), lambda v: F.struct(_fit(p, v, used, provider).alias("s"), v["voice"].alias("v")))
+        best = F.aggregate(worth, F.struct(F.lit(-1.0).alias("s"), F.lit("").alias("v")), lambda a, b: F.when(b["s"] > a["s"], b).otherwise(a))
+        mine = told(p, best["v"], "auto", F.floor(best["s"] * 1000 + 0.5) / 1000) if auto else told(p, F.lit(default), "fallback", F.lit(1.0))
+        mine = F.when(F.size("voices") == 0, told(p, F.lit(default), "fallback", F.lit(1.0))).otherwise(mine)
+        if auto:
+            mine = F.when((F.size("voices") > 0) & p["override"].isNotNull(), told(p, p["override"], "manual_override", F.lit(1.0))).otherwise(mine)
+        return F.array_append(acc, mine)
 
     done = F.aggregate("items", F.array().cast(kind), step)
     return both.select("media_id", F.explode(done).alias("_cast")).select("media_id", "_cast.*")
@@ -466,18 +508,36 @@ def validate_alignment(words: DataFrame, segs: DataFrame, slack_ms: int = 350) -
 
 
 def acoustic_align(frames: DataFrame, segs: DataFrame, frame_ms: int = 10) -> DataFrame:
-    """Confidence of the speech extent by active share and edges, and the words of confident segments spread evenly over it."""
-    ext = intervals.speech_extent(frames, segs.drop("text"), frame_ms, 0.5)
-    n = F.greatest(F.lit(1), F.floor((F.col("speech_end_ms") - F.col("speech_start_ms")) / frame_ms))
-    share = F.least(F.lit(1.0), F.col("n_active") / n)
-    edge = F.when((F.col("speech_start_ms") > F.col("start_ms")) & (F.col("speech_end_ms") < F.col("end_ms")), 0.2).otherwise(0.0)
-    scored = ext.withColumn("confidence_pct", F.floor(100 * F.least(F.lit(1.0), share + edge)))
-    words = segs.select("media_id", "seg_id", F.size(F.split("text", r"\s+")).alias("k"), F.posexplode(F.split("text", r"\s+")).alias("pos", "word"))
-    span = F.col("speech_end_ms") - F.col("speech_start_ms")
-    return scored.join(words, ["media_id", "seg_id"]).select(
-        "media_id", "seg_id", "pos", "word", "confidence_pct",
-        (F.col("speech_start_ms") + F.floor(span * F.col("pos") / F.col("k"))).alias("t0_ms"), (F.col("speech_start_ms") + F.floor(span * (F.col("pos") + 1) / F.col("k"))).alias("t1_ms"),
-    )
+    """frames(media_id, idx, rms), segs(media_id, seg_id, start_ms, end_ms, text): one row per word, spread evenly over the
+    segment's active frames (those from 8 % of its peak on, with a floor), with the confidence of that guess by peak, number of
+    words and share of active time. Too few frames or too little energy: spread over the whole segment. A text without words
+    gives one row without word."""
+    timed = frames.select("media_id", (F.col("idx") * frame_ms).alias("b_start_ms"), (F.col("idx") * frame_ms).alias("b_end_ms"), "rms")
+    inside = intervals.overlap_join(segs.select("media_id", "seg_id", "start_ms", "end_ms"), timed, ["media_id"], (F.col("b_start_ms") >= F.col("start_ms")) & (F.col("b_start_ms") < F.col("end_ms")))
+    loud = inside.withColumn("peak", F.max("rms").over(Window.partitionBy("media_id", "seg_id")))
+    on = F.col("rms") >= F.greatest(F.lit(ENERGY_FLOOR), ENERGY_SHARE * F.col("peak"))
+    extent = loud.groupBy("media_id", "seg_id").agg(F.max("peak").alias("peak"), F.min(F.when(on, F.col("b_start_ms"))).alias("lo"), F.max(F.when(on, F.col("b_start_ms") + frame_ms)).alias("hi"))
+    words = F.filter(F.split(F.coalesce("text", F.lit("")), r"\s+"), lambda w: w != "")
+    both = segs.select("media_id", "seg_id", "start_ms", "end_ms", words.alias("_words")).join(extent, ["media_id", "seg_id"], "left")
+    n, peak = F.size("_words"), F.col("peak")
+    heard = F.coalesce(peak >= LEAST_PEAK, F.lit(False))
+    active = F.greatest(F.lit(50), F.col("hi") - F.col("lo"))
+    clip = F.col("end_ms") - F.col("start_ms")
+    least = F.greatest(F.lit(50), clip)
+    points = F.when(peak >= 0.08, 35).when(peak >= 0.03, 25).otherwise(10) + F.when(n == 1, 40).when(n == 2, 30).when(n <= 4, 15).otherwise(5)
+    points = F.least(F.lit(99), points + F.when((100 * active >= 20 * least) & (100 * active <= 95 * least), 25).otherwise(5))
+    points = F.when(n == 0, 0).when(peak.isNull(), 20).when(~heard, 15).otherwise(points)
+    sure = heard & (points >= 70) & (((clip <= 1200) & (n <= 4)) | ((clip <= 1800) & (n <= 2)))
+    method = F.when(n == 0, "acoustic_empty").when(peak.isNull(), "acoustic_too_short").when(sure, "acoustic_high_conf").otherwise("acoustic_low_conf")
+    scored = both.withColumns({
+        "confidence_pct": points, "method": method, "_n": n, "_at": F.when(heard, F.col("lo")).otherwise(F.col("start_ms")), "_span": F.when(heard, active).otherwise(clip),
+    })
+    each = scored.select("*", F.posexplode_outer("_words").alias("pos", "word"))
+
+    def at(i: Column) -> Column:
+        return F.col("_at") + F.floor((2 * i * F.col("_span") + F.col("_n")) / (2 * F.col("_n")))
+
+    return each.select("media_id", "seg_id", "pos", "word", "confidence_pct", "method", at(F.col("pos")).alias("t0_ms"), at(F.col("pos") + 1).alias("t1_ms"))
 
 
 def snap_range(segs: DataFrame, wanted: DataFrame, least_ms: int, most_ms: int) -> DataFrame:

@@ -83,31 +83,48 @@ def _(t):
 
 
 @query("f4_best_frame", "frames", """
-, f AS (SELECT media_id, idx AS ts, rms * 10 AS sharp, amp AS bright, idx % 3 AS faces, (idx * 7 % 100) / 100.0::DOUBLE AS blur FROM frames),
-s AS (SELECT media_id, ts, round(0.5::DOUBLE * sharp + 0.3::DOUBLE * (1 - abs(bright - 0.5)) + 0.2::DOUBLE * least(1.0::DOUBLE, faces / 2), 6) AS s FROM f WHERE bright >= 0.1 AND blur <= 0.8)
-SELECT media_id, ts FROM (SELECT *, row_number() OVER (PARTITION BY media_id ORDER BY s DESC, ts) AS rn FROM s) WHERE rn = 1""")
+, f AS (SELECT media_id, idx AS ts, amp * 260.0::DOUBLE AS luma, (idx * 7 % 100) * 0.8::DOUBLE AS contrast, rms * 200.0::DOUBLE AS sharp, (idx * 13 % 256)::DOUBLE AS sat FROM frames),
+s AS (SELECT *, CASE WHEN luma < 25 THEN 'dark' WHEN luma > 238 THEN 'overexposed' WHEN contrast < 16 THEN 'flat' ELSE 'ok' END AS reason,
+  floor((sharp * 3.2::DOUBLE + contrast * 2.0::DOUBLE + sat * 1.4::DOUBLE + greatest(0.0::DOUBLE, 1 - abs(luma - 128.0::DOUBLE) / 128.0::DOUBLE) * 35.0::DOUBLE - CASE WHEN sharp < 8 THEN 75.0::DOUBLE ELSE 0.0::DOUBLE END) * 100.0::DOUBLE + 0.5::DOUBLE) / 100.0::DOUBLE AS total FROM f),
+r AS (SELECT *, CASE reason WHEN 'ok' THEN total WHEN 'flat' THEN -150.0::DOUBLE ELSE -250.0::DOUBLE END AS score FROM s)
+SELECT media_id, ts, score, reason FROM (SELECT *, row_number() OVER (PARTITION BY media_id ORDER BY score DESC, ts) AS rn FROM r) WHERE rn = 1""")
 def _(t):
     i = F.col("idx")
-    feats = t.frames.select("media_id", i.alias("ts"), (F.col("rms") * 10).alias("sharp"), F.col("amp").alias("bright"), (i % 3).alias("faces"), (i * 7 % 100 / 100).alias("blur"))
-    return M.best_frame(feats).select("media_id", F.col("ts").cast("long").alias("ts"))
+    feats = t.frames.select("media_id", i.alias("ts"), (F.col("amp") * 260).alias("luma"), (i * 7 % 100 * 0.8).alias("contrast"), (F.col("rms") * 200).alias("sharp"), (i * 13 % 256).alias("saturation"))
+    return M.best_frame(feats).withColumn("ts", F.col("ts").cast("long"))
 
 
 @query("f6_cast_voices", "segments", """
-, q AS (SELECT media_id, speaker, sum(end_ms - start_ms) AS ms FROM segments GROUP BY ALL),
-pr AS (SELECT *, floor(ms / sum(ms) OVER (PARTITION BY media_id) * 100) AS pct FROM q),
-n AS (SELECT media_id, speaker, CASE WHEN pct % 2 = 0 THEN 'male' ELSE 'female' END AS gender, CASE WHEN pct > 95 THEN 'star' END AS fixed,
-  row_number() OVER (PARTITION BY media_id ORDER BY ms DESC, speaker) AS rn FROM pr),
-vs AS (SELECT list({'voice': 'v' || s_suppkey, 'gender': CASE WHEN s_suppkey % 2 = 0 THEN 'male' ELSE 'female' END, 'warmth': s_suppkey / 100::DOUBLE} ORDER BY 'v' || s_suppkey) AS voices FROM supplier),
-r AS (WITH RECURSIVE f(media_id, rn, speaker, used, voice) AS (
-  SELECT media_id, CAST(0 AS BIGINT), '', CAST([] AS VARCHAR[]), '' FROM n WHERE rn = 1
-  UNION ALL SELECT media_id, rn, speaker, list_append(used, voice), voice FROM (
-    SELECT *, coalesce(fixed, voices[list_position(worth, list_max(worth))].voice) AS voice FROM (
-      SELECT n.*, used, voices, list_transform(voices, lambda v: ((CASE WHEN v.gender = n.gender THEN 1.0::DOUBLE ELSE 0.4::DOUBLE END) + v.warmth) * (CASE WHEN list_contains(used, v.voice) THEN 0.80::DOUBLE ELSE 1.0::DOUBLE END)) AS worth
+, q AS (SELECT media_id, speaker, sum(end_ms - start_ms) AS ms, count(*) AS k, min(start_ms) AS a, max(end_ms) AS z FROM segments GROUP BY ALL),
+pr AS (SELECT *, ms / sum(ms) OVER w AS share, floor(ms / sum(ms) OVER w * 100) AS pct, (z - a) / greatest(max(z) OVER w - min(a) OVER w, 1) AS cover FROM q WINDOW w AS (PARTITION BY media_id)),
+n AS (SELECT media_id, speaker, CASE pct % 3 WHEN 0 THEN 'male' WHEN 1 THEN 'female' ELSE 'unknown' END AS gender, 90 + ms % 90 AS hz, share >= 0.35 AND cover >= 0.60 AND k >= 2 AS narrator,
+  CASE WHEN pct > 95 THEN 'star' WHEN pct < 30 THEN 'v1' END AS fixed, row_number() OVER (PARTITION BY media_id ORDER BY ms DESC, speaker) AS rn FROM pr),
+taken AS (SELECT media_id, coalesce(list(fixed) FILTER (fixed IS NOT NULL), CAST([] AS VARCHAR[])) AS used FROM n GROUP BY media_id),
+vs AS (SELECT list({'voice': 'v' || s_suppkey, 'gender': CASE s_suppkey % 3 WHEN 0 THEN 'male' WHEN 1 THEN 'female' ELSE '' END,
+  'tag': CASE s_suppkey % 5 WHEN 0 THEN 'deep_male' WHEN 1 THEN 'young_male' WHEN 2 THEN 'female' WHEN 3 THEN 'child_or_high' ELSE '' END, 'fit': (s_suppkey % 10) / 10::DOUBLE} ORDER BY 'v' || s_suppkey) AS voices FROM supplier),
+r AS (WITH RECURSIVE f(media_id, rn, speaker, used, voice, source, score) AS (
+  SELECT media_id, CAST(0 AS BIGINT), '', used, '', '', 0.0::DOUBLE FROM taken
+  UNION ALL SELECT media_id, rn, speaker, list_append(used, voice), voice, source, score FROM (
+    SELECT *, coalesce(fixed, voices[list_position(worth, list_max(worth))].voice) AS voice, CASE WHEN fixed IS NULL THEN 'auto' ELSE 'manual_override' END AS source,
+      CASE WHEN fixed IS NULL THEN floor(list_max(worth) * 1000.0::DOUBLE + 0.5::DOUBLE) / 1000.0::DOUBLE ELSE 1.0::DOUBLE END AS score FROM (
+      SELECT n.*, used, voices, list_transform(voices, lambda v: greatest(0.0::DOUBLE, least(1.0::DOUBLE,
+        0.4::DOUBLE * (CASE WHEN n.gender = 'unknown' OR v.gender = '' THEN 0.5::DOUBLE WHEN n.gender = v.gender THEN 1.0::DOUBLE ELSE 0.0::DOUBLE END)
+        + 0.2::DOUBLE * (CASE WHEN v.tag = '' THEN 0.5::DOUBLE WHEN n.gender = 'male' AND v.tag = (CASE WHEN hz < 135 THEN 'deep_male' ELSE 'young_male' END) THEN 1.0::DOUBLE
+          WHEN n.gender = 'male' AND v.gender = 'male' THEN 0.8::DOUBLE WHEN n.gender = 'female' AND v.tag IN ('female', 'child_or_high') THEN 1.0::DOUBLE ELSE 0.5::DOUBLE END)
+        + 0.25::DOUBLE * (CASE WHEN n.narrator THEN v.fit ELSE 0.6::DOUBLE END) + 0.15::DOUBLE * 1.0::DOUBLE - (CASE WHEN list_contains(used, v.voice) THEN 0.8::DOUBLE ELSE 0.0::DOUBLE END)))) AS worth
       FROM f JOIN n ON n.media_id = f.media_id AND n.rn = f.rn + 1, vs))) SELECT * FROM f WHERE rn > 0)
-SELECT media_id, speaker, voice FROM r""")
-def _(t):
-    profiles = S.profile_speakers(t.segments).select("media_id", "speaker", F.when(F.col("share_pct") % 2 == 0, "male").otherwise("female").alias("gender"), "total_ms", F.when(F.col("share_pct") > 95, "star").alias("override"))
-    voices = t.supplier.select(F.concat(F.lit("v"), F.col("s_suppkey").cast("string")).alias("voice"), F.when(F.col("s_suppkey") % 2 == 0, "male").otherwise("female").alias("gender"), (F.col("s_suppkey") / 100).alias("warmth"))
+SELECT media_id, speaker, voice, source, score FROM r""")
+def _(t):
+    pct, key = F.col("share_pct"), F.col("s_suppkey")
+    profiles = S.profile_speakers(t.segments).select(
+        "media_id", "speaker", F.when(pct % 3 == 0, "male").when(pct % 3 == 1, "female").otherwise("unknown").alias("gender"), (90 + F.col("total_ms") % 90).alias("pitch_hz"), "narrator", "total_ms",
+        F.when(pct > 95, "star").when(pct < 30, "v1").alias("override"),
+    )
+    tag = F.when(key % 5 == 0, "deep_male").when(key % 5 == 1, "young_male").when(key % 5 == 2, "female").when(key % 5 == 3, "child_or_high").otherwise("")
+    voices = t.supplier.select(
+        F.concat(F.lit("v"), key.cast("string")).alias("voice"), F.when(key % 3 == 0, "male").when(key % 3 == 1, "female").otherwise("").alias("gender"),
+        tag.alias("pitch_tag"), (key % 10 / 10).alias("narrator_fit"), F.lit("p").alias("provider"),
+    )
     return M.cast_voices(profiles, voices)
 
 
@@ -185,11 +202,28 @@ def _(t):
     return M.validate_alignment(words, t.segments)
 
 
-@query("e18_acoustic_align", "frames")
+@query("e18_acoustic_align", "frames", """
+, fr AS (SELECT media_id, idx, rms * (CASE idx // 60 % 4 WHEN 0 THEN 0.05::DOUBLE WHEN 1 THEN 0.4::DOUBLE ELSE 1.0::DOUBLE END) AS rms FROM frames),
+sg AS (SELECT media_id, idx AS seg_id, idx * 10 AS a, idx * 10 + CASE WHEN idx % 4 = 1 THEN 1900 WHEN idx % 200 = 3 THEN 320 ELSE 1100 END AS z,
+  CASE idx // 50 % 5 WHEN 0 THEN ['one'] WHEN 1 THEN ['one', 'two'] WHEN 2 THEN ['one', 'two', 'three', 'four'] WHEN 3 THEN ['a', 'b', 'c', 'd', 'e', 'f', 'g'] ELSE CAST([] AS VARCHAR[]) END AS ws FROM frames WHERE idx % 50 = 3),
+i AS (SELECT media_id, seg_id, idx * 10 AS ms, rms, max(rms) OVER (PARTITION BY media_id, seg_id) AS peak FROM sg JOIN fr USING (media_id) WHERE idx * 10 >= a AND idx * 10 < z),
+x AS (SELECT media_id, seg_id, max(peak) AS peak, min(ms) AS lo, max(ms) + 10 AS hi FROM i WHERE rms >= greatest(0.003::DOUBLE, 0.08::DOUBLE * peak) GROUP BY ALL),
+b AS (SELECT sg.*, len(ws) AS n, coalesce(peak, 0) AS peak, coalesce(peak, 0) >= 0.01 AS heard, lo, greatest(50, hi - lo) AS act, greatest(50, z - a) AS clip FROM sg LEFT JOIN x USING (media_id, seg_id)),
+p AS (SELECT *, CASE WHEN n = 0 THEN 0 WHEN NOT heard THEN 15 ELSE least(99, CASE WHEN peak >= 0.08 THEN 35 WHEN peak >= 0.03 THEN 25 ELSE 10 END
+  + CASE WHEN n = 1 THEN 40 WHEN n = 2 THEN 30 WHEN n <= 4 THEN 15 ELSE 5 END + CASE WHEN 100 * act BETWEEN 20 * clip AND 95 * clip THEN 25 ELSE 5 END) END AS pts FROM b),
+m AS (SELECT *, CASE WHEN n = 0 THEN 'acoustic_empty' WHEN heard AND pts >= 70 AND (z - a <= 1200 AND n <= 4 OR z - a <= 1800 AND n <= 2) THEN 'acoustic_high_conf' ELSE 'acoustic_low_conf' END AS method,
+  CASE WHEN heard THEN lo ELSE a END AS s0, CASE WHEN heard THEN act ELSE z - a END AS span FROM p),
+w AS (SELECT *, unnest(CASE WHEN n = 0 THEN [NULL] ELSE range(n) END) AS pos FROM m)
+SELECT media_id, seg_id, pos, ws[pos + 1] AS word, pts AS confidence_pct, method, s0 + (2 * pos * span + n) // (2 * n) AS t0_ms, s0 + (2 * (pos + 1) * span + n) // (2 * n) AS t1_ms FROM w""")
 def _(t):
-    lo = (F.col("idx") * 10).cast("long")
-    segs = t.frames.where("idx % 50 = 3").select("media_id", F.col("idx").alias("seg_id"), lo.alias("start_ms"), (lo + 320).alias("end_ms"), F.lit("one two three four").alias("text"))
-    return M.acoustic_align(t.frames, segs)
+    i = F.col("idx")
+    turn, kind = F.floor(i / 60) % 4, F.floor(i / 50) % 5
+    frames = t.frames.select("media_id", "idx", (F.col("rms") * F.when(turn == 0, 0.05).when(turn == 1, 0.4).otherwise(1.0)).alias("rms"))
+    lo = (i * 10).cast("long")
+    text = F.when(kind == 0, "one").when(kind == 1, "one  two").when(kind == 2, " one two three four").when(kind == 3, "a b c d e f g").otherwise(" ")
+    long = F.when(i % 4 == 1, 1900).when(i % 200 == 3, 320).otherwise(1100)
+    segs = t.frames.where("idx % 50 = 3").select("media_id", i.alias("seg_id"), lo.alias("start_ms"), (lo + long).alias("end_ms"), text.alias("text"))
+    return M.acoustic_align(frames, segs)
 
 
 @query("f3_snap_range", "segments", """

@@ -416,3 +416,46 @@ def test_streams_agree_with_their_batch_twins(name, spark, sf):
     got = registry.queries()[name](spark, sf)
     assert got.columns == twin.columns
     assert sorted(map(str, got.collect())) == sorted(map(str, twin.collect()))
+
+
+def test_best_frame_rejects(spark):
+    cols = "media_id long, ts long, luma double, contrast double, sharp double, saturation double"
+    rows = [
+        (1, 1, 20.0, 90.0, 90.0, 90.0), (1, 2, 250.0, 90.0, 90.0, 90.0), (1, 3, 128.0, 20.0, 10.0, 50.0), (1, 4, 128.0, 20.0, 10.0, 50.0),
+        (2, 1, 10.0, 50.0, 50.0, 50.0), (2, 2, 120.0, 5.0, 50.0, 50.0), (3, 1, 128.0, 60.0, 7.0, 0.0), (3, 2, 128.0, 40.0, 9.0, 0.0), (4, 1, None, None, None, None),
+    ]
+    got = {r["media_id"]: (r["ts"], r["score"], r["reason"]) for r in media.best_frame(spark.createDataFrame(rows, cols)).collect()}
+    assert got == {1: (3, 177.0, "ok"), 2: (2, -150.0, "flat"), 3: (2, 143.8, "ok"), 4: (1, -250.0, "dark")}
+
+
+def test_casting_options(spark):
+    people = spark.createDataFrame(
+        [(1, "a", "male", 120.0, True, 900, None), (1, "b", "female", 200.0, False, 500, " "), (1, "c", None, None, None, None, " star "), (1, "d", "male", 150.0, False, 100, None)],
+        "media_id long, speaker string, gender string, pitch_hz double, narrator boolean, total_ms long, override string",
+    )
+    catalogue = [("m1", "male", "deep_male", 0.9, "x"), ("m2", "male", "young_male", 0.2, "x"), ("w1", "female", "female", 0.5, "y"), ("z", None, None, None, None)]
+    shape = "voice string, gender string, pitch_tag string, narrator_fit double, provider string"
+    voices = spark.createDataFrame(catalogue, shape)
+
+    def cast(given_=voices, **kw):
+        return {r["speaker"]: (r["voice"], r["source"], r["score"]) for r in media.cast_voices(people, given_, **kw).collect()}
+
+    assert cast() == {"a": ("m1", "auto", 0.975), "b": ("w1", "auto", 0.9), "c": ("star", "manual_override", 1.0), "d": ("m2", "auto", 0.9)}
+    assert cast(provider="y")["a"][0] == cast(provider="y")["b"][0] == "w1"
+    assert cast(provider="none")["a"] == ("m1", "auto", 0.9)
+    assert set(cast(auto=False).values()) == set(cast(voices.limit(0)).values()) == {("nam_bac_1", "fallback", 1.0)}
+
+
+def test_acoustic_confidence(spark):
+    frames = spark.createDataFrame([(1, i, 0.2 if 20 <= i < 70 else 0.0) for i in range(100)] + [(2, i, 0.001) for i in range(50)], "media_id long, idx long, rms double")
+    segs_ = spark.createDataFrame(
+        [(1, 1, 0, 1000, "hello"), (1, 2, 5000, 5300, "no frames here"), (1, 3, 0, 1000, " "), (2, 1, 0, 500, "too quiet"), (1, 4, 0, 1000, None)],
+        "media_id long, seg_id long, start_ms long, end_ms long, text string",
+    )
+    got = sorted((r["media_id"], r["seg_id"], r["word"], r["confidence_pct"], r["method"], r["t0_ms"], r["t1_ms"]) for r in media.acoustic_align(frames, segs_).where("word IS NOT NULL").collect())
+    assert got == [
+        (1, 1, "hello", 99, "acoustic_high_conf", 200, 700), (1, 2, "frames", 20, "acoustic_too_short", 5100, 5200), (1, 2, "here", 20, "acoustic_too_short", 5200, 5300),
+        (1, 2, "no", 20, "acoustic_too_short", 5000, 5100), (2, 1, "quiet", 15, "acoustic_low_conf", 250, 500), (2, 1, "too", 15, "acoustic_low_conf", 0, 250),
+    ]
+    empty = [r for r in media.acoustic_align(frames, segs_).where("word IS NULL").collect()]
+    assert [(r["confidence_pct"], r["method"]) for r in empty] == [(0, "acoustic_empty")] * 2
