@@ -282,6 +282,11 @@ class TreeBPE:
             for (p, _), made in zip(part, self.leaf_table.encode([d for _, d in part]), strict=True):
                 memo.put(p, made)
 
+    def forget(self) -> None:
+        self.memo.clear()
+        self.memo.old = {}
+        self.seams.clear()
+
     def encode(self, text: str) -> list[int]:
         return list(chain.from_iterable(map(self.memo.__getitem__, self.pieces(text))))
 
@@ -321,7 +326,8 @@ _LIVE: dict[int, TreeBPE] = {}
 
 
 def _worker(shared) -> TreeBPE:
-    """One encoder per worker process and broadcast, so its memo outlives a task."""
+    """One encoder per worker process and broadcast. What it remembers goes at the end of a task: idle workers, and those
+    that only decode next time, hold tables of fixed size and nothing else."""
     if shared.id not in _LIVE:
         _LIVE.clear()
         _LIVE[shared.id] = TreeBPE(*shared.value)
@@ -351,13 +357,16 @@ class Tokenizer:
         @F.pandas_udf(T.ArrayType(T.IntegerType()))
         def encode(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
             own = _worker(shared)
-            for texts in batches:
-                gc.disable()  # the memo is large and without cycles; tracing it again and again costs a sixth of the time
-                try:
-                    ids = own.encode_all(texts)
-                finally:
-                    gc.enable()
-                yield pd.Series(ids)
+            try:
+                for texts in batches:
+                    gc.disable()  # the memo is large and without cycles; tracing it again and again costs a sixth of the time
+                    try:
+                        ids = own.encode_all(texts)
+                    finally:
+                        gc.enable()
+                    yield pd.Series(ids)
+            finally:
+                own.forget()
 
         @F.pandas_udf(T.BinaryType())
         def decode(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:

@@ -54,7 +54,10 @@ def test_batches_as_the_library(monkeypatch):
     own.memo.most = 50
     rng = random.Random(6)
     texts = ["", *(" ".join("".join(rng.choice("aeinrstö") for _ in range(rng.randrange(1, 40))) for _ in range(rng.randrange(1, 300))) for _ in range(40))]
-    assert [i.tolist() for i in own.encode_all(texts)] == [REF.encode_ordinary(t) for t in texts]
+    expected = [REF.encode_ordinary(t) for t in texts]
+    assert [i.tolist() for i in own.encode_all(texts)] == expected
+    own.forget()
+    assert not own.memo and not own.memo.old and [i.tolist() for i in own.encode_all(texts)] == expected
 
 
 def test_long_piece_in_bounded_time():
