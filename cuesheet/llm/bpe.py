@@ -40,7 +40,7 @@ from pyspark.sql import types as T
 from .common import bounded_batches, set_aside, table, text_or_empty
 
 LEAF = 24  # bytes
-MEMO = 400_000
+MEMO = 200_000
 RUN = 256  # tokens that decoding concatenates at once
 _LONG = 96  # bytes from which merging uses a heap
 _NO_MERGE = 1 << 62
@@ -87,15 +87,14 @@ class _LeafTable:
     """Merges many short byte strings at once: each is a row of tokens beside a row of the ranks of its neighbours; every
     step merges the lowest-ranked, leftmost pair of each row. Ranks of pairs come from an open-addressing table."""
 
-    BITS, EMPTY = 21, -1
+    EMPTY = -1
 
     def __init__(self, first: list[int], merges: dict[int, int]):
+        self.bits = bits = max(10, (2 * len(merges)).bit_length())  # at most half full
         self.first = np.array(first, np.int64)
         keys = np.fromiter(merges, np.int64, len(merges))
         values = np.fromiter(merges.values(), np.int64, len(merges))
-        if 2 * len(keys) > 1 << self.BITS:
-            raise ValueError("more merges than the table has room for")
-        self.keys, self.values = np.full(1 << self.BITS, self.EMPTY), np.zeros(1 << self.BITS, np.int64)
+        self.keys, self.values = np.full(1 << bits, self.EMPTY), np.zeros(1 << bits, np.int64)
         at = self._slot(keys)
         while len(keys):  # of those that want a free slot the first gets it, the others go on
             free = np.flatnonzero(self.keys[at] == self.EMPTY)
@@ -104,12 +103,12 @@ class _LeafTable:
             self.keys[at[won]], self.values[at[won]] = keys[won], values[won]
             left = np.ones(len(keys), bool)
             left[won] = False
-            keys, values, at = keys[left], values[left], (at[left] + 1) & ((1 << self.BITS) - 1)
+            keys, values, at = keys[left], values[left], (at[left] + 1) & ((1 << bits) - 1)
         pairs = self.first[:, None] << 32 | self.first[None, :]
         self.bytes = self.rank(pairs.ravel()).reshape(256, 256)
 
     def _slot(self, keys: np.ndarray) -> np.ndarray:
-        return ((keys.view(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(64 - self.BITS)).astype(np.int64)
+        return ((keys.view(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(64 - self.bits)).astype(np.int64)
 
     def rank(self, keys: np.ndarray) -> np.ndarray:
         """What the two tokens of each key merge into, or _NO_MERGE."""
@@ -120,7 +119,7 @@ class _LeafTable:
             hit = seen == keys[left]
             out[left[hit]] = self.values[at[hit]]
             on = ~hit & (seen != self.EMPTY)
-            left, at = left[on], (at[on] + 1) & ((1 << self.BITS) - 1)
+            left, at = left[on], (at[on] + 1) & ((1 << self.bits) - 1)
         return out
 
     def encode(self, strings: list[bytes]) -> list[tuple[int, ...]]:
