@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, chat, decontaminate, langid, neardup, quality, sharding, toxicity, url_filter, warc
+from . import alignment, bpe, chat, decontaminate, fingerprints, hard_negatives, langid, neardup, quality, sharding, toxicity, url_filter, warc
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -21,8 +21,14 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op8_langid": langid.query,
         "op9_neardup": neardup.query,
         "op10_url_filter": url_filter.query,
+        "op11_alignment": alignment.query,
+        "op12_hard_negatives": hard_negatives.query,
+        "op13_fingerprints": fingerprints.query,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_warc": warc.ORACLE, "op4_chat": chat.ORACLE, "op5_decontaminate": decontaminate.ORACLE, "op7_quality": quality.ORACLE}
+    return {
+        "op1_warc": warc.ORACLE, "op4_chat": chat.ORACLE, "op5_decontaminate": decontaminate.ORACLE, "op7_quality": quality.ORACLE,
+        "op12_hard_negatives": hard_negatives.ORACLE,
+    }
