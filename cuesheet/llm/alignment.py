@@ -10,8 +10,8 @@ Segments. Neither tokenizer merges across a single space between two characters
 pattern starts a match there, and the second one has no piece with a space after anything else (checked when it is
 loaded; otherwise a text is one segment). So both have a token end there, groups and links stay inside the segment, and a
 text's result is the concatenation of its segments' results. Most segments are words that repeat; a worker remembers
-them up to ``MEMO`` segments or ``MEMO_CHARS`` characters, then starts again. The products of all new segments of an Arrow
-batch are one block-diagonal product.
+two generations of up to ``MEMO`` segments or ``MEMO_CHARS`` characters (and what one batch adds). The products of all new
+segments of an Arrow batch are one block-diagonal product.
 
 Counts of id pairs are added up over all documents by Spark. They come back to the documents by a broadcast join if there
 are at most ``max_pairs`` of them, else by a shuffled join.
@@ -36,10 +36,12 @@ from pyspark.sql import functions as F
 
 from .common import bounded_batches, join_checked, materialise, table
 
-MEMO, MEMO_CHARS = 100_000, 2_000_000
+MEMO, MEMO_CHARS = 150_000, 3_000_000
+TOGETHER = 256  # plain segments encoded at once
 MOST = 1 << 22  # entries that a product makes at once
 _SHIFT = 16  # an id pair is one number: first id << _SHIFT | second id
 _CUT = re.compile("(?<=[^\\s▁])(?= \\S)")
+_PLAIN = re.compile(" [^\\s▁](?:.*[^\\s▁])?", re.DOTALL)  # put after one another, these are cut again where they meet
 
 
 # --- sparse matrices --------------------------------------------------------------------------------------------------
@@ -169,84 +171,93 @@ class Pair:
         self.forget()
 
     def forget(self) -> None:
-        self.known: dict[str, int] = {}
+        self.known: dict[str, tuple] = {}
+        self.older: dict[str, tuple] = {}
         self.chars = 0
-        self.numbers, self.keys, self.groups = [], [], []
 
     def segments(self, text: str) -> list[str]:
         """space+text in segments."""
         return _CUT.split(" " + text) if self.two.by_word else [" " + text]
 
-    def align(self, segments: list[str]) -> tuple[list[bool], Aligned]:
-        """Whether both tokenizers give a segment's bytes back, and the tokens of those where they do."""
-        ids = zip(self.one.encode(segments), self.two.encode(segments), strict=True)
-        good, a, b = [], [], []
-        for s, (x, y) in zip(segments, ids, strict=True):
-            want = s.encode()
-            good.append(b"".join(map(self.one.bytes.__getitem__, x)) == want == b"".join(map(self.two.bytes.__getitem__, y)))
-            if good[-1]:
-                a.append(x)
-                b.append(y)
+    def _encode(self, segments: list[str]) -> tuple[list[list[int]], list[list[int]]] | None:
+        """Tokens of each, if all give their segment's bytes back."""
+        a, b = self.one.encode(segments), self.two.encode(segments)
+        same = all(b"".join(map(self.one.bytes.__getitem__, x)) == s.encode() == b"".join(map(self.two.bytes.__getitem__, y)) for s, x, y in zip(segments, a, b, strict=True))
+        return (a, b) if same else None
+
+    def align(self, segments: list[str]) -> tuple[list[str], list[str], Aligned]:
+        """Segments of which both tokenizers give the bytes back, the others, and the tokens of the former. Plain segments
+        are encoded many at once: put together, they are cut again where they were."""
+        plain = [s for s in segments if self.two.by_word and _PLAIN.fullmatch(s)]
+        held = set(plain)
+        todo = [plain[i : i + TOGETHER] for i in range(0, len(plain), TOGETHER)] + [[s] for s in segments if s not in held]
+        good, bad, a, b = [], [], [], []
+        for some in todo:
+            made = self._encode(["".join(some)])
+            parts = [(some, made)] if made or len(some) == 1 else [([s], self._encode([s])) for s in some]
+            for each, ids in parts:
+                if ids:
+                    good += each
+                    a += ids[0]
+                    b += ids[1]
+                else:
+                    bad += each
         flat = [np.fromiter(chain.from_iterable(z), np.int64, sum(map(len, z))) for z in (a, b)]
-        at = [np.cumsum([0, *map(len, z)]) for z in (a, b)]
         ends_a, ends_b = np.cumsum(self.len_a[flat[0]]), np.cumsum(self.len_b[flat[1]])
-        cuts = np.intersect1d(ends_a, ends_b)
-        return good, Aligned(*flat, *at, np.searchsorted(cuts, ends_a), np.searchsorted(cuts, ends_b), len(cuts), ends_a, ends_b)
+        stops = np.cumsum([0, *(len(s.encode()) for s in good)])
+        at = [np.searchsorted(e, stops, "right") for e in (ends_a, ends_b)]
+        cuts = np.intersect1d(ends_a, ends_b, assume_unique=True)
+        return good, bad, Aligned(*flat, *at, np.searchsorted(cuts, ends_a), np.searchsorted(cuts, ends_b), len(cuts), ends_a, ends_b)
 
-    def learn(self, segments: set[str]) -> None:
+    def learn(self, segments: list[str]) -> None:
         """Work out segments not seen so far."""
-        new = sorted(segments)
-        good, x = self.align(new)
+        good, bad, x = self.align(segments)
         ga, gb = membership(x.a_group, x.n_groups), membership(x.b_group, x.n_groups)
         shared = row_work(ga, transpose(gb))
         cells = list(product(incidence(x.a_ends), transpose(incidence(x.b_ends))))
         rows, columns = (np.concatenate([c[k] for c in cells]) if cells else np.empty(0, np.int64) for k in (0, 1))
         keys = (x.a[rows] << _SHIFT | x.b[columns]).tolist()
-        link_at = np.searchsorted(rows, x.a_at).tolist()
+        link_at = np.searchsorted(rows, x.a_at)
         # the tokens in the order of the groups' text: first the group's tokens of a, then those of b
         before = lambda g, h, side: np.arange(len(g)) + np.searchsorted(h, g, side)
         pa, pb = before(x.a_group, x.b_group, "left"), before(x.b_group, x.a_group, "right")
         last = lambda g: np.diff(g, append=-1) != 0
         words = np.empty(len(x.a) + len(x.b), np.int64)
         words[pa], words[pb] = x.a + self.width * last(x.a_group), x.b + 2 * self.width * last(x.b_group)
-        said = [self.said[w] for w in words.tolist()]
-        group_at = np.concatenate([x.a_group[x.a_at[:-1]], [x.n_groups]])
+        said = list(map(self.said.__getitem__, words.tolist()))
+        group_at = np.concatenate([x.a_group, [x.n_groups]])[x.a_at]
         shared_at = np.concatenate([[0], np.cumsum(shared)])[x.a_at]
-        a_at, b_at, i = x.a_at.tolist(), x.b_at.tolist(), 0
-        for s, ok in zip(new, good, strict=True):
-            self.known[s] = len(self.numbers)
-            self.chars += len(s)
-            if not ok:
-                self.numbers.append(None)
-                self.keys.append(())
-                self.groups.append("")
-                continue
-            na, nb = a_at[i + 1] - a_at[i], b_at[i + 1] - b_at[i]
-            self.numbers.append((na, nb, int(group_at[i + 1] - group_at[i]), link_at[i + 1] - link_at[i], int(shared_at[i + 1] - shared_at[i])))
-            self.keys.append(tuple(keys[link_at[i] : link_at[i + 1]]))
-            self.groups.append("".join(said[a_at[i] + b_at[i] : a_at[i + 1] + b_at[i + 1]])[:-1])
-            i += 1
+        numbers = zip(*(np.diff(z).tolist() for z in (x.a_at, x.b_at, group_at, link_at, shared_at)), strict=True)
+        links, both = link_at.tolist(), (x.a_at + x.b_at).tolist()
+        for i, (s, n) in enumerate(zip(good, numbers, strict=True)):
+            self.known[s] = n, tuple(keys[links[i] : links[i + 1]]), "".join(said[both[i] : both[i + 1]])[:-1]
+        self.known |= dict.fromkeys(bad)
+        self.chars += sum(map(len, segments))
 
     def measure(self, texts: list[str | None]) -> Iterator[tuple]:
         """n_a, n_b, n_groups, n_links, n_shared, groups_sha256, id pairs, how often each."""
         if len(self.known) > MEMO or self.chars > MEMO_CHARS:
-            self.forget()
+            self.known, self.older, self.chars = {}, self.known, 0
         split = [self.segments(t) if t else [] for t in texts]
-        self.learn({s for seg in split for s in seg if s not in self.known})
+        new = set(chain.from_iterable(split)) - self.known.keys()
+        again = new & self.older.keys()
+        self.known |= {s: self.older[s] for s in again}
+        self.learn(sorted(new - again))
         for seg in split:
-            at = list(map(self.known.__getitem__, seg))
-            numbers = list(map(self.numbers.__getitem__, at))
-            if not at or None in numbers:
+            found = list(map(self.known.__getitem__, seg))
+            if not found or None in found:
                 yield 0, 0, 0, 0, 0, "", (), ()
                 continue
-            keys, times = np.unique(np.fromiter(chain.from_iterable(map(self.keys.__getitem__, at)), np.int64), return_counts=True)
-            digest = hashlib.sha256(";".join(map(self.groups.__getitem__, at)).encode()).hexdigest()
-            yield *map(sum, zip(*numbers, strict=True)), digest, keys, times.astype(np.int32)
+            numbers, pairs, groups = zip(*found, strict=True)
+            keys, times = np.unique(np.fromiter(chain.from_iterable(pairs), np.int64), return_counts=True)
+            yield *map(sum, zip(*numbers, strict=True)), hashlib.sha256(";".join(groups).encode()).hexdigest(), keys, times.astype(np.int32)
 
     def links(self, text: str, kind: str) -> Iterator[tuple[np.ndarray, ...]]:
         """Blocks of a_pos, b_pos, a_id, b_id and value of a text's links; the value is the number of shared bytes or groups."""
-        good, x = self.align(self.segments(text)) if text else ([], None)
-        if not text or not all(good):
+        if not text:
+            return
+        _, bad, x = self.align([" " + text])
+        if bad:
             return
         if kind == "overlap":
             a, b = incidence(x.a_ends), incidence(x.b_ends)

@@ -148,7 +148,7 @@ def test_links(spark, coders):
 @settings(max_examples=150, deadline=None)
 @given(st.text(st.sampled_from("ab .\n\t'1é漢▁ \x1c\U0001f600="), max_size=30))
 def test_segments(coders, text):
-    pair = _PAIR.setdefault("p", al.Pair(P.path("byte_bpe_50k.json"), P.path("piece_bpe_32k.model")))
+    pair = al._pair(P.path("byte_bpe_50k.json"), P.path("piece_bpe_32k.model"))
     want, rows = _plain(coders, [text])
     got = next(pair.measure([text]))
     assert got[:6] == (*want[0][:5], want[0][7])
@@ -156,11 +156,8 @@ def test_segments(coders, text):
         assert dict(zip(map(int, got[6]), map(int, got[7]), strict=True)) == Counter(a << 16 | b for a, b in rows[0][6])
 
 
-_PAIR = {}
-
-
 def test_memo_is_bounded(monkeypatch):
     monkeypatch.setattr(al, "MEMO", 3)
     pair = al.Pair(P.path("byte_bpe_50k.json"), P.path("piece_bpe_32k.model"))
     one = [r[5] for r in pair.measure(["a b c d e f"])]
-    assert [r[5] for r in pair.measure(["a b c d e f", "z"])][:1] == one and len(pair.known) == 7
+    assert [r[5] for r in pair.measure(["a b c d e f", "z"])][:1] == one and len(pair.known) == 7 and len(pair.older) == 6
