@@ -69,10 +69,10 @@ def fastest_hosts(transfers: DataFrame, k: int = 3, least_rate: float = 0.7) ->
 
 
 def reconcile(devices: DataFrame, ledger: DataFrame) -> DataFrame:
-    """Devices whose balance is not the sum of their ledger rows, with the difference."""
+    """Devices whose balance is not the sum of their ledger rows, with the difference; a device without a balance is one."""
     sums = ledger.groupBy("fingerprint").agg(total("delta").alias("ledger_sum"))
     both = devices.join(sums, "fingerprint", "left").withColumn("ledger_sum", F.coalesce("ledger_sum", F.lit(0)))
-    return both.where(F.col("balance") != F.col("ledger_sum")).select(
+    return both.where(~F.col("balance").eqNullSafe(F.col("ledger_sum"))).select(
         "fingerprint", "balance", "ledger_sum", (F.col("balance") - F.col("ledger_sum")).alias("diff")
     )
 

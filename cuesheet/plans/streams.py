@@ -1,7 +1,12 @@
-"""Streaming queries: each runs its stream over all events that are there (availableNow) and returns what it wrote."""
+"""Streaming queries: each runs its stream over all events that are there (availableNow) and returns what it wrote.
+
+The state machines get the events as they might arrive: each up to an hour late, in ``SLOTS`` micro-batches by time of arrival,
+shuffled inside. A closing mark after the last event lets the watermark pass all of them.
+"""
 
 from __future__ import annotations
 
+import math
 import tempfile
 import uuid
 
@@ -37,6 +42,29 @@ def shaped(events: DataFrame) -> DataFrame:
     return events.select("event_id", "user_id", "event_type", "value", "props", ts.alias("ts")).withColumns({"at": F.unix_micros("ts") / 1e6, "ord": F.col("event_id")})
 
 
+SLOTS, DELAY_S = 5, 3600
+
+
+def arriving(events: DataFrame, folder: str, late_s: int = DELAY_S, close: bool = True) -> tuple[DataFrame, float]:
+    """shaped events as a stream in order of arrival (each up to late_s after its time, by its number), and the time of the
+    last one. Every slot of arrival is written as the same number of files, which a micro-batch takes together."""
+    spark = events.sparkSession
+    files = spark.sparkContext.defaultParallelism
+    timed = events.where("ts IS NOT NULL").withColumn("_arrives", F.col("at") + F.pmod(F.col("event_id") * 7919, F.lit(late_s)))
+    first, last, newest = timed.agg(F.min("_arrives"), F.max("_arrives"), F.max("at")).first()
+    names = [c for c in timed.columns if c != "_arrives"]
+    if first is None:
+        timed.select(names).write.parquet(folder)
+        return spark.readStream.schema(timed.select(names).schema).parquet(folder), 0.0
+    slot = F.floor((F.col("_arrives") - first) / (last - first + 1) * SLOTS)
+    for k in range(SLOTS):
+        timed.where(slot == k).repartition(files).select(names).write.mode("append").parquet(folder)
+    if close:
+        end = F.timestamp_micros(F.lit(math.ceil((newest + DELAY_S) * 1e6) + 2000))
+        timed.limit(1).withColumns({"ts": end, "at": F.lit(newest + DELAY_S + 0.002)}).select(names).write.mode("append").parquet(folder)
+    return spark.readStream.schema(timed.select(names).schema).option("maxFilesPerTrigger", files).parquet(folder), newest
+
+
 def hold_events(e: DataFrame) -> DataFrame:
     kind = F.when(F.col("event_type") == "signup", "create").when(F.col("event_type") == "purchase", "commit").otherwise("accrue")
     return e.withColumns({"hold_id": F.floor(F.col("event_id") / 8), "kind": kind, "job": F.col("event_id") % 5, "amount": F.floor("value").cast("long"), "ok": F.col("event_type") != "error"})
@@ -77,8 +105,8 @@ MACHINES = {
 }
 
 
-#: Event time as in the streams, and where the watermark ends up; the checks are written from the rules, not the step functions.
-TIMED = """, v AS (SELECT *, epoch_us(ts) / 1e6::DOUBLE AS tm FROM events), wm AS (SELECT max(tm) - 3600 AS mark FROM v)"""
+#: Event time as in the streams, and where the closing mark moves the watermark; the checks are written from the rules, not the step functions.
+TIMED = """, v AS (SELECT *, epoch_us(ts) / 1e6::DOUBLE AS tm FROM events), wm AS (SELECT max(tm) AS mark FROM v)"""
 JOBS = TIMED + """
 , n AS (SELECT CAST(user_id AS VARCHAR) AS key, event_id, event_type AS kind, event_id % 10 = 0 AS final, event_id % 50 AS cur, tm, row_number() OVER (PARTITION BY user_id ORDER BY tm, event_id) AS rn FROM v)"""
 HOSTS = TIMED + """
@@ -139,7 +167,9 @@ def _register(name: str) -> None:
 
     @query(name, "", CHECKS[name])
     def _(t):
-        return M.written(t.spark, M.stream(shape(live(t)), machine), work_folder(t.spark))
+        folder = work_folder(t.spark)
+        events, newest = arriving(shaped(t.events), f"{folder}/arrivals")
+        return M.written(t.spark, M.stream(shape(events), machine, f"{DELAY_S} seconds", newest), folder)
 
 
 for _name in MACHINES:
@@ -168,9 +198,24 @@ def _(t):
 SELECT fingerprint, balance, ledger_sum, balance - ledger_sum AS diff FROM devices JOIN s USING (fingerprint) WHERE balance <> ledger_sum""")
 def _(t):
     folder = work_folder(t.spark)
-    touched = live(t).select(F.col("user_id").cast("string").alias("fingerprint"))
-    M.reconcile_changes(touched, t.devices, t.ledger, folder).start().awaitTermination()
-    return t.spark.read.parquet(f"{folder}/drift").drop("batch").distinct()
+    t.devices.select("fingerprint", "balance").write.parquet(f"{folder}/devices")  # a table, not the view over the ledger
+    events, _ = arriving(shaped(t.events), f"{folder}/arrivals", close=False)
+    delta = F.when(F.col("event_type") == "purchase", F.floor("value")).otherwise(-F.floor(F.col("value") / 10)).cast("long")
+    ledger = events.select(F.col("user_id").cast("string").alias("fingerprint"), delta.alias("delta"))
+    M.run_stream(t.spark, M.reconcile_changes(ledger, t.spark.read.parquet(f"{folder}/devices"), folder))
+    return M.open_drift(t.spark, folder)
+
+
+@query("s12_late_events", "", """
+WITH v AS (SELECT event_id, epoch_us(ts) / 1e6::DOUBLE AS tm, epoch_us(ts) / 1e6::DOUBLE + event_id * 7919 % 10800 AS arrives FROM events),
+b AS (SELECT *, CAST(floor((arrives - (SELECT min(arrives) FROM v)) / ((SELECT max(arrives) - min(arrives) FROM v) + 1) * 5) AS INTEGER) AS batch FROM v),
+m AS (SELECT batch, max(max(tm)) OVER (ORDER BY batch ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS mark FROM b GROUP BY batch)
+SELECT event_id, batch, mark FROM b JOIN m USING (batch) WHERE tm < mark - 3600""")
+def _(t):
+    folder = work_folder(t.spark)
+    events, _ = arriving(shaped(t.events), f"{folder}/arrivals", late_s=3 * DELAY_S, close=False)
+    M.run_stream(t.spark, M.divert_late(events.select("event_id", "ts", "at"), folder, DELAY_S))
+    return t.spark.read.parquet(f"{folder}/late").select("event_id", "batch", "mark")
 
 
 __all__ = ["MACHINES", "live", "shaped", "views"]

@@ -1,148 +1,244 @@
 """Keyed state machines for Structured Streaming, each with a batch twin over the same step function.
 
-A machine's ``step`` takes the state (a dict, or None for a new key) and one event, and gives output rows and the next
-state; ``due`` names the event time at which the machine acts by itself, and ``fire`` what it does then. States are small
-by design (counters, or lists with a fixed bound), so memory grows with the number of open keys only; a hold keeps the ids
-of its jobs until it closes.
+A machine's ``step`` takes the state (a dict, or None for a new key), one event and the key's names, and gives output rows and
+the next state; ``due`` names the event time at which the machine acts by itself, and ``fire`` what it does then.
+
+Order. Events may arrive in any order within the watermark's delay. Each key keeps its events in list state until the
+watermark passes them; a timer then hands them to the machine by event time, between the times at which it is due. So rows do
+not depend on how events are split into micro-batches, and are those of the batch twin. Later events are too late for the
+machine; ``divert_late`` writes them to a table of their own.
+
+State is kept in RocksDB: the waiting events of the last delay, a small dict, and for machines that must know which names they
+have met (a hold its jobs) one map entry a name, so that a name costs one look-up however many there are.
 """
 
 from __future__ import annotations
 
 import json
+import math
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
+from pyspark.sql.streaming.stateful_processor import StatefulProcessor
 
 Event = dict
 State = dict
+ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
+
+
+class Names:
+    """Names that a key has met; in memory for the batch twin."""
+
+    def __init__(self):
+        self.met: set[str] = set()
+
+    def add(self, name: str) -> bool:
+        """Whether the name is new."""
+        new = name not in self.met
+        self.met.add(name)
+        return new
+
+    def clear(self) -> None:
+        self.met.clear()
+
+
+class _MapNames(Names):
+    """The same in a key's map state."""
+
+    def __init__(self, held):
+        self.held = held
+
+    def add(self, name: str) -> bool:
+        new = not self.held.containsKey((name,))
+        if new:
+            self.held.updateValue((name,), (1,))
+        return new
+
+    def clear(self) -> None:
+        self.held.clear()
 
 
 @dataclass(frozen=True)
 class Machine:
     key: str
     out: str  # DDL of the output rows, first the key
-    step: Callable[[State | None, Event], tuple[list[tuple], State | None]]
+    step: Callable[[State | None, Event, Names], tuple[list[tuple], State | None]]
     due: Callable[[State], float | None] = lambda s: None
-    fire: Callable[[State], tuple[list[tuple], State | None]] = lambda s: ([], None)
+    fire: Callable[[State, Names], tuple[list[tuple], State | None]] = lambda s, names: ([], None)
 
 
-def _names(m: Machine) -> list[str]:
+def _columns(m: Machine) -> list[str]:
     return [f.strip().split()[0] for f in m.out.split(",")]
 
 
-def _events(df: pd.DataFrame) -> Iterator[Event]:
-    """In order of event time, then of the event's number."""
-    for r in df.sort_values(["at", "ord"]).to_dict("records"):
-        yield r
+def _feed(m: Machine, key, state: State | None, events: list[Event], names: Names, upto: float | None) -> tuple[list[tuple], State | None]:
+    """Events by time, then number, each after what is due before it; then what is due up to ``upto``."""
+    rows: list[tuple] = []
 
+    def fire(until: float) -> None:
+        nonlocal state
+        while state is not None and (t := m.due(state)) is not None and t <= until:
+            out, state = m.fire(state, names)
+            rows.extend((key, *o) for o in out)
 
-def _feed(m: Machine, key, state: State | None, df: pd.DataFrame) -> tuple[list[tuple], State | None]:
-    rows: list[tuple] = []
-    for e in _events(df):
-        while state is not None and (t := m.due(state)) is not None and t <= e["at"]:
-            out, state = m.fire(state)
-            rows += [(key, *o) for o in out]
-        out, state = m.step(state, e)
+    for e in sorted(events, key=lambda e: (e["at"], e["ord"])):
+        fire(e["at"])
+        out, state = m.step(state, e, names)
         rows += [(key, *o) for o in out]
+    if upto is not None:
+        fire(upto)
     return rows, state
 
 
-def stream(events: DataFrame, m: Machine, delay: str = "1 hour") -> DataFrame:
-    """events(ts timestamp, key, at double seconds, ord, ...) as a stream -> the machine's rows, append mode."""
-    names = _names(m)
-    timed = events.withWatermark("ts", delay)
-
-    def run(key: tuple, batches: Iterator[pd.DataFrame], held: GroupState) -> Iterator[pd.DataFrame]:
-        state = json.loads(held.get[0]) if held.exists else None
-        rows: list[tuple] = []
-        if held.hasTimedOut:
-            out, state = m.fire(state)
-            rows = [(key[0], *o) for o in out]
-        else:
-            whole = pd.concat(list(batches))
-            rows, state = _feed(m, key[0], state, whole)
+class _Ordered(StatefulProcessor):
+    """Keeps a key's events until the watermark has passed them, then feeds the machine."""
+
+    def __init__(self, m: Machine):
+        self.m = m
+
+    def init(self, handle) -> None:
+        self.handle = handle
+        self.waiting = handle.getListState("waiting", "at double, event string")
+        self.held = handle.getValueState("state", "json string")
+        self.names = _MapNames(handle.getMapState("names", "name string", "n int"))
+
+    def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
+        events = [e for x in rows for e in x.drop(columns=[self.m.key, "ts"]).to_dict("records")]
+        self.waiting.appendList([(float(e["at"]), json.dumps(e, default=lambda v: v.item())) for e in events])
+        self._wake(min(e["at"] for e in events), timerValues)
+        return iter(())
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+        passed = timerValues.getCurrentWatermarkInMs() / 1000
+        held = list(self.waiting.get())
+        now, later = [json.loads(e) for at, e in held if at <= passed], [x for x in held if x[0] > passed]
+        state = json.loads(self.held.get()[0]) if self.held.exists() else None
+        due = state is not None and self.m.due(state)
+        if not now and not (due and due <= passed):
+            return
+        rows, state = _feed(self.m, key[0], state, now, self.names, passed)
+        if now:
+            self.waiting.put(later) if later else self.waiting.clear()
         if state is None:
-            held.remove()
+            self.held.clear()
         else:
-            held.update((json.dumps(state),))
-            if (t := m.due(state)) is not None:
-                held.setTimeoutTimestamp(max(int(t * 1000), held.getCurrentWatermarkMs() + 1))
+            self.held.update((json.dumps(state),))
+        next_at = [x[0] for x in later] + ([t] if state is not None and (t := self.m.due(state)) is not None else [])
+        if next_at:
+            self._wake(min(next_at), timerValues)
         if rows:
-            yield pd.DataFrame(rows, columns=names)
+            yield pd.DataFrame(rows, columns=_columns(self.m))
+
+    def _wake(self, at: float, timerValues) -> None:
+        self.handle.registerTimer(max(math.ceil(at * 1000), timerValues.getCurrentWatermarkInMs() + 1))
 
-    return timed.groupBy(m.key).applyInPandasWithState(run, m.out, "state string", "append", GroupStateTimeout.EventTimeTimeout)
+
+def stream(events: DataFrame, m: Machine, delay: str = "1 hour", until: float | None = None) -> DataFrame:
+    """events(ts timestamp, at double seconds, ord, key, ...) as a stream -> the machine's rows, append mode. Events without a
+    time are left out. Events after ``until`` only move the watermark."""
+    timed = events.where(F.col("ts").isNotNull()).withWatermark("ts", delay)
+    if until is not None:
+        timed = timed.where(F.unix_micros("ts") / 1e6 <= until)
+    return timed.groupBy(m.key).transformWithStateInPandas(_Ordered(m), m.out, "append", "eventTime")
 
 
 def batch(events: DataFrame, m: Machine, upto: float | None = None) -> DataFrame:
     """The same rows from a bounded table; machines due by ``upto`` fire at the end."""
-    names = _names(m)
+    names = _columns(m)
 
     def run(key: tuple, df: pd.DataFrame) -> pd.DataFrame:
-        rows, state = _feed(m, key[0], None, df)
-        while state is not None and upto is not None and (t := m.due(state)) is not None and t <= upto:
-            out, state = m.fire(state)
-            rows += [(key[0], *o) for o in out]
-        return pd.DataFrame(rows, columns=names)
+        return pd.DataFrame(_feed(m, key[0], None, df.to_dict("records"), Names(), upto)[0], columns=names)
 
     return events.groupBy(m.key).applyInPandas(run, m.out)
 
 
+def run_stream(spark: SparkSession, writer) -> None:
+    """Run to the end of what is there, with state in RocksDB."""
+    name = "spark.sql.streaming.stateStore.providerClass"
+    before = spark.conf.get(name, None)
+    spark.conf.set(name, ROCKSDB)
+    try:
+        writer.trigger(availableNow=True).start().awaitTermination()
+    finally:
+        spark.conf.unset(name) if before is None else spark.conf.set(name, before)
+
+
 def written(spark: SparkSession, df: DataFrame, folder: str) -> DataFrame:
     """Run a stream over all that is there into Parquet and read it."""
-    q = df.writeStream.format("parquet").option("path", f"{folder}/out").option("checkpointLocation", f"{folder}/state").trigger(availableNow=True).start()
-    q.awaitTermination()
+    run_stream(spark, df.writeStream.format("parquet").option("path", f"{folder}/out").option("checkpointLocation", f"{folder}/state"))
     return spark.read.schema(df.schema).parquet(f"{folder}/out")
 
 
+def divert_late(events: DataFrame, folder: str, delay_s: float = 3600):
+    """A writer that puts events(ts, at, ...) into ``folder``/in_time and ``folder``/late. An event is late if it is more than
+    delay_s behind the newest one of all micro-batches before its own; late rows have that mark beside them. A stream over
+    in_time with that delay loses none. Each micro-batch writes folders of its own, the newest time last, so one that is run
+    again after a failure replaces what it wrote."""
+    spark = events.sparkSession
+
+    def put(part: DataFrame, no: int) -> None:
+        marks = spark.read.schema("newest double, batch long").option("recursiveFileLookup", "true").parquet(f"{folder}/marks") if no else None
+        mark = marks.where(F.col("batch") < no).agg(F.max("newest")).first()[0] if no else None
+        part = part.persist()
+        try:
+            late = F.col("at") < mark - delay_s if mark is not None else F.lit(False)
+            for name, rows in (("in_time", part.where(~F.coalesce(late, F.lit(False)))), ("late", part.where(late).withColumn("mark", F.lit(mark).cast("double")))):
+                rows.write.mode("overwrite").parquet(f"{folder}/{name}/batch={no}")
+            newest = part.agg(F.max("at").alias("newest"), F.lit(no).cast("long").alias("batch"))
+            newest.coalesce(1).write.mode("overwrite").parquet(f"{folder}/marks/batch={no}")
+        finally:
+            part.unpersist()
+
+    return events.writeStream.foreachBatch(put).option("checkpointLocation", f"{folder}/divert")
+
+
 # --- the machines -----------------------------------------------------------------------------------------------------
 
 
 def hold_lifecycle(ttl_s: float = 48 * 3600) -> Machine:
     """Events kind create (amount = estimate), accrue (job, amount, ok), commit. Creating twice or accruing a job twice
-    changes nothing; a hold is committed on request or after its time to live. An open hold keeps the ids of its jobs."""
+    changes nothing; a hold is committed on request or after its time to live. The jobs of an open hold are its names."""
 
-    def close(s: State, at: float, how: str) -> tuple[list[tuple], State | None]:
-        used = sum(s["jobs"].values())
-        return [(how, s["estimated"], used, max(0, s["estimated"] - used), len(s["jobs"]), at)], {**s, "closed": True, "jobs": {}}
+    def close(s: State, at: float, how: str, names: Names) -> tuple[list[tuple], State | None]:
+        names.clear()
+        return [(how, s["estimated"], s["used"], max(0, s["estimated"] - s["used"]), s["jobs"], at)], {**s, "closed": True}
 
-    def step(s: State | None, e: Event):
+    def step(s: State | None, e: Event, names: Names):
         if s is None:
-            return [], {"estimated": int(e["amount"]), "since": e["at"], "jobs": {}, "closed": False} if e["kind"] == "create" else None
+            return [], {"estimated": int(e["amount"]), "since": e["at"], "used": 0, "jobs": 0, "closed": False} if e["kind"] == "create" else None
         if s["closed"] or e["kind"] == "create":
             return [], s
         if e["kind"] == "commit":
-            return close(s, e["at"], "committed")
-        job = str(e["job"])
-        if e["ok"] and job not in s["jobs"]:
-            s["jobs"][job] = int(e["amount"])
+            return close(s, e["at"], "committed", names)
+        if e["ok"] and names.add(str(e["job"])):
+            s = {**s, "used": s["used"] + int(e["amount"]), "jobs": s["jobs"] + 1}
         return [], s
 
     return Machine(
         "hold_id", "hold_id long, status string, estimated long, used long, remaining long, jobs long, at double", step,
-        lambda s: None if s["closed"] else s["since"] + ttl_s, lambda s: close(s, s["since"] + ttl_s, "expired"),
+        lambda s: None if s["closed"] else s["since"] + ttl_s, lambda s, names: close(s, s["since"] + ttl_s, "expired", names),
     )
 
 
 def deferred_grant(wait_s: float, amount: int) -> Machine:
     """One grant, wait_s after a key is first seen."""
 
-    def step(s: State | None, e: Event):
+    def step(s: State | None, e: Event, names: Names):
         return [], s or {"since": e["at"], "done": False}
 
     return Machine(
         "fingerprint", "fingerprint string, amount long, at double", step,
-        lambda s: None if s["done"] else s["since"] + wait_s, lambda s: ([(amount, s["since"] + wait_s)], {**s, "done": True}),
+        lambda s: None if s["done"] else s["since"] + wait_s, lambda s, names: ([(amount, s["since"] + wait_s)], {**s, "done": True}),
     )
 
 
 def payment(ttl_s: float) -> Machine:
     """Orders: pending, expired after ttl_s; a payment wins even late; a wrong amount gives an audit row."""
 
-    def step(s: State | None, e: Event):
+    def step(s: State | None, e: Event, names: Names):
         s = s or {"due": e["at"] + ttl_s, "want": None, "status": "pending"}
         if e["kind"] == "create":
             return [], {**s, "want": int(e["amount"])} if s["want"] is None else s
@@ -154,14 +250,14 @@ def payment(ttl_s: float) -> Machine:
 
     return Machine(
         "order_code", "order_code long, status string, at double", step,
-        lambda s: s["due"] if s["status"] == "pending" else None, lambda s: ([("expired", s["due"])], {**s, "status": "expired"}),
+        lambda s: s["due"] if s["status"] == "pending" else None, lambda s, names: ([("expired", s["due"])], {**s, "status": "expired"}),
     )
 
 
 def sliding_quota(window_s: float = 60, most: int = 30, spacing_s: float = 0.5) -> Machine:
     """A verdict per request: allowed if fewer than ``most`` were allowed in the window and the last is spacing_s ago."""
 
-    def step(s: State | None, e: Event):
+    def step(s: State | None, e: Event, names: Names):
         times = [t for t in (s or {"t": []})["t"] if t > e["at"] - window_s]
         ok = len(times) < most and (not times or e["at"] - times[-1] >= spacing_s)
         return [(int(e["ord"]), ok)], {"t": [*times, e["at"]] if ok else times}
@@ -172,7 +268,7 @@ def sliding_quota(window_s: float = 60, most: int = 30, spacing_s: float = 0.5)
 def throttle(least_s: float = 0.1) -> Machine:
     """Progress ticks of a key within least_s of the last one passed are dropped, except state changes and final ticks."""
 
-    def step(s: State | None, e: Event):
+    def step(s: State | None, e: Event, names: Names):
         new = s is None or s["kind"] != e["kind"] or bool(e["final"]) or e["at"] - s["at"] >= least_s
         return ([(int(e["ord"]), e["kind"])], {"at": e["at"], "kind": e["kind"]}) if new else ([], s)
 
@@ -183,7 +279,7 @@ def concurrency(start: int = 4, most: int = 16, streak: int = 3, cooldown_s: flo
     """Recommended connections of a host: one more after ``streak`` good transfers that keep ``guard`` of the best speed,
     half after a bad one, at most one change in cooldown_s."""
 
-    def step(s: State | None, e: Event):
+    def step(s: State | None, e: Event, names: Names):
         s = s or {"n": start, "good": 0, "best": 0.0, "changed": -1e18}
         n, good, best, changed = s["n"], s["good"], max(s["best"], e["speed"]), s["changed"]
         free = e["at"] - changed >= cooldown_s
@@ -203,7 +299,7 @@ def concurrency(start: int = 4, most: int = 16, streak: int = 3, cooldown_s: flo
 def rolling_health(newest: int = 50) -> Machine:
     """Health of a host after each transfer, on its newest ones."""
 
-    def step(s: State | None, e: Event):
+    def step(s: State | None, e: Event, names: Names):
         last = [*(s or {"l": []})["l"], [int(e["ok"]), int(e["limited"])]][-newest:]
         rate = 100.0 * sum(a for a, _ in last) / len(last) - 10 * sum(b for _, b in last)
         return [(int(e["ord"]), max(0.0, min(100.0, rate)))], {"l": last}
@@ -214,7 +310,7 @@ def rolling_health(newest: int = 50) -> Machine:
 def online_eta(samples: int = 3) -> Machine:
     """Seconds left of a job by the pace since its first tick; 0 until there are enough samples."""
 
-    def step(s: State | None, e: Event):
+    def step(s: State | None, e: Event, names: Names):
         s = s or {"since": e["at"]}
         cur, total, spent = int(e["current"]), int(e["total"]), e["at"] - s["since"]
         eta = 0.0 if cur < samples or total <= cur or spent <= 0 else spent / cur * (total - cur)
@@ -233,13 +329,40 @@ def daily_usage(events: DataFrame, delay: str = "1 hour") -> DataFrame:
     return per.select(F.date_format("window.start", "yyyy-MM-dd").alias("day"), "action", "requests", "sentences", "credit")
 
 
-def reconcile_changes(ledger: DataFrame, devices: DataFrame, history: DataFrame, folder: str):
-    """foreachBatch: after each micro-batch the wallets it touched are reconciled against the whole ledger."""
-    from ..operators.accounts import reconcile
+class _Drift(StatefulProcessor):
+    """A wallet's running sum and its last difference from the balance; a row whenever the difference changes."""
+
+    def init(self, handle) -> None:
+        self.held = handle.getValueState("sum", "total long, told boolean, diff long")
+
+    def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
+        total, told, last = self.held.get() if self.held.exists() else (0, False, None)
+        balance = None
+        for x in rows:
+            total += int(x["delta"].fillna(0).sum())
+            balance = x["balance"].iloc[-1]
+        balance = None if pd.isna(balance) else int(balance)
+        diff = None if balance is None else balance - total
+        new = diff != last if told else diff != 0
+        self.held.update((total, told or new, diff if new else last))
+        if new:
+            yield pd.DataFrame({"fingerprint": [key[0]], "balance": pd.array([balance], "Int64"), "ledger_sum": [total], "diff": pd.array([diff], "Int64")})
+
+
+def reconcile_changes(ledger: DataFrame, devices: DataFrame, folder: str):
+    """A writer of changes of drift: ledger(fingerprint, delta) as a stream, devices(fingerprint, balance) as a table. The sum of
+    a wallet is kept in state, so a micro-batch reads its own rows only. A row (batch, fingerprint, balance, ledger_sum, diff)
+    tells a new difference, 0 when it has gone, null when there is no balance. A micro-batch that is run again replaces its rows."""
+    met = ledger.select("fingerprint", "delta").join(devices.select("fingerprint", F.col("balance").cast("long").alias("balance")), "fingerprint", "left")
+    drift = met.groupBy("fingerprint").transformWithStateInPandas(_Drift(), "fingerprint string, balance long, ledger_sum long, diff long", "update", "none")
+
+    def put(part: DataFrame, no: int) -> None:
+        part.write.mode("overwrite").parquet(f"{folder}/drift/batch={no}")
+
+    return drift.writeStream.outputMode("update").foreachBatch(put).option("checkpointLocation", f"{folder}/state")
 
-    def check(part: DataFrame, no: int) -> None:
-        touched = part.select("fingerprint").distinct()
-        drift = reconcile(devices.join(touched, "fingerprint", "left_semi"), history.join(touched, "fingerprint", "left_semi"))
-        drift.withColumn("batch", F.lit(no)).write.mode("append").parquet(f"{folder}/drift")
 
-    return ledger.writeStream.foreachBatch(check).option("checkpointLocation", f"{folder}/state").trigger(availableNow=True)
+def open_drift(spark: SparkSession, folder: str) -> DataFrame:
+    """The last difference of each wallet, where there is one."""
+    told = spark.read.parquet(f"{folder}/drift").groupBy("fingerprint").agg(F.max_by(F.struct("balance", "ledger_sum", "diff"), "batch").alias("r"))
+    return told.select("fingerprint", "r.*").where(~F.col("diff").eqNullSafe(F.lit(0)))

@@ -3,6 +3,7 @@
 import json
 import random
 import re
+import time
 from difflib import SequenceMatcher
 
 import numpy as np
@@ -411,7 +412,7 @@ def test_slots_of_the_last_segment(spark):
 def test_streams_agree_with_their_batch_twins(name, spark, sf):
     machine, shape = streams.MACHINES[name]
     events = streams.shaped(views.base(spark, sf, "events"))
-    seen = events.agg(F.max("at")).first()[0] - 3600  # where the watermark ends up
+    seen = events.agg(F.max("at")).first()[0]  # where the closing mark moves the watermark
     twin = machines.batch(shape(events), machine, seen)
     got = registry.queries()[name](spark, sf)
     assert got.columns == twin.columns
@@ -459,3 +460,76 @@ def test_acoustic_confidence(spark):
     ]
     empty = [r for r in media.acoustic_align(frames, segs_).where("word IS NULL").collect()]
     assert [(r["confidence_pct"], r["method"]) for r in empty] == [(0, "acoustic_empty")] * 2
+
+
+LATE_CASES = {
+    # events as (at, ord, other columns), in an order of arrival that would change the rows if it decided
+    "quota": (machines.sliding_quota(60, 1, 0.5), "fingerprint string", [(10, 2, "a"), (1, 1, "a"), (100, 3, "a")], {("a", 1, True), ("a", 2, False), ("a", 3, True)}),
+    "grant": (machines.deferred_grant(50, 7), "fingerprint string", [(40, 2, "a"), (5, 1, "a"), (300, 3, "b")], {("a", 7, 55.0), ("b", 7, 350.0)}),
+    "payment": (
+        machines.payment(900), "order_code long, kind string, amount long",
+        [(20, 2, 1, "pay", 7), (10, 1, 1, "create", 5), (30, 3, 1, "pay", 5), (2000, 4, 2, "create", 1)], {(1, "mismatch", 20.0), (1, "paid", 30.0), (2, "expired", 2900.0)},
+    ),
+    "hold": (
+        machines.hold_lifecycle(500), "hold_id long, kind string, job long, amount long, ok boolean",
+        [(30, 4, 1, "commit", 0, 0, True), (20, 3, 1, "accrue", 8, 30, True), (20, 2, 1, "accrue", 8, 99, False), (10, 1, 1, "create", 0, 50, True), (25, 5, 1, "accrue", 8, 4, True)],
+        {(1, "committed", 50, 30, 20, 1, 30.0)},
+    ),
+}
+
+
+@pytest.mark.parametrize("name", sorted(LATE_CASES))
+def test_late_events_change_nothing(name, spark, tmp_path):
+    machine, cols, rows, want = LATE_CASES[name]
+    schema = f"at double, ord long, {cols}"
+    mark = (90_000.0, 99, *[None] * (len(rows[0]) - 2))
+    for i, r in enumerate([*rows, mark]):  # every event is a micro-batch
+        df = spark.createDataFrame([(float(r[0]), *r[1:])], schema).withColumn("ts", F.timestamp_micros((F.col("at") * 1e6).cast("long")))
+        df.coalesce(1).write.mode("append").parquet(f"{tmp_path}/in")
+        kind = df.schema
+        time.sleep(0.01)
+    live = spark.readStream.schema(kind).option("maxFilesPerTrigger", 1).parquet(f"{tmp_path}/in")
+    got = machines.written(spark, machines.stream(live, machine, "1 hour", 80_000), f"{tmp_path}/run").collect()
+    assert {tuple(r) for r in got} == want and len(got) == len(want)
+
+
+def test_a_hold_of_many_jobs(spark, tmp_path):
+    rows = [(0.5, 0, 1, "create", 0, 9, True)] + [(1.0 + i, 1 + i, 1, "accrue", i % 3000, 1, True) for i in range(6000)] + [(9000.0, 9999, 1, "commit", 0, 0, True), (20_000.0, 10_000, 2, "x", 0, 0, True)]
+    df = spark.createDataFrame(rows, "at double, ord long, hold_id long, kind string, job long, amount long, ok boolean").withColumn("ts", F.timestamp_micros((F.col("at") * 1e6).cast("long")))
+    df.repartition(3).write.parquet(f"{tmp_path}/in")
+    whole = spark.readStream.schema(df.schema).parquet(f"{tmp_path}/in")
+    done = machines.written(spark, machines.stream(whole, machines.hold_lifecycle(), "1 hour", 19_000), f"{tmp_path}/whole").collect()
+    assert [tuple(r) for r in done] == [(1, "committed", 9, 3000, 0, 3000, 9000.0)]
+
+
+def test_drift_is_told_once_and_again_when_it_changes(spark, tmp_path):
+    parts = [[("a", 5), ("b", 1)], [("a", 1)], [("a", -1), ("c", 2)], [("a", 0)], [("b", 2)]]
+    for p in parts:
+        spark.createDataFrame(p, "fingerprint string, delta long").coalesce(1).write.mode("append").parquet(f"{tmp_path}/in")
+        time.sleep(0.01)
+    live = spark.readStream.schema("fingerprint string, delta long").option("maxFilesPerTrigger", 1).parquet(f"{tmp_path}/in")
+    devices = spark.createDataFrame([("a", 5), ("b", 4), ("c", None)], "fingerprint string, balance long")
+    machines.run_stream(spark, machines.reconcile_changes(live, devices, str(tmp_path)))
+    told = sorted(map(tuple, spark.read.parquet(f"{tmp_path}/drift").select("batch", "fingerprint", "diff").collect()))
+    assert told == [(0, "b", 3), (1, "a", -1), (2, "a", 0), (2, "c", None), (4, "b", 1)]
+    assert sorted(map(tuple, machines.open_drift(spark, str(tmp_path)).collect())) == [("b", 4, 3, 1), ("c", None, 2, None)]
+
+
+def test_late_rows_have_a_table(spark, tmp_path):
+    parts = [[(1, 10.0)], [(2, 5000.0), (3, 3000.0)], [(4, 1399.0), (5, 1400.0), (6, None)], [(7, 9000.0)], [(8, 5000.0)]]
+    for p in parts:
+        spark.createDataFrame(p, "event_id long, at double").coalesce(1).write.mode("append").parquet(f"{tmp_path}/in")
+        time.sleep(0.01)
+    live = spark.readStream.schema("event_id long, at double").option("maxFilesPerTrigger", 1).parquet(f"{tmp_path}/in")
+    machines.run_stream(spark, machines.divert_late(live, str(tmp_path), 3600))
+    late = spark.read.parquet(f"{tmp_path}/late").select("event_id", "batch", "mark").collect()
+    assert {tuple(r) for r in late} == {(4, 2, 5000.0), (8, 4, 9000.0)}
+    assert {r["event_id"] for r in spark.read.parquet(f"{tmp_path}/in_time").collect()} == {1, 2, 3, 5, 6, 7}
+
+
+def test_a_null_balance_is_drift(spark):
+    from cuesheet.operators import accounts
+
+    devices = spark.createDataFrame([("a", None), ("b", 3)], "fingerprint string, balance long")
+    ledger = spark.createDataFrame([("a", 3), ("b", 3)], "fingerprint string, delta long")
+    assert [tuple(r) for r in accounts.reconcile(devices, ledger).collect()] == [("a", None, 3, None)]
