@@ -8,7 +8,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .folds import fold
+from .folds import carried
 
 
 def total(c: Column | str) -> Column:
@@ -111,12 +111,14 @@ def replay_ledger(requests: DataFrame) -> DataFrame:
     the balance is denied, and denials feed back into the balance. One row per counted request."""
     first = Window.partitionBy("fingerprint", "idempotency_key").orderBy("event_id")
     kept = requests.withColumn("_rn", F.row_number().over(first)).where(F.col("_rn") == 1)
-    return fold(
-        kept, ["fingerprint"], ["event_id"], ["event_id", "delta"],
-        {"balance": F.lit(0).cast("long")},
-        lambda acc, x: {"balance": F.when(acc["balance"] + x["delta"] >= 0, acc["balance"] + x["delta"]).otherwise(acc["balance"])},
-        lambda acc, x: {"event_id": x["event_id"], "accepted": acc["balance"] + x["delta"] >= 0},
-    )
+
+    def step(balance: int, x: tuple, _) -> tuple[int, tuple]:
+        event, delta = x
+        after = balance + (delta or 0)
+        held = after if after >= 0 else balance
+        return held, (held, event, None if delta is None else after >= 0)
+
+    return carried(kept, ["fingerprint"], ["event_id"], ["event_id", "delta"], "balance long, event_id long, accepted boolean", lambda: 0, step)
 
 
 def ip_recent(devices: DataFrame, seconds: int = 86_400, cap: int = 3) -> DataFrame:

@@ -42,16 +42,29 @@ def match_ocr(asr: DataFrame, ocr: DataFrame, least_ms: int = 200) -> DataFrame:
     return overlap_join(asr, ocr, ["media_id"], (shared_ms() >= least_ms) | touch).withColumn("overlap_ms", F.greatest(F.lit(0).cast("long"), shared_ms()))
 
 
-def asof(left: DataFrame, points: DataFrame, key: list[str], t: str, p: str, back: str = "before", ahead: str = "after") -> DataFrame:
-    """left with the last point <= t and the first point > t, by union and window: no inequality join."""
-    tagged = left.withColumns({"_t": F.col(t), "_kind": F.lit(1), "_p": F.lit(None).cast("long")})
-    marks = points.select(*key, F.col(p).alias("_t"), F.lit(0).alias("_kind"), F.col(p).cast("long").alias("_p"))
-    both = tagged.unionByName(marks, allowMissingColumns=True)
-    w = Window.partitionBy(*key).orderBy("_t", "_kind")
-    told = both.withColumns(
-        {back: F.last("_p", True).over(w.rowsBetween(Window.unboundedPreceding, 0)), ahead: F.first("_p", True).over(w.rowsBetween(1, Window.unboundedFollowing))}
-    )
-    return told.where("_kind = 1").drop("_t", "_kind", "_p")
+def _around(rows: DataFrame, marks: DataFrame, key: list[str], back: str, ahead: str, bin_ms: int) -> DataFrame:
+    """rows(key, _t, ...) with the last mark(key, _t, _v) at or before _t and the first one after it. Rows and marks meet in time
+    bins, by a running window in either direction; what lies beyond a bin comes from a scan over one row a bin. So a key is
+    spread over its bins, and the work is linear in its rows. A null key or time meets nothing."""
+    both = rows.withColumns({"_kind": F.lit(1), "_v": F.lit(None).cast(marks.schema["_v"].dataType)})
+    both = both.unionByName(marks.where(F.col("_t").isNotNull()).withColumn("_kind", F.lit(0)), allowMissingColumns=True).withColumn("_bin", F.floor(F.col("_t") / bin_ms))
+    inside, whole = Window.partitionBy(*key, "_bin"), Window.partitionBy(*key)
+    up, down = inside.orderBy("_t", "_kind"), inside.orderBy(F.desc("_t"), F.desc("_kind"))
+    upto = (Window.unboundedPreceding, 0)
+    local = both.withColumn("_back", F.last("_v", True).over(up.rowsBetween(*upto))).withColumn("_ahead", F.last("_v", True).over(down.rowsBetween(*upto)))
+    at = F.when(F.col("_kind") == 0, F.col("_t"))
+    bins = both.groupBy(*key, "_bin").agg(F.max_by("_v", at).alias("_last"), F.min_by("_v", at).alias("_first"))
+    earlier, later = (whole.orderBy(o).rowsBetween(Window.unboundedPreceding, -1) for o in (F.asc("_bin"), F.desc("_bin")))
+    beyond = bins.select(*key, "_bin", F.last("_last", True).over(earlier).alias("_before"), F.last("_first", True).over(later).alias("_after"))
+    told = local.where("_kind = 1").join(beyond, [*key, "_bin"], "left")
+    found = told.withColumns({back: F.coalesce("_back", "_before"), ahead: F.coalesce("_ahead", "_after")})
+    return found.select(*[c for c in rows.columns], back, ahead)
+
+
+def asof(left: DataFrame, points: DataFrame, key: list[str], t: str, p: str, back: str = "before", ahead: str = "after", bin_ms: int = BIN_MS) -> DataFrame:
+    """left with the last point <= t and the first point > t: no inequality join."""
+    marks = points.select(*key, F.col(p).cast("long").alias("_t"), F.col(p).cast("long").alias("_v"))
+    return _around(left.withColumn("_t", F.col(t)), marks, key, back, ahead, bin_ms).drop("_t")
 
 
 def snap_to_cuts(segs: DataFrame, cuts: DataFrame) -> DataFrame:
@@ -67,24 +80,20 @@ def snap_to_cuts(segs: DataFrame, cuts: DataFrame) -> DataFrame:
     return two.withColumn("new_end_ms", F.when(pull, F.col("before") - 20).otherwise(F.col("end_ms"))).drop("before")
 
 
-def nearest(points: DataFrame, targets: DataFrame, key: list[str], t: str, tolerance_ms: int | None = None) -> DataFrame:
+def nearest(points: DataFrame, targets: DataFrame, key: list[str], t: str, tolerance_ms: int | None = None, bin_ms: int = BIN_MS) -> DataFrame:
     """points(key, t) with the target(key, target_id, at_ms) nearest in time; ties take the lower id. Only the nearest on
     either side can win, so two running windows are enough whatever the distances."""
-    tag = points.withColumns({"_t": F.col(t), "_kind": F.lit(1), "_s": F.lit(None).cast("struct<at:bigint,id:bigint>")})
     at, rid = F.col("at_ms").cast("long"), F.col("target_id").cast("long")
-    firsts = targets.groupBy(*key, at.alias("at_ms")).agg(F.min(rid).alias("target_id"))
-    mark = firsts.select(*key, F.col("at_ms").alias("_t"), F.lit(0).alias("_kind"), F.struct(F.col("at_ms").alias("at"), F.col("target_id").alias("id")).alias("_s"))
-    both = tag.unionByName(mark, allowMissingColumns=True)
-    w = Window.partitionBy(*key).orderBy("_t", "_kind")
-    near = both.withColumns(
-        {"_b": F.last("_s", True).over(w.rowsBetween(Window.unboundedPreceding, 0)), "_a": F.first("_s", True).over(w.rowsBetween(0, Window.unboundedFollowing))}
-    ).where("_kind = 1")
+    firsts = targets.groupBy(*key, at.alias("_t")).agg(F.min(rid).alias("id"))
+    marks = firsts.select(*key, "_t", F.struct(F.col("_t").alias("at"), "id").alias("_v"))
+    near = _around(points.withColumn("_t", F.col(t)), marks, key, "_b", "_a", bin_ms)
+
     def way(c: str) -> Column:
         return F.when(F.col(c).isNotNull(), F.struct(F.abs(F.col(c)["at"] - F.col("_t")).alias("distance_ms"), F.col(c)["id"].alias("target_id")))
 
     best = near.withColumn("_best", F.least(way("_b"), way("_a")))
     ok = F.col("_best.distance_ms") <= tolerance_ms if tolerance_ms is not None else F.lit(True)
-    return best.withColumns({"target_id": F.when(ok, F.col("_best.target_id")), "distance_ms": F.when(ok, F.col("_best.distance_ms"))}).drop("_t", "_kind", "_s", "_a", "_b", "_best")
+    return best.withColumns({"target_id": F.when(ok, F.col("_best.target_id")), "distance_ms": F.when(ok, F.col("_best.distance_ms"))}).drop("_t", "_a", "_b", "_best")
 
 
 def uncovered(chunks: DataFrame, segs: DataFrame, share: float = 0.5) -> DataFrame:
@@ -115,10 +124,10 @@ def union_intervals(rows: DataFrame, key: list[str], margin_ms: int = 0, limit:
 
 def envelope(frames: DataFrame, buckets: int, full: float) -> DataFrame:
     """Per media ``buckets`` peaks of |amp| over full scale, clipped to 0..1; empty buckets are 0."""
-    n = F.count("*").over(Window.partitionBy("media_id"))
-    dealt = frames.withColumn("bucket", F.floor(F.col("idx") * buckets / n))
+    sizes = frames.groupBy("media_id").agg(F.count("*").alias("_n"))
+    dealt = frames.join(sizes, "media_id").withColumn("bucket", F.floor(F.col("idx") * buckets / F.col("_n")))
     peaks = dealt.groupBy("media_id", "bucket").agg(F.max(F.abs("amp")).alias("peak"))
-    spine = frames.select("media_id").distinct().withColumn("bucket", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(buckets - 1).cast("long"))))
+    spine = sizes.select("media_id").withColumn("bucket", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(buckets - 1).cast("long"))))
     return spine.join(peaks, ["media_id", "bucket"], "left").withColumn("peak", F.least(F.lit(1.0), F.coalesce(F.col("peak") / full, F.lit(0.0))))
 
 

@@ -215,7 +215,8 @@ def fill_embeddings(prints: DataFrame) -> DataFrame:
     w = Window.partitionBy("media_id").orderBy("seg_id")
     n = prints.withColumn("rn", F.row_number().over(w))
     mark = F.when(F.col("embedding").isNotNull(), F.struct("rn", "embedding"))
-    both = n.withColumns({"b": F.last(mark, True).over(w), "a": F.first(mark, True).over(w.rowsBetween(0, Window.unboundedFollowing))})
+    down = Window.partitionBy("media_id").orderBy(F.desc("rn"))  # a frame up to the current row is worked out once for all
+    both = n.withColumn("b", F.last(mark, True).over(w)).withColumn("a", F.last(mark, True).over(down))
     earlier = F.col("b").isNotNull() & (F.col("a").isNull() | (F.col("rn") - F.col("b.rn") <= F.col("a.rn") - F.col("rn")))
     return both.select("media_id", "seg_id", F.when(earlier, F.col("b.embedding")).otherwise(F.col("a.embedding")).alias("embedding"), F.when(earlier, F.col("b.rn")).otherwise(F.col("a.rn")).alias("from_rn"))
 

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -10,64 +12,49 @@ from . import folds, intervals
 L = "long"
 
 
-def deoverlap(segs: DataFrame, least_ms: int = 100) -> DataFrame:
-    """A start before the end of the last segment moves there; every segment lasts least_ms; numbered anew."""
-    def place(acc: Column, x: Column) -> tuple[Column, Column]:
-        s = F.greatest(F.lit(0).cast(L), x["start_ms"], acc["last_end"])
-        e = F.greatest(x["end_ms"], F.greatest(F.lit(0).cast(L), x["start_ms"]) + least_ms)
-        return s, F.when(s > F.greatest(F.lit(0).cast(L), x["start_ms"]), F.greatest(e, s + least_ms)).otherwise(e)
-
-    return folds.fold(
-        segs, ["media_id"], ["start_ms", "seg_id"], ["seg_id", "start_ms", "end_ms"],
-        {"last_end": F.lit(0).cast(L), "n": F.lit(0).cast(L)},
-        lambda acc, x: {"last_end": place(acc, x)[1], "n": acc["n"] + 1},
-        lambda acc, x: {"seg_id": x["seg_id"], "start_ms": place(acc, x)[0], "end_ms": place(acc, x)[1]},
-    ).select("media_id", "seg_id", F.col("n").alias("new_id"), "start_ms", "end_ms")
+def deoverlap(segs: DataFrame, least_ms: int = 100, block_ms: int = 600_000) -> DataFrame:
+    """A start before the end of the last segment moves there; every segment lasts least_ms; numbered anew. An end is the
+    greatest of its own and the end before plus least_ms, so all ends are one running maximum."""
+    start = F.greatest(F.lit(0).cast(L), F.col("start_ms"))
+    own = F.greatest(F.col("end_ms"), start + least_ms)
+    done = folds.running_max(segs.select("media_id", "seg_id", "start_ms", "end_ms"), ["media_id"], "start_ms", ["seg_id"], own, least_ms, "_end", block_ms)
+    # the end before is this end less least_ms, unless the own end is later: then it is looked up by place
+    w = Window.partitionBy("media_id", F.floor(F.col("_n") / 4096)).orderBy("_n")
+    edge = done.where(F.col("_n") % 4096 == 4095).select("media_id", (F.col("_n") + 1).alias("_n"), F.col("_end").alias("_edge"))
+    told = done.withColumn("_prev", F.lag("_end").over(w)).join(edge, ["media_id", "_n"], "left").withColumn("_prev", F.coalesce("_prev", "_edge", F.lit(0).cast(L)))
+    return told.select("media_id", "seg_id", F.col("_n").cast(L).alias("new_id"), F.greatest(start, "_prev").alias("start_ms"), F.col("_end").alias("end_ms"))
 
 
 def repair_cues(cues: DataFrame, gap_ms: int = 10, least_ms: int = 200) -> DataFrame:
     """Cues in file order (``n``): one that runs into the next ends gap_ms before it; a next cue that starts within
     least_ms of this start is moved on first. The state is the cue's start and end as the cue before left them."""
-    nxt = Window.partitionBy("media_id").orderBy("n")
-    rows = cues.withColumns({"ns": F.lead("start_ms").over(nxt), "ne": F.lead("end_ms").over(nxt), "first": F.row_number().over(nxt) == 1})
-
-    def current(acc: Column, x: Column) -> tuple[Column, Column]:
-        return F.when(x["first"], x["start_ms"]).otherwise(acc["s"]), F.when(x["first"], x["end_ms"]).otherwise(acc["e"])
 
-    def following(acc: Column, x: Column) -> tuple[Column, Column, Column]:
-        s, e = current(acc, x)
-        hit = x["ns"].isNotNull() & (e > x["ns"] - gap_ms)
-        push = hit & (x["ns"] < s + least_ms)
-        ns = F.when(push, s + least_ms + gap_ms).otherwise(x["ns"])
-        ne = F.when(push, F.greatest(x["ne"], ns + least_ms)).otherwise(x["ne"])
-        return F.when(hit, F.least(e, ns - gap_ms)).otherwise(e), ns, ne
+    def step(held: tuple | None, x: tuple, nxt: tuple | None) -> tuple[tuple | None, tuple]:
+        n, s, e = x if held is None else (x[0], *held)
+        if nxt is None:
+            return None, (n, s, e)
+        _, ns, ne = nxt
+        if e <= ns - gap_ms:
+            return (ns, ne), (n, s, e)
+        if ns < s + least_ms:
+            ns = s + least_ms + gap_ms
+            ne = max(ne, ns + least_ms)
+        return (ns, ne), (n, s, min(e, ns - gap_ms))
 
-    return folds.fold(
-        rows, ["media_id"], ["n"], ["n", "start_ms", "end_ms", "ns", "ne", "first"],
-        {"s": F.lit(0).cast(L), "e": F.lit(0).cast(L)},
-        lambda acc, x: {"s": following(acc, x)[1], "e": following(acc, x)[2]},
-        lambda acc, x: {"n": x["n"], "start_ms": current(acc, x)[0], "end_ms": following(acc, x)[0]},
-    ).select("media_id", "n", "start_ms", "end_ms")
+    kinds = dict(cues.dtypes)
+    return folds.carried(cues.where("start_ms IS NOT NULL AND end_ms IS NOT NULL"), ["media_id"], ["n"], ["n", "start_ms", "end_ms"], f"n {kinds['n']}, start_ms long, end_ms long", lambda: None, step)
 
 
 def auto_split(segs: DataFrame, target_ms: int, gap_ms: int = 300) -> DataFrame:
     """Points in the middle of the first silence of gap_ms or more after each target length."""
-    w = Window.partitionBy("media_id").orderBy("start_ms", "seg_id")
-    rows = segs.withColumn("next_start", F.lead("start_ms").over(w))
 
-    def cut(acc: Column, x: Column) -> Column:
-        return F.coalesce((x["end_ms"] - acc["begin"] >= target_ms) & (x["next_start"] - x["end_ms"] >= gap_ms), F.lit(False))
+    def step(begin: int, x: tuple, nxt: tuple | None) -> tuple[int, tuple | None]:
+        if nxt is None or None in (x[1], nxt[0]) or x[1] - begin < target_ms or nxt[0] - x[1] < gap_ms:
+            return begin, None
+        point = (x[1] + nxt[0]) // 2
+        return point, (point,)
 
-    def point(x: Column) -> Column:
-        return F.floor((x["end_ms"] + x["next_start"]) / 2)
-
-    told = folds.fold(
-        rows, ["media_id"], ["start_ms", "seg_id"], ["start_ms", "end_ms", "next_start"],
-        {"begin": F.lit(0).cast(L)},
-        lambda acc, x: {"begin": F.when(cut(acc, x), point(x)).otherwise(acc["begin"])},
-        lambda acc, x: {"at_ms": F.when(cut(acc, x), point(x))},
-    )
-    return told.where("at_ms IS NOT NULL").select("media_id", "at_ms")
+    return folds.carried(segs, ["media_id"], ["start_ms", "seg_id"], ["start_ms", "end_ms"], "at_ms long", lambda: 0, step)
 
 
 def plan_bounds(markers: DataFrame, lengths: DataFrame, parts: int, least_ms: int) -> DataFrame:
@@ -100,65 +87,74 @@ def plan_bounds(markers: DataFrame, lengths: DataFrame, parts: int, least_ms: in
 DRIFT, GAP, TAIL, FLOOR, RESIDUAL, SPEED, WORTH = 150, 120, 2000, 300, 50, 1.15, 1.02
 
 
+def next_cuts(segs: DataFrame, cuts: DataFrame, most_ms: int) -> DataFrame:
+    """segs with ``soon``, the cuts after the start up to most_ms later (one for each millisecond at most), in order, and
+    ``later``, the first cut after those."""
+    key = ["media_id"]
+    starts = segs.select("media_id", "start_ms").distinct()
+    points = cuts.select("media_id", F.col("cut_ms").cast(L).alias("b_start_ms"), F.col("cut_ms").cast(L).alias("b_end_ms")).distinct()
+    reach = starts.withColumn("end_ms", F.col("start_ms") + most_ms)
+    hit = intervals.overlap_join(reach, points, key, (F.col("b_start_ms") > F.col("start_ms")) & (F.col("b_start_ms") <= F.col("end_ms")))
+    soon = hit.groupBy("media_id", "start_ms").agg(F.array_sort(F.collect_set("b_start_ms")).alias("soon"))
+    later = intervals.asof(reach, points.select("media_id", "b_start_ms"), key, "end_ms", "b_start_ms", "_before", "later").drop("_before", "end_ms")
+    return segs.join(later.join(soon, ["media_id", "start_ms"], "left"), ["media_id", "start_ms"], "left")
+
+
 def place_voices(segs: DataFrame, cuts: DataFrame) -> DataFrame:
     """segs(media_id, seg_id, start_ms, end_ms, slot_ms, dub_ms): where each dubbed clip starts and how fast it plays.
 
     A clip starts with its segment, or a gap after the clip before, at most DRIFT late. It may use the silence up to the
     next segment's start, but not beyond the next scene cut if enough room is left; a longer clip is played faster, up to
-    SPEED, and what still overruns is reported as overlap."""
-    w = Window.partitionBy("media_id").orderBy("start_ms", "seg_id")
-    rows = segs.withColumn("next_ms", F.lead("start_ms").over(w))
-    held = cuts.groupBy("media_id").agg(F.array_sort(F.collect_set(F.col("cut_ms").cast(L))).alias("cuts"))
-    rows = rows.join(held, "media_id", "left")
-
-    def plan(acc: Column, x: Column) -> dict[str, Column]:
-        natural, dur = x["start_ms"], x["dub_ms"]
-        late = F.when(dur > 0, F.greatest(natural, acc["prev_end"] + GAP)).otherwise(natural)
-        t = F.least(late, natural + DRIFT)
-        floor = F.greatest(F.lit(50).cast(L), F.least(x["slot_ms"], F.lit(FLOOR).cast(L)))
-        end = F.coalesce(x["next_ms"] - GAP, t + x["slot_ms"] + TAIL)
-        scene = F.array_min(F.filter(F.coalesce(x["cuts"], F.array().cast("array<bigint>")), lambda c: c > t)) - 20
-        end = F.when(scene >= t + floor, F.least(end, scene)).otherwise(end)
-        end = F.greatest(end, t + floor)
-        room = end - t
-        want = dur / room
-        tempo = F.when((dur > room) & (want >= WORTH), F.least(F.lit(SPEED), want)).otherwise(F.lit(1.0))
-        played = F.ceil(dur / tempo).cast(L)
-        return {"t": t, "room": room, "tempo": tempo, "played": played, "over": F.greatest(F.lit(0).cast(L), t + played - end)}
-
-    def emit(acc: Column, x: Column) -> dict[str, Column]:
-        p = plan(acc, x)
-        before = F.when(x["dub_ms"] > 0, F.greatest(F.lit(0).cast(L), acc["prev_end"] + GAP - p["t"])).otherwise(F.lit(0).cast(L))
-        return {
-            "seg_id": x["seg_id"], "place_ms": p["t"], "drift_ms": p["t"] - x["start_ms"], "room_ms": p["room"],
-            "tempo": p["tempo"], "overrun_ms": p["over"], "overlap_prev_ms": before,
-            "needs_compaction": p["over"] > RESIDUAL,
-        }
-
-    return folds.fold(
-        rows, ["media_id"], ["start_ms", "seg_id"], ["seg_id", "start_ms", "slot_ms", "dub_ms", "next_ms", "cuts"],
-        {"prev_end": F.lit(-1_000_000).cast(L)},
-        lambda acc, x: {"prev_end": F.when(x["dub_ms"] > 0, F.greatest(acc["prev_end"], plan(acc, x)["t"] + plan(acc, x)["played"])).otherwise(acc["prev_end"])},
-        emit,
-    ).drop("prev_end")
+    SPEED, and what still overruns is reported as overlap. A clip moves by DRIFT at most, so a row carries the cuts of that
+    span and the first one after it. The state is the end of the last voice. A null length is no voice."""
+
+    def step(prev: int, x: tuple, nxt: tuple | None) -> tuple[int, tuple]:
+        seg, start, slot, dub, soon, later = x
+        dub = dub or 0
+        t = min(max(start, prev + GAP), start + DRIFT) if dub > 0 else start
+        floor = max(50, min(slot, FLOOR))
+        end = nxt[1] - GAP if nxt is not None else t + slot + TAIL
+        scene = next((c for c in soon or () if c > t), later)
+        if scene is not None and scene - 20 >= t + floor:
+            end = min(end, scene - 20)
+        room = max(end, t + floor) - t
+        tempo = min(SPEED, dub / room) if dub > room and dub / room >= WORTH else 1.0
+        played = math.ceil(dub / tempo)
+        over = max(0, played - room)
+        told = seg, t, t - start, room, tempo, over, max(0, prev + GAP - t) if dub > 0 else 0, over > RESIDUAL
+        return max(prev, t + played) if dub > 0 else prev, told
+
+    out = f"seg_id {dict(segs.dtypes)['seg_id']}, place_ms long, drift_ms long, room_ms long, tempo double, overrun_ms long, overlap_prev_ms long, needs_compaction boolean"
+    known = next_cuts(segs.where("start_ms IS NOT NULL AND slot_ms IS NOT NULL"), cuts, DRIFT)
+    return folds.carried(known, ["media_id"], ["start_ms", "seg_id"], ["seg_id", "start_ms", "slot_ms", "dub_ms", "soon", "later"], out, lambda: -1_000_000, step)
 
 
 def highlight_candidates(segs: DataFrame, keywords: list[str], least_ms: int = 25_000, most_ms: int = 65_000, speaker: str = "speaker") -> DataFrame:
-    """From each segment on, the first end that makes least_ms; kept up to most_ms; scored by distinct keywords, changes
-    of speaker and words per second. A forward as-of join finds the last segment, a range join its texts."""
+    """From each segment on, the first of it and those after it that ends least_ms after its start; kept if that is at most
+    most_ms after it; scored by distinct keywords, changes of speaker and words per second of all segments between.
+
+    The last segment is one that lasts over the moment least_ms after the start, or else the first to start then: a point join
+    and an as-of join. Changes are counted between known speakers, and only if the first segment's is known."""
     key = ["media_id"]
     w = Window.partitionBy(*key).orderBy("start_ms", "seg_id")
-    rows = segs.withColumns({"rn": F.row_number().over(w), "changes": F.coalesce((F.col(speaker) != F.lag(speaker).over(w)).cast("int"), F.lit(0))})
+    known = F.when(F.col(speaker) != "", F.col(speaker))
+    rows = segs.withColumn("_known", known).withColumn("_last", F.last("_known", True).over(w.rowsBetween(Window.unboundedPreceding, -1)))
+    rows = rows.withColumns({"rn": F.row_number().over(w), "changes": F.coalesce((F.col("_known") != F.col("_last")).cast("int"), F.lit(0))})
     rows = rows.withColumn("upto", F.sum("changes").over(w))
-    ends = rows.select("media_id", F.col("end_ms").alias("at"))
-    goal = rows.withColumn("goal", F.col("start_ms") + least_ms - 1)
-    found = intervals.asof(goal, ends, key, "goal", "at").where(F.col("after").isNotNull() & (F.col("after") - F.col("start_ms") <= most_ms))
-    spans = found.select("media_id", F.col("rn").alias("first"), F.col("start_ms").alias("a_ms"), F.col("after").alias("z_ms"), F.col("upto").alias("upto_a"))
-    mine = spans.select("media_id", "first", F.col("a_ms").alias("start_ms"), F.col("z_ms").alias("end_ms"), "upto_a")
-    other = rows.select("media_id", "rn", "text", "upto", F.col("start_ms").alias("b_start_ms"), F.col("end_ms").alias("b_end_ms"))
-    inside = intervals.overlap_join(mine, other, key, (F.col("rn") >= F.col("first")) & (F.col("b_end_ms") <= F.col("end_ms")))
+    goal = rows.select("media_id", F.col("rn").alias("first"), F.col("start_ms").alias("a_ms"), (F.col("start_ms") + least_ms).alias("goal"), F.when(F.col("_known").isNotNull(), F.col("upto")).alias("upto_a"))
+    other = rows.select("media_id", F.col("rn").alias("last"), "upto", F.col("start_ms").alias("b_start_ms"), F.col("end_ms").alias("b_end_ms"))
+    point = goal.withColumns({"start_ms": F.col("goal"), "end_ms": F.col("goal")})
+    over = intervals.overlap_join(point, other, key, (F.col("last") >= F.col("first")) & (F.col("b_start_ms") < F.col("goal")) & (F.col("b_end_ms") >= F.col("goal")))
+    lasting = over.groupBy("media_id", "first").agg(F.min(F.struct("last", F.col("b_end_ms").alias("z_ms"), "upto")).alias("z1"))
+    starting = other.groupBy("media_id", F.col("b_start_ms").alias("at")).agg(F.min(F.struct("last", F.col("b_end_ms").alias("z_ms"), "upto")).alias("z2"))
+    found = intervals.asof(goal.withColumn("_before_goal", F.col("goal") - 1), starting, key, "_before_goal", "at").drop("before", "_before_goal")
+    found = found.join(starting.withColumnRenamed("at", "after"), ["media_id", "after"], "left")
+    ends = found.join(lasting, ["media_id", "first"], "left").withColumn("z", F.least("z1", "z2"))
+    spans = ends.where(F.col("z.z_ms") - F.col("a_ms") <= most_ms).select("media_id", "first", F.col("a_ms").alias("start_ms"), F.col("z.z_ms").alias("end_ms"), F.col("z.last").alias("last"), F.coalesce(F.col("z.upto") - F.col("upto_a"), F.lit(0)).alias("changes"))
+    texts = rows.select("media_id", "rn", F.coalesce("text", F.lit("")).alias("text"), F.col("start_ms").alias("b_start_ms"), F.col("end_ms").alias("b_end_ms"))
+    inside = intervals.overlap_join(spans, texts, key, F.col("rn").between(F.col("first"), F.col("last")))
     text = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("rn", "text"))), lambda x: x["text"]), " ")
-    made = inside.groupBy("media_id", "first", "start_ms", "end_ms").agg(text.alias("text"), (F.max("upto") - F.max("upto_a")).alias("changes"), F.max("rn").alias("last"))
+    made = inside.groupBy("media_id", "first", "start_ms", "end_ms", "changes", "last").agg(text.alias("text"))
     hits = F.lit(0)
     for k in keywords:
         hits = hits + F.lower("text").contains(k.lower()).cast("int")
@@ -184,24 +180,26 @@ def select_clips(candidates: DataFrame, k: int) -> DataFrame:
 
 def cluster_regions(boxes: DataFrame, frames: DataFrame, near: float = 0.06, occurrence: float = 0.20) -> DataFrame:
     """Leader clustering of boxes in (frame, box) order: a box joins the first cluster whose first box is near in y and h.
-    Clusters seen in enough frames are kept with their hull. frames(media_id, n_frames)."""
-    kind = "array<struct<y:double,h:double>>"
-    grouped = folds.ordered(boxes, ["media_id"], ["frame", "box"], ["x", "y", "w", "h"])
-    zero = F.struct(F.array().cast(kind).alias("lead"), F.array().cast("array<struct<x:double,y:double,w:double,h:double,c:int>>").alias("out"))
-
-    def step(acc: Column, b: Column) -> Column:
-        fits = F.transform(acc["lead"], lambda q: (F.abs(q["y"] - b["y"]) <= near) & (F.abs(q["h"] - b["h"]) <= near))
-        at = F.array_position(fits, True).cast("int")
-        new = at == 0
-        c = F.when(new, F.size(acc["lead"]) + 1).otherwise(at)
-        lead = F.struct(b["y"].cast("double").alias("y"), b["h"].cast("double").alias("h"))
-        told = F.struct(*[b[k].cast("double").alias(k) for k in "xywh"], c.alias("c"))
-        return F.struct(F.when(new, F.array_append(acc["lead"], lead)).otherwise(acc["lead"]).alias("lead"), F.array_append(acc["out"], told).alias("out"))
-
-    each = grouped.select("media_id", F.explode(F.aggregate("items", zero, step, lambda a: a["out"])).alias("_box")).select("media_id", "_box.*")
-    per = each.groupBy("media_id", "c").agg(
-        F.count("*").alias("n"), F.min("x").alias("x0"), F.min("y").alias("y0"), F.max(F.col("x") + F.col("w")).alias("x1"), F.max(F.col("y") + F.col("h")).alias("y1")
-    )
+    Clusters seen in enough frames are kept with their hull. frames(media_id, n_frames). The state holds a leader, a hull and a
+    count for each cluster, and the leaders by cells a little wider than ``near``, so a box looks at nine cells."""
+    cell = near * 1.001
+
+    def step(state: tuple[list, dict], b: tuple, _) -> tuple[tuple, None]:
+        found, cells = state
+        x, y, w, h = b
+        i, j = math.floor(y / cell), math.floor(h / cell)
+        fits = [c for p in (i - 1, i, i + 1) for q in (j - 1, j, j + 1) for c in cells.get((p, q), ()) if abs(found[c][0] - y) <= near and abs(found[c][1] - h) <= near]
+        if fits:
+            c = found[min(fits)]
+            c[2:] = c[2] + 1, min(c[3], x), min(c[4], y), max(c[5], x + w), max(c[6], y + h)
+        else:
+            cells.setdefault((i, j), []).append(len(found))
+            found.append([y, h, 1, x, y, x + w, y + h])
+        return state, None
+
+    whole = boxes.where(" AND ".join(f"{c} IS NOT NULL" for c in "xywh")).withColumns({c: F.col(c).cast("double") for c in "xywh"})
+    out = "c int, n long, x0 double, y0 double, x1 double, y1 double"
+    per = folds.carried(whole, ["media_id"], ["frame", "box"], ["x", "y", "w", "h"], out, lambda: ([], {}), step, lambda s: ((k, *c[2:]) for k, c in enumerate(s[0], 1)))
     seen = per.join(frames, "media_id").withColumn("occurrence", F.col("n") / F.col("n_frames"))
     return seen.where(F.col("occurrence") >= occurrence)
 
