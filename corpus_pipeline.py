@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from cuesheet.llm import bpe, decontaminate, neardup, quality, toxicity
-from cuesheet.llm.common import materialise, table
+from cuesheet.llm.common import materialise, set_aside, table
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -30,7 +30,9 @@ def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 
 def tokenise(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """documents with token_ids, n_tokens and whether decoding the ids gives the text back."""
+    """documents with token_ids, n_tokens and whether decoding the ids gives the text back; columns of these names come back
+    as ``<name>_in``."""
+    docs = set_aside(docs, "n_tokens", "round_trip", "_decoded")
     tokenizer = bpe.public_tokenizer(spark)
     coded = bpe.with_round_trip(bpe.with_tokens(docs, tokenizer), tokenizer, out="_decoded")
     same = F.col("_decoded") == F.encode(F.coalesce("text", F.lit("")), "UTF-8")

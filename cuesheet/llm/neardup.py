@@ -17,7 +17,7 @@ index. Texts with 0.8 or more are linked; classes are the connected components o
    Same home: the home's nodes outside its largest class meet all its nodes in blocks, with their shingles. A block finds
    the pairs with ``AGREE`` of 100 registers in common (a pair at 0.8 has them but for 1 in 69 million), works out their
    exact similarity, and returns only the links that join two classes: never more rows than nodes.
-   Different homes: what shares a bucket is compared there by registers, and verified on texts.
+   Different homes: two homes that share a bucket are compared in the same way, once for each pair of homes.
    So no pair of a bucket is left out, whatever its similarity to a hub, save those already in one class.
 5. Links are verified on whole texts, classes found by alternating large-star and small-star steps, each written out.
 
@@ -278,23 +278,6 @@ def _block_links(block: pd.DataFrame) -> pd.DataFrame:
     return _joining(*(z[c].to_numpy()[k] for c in ("node", "root") for z, k in ((x, i), (y, j))))
 
 
-def _block_pairs(block: pd.DataFrame) -> pd.DataFrame:
-    """Pairs of a bucket's block with different homes that may be links, each in its first common band only."""
-    x, y = block[block["left"]], block[~block["left"]]
-    if not len(x) or not len(y):
-        return pd.DataFrame({"a": [], "b": []}, dtype="int64")
-    i, j = np.nonzero(_agreeing(x, y) & (x["home"].to_numpy()[:, None] != y["home"].to_numpy()[None, :]))
-    if len(i):
-        bx, by = np.stack(x["bands"].to_numpy()), np.stack(y["bands"].to_numpy())
-        first = np.empty(len(i), bool)
-        for at in range(0, len(i), 50_000):
-            p, q = i[at : at + 50_000], j[at : at + 50_000]
-            first[at : at + 50_000] = bx[p, (bx[p] == by[q]).argmax(1)] == block["key"].iat[0]
-        i, j = i[first], j[first]
-    a, b = x["node"].to_numpy()[i], y["node"].to_numpy()[j]
-    return pd.DataFrame({"a": np.minimum(a, b), "b": np.maximum(a, b)})
-
-
 def _dealt(full: DataFrame, parts: DataFrame, aside: str, columns: list[str]) -> DataFrame:
     """full(key, ...) in blocks: those whose ``aside`` is not the group's most frequent one (left) against all (right).
     parts(key, most, p, q): that value, and into how many parts the two sides go."""
@@ -324,21 +307,38 @@ def within_homes(homes: DataFrame, roots: DataFrame, docs: DataFrame, known: Dat
     rooted = materialise(rooted, "rooted")
     mixed = rooted.groupBy("key").agg(F.min("root").alias("r1"), F.max("root").alias("r2")).where("r1 < r2").select("key")
     members = materialise(rooted.join(materialise(mixed, "mixed"), "key"), "mixed-homes")
-    texts = _texts(members.select("node"), docs, known, "homes")
-    made = materialise(texts.select("node", _shingled("text").alias("s")).select("node", "s.items", "s.counts"), "shingles")
+    made = _shingle_table(members.select("node"), docs, known, "homes")
     full = members.join(made, "node").join(known.select("node", "sketch"), "node")
     parts = _parts(members.join(made.select("node", F.size("items").alias("size")), "node"), "root", "root", F.col("size"))
     groups = _dealt(full, parts, "root", ["node", "root", "sketch", "items", "counts"])
     return materialise(groups.applyInPandas(_block_links, "a long, b long").distinct(), "home-links")
 
 
-def across_homes(large: DataFrame, roots: DataFrame, known: DataFrame) -> DataFrame:
-    """large(key, node, home), roots so far -> pairs (a < b) of one bucket, different homes and classes, that may be links."""
-    homes = large.groupBy("key").agg(F.min("home").alias("h1"), F.max("home").alias("h2")).where("h1 < h2").select("key")
-    mixed = large.join(materialise(homes, "several-homes"), "key")
-    rooted = materialise(mixed.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node")), "rooted")
-    groups = _dealt(rooted.join(known.select("node", "bands", "sketch"), "node"), _parts(rooted, "home", "root", F.lit(0)), "home", ["node", "root", "home", "bands", "sketch"])
-    return materialise(groups.applyInPandas(_block_pairs, "a long, b long").distinct(), "across")
+def across_homes(large: DataFrame, roots: DataFrame, docs: DataFrame, known: DataFrame) -> DataFrame:
+    """large(key, node, home), roots so far -> further links (a, b) between nodes that share a bucket, of different homes and
+    classes. Homes that meet in a bucket make a pair of homes; of both, the nodes of such buckets are compared in blocks, once
+    for the pair, however many buckets they share."""
+    per = materialise(large.select("key", "home").distinct(), "bucket-homes")
+    two = materialise(per.join(per.select("key", F.col("home").alias("other")), "key").where("home < other"), "home-pairs")
+    rooted = materialise(large.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node")), "rooted")
+    left = rooted.join(two, ["key", "home"]).select("home", "other", "node", "root", F.lit(True).alias("left"))
+    turned = two.select("key", F.col("home").alias("one"), F.col("other").alias("home"))
+    right = rooted.join(turned, ["key", "home"]).select(F.col("one").alias("home"), F.col("home").alias("other"), "node", "root", F.lit(False).alias("left"))
+    members = materialise(left.union(right).distinct(), "across-members")
+    mixed = members.groupBy("home", "other").agg(F.min("root").alias("r1"), F.max("root").alias("r2")).where("r1 < r2").select("home", "other")
+    members = materialise(members.join(materialise(mixed, "mixed"), ["home", "other"]), "across-mixed")
+    made = _shingle_table(members.select("node").distinct(), docs, known, "across")
+    number = lambda side: F.greatest(F.lit(1), F.ceil(F.greatest(F.sum(side) / BLOCK, F.sum(F.when(side == 1, F.col("size"))) / BLOCK_ITEMS))).cast("int")
+    is_left = F.col("left").cast("int")
+    sized = members.join(made.select("node", F.size("items").alias("size")), "node")
+    parts = materialise(sized.groupBy("home", "other").agg(number(is_left).alias("p"), number(1 - is_left).alias("q")), "across-parts")
+    full = members.join(made, "node").join(known.select("node", "sketch"), "node").join(parts, ["home", "other"])
+    own = F.pmod(F.xxhash64("node"), F.when(F.col("left"), F.col("p")).otherwise(F.col("q"))).cast("int")
+    met = F.explode(F.sequence(F.lit(0), F.when(F.col("left"), F.col("q")).otherwise(F.col("p")) - 1))
+    placed = full.select("home", "other", own.alias("_own"), met.alias("_met"), "left", "node", "root", "sketch", "items", "counts")
+    i, j = F.when(F.col("left"), F.col("_own")).otherwise(F.col("_met")), F.when(F.col("left"), F.col("_met")).otherwise(F.col("_own"))
+    blocks = placed.withColumns({"i": i, "j": j}).drop("_own", "_met")
+    return materialise(blocks.groupBy("home", "other", "i", "j").applyInPandas(_block_links, "a long, b long").distinct(), "across-links")
 
 
 def _texts(ids: DataFrame, docs: DataFrame, known: DataFrame, label: str) -> DataFrame:
@@ -349,6 +349,12 @@ def _texts(ids: DataFrame, docs: DataFrame, known: DataFrame, label: str) -> Dat
     return materialise(found.select("node", "text").dropDuplicates(["node"]), f"{label}-texts")
 
 
+def _shingle_table(ids: DataFrame, docs: DataFrame, known: DataFrame, label: str) -> DataFrame:
+    """ids(node) -> node, items, counts; written out."""
+    made = _texts(ids, docs, known, label).select("node", _shingled("text").alias("s"))
+    return materialise(made.select("node", "s.items", "s.counts"), f"{label}-shingles")
+
+
 def verify(pairs: DataFrame, docs: DataFrame, known: DataFrame, label: str) -> DataFrame:
     """pairs(a, b) -> those that are links; written out."""
     texts = _texts(pairs.select(F.col("a").alias("node")).union(pairs.select("b")), docs, known, label)
@@ -370,9 +376,9 @@ def links(docs: DataFrame, known: DataFrame) -> tuple[DataFrame, DataFrame]:
     if not more.isEmpty():
         good = good.union(more)
         roots = components(good)
-    rest = across_homes(large, roots, known)
+    rest = across_homes(large, roots, docs, known)
     if not rest.isEmpty():
-        good = good.union(verify(rest, docs, known, "across"))
+        good = good.union(rest)
         roots = components(good)
     return good, roots
 
