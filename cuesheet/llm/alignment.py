@@ -37,8 +37,10 @@ from pyspark.sql import functions as F
 from .common import bounded_batches, join_checked, materialise, table
 
 MEMO, MEMO_CHARS = 150_000, 3_000_000
-TOGETHER = 256  # plain segments encoded at once
+TOGETHER = 512  # plain segments encoded at once
 MOST = 1 << 22  # entries that a product makes at once
+_FIELD = 40  # bits of a number of tokens; a segment's numbers are one integer, so that a text's are one sum
+_MASK = (1 << _FIELD) - 1
 _SHIFT = 16  # an id pair is one number: first id << _SHIFT | second id
 _CUT = re.compile("(?<=[^\\s▁])(?= \\S)")
 _PLAIN = re.compile(" [^\\s▁](?:.*[^\\s▁])?", re.DOTALL)  # put after one another, these are cut again where they meet
@@ -177,7 +179,11 @@ class Pair:
 
     def segments(self, text: str) -> list[str]:
         """space+text in segments."""
-        return _CUT.split(" " + text) if self.two.by_word else [" " + text]
+        if not self.two.by_word:
+            return [" " + text]
+        if "▁" not in text and " ".join(text.split()) == text.replace("\n", " "):  # single spaces and line ends only: every space is a cut
+            return [" " + w for w in text.split(" ")]
+        return _CUT.split(" " + text)
 
     def _encode(self, segments: list[str]) -> tuple[list[list[int]], list[list[int]]] | None:
         """Tokens of each, if all give their segment's bytes back."""
@@ -225,12 +231,11 @@ class Pair:
         words = np.empty(len(x.a) + len(x.b), np.int64)
         words[pa], words[pb] = x.a + self.width * last(x.a_group), x.b + 2 * self.width * last(x.b_group)
         said = list(map(self.said.__getitem__, words.tolist()))
-        group_at = np.concatenate([x.a_group, [x.n_groups]])[x.a_at]
         shared_at = np.concatenate([[0], np.cumsum(shared)])[x.a_at]
-        numbers = zip(*(np.diff(z).tolist() for z in (x.a_at, x.b_at, group_at, link_at, shared_at)), strict=True)
+        numbers = zip(*(np.diff(z).tolist() for z in (x.a_at, x.b_at, shared_at)), strict=True)
         links, both = link_at.tolist(), (x.a_at + x.b_at).tolist()
-        for i, (s, n) in enumerate(zip(good, numbers, strict=True)):
-            self.known[s] = n, tuple(keys[links[i] : links[i + 1]]), "".join(said[both[i] : both[i + 1]])[:-1]
+        for i, (s, (na, nb, ns)) in enumerate(zip(good, numbers, strict=True)):
+            self.known[s] = na | nb << _FIELD | ns << 2 * _FIELD, tuple(keys[links[i] : links[i + 1]]), "".join(said[both[i] : both[i + 1]])[:-1]
         self.known |= dict.fromkeys(bad)
         self.chars += sum(map(len, segments))
 
@@ -249,8 +254,11 @@ class Pair:
                 yield 0, 0, 0, 0, 0, "", (), ()
                 continue
             numbers, pairs, groups = zip(*found, strict=True)
-            keys, times = np.unique(np.fromiter(chain.from_iterable(pairs), np.int64), return_counts=True)
-            yield *map(sum, zip(*numbers, strict=True)), hashlib.sha256(";".join(groups).encode()).hexdigest(), keys, times.astype(np.int32)
+            n, said = sum(numbers), ";".join(groups)
+            links = np.fromiter(chain.from_iterable(pairs), np.int64)
+            keys, times = np.unique(links, return_counts=True)
+            n_a, n_b, n_shared = n & _MASK, n >> _FIELD & _MASK, n >> 2 * _FIELD
+            yield n_a, n_b, said.count("|"), len(links), n_shared, hashlib.sha256(said.encode()).hexdigest(), keys, times.astype(np.int32)
 
     def links(self, text: str, kind: str) -> Iterator[tuple[np.ndarray, ...]]:
         """Blocks of a_pos, b_pos, a_id, b_id and value of a text's links; the value is the number of shared bytes or groups."""
