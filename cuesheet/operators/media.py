@@ -116,17 +116,25 @@ def ocr_only(asr: DataFrame, ocr: DataFrame, least_cjk: int = 3, least_confidenc
     return good.join(hit, ["media_id", "ocr_id"], "left_anti")
 
 
-def merge_frames(frames: DataFrame, least: float = 0.90) -> DataFrame:
-    """frames(media_id, t, text, score): runs of frames whose text stays like that of the frame before; the best text wins."""
+def merge_frames(frames: DataFrame, least: float = 0.90, frame_ms: int = 1000) -> DataFrame:
+    """frames(media_id, t, text, score): runs of frames whose text stays like that of the frame before; the best text wins. A run
+    lasts to the end of its last frame; its stability is its share of all frames of the media, empty ones too. The ratio is
+    worked out only for pairs that differ and whose lengths can reach it."""
     w = Window.partitionBy("media_id").orderBy("t")
     told = frames.where(F.trim("text") != "").withColumn("_before", F.lag("text").over(w))
-    same = F.when(F.col("_before") == F.col("text"), 1.0).otherwise(ratio_udf()(F.col("_before"), F.col("text")))
+    a, b = F.length("_before"), F.length("text")
+    can = F.coalesce((F.col("_before") != F.col("text")) & (2.0 * F.least(a, b) / (a + b) >= least), F.lit(False))
+    pair = F.when(can, F.col("_before")), F.when(can, F.col("text"))  # nulls cost the function nothing
+    same = F.when(F.col("_before") == F.col("text"), 1.0).otherwise(ratio_udf()(*pair))
     new = F.when(F.col("_same") >= least, 0).otherwise(1)
     marked = told.withColumn("_same", same).withColumn("island", F.sum(new).over(w))
-    return marked.groupBy("media_id", "island").agg(
-        F.min("t").alias("start"), F.max("t").alias("end"), F.max_by("text", F.struct("score", -F.col("t"))).alias("text"),
-        F.avg("score").alias("confidence"), F.count("*").alias("stability"),
+    whole = frames.groupBy("media_id").agg(F.count("*").alias("_all"))
+    runs = marked.groupBy("media_id", "island").agg(
+        F.min("t").alias("start"), (F.max("t") + frame_ms).alias("end"), F.max_by("text", F.struct("score", -F.col("t"))).alias("text"),
+        F.avg("score").alias("confidence"), F.count("*").alias("n_frames"),
     )
+    shared = runs.join(whole, "media_id").withColumn("stability", F.round(F.col("n_frames") / F.col("_all"), 3))
+    return shared.select("media_id", "island", "start", "end", "text", "confidence", "n_frames", "stability")
 
 
 def pitch_stats(f0: DataFrame) -> DataFrame:

@@ -61,7 +61,7 @@ def _(t):
     shown = F.concat("text", F.when(F.col("n") % 3 == 0, ".").otherwise(""))
     frames = t.segments.select("media_id", "seg_id", "text", F.explode(F.sequence(F.lit(0), F.lit(4))).alias("n"))
     frames = frames.select("media_id", (F.col("seg_id") * 10 + F.col("n")).alias("t"), shown.alias("text"), (F.col("n") / 10).alias("score"))
-    return M.merge_frames(frames).select("media_id", "start", "end", "text", "stability")
+    return M.merge_frames(frames, frame_ms=1).select("media_id", "start", "end", "text", "stability")
 
 
 @query("d11_pitch_stats", "frames", """

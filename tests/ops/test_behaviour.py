@@ -353,8 +353,8 @@ def test_display_step_by_step(spark, n):
 
 def test_merge_frames(spark):
     rows = [(1, t, x, s) for t, x, s in [(1, "hello world", 0.5), (2, "hello worle", 0.9), (3, "", 1.0), (4, "other", 0.3), (5, "other", 0.2)]]
-    got = media.merge_frames(spark.createDataFrame(rows, "media_id long, t long, text string, score double")).orderBy("start").collect()
-    assert [(r["start"], r["end"], r["text"], r["stability"]) for r in got] == [(1, 2, "hello worle", 2), (4, 5, "other", 2)]
+    got = media.merge_frames(spark.createDataFrame(rows, "media_id long, t long, text string, score double"), frame_ms=1).orderBy("start").collect()
+    assert [(r["start"], r["end"], r["text"], r["stability"]) for r in got] == [(1, 3, "hello worle", 0.4), (4, 6, "other", 0.4)]
 
 
 @pytest.mark.parametrize("block", [3, 7, 1000])
@@ -533,3 +533,74 @@ def test_a_null_balance_is_drift(spark):
     devices = spark.createDataFrame([("a", None), ("b", 3)], "fingerprint string, balance long")
     ledger = spark.createDataFrame([("a", 3), ("b", 3)], "fingerprint string, delta long")
     assert [tuple(r) for r in accounts.reconcile(devices, ledger).collect()] == [("a", None, 3, None)]
+
+
+@pytest.mark.parametrize("seed", range(2))
+def test_spans_of_highlights(spark, seed):
+    rng = random.Random(seed)
+    rows, at = [], 0
+    for i in range(60):
+        at += rng.randrange(0, 9000)
+        rows.append((1, i, at, at + rng.choice([500, 4000, 9000, 40_000]), rng.choice(["A", "B", None, ""]), rng.choice(["heat", "x y z", None, "tion and more"])))
+    want = set()
+    for i, a in enumerate(rows):
+        j = next((k for k in range(i, len(rows)) if rows[k][3] - a[2] >= 25_000), None)
+        if j is None or rows[j][3] - a[2] > 65_000:
+            continue
+        last, changes = a[4], 0
+        for r in rows[i : j + 1]:
+            if r[4] and last and r[4] != last:
+                changes, last = changes + 1, r[4]
+        want.add((i + 1, j + 1, a[2], rows[j][3], changes))
+    df = spark.createDataFrame(rows, "media_id long, seg_id int, start_ms long, end_ms long, speaker string, text string")
+    got = timeline.highlight_candidates(df, ["heat", "tion"]).collect()
+    assert {(r["first"], r["last"], r["start_ms"], r["end_ms"], r["changes"]) for r in got} == want and len(got) == len(want) > 5
+
+
+# Published figures of the placement scheduler: segments, slot, spacing, ratio of dubbed to slot; mean and greatest drift, overlaps, faster clips.
+PLACED = {"A": (40, 3.0, 4.5, 0.8, 0.0, 0.0, 0, 0), "B": (60, 1.2, 1.5, 1.18, 0.002, 0.025, 0, 31), "C": (50, 2.0, 2.2, 1.4, 0.147, 0.150, 49, 49)}
+
+
+@pytest.mark.parametrize("name", sorted(PLACED))
+def test_published_placements(spark, name):
+    n, slot, spacing, ratio, mean, most, overlaps, faster = PLACED[name]
+    rng, rows = np.random.default_rng(7), []
+    for i in range(n):
+        dub = round(1000 * round(slot * float(np.clip(ratio + rng.normal(0, 0.05), 0.3, 3.0)), 3))
+        start = round(1000 * i * spacing)
+        rows.append((1, i + 1, start, start + round(1000 * slot), round(1000 * slot), dub))
+    df = spark.createDataFrame(rows, "media_id long, seg_id int, start_ms long, end_ms long, slot_ms long, dub_ms long")
+    got = timeline.place_voices(df, spark.createDataFrame([], "media_id long, cut_ms long")).collect()
+    drift = [r["drift_ms"] / 1000 for r in got]
+    assert len(got) == n and round(float(np.mean(drift)), 3) == mean and round(max(drift), 3) == most
+    assert (sum(r["overlap_prev_ms"] > 0 for r in got), sum(r["tempo"] > 1 for r in got)) == (overlaps, faster)
+
+
+def test_one_media_takes_time_in_proportion(spark):
+    def took(n: int) -> float:
+        rows = spark.range(n).select(F.lit(1).alias("media_id"), F.col("id").alias("seg_id"), (F.col("id") * 900).alias("start_ms"), (F.col("id") * 900 + 1000 + F.col("id") % 7 * 100).alias("end_ms"))
+        dubbed = rows.withColumns({"slot_ms": F.lit(900), "dub_ms": F.lit(950)})
+        cuts = rows.select("media_id", (F.col("start_ms") + 333).alias("cut_ms"))
+        made = [timeline.deoverlap(rows), timeline.place_voices(dubbed, cuts), intervals.asof(rows, cuts, ["media_id"], "start_ms", "cut_ms"), timeline.auto_split(rows, 10_000, -500)]
+        began = time.time()
+        for df in made:
+            df.write.format("noop").mode("overwrite").save()
+        return time.time() - began
+
+    took(1000)
+    assert took(80_000) < 4 * took(20_000) + 10
+
+
+def test_running_maximum_over_blocks(spark):
+    rng = random.Random(5)
+    rows = [(m, i, rng.randrange(0, 5000), rng.randrange(0, 9000)) for m in (1, 2) for i in range(80)]
+    df = spark.createDataFrame(rows, "k long, i long, at long, v long")
+    want = {}
+    for m in (1, 2):
+        r = None
+        for _, i, _, v in sorted((x for x in rows if x[0] == m), key=lambda x: (x[2], x[1])):
+            r = v if r is None else max(v, r + 30)
+            want[m, i] = r
+    for block in (50, 700, 10**6):
+        got = {(r["k"], r["i"]): r["r"] for r in folds.running_max(df, ["k"], "at", ["i"], F.col("v"), 30, "r", block).collect()}
+        assert got == want
