@@ -77,6 +77,25 @@ def reconcile(devices: DataFrame, ledger: DataFrame) -> DataFrame:
     )
 
 
+def reconcile_checked(devices: DataFrame, ledger: DataFrame, newer_devices: DataFrame, newer_ledger: DataFrame, folder: str, run: str) -> tuple[DataFrame, DataFrame]:
+    """Wallets that differ in a snapshot and again, by any amount, in a newer one, which only the suspects are looked up in; and
+    an audit row (run, checked, suspects, confirmed, total_diff, unknown). Both are written below the run's own folders, so a run
+    that is done again replaces them; wallets without a balance are counted as unknown."""
+    spark, top = devices.sparkSession, folder.rstrip("/")
+    kind = reconcile(devices, ledger)
+    kind.write.mode("overwrite").parquet(f"{top}/suspects/run={run}")
+    suspects = spark.read.schema(kind.schema).parquet(f"{top}/suspects/run={run}").select("fingerprint")
+    again = reconcile(newer_devices.join(suspects, "fingerprint", "left_semi"), newer_ledger.join(suspects, "fingerprint", "left_semi"))
+    again.write.mode("overwrite").parquet(f"{top}/confirmed/run={run}")
+    confirmed = spark.read.schema(again.schema).parquet(f"{top}/confirmed/run={run}")
+    count = F.count(F.lit(1))
+    sums = confirmed.agg(count.alias("confirmed"), F.coalesce(F.sum(F.abs("diff")), F.lit(0)).alias("total_diff"), F.count_if(F.col("diff").isNull()).alias("unknown"))
+    row = devices.agg(count.alias("checked")).crossJoin(suspects.agg(count.alias("suspects"))).crossJoin(sums)  # one row each
+    audit = row.select(F.lit(run).alias("run"), "checked", "suspects", "confirmed", "total_diff", "unknown")
+    audit.write.mode("overwrite").parquet(f"{top}/audit/run={run}")
+    return confirmed, spark.read.schema(audit.schema).parquet(f"{top}/audit/run={run}")
+
+
 def newest_per_key(rows: DataFrame, key: list[str], order: list[Column], n: int) -> DataFrame:
     w = Window.partitionBy(*key).orderBy(*order)
     return rows.withColumn("_rn", F.row_number().over(w)).where(F.col("_rn") <= n)

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
@@ -424,13 +424,24 @@ def _lines(text: Column, width: int) -> Column:
     return F.aggregate(F.split(text, " "), F.array().cast("array<string>"), put)
 
 
-def split_for_display(segs: DataFrame, lines: int = LINES) -> DataFrame:
-    """Cues of at most ``lines`` lines: clauses packed up to a cue's width; from a clause wider than a cue whole lines come off
+def split_for_display(segs: DataFrame, lines: int = LINES, line_words: int = 0, all_caps: bool = False) -> DataFrame:
+    """With line_words, lines hold that many words and are measured by words, else by letters; all_caps shows capitals.
+
+    Cues of at most ``lines`` lines: clauses packed up to a cue's width; from a clause wider than a cue whole lines come off
     first, each a cue. Time by words, with a pause after a clause mark; ``lines`` holds the text as it is wrapped (at most that
     many lines, as the reference shows it), ``text`` all of it."""
     width = LINE_ALONE if lines == 1 else LINE
-    most = width * lines
+    most = (line_words or width) * lines
     clean = F.trim(F.regexp_replace(F.coalesce("text", F.lit("")), r"\s+", " "))
+    clean = F.upper(clean) if all_caps else clean
+    measure = (lambda c: F.size(F.split(c, " "))) if line_words else F.length
+
+    def groups(text: Column, n: int, made: Callable[[Column, Column], Column]) -> Column:
+        """The words of text, n at a time; made gets each and whether it is not the last."""
+        w = F.split(text, " ")
+        last = F.floor((F.size(w) - 1) / n).cast("int")
+        return F.transform(F.sequence(F.lit(0), last), lambda i: made(F.array_join(F.slice(w, i * n + 1, n), " "), i < last))
+
     kind = "struct<heads:array<string>,line:string,used:int,rest:string>"
 
     def off(part: Column) -> Column:
@@ -451,6 +462,8 @@ def split_for_display(segs: DataFrame, lines: int = LINES) -> DataFrame:
             heads = F.transform(F.when(acc["line"] == "", acc["heads"]).otherwise(F.array_append(acc["heads"], acc["line"])), lambda x: F.struct(x.alias("t"), F.lit(True).alias("own")))
             return F.when(acc["rest"].isNull(), heads).otherwise(F.array_append(heads, F.struct(acc["rest"].alias("t"), F.lit(False).alias("own"))))
 
+        if line_words:
+            return groups(part, most, lambda t, own: F.struct(t.alias("t"), own.alias("own")))
         whole = F.array(F.struct(part.alias("t"), F.lit(False).alias("own")))
         return F.when(F.length(part) <= most, whole).otherwise(F.aggregate(F.split(part, " "), zero, take, items))
 
@@ -463,11 +476,11 @@ def split_for_display(segs: DataFrame, lines: int = LINES) -> DataFrame:
         own = F.struct(F.array_append(flushed, x["t"]).alias("out"), F.lit("").alias("cur"))
         more = F.struct(acc["out"].alias("out"), joined.alias("cur"))
         new = F.struct(flushed.alias("out"), x["t"].alias("cur"))
-        return F.when(x["own"], own).when((acc["cur"] == "") | (F.length(joined) <= most), more).otherwise(new).cast(state)
+        return F.when(x["own"], own).when((acc["cur"] == "") | (measure(joined) <= most), more).otherwise(new).cast(state)
 
     zero = F.struct(F.array().cast("array<string>").alias("out"), F.lit("").alias("cur")).cast(state)
     finish = lambda acc: F.when(acc["cur"] == "", acc["out"]).otherwise(F.array_append(acc["out"], acc["cur"]))
-    cues = F.when(F.length(clean) <= most, F.array(clean)).otherwise(F.aggregate(F.flatten(F.transform(parts, off)), zero, pack, finish))
+    cues = F.when(measure(clean) <= most, F.array(clean)).otherwise(F.aggregate(F.flatten(F.transform(parts, off)), zero, pack, finish))
     weigh = lambda c: F.greatest(F.lit(1.0), F.size(F.split(c, " ")) + F.when(c.rlike(r"[,;:—\-…]$"), PAUSE).otherwise(0.0))
     rows = segs.withColumn("_c", cues).where(clean != "").withColumn("_w", F.transform("_c", weigh))
     span = F.greatest(F.lit(0), F.col("end_ms") - F.col("start_ms"))
@@ -478,8 +491,9 @@ def split_for_display(segs: DataFrame, lines: int = LINES) -> DataFrame:
         return F.least(start + F.when(roomy, F.greatest(share, F.lit(LEAST_CUE_MS))).otherwise(share), F.col("end_ms"))
 
     each = _by_time(rows, end).select("media_id", "seg_id", "_t", F.posexplode("_c").alias("pos", "text"))
+    wrapped = groups(F.col("text"), line_words, lambda t, _: t) if line_words else _lines(F.col("text"), width)
     return each.select(
-        "media_id", "seg_id", "pos", "text", F.array_join(F.slice(_lines(F.col("text"), width), 1, lines), "\n").alias("lines"),
+        "media_id", "seg_id", "pos", "text", F.array_join(F.slice(wrapped, 1, lines), "\n").alias("lines"),
         F.round(F.element_at("_t", F.col("pos") + 1)).cast("long").alias("start_ms"), F.round(F.element_at("_t", F.col("pos") + 2)).cast("long").alias("end_ms"),
     )
 

@@ -88,6 +88,15 @@ def validate_transcript(rows: DataFrame, original: DataFrame) -> DataFrame:
     return told.withColumn("reason", reason).drop("_n", "_want")
 
 
+def divide(told: DataFrame, folder: str, run: str) -> tuple[DataFrame, DataFrame]:
+    """Rows with a ``reason`` (null for good ones) into two tables, accepted rows and quarantine with reasons, by one scan and
+    one write. The run's folder is replaced if the run is done again."""
+    spark, path = told.sparkSession, f"{folder.rstrip('/')}/run={run}"
+    told.withColumn("_sink", F.when(F.col("reason").isNull(), "accepted").otherwise("quarantine")).write.partitionBy("_sink").mode("overwrite").parquet(path)
+    written = spark.read.schema(f"{', '.join(f'`{n}` {t}' for n, t in told.dtypes)}, _sink string").parquet(path)
+    return written.where("_sink = 'accepted'").drop("_sink", "reason"), written.where("_sink = 'quarantine'").drop("_sink")
+
+
 def validate_media(probes: DataFrame, least_bytes: int = 1024, audio: bool = True) -> DataFrame:
     """probes(id, bytes, format_s, stream_s, width, height, has_video, has_audio): first failing rule."""
     length = F.coalesce(F.when(F.col("format_s") > 0, F.col("format_s")), F.col("stream_s"))

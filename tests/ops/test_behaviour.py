@@ -604,3 +604,56 @@ def test_running_maximum_over_blocks(spark):
     for block in (50, 700, 10**6):
         got = {(r["k"], r["i"]): r["r"] for r in folds.running_max(df, ["k"], "at", ["i"], F.col("v"), 30, "r", block).collect()}
         assert got == want
+
+
+def display_by_words(text, per_line, lines):
+    """Words mode of display splitting, word by word."""
+    words, most = text.split(), per_line * lines
+    wrap = lambda c: "\n".join([" ".join(c.split()[i : i + per_line]) for i in range(0, len(c.split()), per_line)][:lines])
+    if len(words) <= most:
+        return [(text, wrap(text))]
+    chunks, cur = [], []
+    for part in (p.split() for p in re.split(r"(?<=[,.!?;…])\s+", text)):
+        while len(part) > most:
+            if cur:
+                chunks.append(cur)
+            chunks.append(part[:most])
+            cur, part = [], part[most:]
+        if cur and len(cur) + len(part) > most:
+            chunks.append(cur)
+            cur = []
+        cur = cur + part
+    return [(" ".join(c), wrap(" ".join(c))) for c in [*chunks, *([cur] if cur else [])]]
+
+
+@pytest.mark.parametrize("per_line, lines", [(1, 1), (3, 2), (5, 1), (4, 3)])
+def test_display_by_words(spark, per_line, lines):
+    rng = random.Random(per_line)
+    texts_ = [" ".join(rng.choice(["ab", "cde,", "f.", "ghij", "k;"]) for _ in range(n)) for n in (1, 3, 6, 7, 13, 30, 31)] + ["one two three four five six seven eight nine ten eleven twelve thirteen"]
+    df = spark.createDataFrame([(1, i, 0, 60_000, t) for i, t in enumerate(texts_)], "media_id long, seg_id int, start_ms long, end_ms long, text string")
+    got = media.split_for_display(df, lines, per_line, all_caps=True).orderBy("seg_id", "pos").collect()
+    for i, t in enumerate(texts_):
+        assert [(r["text"], r["lines"]) for r in got if r["seg_id"] == i] == display_by_words(t.upper(), per_line, lines)
+
+
+def test_quarantine(spark, tmp_path):
+    from cuesheet.operators import memory
+
+    rows = spark.createDataFrame([(1, 1, "0", "5", "a"), (1, 2, "x", "9", "b"), (2, 1, "0", "5", " "), (3, 1, "0", "5", "c")], "media_id long, seg_id int, start string, end string, text_vi string")
+    original = spark.createDataFrame([(1, 1), (1, 2), (2, 1), (3, 1), (3, 2)], "media_id long, seg_id int")
+    for _ in range(2):  # done again, it is the same
+        good, bad = memory.divide(memory.validate_transcript(rows, original), str(tmp_path), "r1")
+        assert [(r["media_id"], r["seg_id"]) for r in good.collect()] == [(1, 1)] and good.columns == rows.columns
+        assert {(r["media_id"], r["seg_id"], r["reason"]) for r in bad.collect()} == {(1, 2, "timing"), (2, 1, "empty"), (3, 1, "count")}
+
+
+def test_reconcile_looks_again(spark, tmp_path):
+    from cuesheet.operators import accounts
+
+    d, g = "fingerprint string, balance long", "fingerprint string, delta long"
+    old = spark.createDataFrame([("a", 5), ("b", 4), ("c", 1), ("n", None)], d), spark.createDataFrame([("a", 5), ("b", 1), ("c", 9), ("n", 2)], g)
+    new = spark.createDataFrame([("a", 7), ("b", 4), ("c", 2), ("n", None)], d), spark.createDataFrame([("a", 5), ("b", 1), ("b", 3), ("c", 9), ("n", 2)], g)
+    for _ in range(2):
+        confirmed, audit = accounts.reconcile_checked(*old, *new, str(tmp_path), "r1")
+        assert sorted(map(tuple, confirmed.collect())) == [("c", 2, 9, -7), ("n", None, 2, None)]
+        assert [tuple(r) for r in spark.read.parquet(f"{tmp_path}/audit").drop("run").collect()] == [tuple(audit.first())[1:]] == [(4, 3, 2, 7, 1)]
