@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..functions.text import align, ocr_normal, ratio_udf
+from ..functions.text import align, ocr_normal, ratio_bound, ratio_udf
 from . import folds, intervals, timeline
 from .segments import CJK_BASE, CJK_WIDE, cjk_count, flag_gap, flag_rate
 
@@ -119,11 +119,12 @@ def ocr_only(asr: DataFrame, ocr: DataFrame, least_cjk: int = 3, least_confidenc
 def merge_frames(frames: DataFrame, least: float = 0.90, frame_ms: int = 1000) -> DataFrame:
     """frames(media_id, t, text, score): runs of frames whose text stays like that of the frame before; the best text wins. A run
     lasts to the end of its last frame; its stability is its share of all frames of the media, empty ones too. The ratio is
-    worked out only for pairs that differ and whose lengths can reach it."""
+    worked out only for pairs that differ and can reach it by their lengths and by the letters they share."""
     w = Window.partitionBy("media_id").orderBy("t")
     told = frames.where(F.trim("text") != "").withColumn("_before", F.lag("text").over(w))
     a, b = F.length("_before"), F.length("text")
-    can = F.coalesce((F.col("_before") != F.col("text")) & (2.0 * F.least(a, b) / (a + b) >= least), F.lit(False))
+    near = F.coalesce((F.col("_before") != F.col("text")) & (2.0 * F.least(a, b) / (a + b) >= least), F.lit(False))
+    can = near & (ratio_bound(F.when(near, F.col("_before")), F.when(near, F.col("text"))) >= least)
     pair = F.when(can, F.col("_before")), F.when(can, F.col("text"))  # nulls cost the function nothing
     same = F.when(F.col("_before") == F.col("text"), 1.0).otherwise(ratio_udf()(*pair))
     new = F.when(F.col("_same") >= least, 0).otherwise(1)
@@ -378,12 +379,12 @@ def _by_time(chunks: DataFrame, ends) -> DataFrame:
 def split_long(segs: DataFrame, most_ms: int = 10_000) -> DataFrame:
     """Segments over most_ms are cut at sentence ends, or at clause ends where there is none; sentences are packed up to
     most_ms by share of characters. A cut is where the last word before it ends if the segment has words(word, t1_ms), else
-    by share of characters; it stays 100 ms inside. Pieces are numbered anew per media."""
+    by share of characters; it stays 100 ms inside. Pieces are numbered anew per media. A null text stays whole and null."""
     clean = F.trim("text")
     filled = lambda pattern: F.filter(F.split(clean, pattern), lambda x: x != "")
     sentences, clauses = filled(r"(?<=[.!?;。！？；])\s*"), filled(r"(?<=[,，、：:\-])\s*")
     cut = F.when(F.size(sentences) > 1, sentences).otherwise(clauses)
-    whole = (F.col("end_ms") - F.col("start_ms") <= most_ms) | (F.size(cut) <= 1)
+    whole = (F.col("end_ms") - F.col("start_ms") <= most_ms) | F.coalesce(F.size(cut) <= 1, F.lit(True))
     timed = "words" in segs.columns
     rows = segs.withColumn("_p", F.when(whole, F.array("text")).otherwise(cut)).withColumn("_all", F.aggregate("_p", F.lit(0), lambda n, x: n + F.length(x)))
     span = F.col("end_ms") - F.col("start_ms")

@@ -25,10 +25,14 @@ def _(t):
     return told.withColumns({"ratio_milli": F.floor(F.col("similarity") * 1000)}).drop("similarity")
 
 
-@query("h4_glossary", "")
+@query("h4_glossary", "", r"""
+, k AS (SELECT source, text, regexp_extract_all(text, '[\p{L}\p{N}_]+|[^\p{L}\p{N}_]') AS k FROM documents),
+p AS (SELECT source, text, k, list_transform(range(1, len(k) + 1), lambda i: lower(k[i]) = 'the' AND k[i + 1] = ' ' AND lower(k[i + 2]) = 'anea') AS two FROM k),
+r AS (SELECT source, text, array_to_string(list_transform(range(1, len(k) + 1), lambda i: CASE WHEN two[i] THEN 'A-N' WHEN i > 1 AND two[i - 1] OR i > 2 AND two[i - 2] THEN ''
+  ELSE CASE lower(k[i]) WHEN 'the' THEN 'THE' WHEN 'tion' THEN '-T-' WHEN 'ention' THEN 'ENT' WHEN 'und' THEN '&' ELSE k[i] END END), '') AS put FROM p)
+SELECT source, count(*) AS n, count(*) FILTER (put <> text) AS changed, CAST(sum(length(put)) AS BIGINT) AS chars FROM r GROUP BY source""")
 def _(t):
-    rows = t.documents.select("doc_id", "source", "text")
-    return J.changed(J.per_distinct(rows, "text", "put", X.glossary_udf(TERMS)), "text", F.col("put"), "source")
+    return J.changed(t.documents.select("source", "text"), "text", X.glossary(F.col("text"), TERMS), "source")
 
 
 @query("h5_find_replace", "", r"""
