@@ -337,27 +337,102 @@ def _silhouette(d: np.ndarray, labels: np.ndarray) -> float:
     return float(s.mean())
 
 
-def cluster_speakers(prints: DataFrame, most_speakers: int = 6, least: float = 0.20, one: float = 0.30, most: int = 2000) -> DataFrame:
-    """Speaker labels per media: 2 to most_speakers clusters by best silhouette, else one. numpy in a grouped map; a media's
-    prints are one group, bounded by ``most``."""
+def _unit(vectors: pd.Series) -> np.ndarray:
+    x = np.stack(vectors.to_numpy()).astype(float)
+    return x / np.maximum(np.linalg.norm(x, axis=1, keepdims=True), 1e-12)
+
+
+def _separate(d: np.ndarray, one: float) -> bool:
+    """Whether the 90th per cent of the distances says that there is more than one speaker."""
+    return len(d) > 2 and np.percentile(d[np.triu_indices(len(d), 1)], 90) >= one
+
+
+def _small(most_speakers: int, least: float, one: float):
     def run(batch: pd.DataFrame) -> pd.DataFrame:
-        if len(batch) > most:
-            raise ValueError(f"a media has more than {most} voiceprints")
         batch = batch.sort_values("seg_id")
         labels = np.zeros(len(batch), int)
-        if len(batch) > 2:
-            x = np.stack(batch["embedding"].to_numpy()).astype(float)
-            x /= np.maximum(np.linalg.norm(x, axis=1, keepdims=True), 1e-12)
-            d = np.clip(1 - x @ x.T, 0, 2)
-            if np.percentile(d[np.triu_indices(len(d), 1)], 90) >= one:
-                tried = {k: v for k, v in _linkage(d, most_speakers).items() if k >= 2}
-                best = max(tried, key=lambda k: (_silhouette(d, tried[k]), -k), default=None)
-                if best and _silhouette(d, tried[best]) >= least:
-                    labels = tried[best]
+        x = _unit(batch["embedding"])
+        d = np.clip(1 - x @ x.T, 0, 2)
+        if _separate(d, one):
+            tried = {k: v for k, v in _linkage(d, most_speakers).items() if k >= 2}
+            best = max(tried, key=lambda k: (_silhouette(d, tried[k]), -k), default=None)
+            if best and _silhouette(d, tried[best]) >= least:
+                labels = tried[best]
         return pd.DataFrame({"media_id": batch["media_id"], "seg_id": batch["seg_id"], "cluster": labels.astype(np.int32)})
 
+    return run
+
+
+def _landmarks(most_speakers: int, one: float):
+    def run(batch: pd.DataFrame) -> pd.DataFrame:
+        """The mean unit vector of every cluster, for every number of clusters; no rows for one speaker."""
+        x = _unit(batch.sort_values("seg_id")["embedding"])
+        d = np.clip(1 - x @ x.T, 0, 2)
+        out = []
+        if _separate(d, one):
+            tried = {n: v for n, v in _linkage(d, most_speakers).items() if n >= 2}
+            out = [(batch["media_id"].iat[0], n, c, x[v == c].mean(axis=0)) for n, v in tried.items() for c in range(n)]
+        return pd.DataFrame(out, columns=["media_id", "n", "c", "mean"])
+
+    return run
+
+
+def _dot(a: Column, b: Column) -> Column:
+    return F.aggregate(F.zip_with(a, b, lambda x, y: x * y), F.lit(0.0), lambda s, x: s + x)
+
+
+def _cluster_large(prints: DataFrame, large: DataFrame, most_speakers: int, least: float, one: float, landmarks: int, spread_over: int) -> DataFrame:
+    """Labels of media too large for one group: average linkage of their landmarks, then three scans over all prints.
+
+    Landmarks are the ``landmarks`` prints of a media whose segment hashes lowest. The average cosine distance of a print to
+    a cluster is one less its product with the mean unit vector, so every print joins the cluster nearest by average linkage,
+    and the silhouette over all prints, which chooses the number of clusters, is exact from sums of vectors. Prints of a media
+    are spread over ``spread_over`` slots; per-cluster values (at most 2 + ... + most_speakers a media) are copied to each."""
+    e = F.col("embedding")
+    norm = F.sqrt(F.greatest(_dot(e, e), F.lit(1e-24)))
+    mine = prints.join(large, "media_id", "left_semi").select("media_id", "seg_id", F.pmod(F.xxhash64("seg_id"), F.lit(spread_over)).alias("_slot"), F.transform(F.transform(e, lambda x: x.cast("double")), lambda x: x / norm).alias("_u"))
+    few = mine.withColumn("_r", F.row_number().over(Window.partitionBy("media_id").orderBy(F.xxhash64(F.lit(1), F.col("seg_id")), "seg_id"))).where(F.col("_r") <= landmarks)
+    kind = T.StructType([prints.schema["media_id"], T.StructField("n", T.IntegerType()), T.StructField("c", T.IntegerType()), T.StructField("mean", T.ArrayType(T.DoubleType()))])
+    means = few.select("media_id", "seg_id", F.col("_u").alias("embedding")).groupBy("media_id").applyInPandas(_landmarks(most_speakers, one), kind)
+
+    def to_slots(rows: DataFrame) -> DataFrame:
+        return rows.withColumn("_slot", F.explode(F.sequence(F.lit(0), F.lit(spread_over - 1)).cast("array<bigint>")))
+
+    sets = means.groupBy("media_id", "n").agg(F.array_sort(F.collect_list(F.struct("c", "mean"))).alias("_m"))
+    tries = mine.join(to_slots(sets), ["media_id", "_slot"])
+    nearest = F.array_min(F.transform("_m", lambda m: F.struct((1 - _dot(F.col("_u"), m["mean"])).alias("d"), m["c"].alias("c"))))["c"]
+    put = tries.select("media_id", "_slot", "seg_id", "n", nearest.alias("c"), "_u")
+    # sums of vectors: each slot adds up its own first
+    parts = put.select("media_id", "_slot", "n", "c", F.posexplode("_u").alias("i", "v")).groupBy("media_id", "n", "c", "i").agg(F.sum("v").alias("v"), F.count("*").alias("size"))
+    sums = parts.groupBy("media_id", "n", "c").agg(F.transform(F.array_sort(F.collect_list(F.struct("i", "v"))), lambda x: x["v"]).alias("sum"), F.max("size").alias("size"))
+    whole = sums.groupBy("media_id", "n").agg(F.array_sort(F.collect_list(F.struct("c", "size", "sum"))).alias("_s"))
+    scored = put.join(to_slots(whole), ["media_id", "n", "_slot"])
+    own = F.element_at(F.filter("_s", lambda s: s["c"] == F.col("c")), 1)
+    away = F.array_min(F.transform(F.filter("_s", lambda s: s["c"] != F.col("c")), lambda s: 1 - _dot(F.col("_u"), s["sum"]) / s["size"]))
+    near = (own["size"] - _dot(F.col("_u"), own["sum"])) / (own["size"] - 1)
+    value = F.when(own["size"] < 2, 0.0).otherwise((away - near) / F.greatest(away, near, F.lit(1e-12)))
+    quality = scored.groupBy("media_id", "n").agg(F.avg(F.coalesce(value, F.lit(-1.0))).alias("q"))
+    best = quality.groupBy("media_id").agg(F.max_by("n", F.struct(F.round("q", 9), -F.col("n"))).alias("n"), F.max("q").alias("q")).where(F.col("q") >= least).select("media_id", "n")
+    chosen = put.join(best, ["media_id", "n"]).select("media_id", "seg_id", "c")
+    first = chosen.groupBy("media_id", "c").agg(F.min("seg_id").alias("_first"))
+    numbered = first.select("media_id", "c", (F.row_number().over(Window.partitionBy("media_id").orderBy("_first")) - 1).alias("cluster"))
+    found = chosen.join(numbered, ["media_id", "c"]).select("media_id", "seg_id", "cluster")
+    alone = prints.join(large, "media_id", "left_semi").join(best, "media_id", "left_anti").select("media_id", "seg_id", F.lit(0).alias("cluster"))
+    return found.unionByName(alone)
+
+
+def cluster_speakers(prints: DataFrame, most_speakers: int = 6, least: float = 0.20, one: float = 0.30, most: int = 2000, spread_over: int = 16) -> DataFrame:
+    """Speaker labels per media: 2 to most_speakers clusters by best silhouette, else one; clusters are numbered by their first
+    segment. seg_id is unique within a media; prints without vector take no part.
+
+    A media of up to ``most`` prints is one group with exact average linkage. A larger one is clustered by as many landmarks and
+    every other print joins the nearest cluster (see _cluster_large), so no media has a bound; there whether it is one
+    speaker at all is judged by the landmarks' distances."""
+    had = prints.where(F.col("embedding").isNotNull()).select("media_id", "seg_id", "embedding")
+    large = had.groupBy("media_id").agg(F.count("*").alias("_n")).where(F.col("_n") > most).select("media_id")
     kind = T.StructType([prints.schema["media_id"], prints.schema["seg_id"], T.StructField("cluster", T.IntegerType())])
-    return prints.select("media_id", "seg_id", "embedding").groupBy("media_id").applyInPandas(run, kind)
+    small = had.join(large, "media_id", "left_anti").groupBy("media_id").applyInPandas(_small(most_speakers, least, one), kind)
+    return small.unionByName(_cluster_large(had, large, most_speakers, least, one, most, spread_over))
 
 
 def relabel(clusters: DataFrame, ms: str) -> DataFrame:

@@ -381,6 +381,59 @@ def test_speakers(spark):
     assert len(set(one.values())) == 2 and all(one[i] == one[i % 2] for i in one)
 
 
+def speaker_rows(media_id, n, speakers, rng, noise):
+    centres = np.eye(8)[:speakers]
+    return [(media_id, i, (centres[(i * 7 // 3) % speakers] + noise * rng.normal(size=8)).tolist()) for i in range(n)]
+
+
+def exact_speakers(x, most=6, least=0.20, one=0.30):
+    """Average linkage and silhouettes over all prints, step by step: the partition as a set of sets."""
+    x = x / np.linalg.norm(x, axis=1, keepdims=True)
+    d = np.clip(1 - x @ x.T, 0, 2)
+    everything = {frozenset(range(len(x)))}
+    if np.percentile(d[np.triu_indices(len(x), 1)], 90) < one:
+        return everything
+    groups, best = [[i] for i in range(len(x))], (-2.0, everything)
+    while len(groups) > 1:
+        mean = lambda p, q: d[np.ix_(p, q)].mean()
+        i, j = min(((i, j) for i in range(len(groups)) for j in range(i + 1, len(groups))), key=lambda p: mean(groups[p[0]], groups[p[1]]))
+        groups[i] = groups[i] + groups.pop(j)
+        if 2 <= len(groups) <= most:
+            s = []
+            for g in groups:
+                for p in g:
+                    a = d[p, g].sum() / max(1, len(g) - 1)
+                    b = min(d[p, h].mean() for h in groups if h is not g)
+                    s.append((b - a) / max(a, b, 1e-12) if len(g) > 1 else 0.0)
+            best = max(best, (float(np.mean(s)), {frozenset(g) for g in groups}), key=lambda t: t[0])
+    return best[1] if best[0] >= least else everything
+
+
+def partition(rows, media_id):
+    of = {}
+    for r in rows:
+        if r["media_id"] == media_id:
+            of.setdefault(r["cluster"], set()).add(r["seg_id"])
+    assert [min(of[c]) for c in sorted(of)] == sorted(min(v) for v in of.values()) and sorted(of) == list(range(len(of)))
+    return {frozenset(v) for v in of.values()}
+
+
+def test_speakers_of_large_media(spark):
+    """Beyond the bound of a group, labels are those of exact linkage over all prints, where speakers differ."""
+    rng = np.random.default_rng(6)
+    rows = [r for m, n, k, noise in ((1, 90, 3, 0.08), (2, 80, 2, 0.1), (3, 70, 1, 0.02), (4, 60, 5, 0.05), (5, 20, 2, 0.1), (6, 65, 1, 0.9)) for r in speaker_rows(m, n, k, rng, noise)]
+    df = spark.createDataFrame([*rows, (7, 1, [1.0] * 8), (8, 1, None)], "media_id long, seg_id long, embedding array<double>")
+    whole, parts = media.cluster_speakers(df).collect(), media.cluster_speakers(df, most=30, spread_over=3).collect()
+    assert len(whole) == len(parts) == len(rows) + 1
+    for m in range(1, 7):
+        x = np.array([v for k, _, v in rows if k == m])
+        want = exact_speakers(x)
+        assert partition(whole, m) == want, m
+        if m < 6:  # media 6 is noise: only landmarks decide there
+            assert partition(parts, m) == want, m
+    assert partition(parts, 7) == {frozenset([1])} and {len(exact_speakers(np.array([v for k, _, v in rows if k == m]))) for m in (1, 2, 3, 4)} == {3, 2, 1, 5}
+
+
 def test_long_splits_cover_the_segment(spark, sf):
     from pyspark.sql import Window
 
