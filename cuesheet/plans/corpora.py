@@ -4,10 +4,14 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from ..operators import reports as R
 from ..operators import segments as S
+from ..operators import timeline as T
 from ..sources import files as X
+from .folds import PLACED, _dubbed
+from .media import _fused
 from .registry import query
-from .segments import WORD_SQL
+from .segments import CPS, WORD_SQL
 from .streams import work_folder
 
 
@@ -68,6 +72,45 @@ def _(t):
     return t.spark.read.schema("n long, total_ms long, media_id int").json(path).select("media_id", "n", "total_ms")
 
 
+@query("a9_reports", "segments scene_cuts ocr_segments", PLACED + """
+, d AS (SELECT b.media_id, b.seg_id, slot, dub, length(text_vi) AS size, greatest(12, CAST(floor(slot * 12.0 / 1000) AS INT)) AS budget, drift, r.tempo, before
+  FROM b JOIN r USING (media_id, seg_id) JOIN segments g USING (media_id, seg_id)),
+q AS (SELECT *, before > 10 AS late, drift > 50 AS moved, tempo <> 1 AS fast, size > 1.25 * budget AS over, (media_id + seg_id) % 29 = 0 AS failed,
+  CASE WHEN abs(dub - slot) <= greatest(200, slot * 3 // 10) THEN 1 ELSE 0 END AS fits FROM d)
+SELECT 'quality' AS report, media_id, CAST(count(*) FILTER (late OR moved OR fast OR over OR failed) AS BIGINT) AS items, count(*) AS total, count(*) FILTER (NOT (late OR moved OR fast OR over OR failed)) AS ok,
+  CAST(coalesce(sum(before) FILTER (late), 0) AS BIGINT) AS ms, CAST(coalesce(sum(size - budget) FILTER (over), 0) AS BIGINT) AS chars, count(*) FILTER (failed) AS marked FROM q GROUP BY media_id
+UNION ALL SELECT 'timing', media_id, count(*), count(*), CAST(sum(fits) AS BIGINT), CAST(sum(dub) AS BIGINT), 0, count(*) - CAST(sum(fits) AS BIGINT) FROM q GROUP BY media_id
+UNION ALL SELECT 'fusion', media_id, count(*), count(*), 0, CAST(sum(end_ms - start_ms) AS BIGINT), 0, 0 FROM segments WHERE seg_id % 5 <> 0 GROUP BY media_id""")
+def _(t):
+    """The three reports written, read back and added up; of fusion decisions those on segments with words."""
+    path = work_folder(t.spark)
+    segs = _dubbed(t)
+    failed = segs.where((F.col("media_id") + F.col("seg_id")) % 29 == 0).select("media_id", "seg_id", F.when(F.col("seg_id") % 2 == 0, "speed").otherwise("postprocess").alias("step"))
+    said = _fused(t).where("seg_id % 5 <> 0")
+    X.write_reports({"quality": R.quality(segs, T.place_voices(segs, t.scene_cuts), F.lit(CPS), failed), "timing": R.timing(segs), "fusion": R.fusion(said)}, path)
+    read = lambda name, part, schema: X.read_report(t.spark, path, name, part, f"{schema}, media_id long")
+    items = {
+        "quality": read("quality", "items", "seg_id int, over_budget_chars long, speed_fallback boolean, postprocess_fallback boolean").withColumns({"chars": F.coalesce("over_budget_chars", F.lit(0)), "marked": F.coalesce("speed_fallback", "postprocess_fallback").isNotNull(), "ms": F.lit(0)}),
+        "timing": read("timing", "items", "seg_id int, dub_ms long, verdict string").withColumns({"chars": F.lit(0), "marked": F.col("verdict") != "OK", "ms": F.lit(0)}),
+        "fusion": read("fusion", "items", "seg_id int, decision string, start_ms long, end_ms long").withColumns({"chars": F.lit(0), "marked": F.col("decision").isNull(), "ms": F.col("end_ms") - F.col("start_ms")}),
+    }
+    sums = {
+        "quality": read("quality", "summary", "segments_total long, segments_ok long, total_overlap_ms long").toDF("total", "ok", "own_ms", "media_id"),
+        "timing": read("timing", "summary", "segments_total long, segments_ok long, dubbed_ms long").toDF("total", "ok", "own_ms", "media_id"),
+        "fusion": read("fusion", "summary", "total_asr long").select(F.col("total_asr").alias("total"), F.lit(0).cast("long").alias("ok"), F.lit(None).cast("long").alias("own_ms"), "media_id"),
+    }
+    out = None
+    for name, summary in sums.items():
+        per = items[name].groupBy("media_id").agg(F.count("*").alias("items"), F.sum("chars").cast("long").alias("chars"), F.count_if("marked").alias("marked"), F.sum("ms").cast("long").alias("item_ms"))
+        zero = F.lit(0).cast("long")
+        told = summary.join(per, "media_id", "left").select(
+            F.lit(name).alias("report"), "media_id", F.coalesce("items", zero).alias("items"), "total", "ok",
+            F.coalesce("own_ms", "item_ms", zero).alias("ms"), F.coalesce("chars", zero).alias("chars"), F.coalesce("marked", zero).alias("marked"),
+        )
+        out = told if out is None else out.unionByName(told)
+    return out
+
+
 @query("a11_fingerprints", "segments", """
 , b AS (SELECT string_agg(text, chr(10) ORDER BY seg_id) || chr(10) AS f FROM segments GROUP BY media_id)
 SELECT CAST(strlen(f) AS BIGINT) AS length, sha256(strlen(f) || f) AS fingerprint FROM b""")

@@ -75,7 +75,7 @@ def _dubbed(t):
     return S.annotate_slots(t.segments).withColumn("dub_ms", F.floor(F.col("dur_ms") * (60 + F.col("media_id") * 7 % 90) / 100))
 
 
-@query("e7_place_voices", "segments scene_cuts", """
+PLACED = """
 , n AS (SELECT media_id, seg_id, start_ms AS s, greatest(300, coalesce(lead(start_ms) OVER w - start_ms, end_ms - start_ms + 2000)) AS slot, lead(start_ms) OVER w AS nx,
     dur_ms * (60 + media_id * 7 % 90) // 100 AS dub, row_number() OVER w AS rn FROM segments WINDOW w AS (PARTITION BY media_id ORDER BY start_ms, seg_id)),
 k AS (SELECT media_id, list_sort(list(DISTINCT CAST(cut_ms AS BIGINT))) AS cuts FROM scene_cuts GROUP BY media_id),
@@ -87,7 +87,10 @@ r AS (WITH RECURSIVE f(media_id, rn, prev, seg_id, t, drift, room, tempo, over,
     SELECT *, CASE WHEN dub > e - t AND dub::DOUBLE / (e - t) >= 1.02 THEN least(1.15::DOUBLE, dub::DOUBLE / (e - t)) ELSE 1.0::DOUBLE END AS tempo FROM (
       SELECT *, greatest(CASE WHEN scene >= t + low THEN least(e0, scene) ELSE e0 END, t + low) AS e FROM (
         SELECT *, list_min(list_filter(cuts, lambda c: c > t)) - 20 AS scene, greatest(50, least(slot, 300)) AS low, coalesce(nx - 120, t + slot + 2000) AS e0 FROM (
-          SELECT b.*, f.prev, least(CASE WHEN dub > 0 THEN greatest(s, prev + 120) ELSE s END, s + 150) AS t FROM f JOIN b ON b.media_id = f.media_id AND b.rn = f.rn + 1)))))) SELECT * FROM f WHERE rn > 0)
+          SELECT b.*, f.prev, least(CASE WHEN dub > 0 THEN greatest(s, prev + 120) ELSE s END, s + 150) AS t FROM f JOIN b ON b.media_id = f.media_id AND b.rn = f.rn + 1)))))) SELECT * FROM f WHERE rn > 0)"""
+
+
+@query("e7_place_voices", "segments scene_cuts", PLACED + """
 SELECT media_id, seg_id, t AS place_ms, drift AS drift_ms, room AS room_ms, tempo, over AS overrun_ms, before AS overlap_prev_ms, over > 50 AS needs_compaction FROM r""")
 def _(t):
     return T.place_voices(_dubbed(t), t.scene_cuts)

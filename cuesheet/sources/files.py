@@ -86,6 +86,19 @@ def write_report(rows: DataFrame, path: str, by: str) -> None:
     rows.write.partitionBy(by).json(path)
 
 
+def write_reports(reports: dict[str, tuple[DataFrame, DataFrame]], path: str) -> None:
+    """name -> (summary, items), as JSON lines below path/name/summary and path/name/items, a folder per media in each. Written
+    again, a report replaces the one before."""
+    for name, parts in reports.items():
+        for part, rows in zip(("summary", "items"), parts, strict=True):
+            rows.write.mode("overwrite").partitionBy("media_id").json(f"{path}/{name}/{part}")
+
+
+def read_report(spark: SparkSession, path: str, name: str, part: str, schema: str) -> DataFrame:
+    """Without items there is nothing to read: an empty table of the schema."""
+    return spark.read.schema(schema).json(f"{path}/{name}/{part}")
+
+
 def fingerprints(spark: SparkSession, path: str, whole: int = 4 << 20, sample: int = 64 << 10) -> DataFrame:
     """Size and hash of every file below path: of all bytes up to ``whole``, of five samples spread over larger ones."""
     f = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path)

@@ -434,6 +434,29 @@ def test_speakers_of_large_media(spark):
     assert partition(parts, 7) == {frozenset([1])} and {len(exact_speakers(np.array([v for k, _, v in rows if k == m]))) for m in (1, 2, 3, 4)} == {3, 2, 1, 5}
 
 
+def test_three_reports(spark, tmp_path):
+    from cuesheet.operators import reports
+
+    segs = spark.createDataFrame(
+        [(1, 1, 0, 1000, 1000, 1000, "a", "b" * 20), (1, 2, 1000, 2000, 1000, 1600, "a", "b"), (1, 3, 2000, 2500, 500, None, None, None), (2, 1, 0, 900, 900, 900, "x", "y")],
+        "media_id long, seg_id int, start_ms long, end_ms long, slot_ms long, dub_ms long, text string, text_vi string",
+    )
+    placed = spark.createDataFrame([(1, 1, 0, 1.0, 0), (1, 2, 51, 1.15, 11), (2, 1, 50, 1.0, 10)], "media_id long, seg_id int, drift_ms long, tempo double, overlap_prev_ms long")
+    failed = spark.createDataFrame([(1, 3, "speed"), (1, 3, "speed"), (1, 3, "postprocess")], "media_id long, seg_id int, step string")
+    decided = spark.createDataFrame([(1, 1, None, "keep_asr"), (1, 2, None, "merged_prefix_suffix"), (1, None, 7, "ocr_standalone")], "media_id long, seg_id long, ocr_id long, decision string")
+    made = {"quality": reports.quality(segs, placed, F.lit(12.0), failed), "timing": reports.timing(segs), "fusion": reports.fusion(decided)}
+    for _ in range(2):  # written again, the same
+        files.write_reports(made, str(tmp_path))
+        q = {r["seg_id"]: r for r in files.read_report(spark, str(tmp_path), "quality", "items", "media_id long, seg_id int, shift_ms long, tempo double, overlap_prev_ms long, over_budget_chars long, speed_fallback boolean, postprocess_fallback boolean").collect()}
+        assert set(q) == {1, 2, 3} and q[1]["over_budget_chars"] == 8 and (q[2]["shift_ms"], q[2]["tempo"], q[2]["overlap_prev_ms"]) == (51, 1.15, 11) and q[3]["speed_fallback"] and q[3]["postprocess_fallback"]
+    one = {r["media_id"]: r for r in made["quality"][0].collect()}
+    assert (one[1]["segments_total"], one[1]["segments_ok"], one[1]["segments_compressed"], one[1]["total_overlap_ms"], one[1]["max_shift_ms"]) == (3, 0, 1, 11, 51) and one[2]["segments_ok"] == 1 and one[2]["max_shift_ms"] == 50
+    t = {r["media_id"]: r for r in made["timing"][0].collect()}
+    assert (t[1]["segments_ok"], t[1]["segments_need_edit"], t[2]["ratio"]) == (2, 1, 1.0)
+    f = made["fusion"][0].first()
+    assert (f["total_fused"], f["total_asr"], f["merged_count"], f["ocr_added_count"], f["asr_kept_count"]) == (3, 2, 1, 1, 1)
+
+
 def test_long_splits_cover_the_segment(spark, sf):
     from pyspark.sql import Window
 
