@@ -8,12 +8,6 @@ from pyspark.sql import functions as F
 from ..functions import text as X
 
 
-def per_distinct(rows: DataFrame, column: str, out: str, make) -> DataFrame:
-    """Apply a costly function once per distinct text and join it back; templated corpora repeat lines. Null stays null."""
-    once = rows.select(F.col(column).alias("_t")).where("_t IS NOT NULL").distinct().select("_t", make(F.col("_t")).alias(out))
-    return rows.join(once, rows[column] == F.col("_t"), "left").drop("_t")
-
-
 def changed(rows: DataFrame, column: str, new: Column, key: str) -> DataFrame:
     """The column rewritten, and the number of rows per key that changed."""
     both = rows.withColumn("_new", new)

@@ -48,10 +48,26 @@ def _(t):
     return t.segments.select("media_id", "seg_id", X.hard_lock(F.col("text"), {"tion": "IO", "ention": "ENT", "thon": "T"}).alias("locked"))
 
 
+# What a segment's line ends in, by turns: {n} its start, {k} its number, {d} a day, {m} a month, {h} an hour.
+FORMS = [
+    "{n} kg", "{k}-9, 3,5 km", "${n}", "{h}h30", "{h}:05", "{d}/{m}/1975", "ngày {d}/{m}", "tháng {m}/2024", "{k}°C", "1/{d}", "{d}%", "{k}MB",
+    "RTX {n}", "AI và CPU {k}", "{n}đ", "[Nhạc] 007", "Top {k}", "No.{k}", "a@b + {k}", "1.500 m và 2,75",
+]
+
+
+def spoken_lines(segs):
+    """The whole text of every segment, and after it a form that the rules read."""
+    k = F.col("seg_id")
+    values = {"n": F.col("start_ms"), "k": k, "d": k % 28 + 1, "m": k % 12 + 1, "h": k % 24}
+    form = F.element_at(F.array(*map(F.lit, FORMS)), (F.pmod(F.col("media_id") + k, F.lit(len(FORMS))) + 1).cast("int"))
+    for name, v in values.items():
+        form = F.replace(form, F.lit("{" + name + "}"), v.cast("string"))
+    return segs.select("media_id", "seg_id", form.alias("form"), F.concat(F.coalesce("text", F.lit("")), F.lit(" ; "), form).alias("text"))
+
+
 @query("h7_spoken_form", "segments")
 def _(t):
-    lines = t.segments.select("media_id", "seg_id", F.concat(F.col("start_ms").cast("string"), F.lit(" kg, "), F.col("seg_id").cast("string"), F.lit("-9, 3,5 km")).alias("text"))
-    return J.per_distinct(lines, "text", "spoken", X.spoken_udf())
+    return spoken_lines(t.segments).select("media_id", "seg_id", "text", X.spoken_udf()(F.col("text")).alias("spoken"))
 
 
 @query("h9_compact", "segments", r"""

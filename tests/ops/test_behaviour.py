@@ -120,6 +120,20 @@ def test_spoken(text):
     assert X.spoken(text) == SPOKEN[text]
 
 
+def test_spoken_query_reads_every_form(spark, sf):
+    """Whole lines of the table: every form occurs, is read as it is alone, and no digit of it is left."""
+    from cuesheet.plans import registry
+    from cuesheet.plans import text as plan
+
+    segs = views.load(spark, sf, "segments")
+    forms = {(r["media_id"], r["seg_id"]): r["form"] for r in plan.spoken_lines(segs).collect()}
+    got = registry.queries()["h7_spoken_form"](spark, sf).collect()
+    assert len(got) == len(forms) == segs.count() and len({f[-2:] for f in forms.values()}) >= 15
+    for r in got:
+        alone = X.spoken(forms[r["media_id"], r["seg_id"]])
+        assert r["spoken"].endswith(alone) and not any(c.isdigit() for c in alone), r
+
+
 def value(words):
     """A number from its Vietnamese words, read from the right by thousands."""
     small = {"không": 0, "một": 1, "mốt": 1, "hai": 2, "ba": 3, "bốn": 4, "tư": 4, "năm": 5, "lăm": 5, "sáu": 6, "bảy": 7, "tám": 8, "chín": 9, "mười": 10}
