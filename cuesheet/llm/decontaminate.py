@@ -6,8 +6,11 @@ of the words from there; hashes meet the broadcast windows in a hash join and ea
 scan is one chain of generated code (explode, hash, join, verify): word arrays are carried by reference and only hits
 leave it. No Python runs anywhere.
 
-The broadcast is bounded: windows are written and counted first, a window once for every item that has it, and, above
-``max_windows`` (default one million, some 200 MB), dealt by hash into blocks; the documents are scanned once per block.
+The broadcast is bounded: windows are written first and, above ``max_windows`` of them (default one million) or
+``max_bytes`` of their words (256 MB), dealt by hash into blocks; the documents are scanned once per block. Only one window
+that is larger by itself exceeds that, and then its item is a row of a tenth of its size at least. Hits carry no item
+ids but the ``set_id`` of the items that have the window: windows of the same items share one. A document's distinct sets
+are joined with their items afterwards, so a passage of many windows that many items share costs its items once.
 
 Defined cases: null or wordless text has no words and no hits; items without words have no window; equal items all
 count; every document row is judged by its own text, whatever its id; empty tables give empty results; other columns are
@@ -27,6 +30,8 @@ from .common import ascii_lower, join_checked, materialise, table, text_or_empty
 SEPARATORS = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 SIZE = 10
 MAX_WINDOWS = 1_000_000
+MAX_BYTES = 256 << 20
+_WORD_BYTES = 32  # what an array of words takes in memory for each word besides its bytes, about
 _SUMMARY = 0  # length of the marker row that each document gets besides its windows
 
 
@@ -44,7 +49,8 @@ def _hash(words: str, at: Column, length: int) -> Column:
 
 
 def windows(items: DataFrame, size: int = SIZE) -> DataFrame:
-    """items(item_id, text) -> length, hash, window (array of words), item_ids: one row per distinct window."""
+    """items(item_id, text) -> length, hash, window (array of words), item_ids (sorted) and their digest set_id: one row per
+    distinct window."""
     w = items.select("item_id", words(text_or_empty()).alias("words")).where(F.size("words") > 0)
     w = w.withColumn("length", F.least(F.size("words"), F.lit(size)))
     each = w.select(
@@ -52,7 +58,8 @@ def windows(items: DataFrame, size: int = SIZE) -> DataFrame:
         F.explode(F.transform(F.sequence(F.lit(1), F.size("words") - F.col("length") + 1), lambda i: F.slice("words", i, F.col("length")))).alias("window"),
     )
     hashed = each.withColumn("hash", _by_length("length", lambda n: _hash("window", F.lit(0), n), range(1, size + 1)))
-    return hashed.groupBy("length", "hash", "window").agg(F.collect_set("item_id").alias("item_ids"))
+    found = hashed.groupBy("length", "hash", "window").agg(F.array_sort(F.collect_set("item_id")).alias("item_ids"))
+    return found.withColumn("set_id", F.unhex(F.md5(F.to_json("item_ids"))))
 
 
 def _by_length(name: str, value, lengths) -> Column:
@@ -63,19 +70,26 @@ def _by_length(name: str, value, lengths) -> Column:
     return out
 
 
-def hits(docs: DataFrame, items: DataFrame, size: int = SIZE, max_windows: int = MAX_WINDOWS) -> DataFrame:
-    """docs(_dc_row, doc_id, text) -> verified hits (_dc_row, doc_id, at, length, item_ids, n_words), and for each
-    document one row of length 0 that carries n_words."""
-    known = materialise(windows(items, size), "windows")
-    shape = known.groupBy("length").agg(F.sum(F.size("item_ids")).alias("n")).collect()  # at most ``size`` rows
-    lengths, blocks = sorted(r["length"] for r in shape), max(1, math.ceil(sum(r["n"] for r in shape) / max_windows))
+def indexed(items: DataFrame, size: int = SIZE) -> DataFrame:
+    """The windows of items, written out."""
+    return materialise(windows(items, size), "windows")
+
+
+def hits(docs: DataFrame, known: DataFrame, size: int = SIZE, max_windows: int = MAX_WINDOWS, max_bytes: int = MAX_BYTES) -> DataFrame:
+    """docs(_dc_row, doc_id, text), windows as of ``indexed`` -> verified hits (_dc_row, doc_id, at, length, set_id, n_words),
+    and for each document one row of length 0 that carries n_words."""
+    weight = F.sum(F.octet_length(F.array_join("window", "")) + F.size("window") * _WORD_BYTES)
+    shape = known.groupBy("length").agg(F.count("*").alias("n"), weight.alias("bytes")).collect()  # at most ``size`` rows
+    lengths = sorted(r["length"] for r in shape)
+    blocks = max(1, math.ceil(sum(r["n"] for r in shape) / max_windows), math.ceil(sum(r["bytes"] for r in shape) / max_bytes))
+    known = known.drop("item_ids")
     w = docs.select("_dc_row", "doc_id", words(text_or_empty()).alias("words")).withColumn("n_words", F.size("words"))
     parts = []
     for block in range(blocks):
         mine = known.where(F.pmod("hash", F.lit(blocks)) == block) if blocks > 1 else known
         summary = docs.sparkSession.range(1).select(
             F.lit(_SUMMARY).alias("length"), F.lit(0).cast("long").alias("hash"),
-            F.array().cast("array<string>").alias("window"), F.array().cast(items.schema["item_id"].dataType.simpleString().join(["array<", ">"])).alias("item_ids"),
+            F.array().cast("array<string>").alias("window"), F.lit(None).cast("binary").alias("set_id"),
         )
         mine = mine.unionByName(summary) if block == 0 else mine
         spots = w.select("_dc_row", "doc_id", "words", "n_words", F.explode(F.sequence(F.lit(-1), F.col("n_words") - 1)).alias("at"))
@@ -91,23 +105,35 @@ def hits(docs: DataFrame, items: DataFrame, size: int = SIZE, max_windows: int =
         spots = spots.withColumn("hash", value)
         joined = spots.join(F.broadcast(mine), ["hash", "length"])
         same = (F.col("length") == _SUMMARY) | (F.slice("words", F.col("at") + 1, F.greatest("length", F.lit(1))) == F.col("window"))
-        parts.append(joined.where(same).select("_dc_row", "doc_id", "at", "length", "item_ids", "n_words"))
+        parts.append(joined.where(same).select("_dc_row", "doc_id", "at", "length", "set_id", "n_words"))
     return reduce(DataFrame.unionByName, parts)
 
 
-def judge(docs: DataFrame, items: DataFrame, size: int = SIZE, max_windows: int = MAX_WINDOWS) -> DataFrame:
-    """One row per document row: _dc_row, doc_id, n_words, spans (word positions hit, as array), item_ids (sorted)."""
-    found = hits(docs, items, size, max_windows)
+def _with_items(sets: DataFrame, known: DataFrame, max_bytes: int) -> DataFrame:
+    """sets(_dc_row, set_id) -> _dc_row, item_ids (distinct). The items of a set are broadcast where all sets take at most
+    max_bytes, else joined by shuffling."""
+    items = materialise(known.groupBy("set_id").agg(F.first("item_ids").alias("ids")), "item-sets")
+    few = (items.agg(F.sum(F.octet_length(F.to_json("ids")))).first()[0] or 0) <= max_bytes
+    each = sets.join(F.broadcast(items) if few else items.hint("merge"), "set_id").select("_dc_row", F.explode("ids").alias("item_id"))
+    return each.groupBy("_dc_row").agg(F.collect_set("item_id").alias("item_ids"))
+
+
+def judge(docs: DataFrame, items: DataFrame, size: int = SIZE, max_windows: int = MAX_WINDOWS, max_bytes: int = MAX_BYTES) -> DataFrame:
+    """One row per document row: _dc_row, doc_id, n_words, positions (of words that are hit, sorted), item_ids (as
+    sorted strings)."""
+    known = indexed(items, size)
+    found = hits(docs, known, size, max_windows, max_bytes)
     spans = F.collect_list(F.when(F.col("length") > 0, F.struct("at", "length")))
     per_doc = found.groupBy("_dc_row", "doc_id").agg(
-        F.max("n_words").alias("n_words"), spans.alias("_dc_spans"),
-        F.array_distinct(F.flatten(F.collect_set("item_ids"))).alias("item_ids"),
-    )
+        F.max("n_words").alias("n_words"), spans.alias("_dc_spans"), F.collect_set("set_id").alias("_dc_sets")
+    )
     at = F.flatten(F.transform("_dc_spans", lambda s: F.sequence(s["at"], s["at"] + s["length"] - 1)))
-    return per_doc.select(
-        "_dc_row", "doc_id", "n_words", F.array_sort(F.array_distinct(at)).alias("positions"),
-        F.array_sort(F.transform("item_ids", lambda i: i.cast("string"))).alias("item_ids"),
-    )
+    told = materialise(per_doc.select("_dc_row", "doc_id", "n_words", F.array_sort(F.array_distinct(at)).alias("positions"), "_dc_sets"), "judged")
+    own = _with_items(told.select("_dc_row", F.explode("_dc_sets").alias("set_id")), known, max_bytes // 4)
+    named = F.array_sort(F.transform(F.col("item_ids"), lambda i: i.cast("string")))
+    return told.join(own, "_dc_row", "left").select(
+        "_dc_row", "doc_id", "n_words", "positions", F.coalesce(named, F.array().cast("array<string>")).alias("item_ids")
+    )
 
 
 def numbered(docs: DataFrame) -> DataFrame:
@@ -119,7 +145,7 @@ def decontaminate(docs: DataFrame, items: DataFrame, size: int = SIZE, max_windo
     their text, so a clean row stays even if another with its id goes."""
     digest = F.unhex(F.md5(F.encode(F.col("text"), "UTF-8")))
     texts = docs.where(F.col("text").isNotNull()).select(digest.alias("_dc_row"), F.lit(None).cast("long").alias("doc_id"), "text")
-    bad = hits(texts, items, size, max_windows).where(F.col("length") > 0).select("_dc_row").distinct()
+    bad = hits(texts, indexed(items, size), size, max_windows).where(F.col("length") > 0).select("_dc_row").distinct()
     return join_checked(docs.withColumn("_dc_row", digest), bad, ["_dc_row"], "left_anti", "leaked").select(*docs.columns)
 
 

@@ -9,7 +9,8 @@ probability p = f^HASHES, so its count c of n is corrected to (c - p n) / (1 - p
 N-grams are four letters of a lower-cased text, in which runs of other characters are one space. A language keeps its
 ``TOP`` most frequent n-grams, except those that another language uses more than ``RATIO`` times as often; frequencies
 come from at most ``max_docs`` documents per language, outside the held-out quarter: about as many are drawn by a hash of id
-and text, and of those the first by that hash.
+and text, and of those the first by that hash. A text's n-grams are hashed and counted in pieces of ``PIECE`` characters, so a
+very long text takes a few times its own size.
 
 Defined cases: null text or a text without a letter is ``und`` with score 0; documents with a null lang teach nothing;
 ties go to the language first in text order; letters but no known n-gram: the language of most training documents, score
@@ -39,6 +40,7 @@ TOP = 12_000
 RATIO = 4.0
 MAX_DOCS = 1_500
 MAX_LANGS = 64
+PIECE = 1 << 19  # n-grams that are hashed at a time
 _SCALE = 1 << 30
 _SPACES = re.compile(r"[\W\d_]+")
 #: Python's \w holds numbers such as 1/2 or Roman numerals too; letters are what isalpha says.
@@ -47,20 +49,35 @@ _M1, _M2 = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F)
 UND = "und"
 
 
-def gram_hashes(text: str) -> np.ndarray:
-    """A 64-bit hash for each n-gram of letters; None-like empty array if there is no letter."""
+def gram_pieces(text: str, piece: int = PIECE) -> Iterator[np.ndarray]:
+    """A 64-bit hash for each n-gram of letters, at most ``piece`` at a time; nothing if there is no letter."""
     clean = _SPACES.sub(" ", text.lower()).strip()
     if not clean.replace(" ", "").isalpha():  # rare, so the slower step is not taken by every text
         clean = _SPACES.sub(" ", clean.translate(_NUMBERS)).strip()
     if not clean:
-        return np.empty(0, np.uint64)
-    codes = np.frombuffer(f" {clean} ".encode("utf-32-le"), np.uint32).astype(np.uint64)
-    n = max(1, len(codes) - N + 1)
-    h = np.zeros(n, np.uint64)
-    for j in range(min(N, len(codes))):
-        h = (h ^ codes[j : j + n]) * _M1
-        h ^= h >> np.uint64(29)
-    return h
+        return
+    clean = f" {clean} "
+    for start in range(0, max(1, len(clean) - N + 1), piece):
+        codes = np.frombuffer(clean[start : start + piece + N - 1].encode("utf-32-le"), np.uint32).astype(np.uint64)
+        n = max(1, len(codes) - N + 1)
+        h = np.zeros(n, np.uint64)
+        for j in range(min(N, len(codes))):
+            h = (h ^ codes[j : j + n]) * _M1
+            h ^= h >> np.uint64(29)
+        yield h
+
+
+def gram_hashes(text: str, piece: int = PIECE) -> np.ndarray:
+    """All hashes of a text, in order."""
+    return np.concatenate([np.empty(0, np.uint64), *gram_pieces(text, piece)])
+
+
+def distinct_grams(text: str, piece: int = PIECE) -> np.ndarray:
+    """The distinct hashes of a text, sorted."""
+    own = np.empty(0, np.uint64)
+    for h in gram_pieces(text, piece):
+        own = np.union1d(own, h) if len(own) else np.unique(h)
+    return own
 
 
 def slots(h: np.ndarray) -> list[np.ndarray]:
@@ -87,17 +104,19 @@ class Model:
         fill = np.array([float(((words >> np.uint64(i)) & np.uint64(1)).mean()) for i in range(len(langs))])
         return cls(langs, words, fill**HASHES, usual)
 
-    def predict(self, text: str) -> tuple[str, float]:
-        h = gram_hashes(text)
-        if not len(h) or not self.langs:
+    def predict(self, text: str, piece: int = PIECE) -> tuple[str, float]:
+        n, counts = 0, np.zeros(len(self.langs))
+        for h in gram_pieces(text, piece):
+            n += len(h)
+            at = slots(h)
+            mask = self.table[at[0]]
+            for s in at[1:]:
+                mask = mask & self.table[s]
+            mask = mask[mask != 0]
+            counts += [np.count_nonzero(mask & np.uint64(1 << i)) for i in range(len(self.langs))]
+        if not n or not self.langs:
             return UND, 0.0
-        at = slots(h)
-        mask = self.table[at[0]]
-        for s in at[1:]:
-            mask = mask & self.table[s]
-        mask = mask[mask != 0]
-        counts = np.array([np.count_nonzero(mask & np.uint64(1 << i)) for i in range(len(self.langs))], float)
-        corrected = np.maximum(0.0, (counts - self.false * len(h)) / (1 - self.false))
+        corrected = np.maximum(0.0, (counts - self.false * n) / (1 - self.false))
         total = corrected.sum()
         if total <= 0:
             return self.usual, 0.0
@@ -122,7 +141,7 @@ def train(docs: DataFrame, max_docs: int = MAX_DOCS, top: int = TOP) -> Model:
     @F.pandas_udf(T.ArrayType(T.LongType()))
     def grams(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
         for texts in batches:
-            yield pd.Series([np.unique(gram_hashes(t)).view(np.int64) for t in texts])
+            yield pd.Series([distinct_grams(t).view(np.int64) for t in texts])
 
     each = drawn.select("lang", F.explode(grams(text_or_empty())).alias("g"))
     counted = each.groupBy("lang", "g").agg(F.count("*").alias("c"))  # documents of the language with the n-gram

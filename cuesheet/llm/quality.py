@@ -12,8 +12,8 @@ that fail the base rules (under 50 words; more than half of the words inside rep
 Words are runs of characters other than space and U+0009 to U+000D. One pass of an Arrow UDF per document, whole text.
 
 Defined cases: null and empty texts have no words and are rejected; lines without a word count for nothing and stay;
-repeated rows are judged alike; an empty table gives an empty result; other columns are kept, helper columns start with
-``_qr_``.
+repeated rows are judged alike; an empty table gives an empty result; other columns are kept; ``_qr`` and names that
+start with ``_qr_`` are helper columns and belong to the operator.
 """
 
 from __future__ import annotations

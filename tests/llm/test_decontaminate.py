@@ -44,8 +44,8 @@ def frames(spark):
 
 def test_against_brute_force_and_in_blocks(spark):
     docs, items, d, b = frames(spark)
-    for most in (1_000_000, 4):
-        got = D.judge(D.numbered(d), b, max_windows=most).collect()
+    for most, size in ((1_000_000, D.MAX_BYTES), (4, D.MAX_BYTES), (1_000_000, 1_000)):  # one block, by rows, by bytes with sets shuffled
+        got = D.judge(D.numbered(d), b, max_windows=most, max_bytes=size).collect()
         assert sorted([(r["doc_id"], r["n_words"], tuple(r["positions"]), tuple(r["item_ids"])) for r in got], key=str) == brute(docs, items)
 
 
@@ -71,3 +71,23 @@ def test_empty_tables_and_native(spark, sf):
     assert len(none) == len(case()[0]) and all(not r["positions"] for r in none)
     plan = D.query(spark, sf)._jdf.queryExecution().executedPlan().toString()
     assert "Python" not in plan and "Arrow" not in plan and "BroadcastHashJoin" in plan
+    docs = D.numbered(spark.read.parquet(f"{sf}/documents.parquet"))
+    scan = D.hits(docs, D.indexed(spark.read.parquet(f"{sf}/benchmark.parquet")))._jdf.queryExecution().executedPlan().toString()
+    assert "Python" not in scan and "Arrow" not in scan and "BroadcastHashJoin" in scan
+
+
+def test_a_shared_passage_carries_its_items_once(spark):
+    """Windows that the same items have share one set; ids of any text keep their order and number."""
+    passage = " ".join(f"w{i}" for i in range(60))
+    items = [(f"item,{i}", passage) for i in range(300)] + [("own", passage + " tail one two three")] + [(None, "alone")]
+    b = spark.createDataFrame(items, "item_id string, text string")
+    known = D.indexed(b)
+    assert known.groupBy("set_id").count().count() == 3 and known.count() == 51 + 4 + 1
+    d = spark.createDataFrame([(1, "x " + passage + " y"), (2, passage + " tail"), (3, "w0 w1"), (4, "alone here")], "doc_id long, text string")
+    got = {r["doc_id"]: r for r in D.judge(D.numbered(d), b).collect()}
+    everyone = sorted([i for i, _ in items[:-1]])
+    assert got[1]["item_ids"] == everyone and got[2]["item_ids"] == everyone and got[3]["item_ids"] == []
+    assert len(got[1]["positions"]) == 60 and len(got[2]["positions"]) == 61
+    assert got[4]["positions"] == [0] and got[4]["item_ids"] == []
+    sets = D.hits(D.numbered(d), known).where("doc_id = 1 AND length > 0").select("set_id").distinct().count()
+    assert sets == 1

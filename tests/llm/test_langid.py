@@ -29,6 +29,16 @@ def test_letters_only(spark):
     assert m.predict("½ the quick fox Ⅷ")[0] == "a" and m.predict("日本")[0] == "a"
 
 
+def test_pieces_make_no_difference():
+    m = L.Model.build({"a": L.gram_hashes("the quick brown fox"), "b": L.gram_hashes("der schnelle fuchs")}, "a")
+    for text in ("", "a", "ab", "abc", "½ 12", "the quick fox " * 40, "Der schnelle, schnelle Fuchs 日本 😀", "Ⅷ the"):
+        whole = L.gram_hashes(text)
+        for piece in (1, 2, 3, 7, 1000):
+            parts = list(L.gram_pieces(text, piece))
+            assert all(len(p) <= piece for p in parts) and (np.concatenate([whole[:0], *parts]) == whole).all()
+            assert (L.distinct_grams(text, piece) == np.unique(whole)).all() and m.predict(text, piece) == m.predict(text)
+
+
 def slow_prediction(m, text):
     """A filter of its own for each language, asked one by one."""
     h = L.gram_hashes(text)
