@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -65,15 +67,102 @@ def salvage(responses: DataFrame, schema: str) -> DataFrame:
     return ok.unionByName(fixed)
 
 
-def complete_metadata(rows: DataFrame, defaults: dict[str, str]) -> DataFrame:
-    """Empty or CJK fields take the platform's default."""
-    from .segments import has_cjk
+# What a post says where nothing usable is given. {title} is the video's title, {title:n} its first n characters.
+HEADLINE = "Siêu Phẩm Video Lồng Tiếng Mới Nhất"
+ALTERNATIVES = ["Bí Mật Đằng Sau: {title:45}", "Sự Thật Bất Ngờ Trong {title:45}", "Cái Kết Bất Ngờ Của {title:45}"]
+TAGS = ["review phim", "lồng tiếng", "tóm tắt phim", "phim hay", "phim mới", "shorts", "xem phim", "viral video", "thịnh hành"]
+POSTS = {
+    "youtube": {
+        "title": "{title}",
+        "description": "{title}\n\nChào mừng bạn đến với video mới nhất! Hãy xem trọn vẹn video để không bỏ lỡ những tình tiết gay cấn và hấp dẫn nhất nhé.\n\n"
+        "+ Đừng quên bấm LIKE, CHIA SẺ và ĐĂNG KÝ KÊNH để ủng hộ mình và đón xem những tập tiếp theo sớm nhất!",
+        "hashtags": ["#reviewphim", "#phimhay", "#tomtatphim", "#trending", "#viral", "#xuhuong"],
+    },
+    "youtube_shorts": {
+        "title": "{title:50} #Shorts",
+        "description": "Xem ngay khoảnh khắc cao trào nhất! Xem bản full đầy đủ trên kênh nhé.",
+        "hashtags": ["#shorts", "#trending", "#viral", "#phimhay", "#xuhuong"],
+    },
+    "tiktok": {
+        "title": "{title:55} | Xem ngay để biết cái kết!",
+        "description": "Bạn nghĩ sao về tình huống này? Bình luận cho mình biết nhé!",
+        "hashtags": ["#fyp", "#xuhuong", "#viral", "#shorts", "#phimhay", "#review"],
+    },
+    "facebook": {
+        "title": "Mọi người đánh giá thế nào về diễn biến này? Để lại bình luận nhé!\n{title}",
+        "description": "Cùng theo dõi và thảo luận những tình tiết gay cấn nhất trong video dưới đây.",
+        "hashtags": ["#reels", "#trending", "#viral", "#phimhay", "#xuhuong"],
+    },
+}
+HEADLINE_CHARS = 65
+_POST = "title string, description string, hashtags array<string>"
+_VIDEO = _POST + ", alternative_titles array<string>, tags array<string>"
+META = _VIDEO + "".join(f", {name} struct<{_VIDEO if name == 'youtube' else _POST}>" for name in POSTS)
+
+
+def _stripped(c: Column) -> Column:
+    return F.regexp_replace(c, r"(?U)^\s+|\s+$", "")
+
 
-    def full(c: str, d: str) -> Column:
-        bad = F.col(c).isNull() | (F.trim(c) == "") | has_cjk(F.col(c))
-        return F.when(bad, F.concat(F.lit(d), F.lit(" "), F.col("platform"))).otherwise(F.trim(c))
+def _filled(template: str, title: Column) -> Column:
+    """template with its one {title} or {title:n} replaced by the column."""
+    m = re.search(r"\{title(?::(\d+))?\}", template)
+    if not m:
+        return F.lit(template)
+    shown = F.substring(title, 1, int(m[1])) if m[1] else title
+    return F.concat(F.lit(template[: m.start()]), shown, F.lit(template[m.end() :]))
+
+
+def posts(rows: DataFrame, defaults: dict[str, dict] | None = None, headline: str = HEADLINE) -> DataFrame:
+    """rows(id, script, meta) -> id, platform, title, description, hashtags, alternative_titles, tags: a row for each platform.
+
+    meta is the JSON object that a model wrote, with the video's fields at its root or under ``youtube``, and those of the
+    other platforms under their names. A text that is missing, blank or holds CJK ideographs takes the platform's default, a
+    list does if it is missing, empty or holds a text with such a character. The video's title is else the first sentence
+    of the script, or ``headline``. Shorts say so in their title. alternative_titles and tags belong to ``youtube`` alone, and
+    are null for the others.
+
+    Null, broken or non-object JSON counts as an empty object, a field of another type as missing; a null script has no
+    sentence; repeated rows are completed alike. No shuffle: one projection and one explode.
+    """
+    from .segments import has_cjk
 
-    return rows.withColumns({c: full(c, d) for c, d in defaults.items()})
+    defaults = POSTS if defaults is None else defaults
+    read = rows.withColumn("_meta", F.from_json("meta", META))
+
+    def text(given: Column, default: Column) -> Column:
+        clean = _stripped(F.coalesce(given, F.lit("")))
+        return F.when((clean == "") | has_cjk(clean, "base"), default).otherwise(clean)
+
+    def texts(given: Column, default: list[Column]) -> Column:
+        usable = (F.size(given) > 0) & ~F.exists(given, lambda x: has_cjk(F.coalesce(x, F.lit("")), "base"))
+        return F.when(F.coalesce(usable, F.lit(False)), given).otherwise(F.array(*default))
+
+    def video(field: str) -> Column:
+        """What is under youtube, else what is at the root."""
+        own = F.col(f"_meta.youtube.{field}")
+        given = F.size(own) > 0 if field in ("hashtags", "alternative_titles", "tags") else own != ""
+        return F.when(given, own).otherwise(F.col(f"_meta.{field}"))
+
+    sentences = F.filter(F.transform(F.split(F.coalesce("script", F.lit("")), r"[.!?\n]+"), _stripped), lambda x: x != "")
+    first = F.substring(F.coalesce(F.get(sentences, F.lit(0)), F.lit(headline)), 1, HEADLINE_CHARS)
+    named = read.withColumn("_title", text(video("title"), first))
+    title, made = F.col("_title"), []
+    for name, default in defaults.items():
+        of = video if name == "youtube" else lambda field, name=name: F.col(f"_meta.{name}.{field}")
+        shown = title if name == "youtube" else text(of("title"), _filled(default["title"], title))
+        if name == "youtube_shorts":
+            shown = F.when(F.lower(shown).contains("#shorts"), shown).otherwise(F.concat(shown, F.lit(" #Shorts")))
+        listed = {"hashtags": texts(of("hashtags"), [F.lit(x) for x in default["hashtags"]])}
+        for field, other in (("alternative_titles", ALTERNATIVES), ("tags", TAGS)):
+            listed[field] = texts(of(field), [_filled(x, title) for x in other]) if name == "youtube" else F.lit(None).cast("array<string>")
+        made.append(
+            F.struct(
+                F.lit(name).alias("platform"), shown.alias("title"), text(of("description"), _filled(default["description"], title)).alias("description"),
+                *[v.alias(k) for k, v in listed.items()],
+            )
+        )
+    return named.select("id", F.explode(F.array(*made)).alias("_post")).select("id", "_post.*")
 
 
 def run_keys(segs: DataFrame, batch: str) -> DataFrame:

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import functions as F
 
 from ..functions import text as X
@@ -133,13 +135,62 @@ def _(t):
     return J.salvage(responses, "array<struct<id:int,text:string>>").select("id", "how", F.size("items").alias("n_items"))
 
 
-@query("h15_metadata", "urls", """
-SELECT page_id, CASE WHEN page_id % 3 = 0 THEN 'Video p' || page_id % 2 WHEN page_id % 3 = 1 THEN 'Video p' || page_id % 2 ELSE 'T' || page_id END AS title FROM urls""")
+def _sql(text: str) -> str:
+    """A template of a post as an SQL expression over title."""
+    shown = re.sub(r"\{title:(\d+)\}", r"' || substr(title, 1, \1) || '", text.replace("{title}", "' || title || '"))
+    return "('" + shown.replace("\n", "' || chr(10) || '") + "')"
+
+
+def _sql_list(texts: list[str]) -> str:
+    return "[" + ", ".join(map(_sql, texts)) + "]"
+
+
+def _post_sql() -> str:
+    """The four posts of a page by the case (page_id % 6) that says which fields are given."""
+    post = {name: {"title": _sql(d["title"]), "description": _sql(d["description"]), "hashtags": _sql_list(d["hashtags"])} for name, d in J.POSTS.items()}
+    post["youtube"]["title"] = "title"
+    post["youtube"]["description"] = f"CASE WHEN k = 1 THEN 'about ' || url ELSE {post['youtube']['description']} END"
+    post["youtube"]["hashtags"] = f"CASE WHEN k IN (2, 3) THEN ['#a', '#' || page_id % 9] ELSE {post['youtube']['hashtags']} END"
+    shorts, facebook = post["youtube_shorts"], post["facebook"]
+    shorts["title"] = f"CASE WHEN st = '' OR k NOT IN (3, 5) THEN {shorts['title']} WHEN k = 3 THEN st || ' #Shorts' ELSE st || ' #SHORTS' END"
+    post["tiktok"]["title"] = f"CASE WHEN st <> '' AND k = 5 THEN st ELSE {post['tiktok']['title']} END"
+    facebook["description"] = f"CASE WHEN k IN (1, 5) THEN 'fb ' || page_id ELSE {facebook['description']} END"
+    facebook["hashtags"] = f"CASE WHEN k IN (1, 5) THEN ['#fb'] ELSE {facebook['hashtags']} END"
+    lists = {"alternative_titles": _sql_list(J.ALTERNATIVES), "tags": f"CASE WHEN k IN (1, 5) THEN ['t' || page_id % 5] ELSE {_sql_list(J.TAGS)} END"}
+    parts = []
+    for name, d in post.items():
+        own = [f"array_to_string({x}, '|')" if name == "youtube" else "CAST(NULL AS VARCHAR)" for x in lists.values()]
+        parts.append(f"SELECT page_id, '{name}' AS platform, {d['title']} AS title, {d['description']} AS description, "
+                     f"array_to_string({d['hashtags']}, '|') AS hashtags, {own[0]} AS alternative_titles, {own[1]} AS tags FROM z")
+    return "\nUNION ALL ".join(parts)
+
+
+def page_metadata(pages):
+    """Pages as videos: their text is the script; five of six carry metadata of some form, with the page's own title."""
+    title, k = F.regexp_extract("html", "(?s)<title>(.*?)</title>", 1), F.col("page_id") % 6
+    text = F.lit("世界")
+    fields = {
+        "title": F.when(k.isin(1, 5), title),
+        "description": F.when(k == 1, F.concat(F.lit("about "), "url")),
+        "tags": F.when(k.isin(1, 5), F.array(F.concat(F.lit("t"), (F.col("page_id") % 5).cast("string")))),
+        "alternative_titles": F.when(k == 2, F.array(F.lit("A"), text)),
+        "youtube": F.when(k.isin(2, 3), F.struct(F.when(k == 2, title).otherwise(text).alias("title"), F.array(F.lit("#a"), F.concat(F.lit("#"), (F.col("page_id") % 9).cast("string"))).alias("hashtags"))),
+        "youtube_shorts": F.when(k == 3, F.struct(title.alias("title"))).when(k == 5, F.struct(F.when(F.trim(title) != "", F.concat(F.rtrim(title), F.lit(" #SHORTS"))).alias("title"))),
+        "tiktok": F.when(k == 5, F.struct(F.concat(F.lit("  "), title, F.lit("\n")).alias("title"), text.alias("description"), F.array(F.lit("#x"), text).alias("hashtags"))),
+        "facebook": F.when(k.isin(1, 5), F.struct(text.alias("title"), F.concat(F.lit("fb "), F.col("page_id").cast("string")).alias("description"), F.array(F.lit("#fb")).alias("hashtags"))),
+    }
+    meta = F.when(k == 4, "not json").otherwise(F.to_json(F.struct(*[v.alias(n) for n, v in fields.items()])))
+    return pages.select(F.col("page_id").alias("id"), F.regexp_replace("html", "<[^>]*>", " ").alias("script"), meta.alias("meta"))
+
+
+@query("h15_metadata", "", r"""
+, b AS (SELECT page_id, page_id % 6 AS k, url, trim(regexp_extract(html, '(?s)<title>(.*?)</title>', 1), E' \t\n\r') AS st, regexp_replace(html, '<[^>]*>', ' ', 'g') AS script FROM pages),
+s AS (SELECT *, list_filter(list_transform(regexp_split_to_array(script, '[.!?\n]+'), lambda x: trim(x, E' \t\n\r')), lambda x: x <> '') AS ss FROM b),
+z AS (SELECT *, CASE WHEN st <> '' AND k IN (1, 2, 5) THEN st ELSE substr(coalesce(ss[1], '""" + J.HEADLINE + """'), 1, 65) END AS title FROM s)
+""" + _post_sql())
 def _(t):
-    p = F.col("page_id")
-    title = F.when(p % 3 == 0, " ").when(p % 3 == 1, "世界").otherwise(F.concat(F.lit("T"), p.cast("string")))
-    rows = t.urls.select("page_id", F.concat(F.lit("p"), (p % 2).cast("string")).alias("platform"), title.alias("title"))
-    return J.complete_metadata(rows, {"title": "Video"}).select("page_id", "title")
+    made = J.posts(page_metadata(t.pages))
+    return made.select(F.col("id").alias("page_id"), "platform", "title", "description", *[F.array_join(c, "|").alias(c) for c in ("hashtags", "alternative_titles", "tags")])
 
 
 @query("h17_run_keys", "segments", """

@@ -37,7 +37,8 @@ def read_srt(spark: SparkSession, path: str) -> DataFrame:
 
 
 def read_srt_any_charset(spark: SparkSession, path: str, charsets: list[str] | None = None, glob: str = "*.srt") -> DataFrame:
-    """The same for unknown encodings: the first charset that decodes a file wins; files arrive as bytes."""
+    """The same for unknown encodings: the first charset that decodes a file wins; files arrive as bytes. A file that none
+    decodes stays, with null charset and value."""
     order = charsets or CHARSETS
     files = spark.read.format("binaryFile").option("pathGlobFilter", glob).option("recursiveFileLookup", "true").load(path).select("path", "content")
 
@@ -51,6 +52,8 @@ def read_srt_any_charset(spark: SparkSession, path: str, charsets: list[str] | N
                         break
                     except UnicodeDecodeError:
                         continue
+                else:
+                    rows.append((p.rsplit("/", 1)[-1].removesuffix(".srt"), None, None))
             yield pd.DataFrame(rows, columns=["media_id", "charset", "value"])
 
     return files.mapInPandas(decode, "media_id string, charset string, value string")

@@ -18,6 +18,8 @@ from cuesheet.plans import registry, streams
 from cuesheet.sources import files, views
 from cuesheet.streaming import machines
 
+media_merge = media.merge_frames
+
 
 def plan(df):
     return df._jdf.queryExecution().executedPlan().toString()
@@ -365,6 +367,119 @@ def test_display_step_by_step(spark, n):
     assert all(abs(g[3] - w[3]) <= 0.5 + 1e-6 and abs(g[4] - w[4]) <= 0.5 + 1e-6 for g, w in zip(got, want, strict=True))
 
 
+def written_posts(script, meta):
+    """The four posts of a video, by the rules as they are written down."""
+    han_in = lambda x: re.search("[\u4e00-\u9fff]", x or "")
+    fill = lambda x, title: re.sub(r"\{title(?::(\d+))?\}", lambda m: title[: int(m[1])] if m[1] else title, x)
+    try:
+        root = json.loads(meta or "{}")
+    except ValueError:
+        root = {}
+    root = root if isinstance(root, dict) else {}
+    under = {n: root.get(n) if isinstance(root.get(n), dict) else {} for n in texts.POSTS}
+    text = lambda x, default: default if not (x or "").strip() or han_in(x) else x.strip()
+    listed = lambda x, default: x if isinstance(x, list) and x and not any(map(han_in, x)) else default
+    sentences = [x.strip() for x in re.split(r"[.!?\n]+", script or "") if x.strip()]
+    video = lambda f: under["youtube"].get(f) or root.get(f)
+    title = text(video("title"), (sentences or [texts.HEADLINE])[0][:65])
+    out = {}
+    for name, d in texts.POSTS.items():
+        get = video if name == "youtube" else under[name].get
+        shown = title if name == "youtube" else text(get("title"), fill(d["title"], title))
+        if name == "youtube_shorts" and "#shorts" not in shown.lower():
+            shown += " #Shorts"
+        more = [listed(video("alternative_titles"), [fill(x, title) for x in texts.ALTERNATIVES]), listed(video("tags"), texts.TAGS)] if name == "youtube" else [None, None]
+        out[name] = (shown, text(get("description"), fill(d["description"], title)), listed(get("hashtags"), d["hashtags"]), *more)
+    return out
+
+
+def test_posts_by_the_rules(spark):
+    rng = random.Random(3)
+    words = ["Một ngày", "看 movie", "  ", "", "Ends here. Then more", "x" * 90, "#shorts now", None, "\u3400 rare"]
+    lists = [[], ["a", "b"], ["a", "看"], None, [None, "c"]]
+
+    def fields(names):
+        return {n: rng.choice(lists if n in ("hashtags", "tags", "alternative_titles") else words) for n in names if rng.random() < 0.7}
+
+    all_fields, some = ["title", "description", "hashtags", "tags", "alternative_titles"], ["title", "description", "hashtags"]
+    rows = [(1, None, None), (2, "", "not json"), (3, "!!\n First one? Two", "{}"), (4, "看 script. b", "[1]"), (5, "s", '{"tiktok": 3, "title": "ok"}')]
+    for i in range(10, 200):
+        meta = fields(all_fields) | {n: fields(all_fields if n == "youtube" else some) for n in texts.POSTS if rng.random() < 0.6}
+        rows.append((i, rng.choice(words), json.dumps(meta, ensure_ascii=False)))
+    rows += rows[:2]
+    df = spark.createDataFrame(rows, "id long, script string, meta string").selectExpr("*", "'x' AS title", "1 AS tags")
+    got = texts.posts(df).collect()
+    assert len(got) == 4 * len(rows) and texts.posts(df.limit(0)).count() == 0
+    want = {i: written_posts(script, meta) for i, script, meta in rows}
+    for r in got:
+        assert (r["title"], r["description"], r["hashtags"], r["alternative_titles"], r["tags"]) == want[r["id"]][r["platform"]], r["id"]
+
+
+def test_charsets_over_all_files(spark, sf, tmp_path):
+    """Each file by its own bytes, decoded here; one that no charset decodes stays."""
+    bodies = {r["media_id"]: r["body"] for r in segments.srt_bodies(registry.Tables(spark, sf).segments).collect()}
+    names = ["utf-8", "gb18030", "utf-16"]
+    for m, body in bodies.items():
+        (tmp_path / f"{m}.srt").write_bytes((body + "xé看").encode(names[m % 3]))
+    (tmp_path / "bad.srt").write_bytes(b"\x81\xff\xff")
+    got = {r["media_id"]: r for r in files.read_srt_any_charset(spark, str(tmp_path), ["utf-8", "utf-16", "gb18030"]).collect()}
+    assert len(got) == len(bodies) + 1
+    for name, r in got.items():
+        raw, want = (tmp_path / f"{name}.srt").read_bytes(), (None, None)
+        for charset in ("utf-8", "utf-16", "gb18030"):
+            try:
+                want = charset, raw.decode(charset)
+                break
+            except UnicodeDecodeError:
+                pass
+        assert (r["charset"], r["value"]) == want
+    assert got["bad"]["charset"] is None
+
+
+def test_merged_frames_over_all_rows(spark, sf):
+    """Runs of like frames, one row after the other."""
+    called = {}
+    with pytest.MonkeyPatch.context() as mp:
+        mp.setattr(media, "merge_frames", lambda frames, **kw: called.update(frames=frames, kw=kw) or media_merge(frames, **kw))
+        got = registry.queries()["e9_merge_frames"](spark, sf).collect()
+    by, want = {}, []
+    for r in called["frames"].collect():
+        by.setdefault(r["media_id"], []).append(r)
+    for m, rows in by.items():
+        runs, before = [], None
+        for r in sorted((r for r in rows if r["text"].strip()), key=lambda r: r["t"]):
+            if before is not None and (before == r["text"] or SequenceMatcher(None, before, r["text"]).ratio() >= 0.90):
+                runs[-1].append(r)
+            else:
+                runs.append([r])
+            before = r["text"]
+        for run in runs:
+            best = max(run, key=lambda r: (r["score"], -r["t"]))
+            want.append((m, run[0]["t"], run[-1]["t"] + called["kw"]["frame_ms"], best["text"], round(len(run) / len(rows), 3)))
+    assert sorted((r["media_id"], r["start"], r["end"], r["text"], r["stability"]) for r in got) == sorted(want)
+
+
+def test_salvaged_rows(spark, sf):
+    """What a media's response gives, by what was done to it; items of a cut response are all but the one that was cut."""
+    rows = {}
+    for r in registry.Tables(spark, sf).segments.collect():
+        rows.setdefault(r["media_id"], []).append(json.dumps({"id": r["seg_id"], "text": r["text"]}))
+    got = {r["id"]: r for r in registry.queries()["h14_salvage"](spark, sf).collect()}
+    assert set(got) == set(rows)
+    for m, own in rows.items():
+        if m % 4 < 3:
+            assert got[m]["how"] in ("parsed", "sliced") and got[m]["n_items"] == len(own)
+        else:
+            assert got[m]["how"] == "repaired" and len(own) - 1 <= got[m]["n_items"] <= len(own)
+
+
+def test_fusion_report_counts_the_decisions(spark, sf):
+    told = {}
+    for r in registry.queries()["e5_fuse"](spark, sf).collect():
+        told[r["media_id"], r["decision"]] = told.get((r["media_id"], r["decision"]), 0) + 1
+    assert {(r["media_id"], r["decision"]): r["n"] for r in registry.queries()["g2_fusion_report"](spark, sf).collect()} == told
+
+
 def test_merge_frames(spark):
     rows = [(1, t, x, s) for t, x, s in [(1, "hello world", 0.5), (2, "hello worle", 0.9), (3, "", 1.0), (4, "other", 0.3), (5, "other", 0.2)]]
     got = media.merge_frames(spark.createDataFrame(rows, "media_id long, t long, text string, score double"), frame_ms=1).orderBy("start").collect()
