@@ -862,3 +862,22 @@ def test_reconcile_looks_again(spark, tmp_path):
         confirmed, audit = accounts.reconcile_checked(*old, *new, str(tmp_path), "r1")
         assert sorted(map(tuple, confirmed.collect())) == [("c", 2, 9, -7), ("n", None, 2, None)]
         assert [tuple(r) for r in spark.read.parquet(f"{tmp_path}/audit").drop("run").collect()] == [tuple(audit.first())[1:]] == [(4, 3, 2, 7, 1)]
+
+
+@pytest.mark.parametrize("name", ["a9_report"])
+def test_files_follow_bytes_and_not_media(name, spark, sf, tmp_path, monkeypatch):
+    """Ten times the media in the same number of files; no folder of a media."""
+    from cuesheet.plans import corpora
+
+    seen = []
+    for copies in (1, 10):
+        (tmp_path / f"in{copies}").mkdir()
+        rows = spark.read.parquet(f"{sf}/conversations.parquet").withColumn("k", F.explode(F.sequence(F.lit(0), F.lit(copies - 1))))
+        rows.withColumn("conv_id", F.col("conv_id") + F.col("k") * 100_000).drop("k").coalesce(1).write.parquet(f"{tmp_path}/in{copies}/conversations.parquet")
+        monkeypatch.setattr(corpora, "work_folder", lambda _, n=copies: f"{tmp_path}/out{n}")
+        got = registry.queries()[name](spark, f"{tmp_path}/in{copies}")
+        assert got.count() > 0
+        made = list((tmp_path / f"out{copies}").rglob("part-*"))
+        assert made and not [p for p in made if "media_id=" in str(p)]
+        seen.append(len(made))
+    assert seen[1] <= max(seen[0], 2 * 4)  # two folders at most, as many files in each as there are shuffle partitions
