@@ -881,3 +881,17 @@ def test_files_follow_bytes_and_not_media(name, spark, sf, tmp_path, monkeypatch
         assert made and not [p for p in made if "media_id=" in str(p)]
         seen.append(len(made))
     assert seen[1] <= max(seen[0], 2 * 4)  # two folders at most, as many files in each as there are shuffle partitions
+
+
+def test_keys_share_state_by_groups(spark, tmp_path):
+    """Forty orders in two groups of state, one without a code; the rows of the batch twin."""
+    m = machines.payment(900)
+    rows = [(float(10 + 60 * i + k), 1000 * i + k, None if k == 7 else k, "pay" if i == 2 and k % 3 else "create", k % (2 + i)) for i in range(3) for k in range(40)]
+    df = spark.createDataFrame(rows, "at double, ord long, order_code long, kind string, amount long").withColumn("ts", F.timestamp_micros((F.col("at") * 1e6).cast("long")))
+    mark = df.limit(1).withColumns({"at": F.lit(9000.0), "ts": F.timestamp_micros(F.lit(9_000_000_000))})
+    for part in (df.where("at < 80"), df.where("at >= 80"), mark):
+        part.coalesce(1).write.mode("append").parquet(f"{tmp_path}/in")
+    live = spark.readStream.schema(df.schema).option("maxFilesPerTrigger", 1).parquet(f"{tmp_path}/in")
+    got = machines.written(spark, machines.stream(live, m, "1 hour", 5000, groups=2), f"{tmp_path}/run")
+    assert got.schema["order_code"].dataType.typeName() == "long"
+    assert sorted(map(str, got.collect())) == sorted(map(str, machines.batch(df, m, 5400).collect()))
