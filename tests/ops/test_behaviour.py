@@ -895,3 +895,34 @@ def test_keys_share_state_by_groups(spark, tmp_path):
     got = machines.written(spark, machines.stream(live, m, "1 hour", 5000, groups=2), f"{tmp_path}/run")
     assert got.schema["order_code"].dataType.typeName() == "long"
     assert sorted(map(str, got.collect())) == sorted(map(str, machines.batch(df, m, 5400).collect()))
+
+
+def test_casting_from_a_large_catalogue(spark):
+    """More voices than any list should hold, each speaker against all of them, one after the other."""
+    people = [(m, f"s{i}", ("male", "female", "unknown", None)[(m + i) % 4], (100.0, 200.0, None)[(m * i) % 3], i == 0, 100 - i, "v00003" if (m + i) % 7 == 6 else None) for m in range(12) for i in range(m % 6 + 1)]
+    voices = [(f"v{k * 7919 % 12007:05d}", ("male", "female", "")[k % 3], ("deep_male", "young_male", "female", "child_or_high", "")[k % 5], (k % 1000) / 1000, "p") for k in range(12_007)]
+    profiles = spark.createDataFrame(people, "media_id long, speaker string, gender string, pitch_hz double, narrator boolean, total_ms long, override string")
+    got = {(r["media_id"], r["speaker"]): (r["voice"], r["score"]) for r in media.cast_voices(profiles, spark.createDataFrame(voices, "voice string, gender string, pitch_tag string, narrator_fit double, provider string")).collect()}
+
+    def fit(p, v):
+        known = p[2] in ("male", "female") and v[1]
+        pitch = 0.5
+        if p[2] == "male" and v[2] and p[3] is not None and v[2] == ("deep_male" if p[3] < 135 else "young_male"):
+            pitch = 1.0
+        elif p[2] == "male" and v[2] and v[1] == "male":
+            pitch = 0.8
+        elif p[2] == "female" and v[2] in ("female", "child_or_high"):
+            pitch = 1.0
+        return 0.4 * (float(p[2] == v[1]) if known else 0.5) + 0.2 * pitch + 0.25 * (v[3] if p[4] else 0.6) + 0.15
+
+    voices.sort()
+    for m in range(12):
+        mine = [p for p in people if p[0] == m]
+        used = {p[6] for p in mine if p[6]}
+        for p in mine:
+            if p[6]:
+                assert got[m, p[1]] == (p[6], 1.0)
+                continue
+            best = max(voices, key=lambda v: round(max(0.0, fit(p, v) - 0.8 * (v[0] in used)), 12))
+            used.add(best[0])
+            assert got[m, p[1]][0] == best[0], (m, p)
