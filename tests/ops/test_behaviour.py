@@ -864,7 +864,7 @@ def test_reconcile_looks_again(spark, tmp_path):
         assert [tuple(r) for r in spark.read.parquet(f"{tmp_path}/audit").drop("run").collect()] == [tuple(audit.first())[1:]] == [(4, 3, 2, 7, 1)]
 
 
-@pytest.mark.parametrize("name", ["a9_report"])
+@pytest.mark.parametrize("name", ["a1_srt_round_trip", "a2_charsets", "a3_transcripts", "a9_report", "a11_fingerprints"])
 def test_files_follow_bytes_and_not_media(name, spark, sf, tmp_path, monkeypatch):
     """Ten times the media in the same number of files; no folder of a media."""
     from cuesheet.plans import corpora
