@@ -486,6 +486,21 @@ def test_merge_frames(spark):
     assert [(r["start"], r["end"], r["text"], r["stability"]) for r in got] == [(1, 3, "hello worle", 0.4), (4, 6, "other", 0.4)]
 
 
+def test_merge_frames_needs_no_difflib_where_a_text_begins_with_the_other(spark):
+    """Such pairs have difflib's ratio, of long texts of few letters too, which difflib takes for junk."""
+    rng, rows, want = random.Random(4), [], {}
+    for m in range(60):
+        whole = "".join(rng.choice("abcdefghijklmnopqrstuvwxyz"[: rng.choice([1, 3, 26])]) for _ in range(rng.choice([5, 40, 199, 200, 450])))
+        pair = [whole, whole[: rng.randrange(len(whole) * 3 // 4, len(whole)) or 1]][:: rng.choice([1, -1])]
+        rows += [(m, t, x, 0.5) for t, x in enumerate(pair)]
+        want[m] = 1 if SequenceMatcher(None, *pair).ratio() >= 0.90 else 2
+    assert set(want.values()) == {1, 2}
+    with pytest.MonkeyPatch.context() as mp:
+        mp.setattr(media, "ratio_udf", lambda: lambda a, b: F.lit(0.0))
+        got = media.merge_frames(spark.createDataFrame(rows, "media_id long, t long, text string, score double")).groupBy("media_id").count().collect()
+    assert {r["media_id"]: r["count"] for r in got} == want
+
+
 @pytest.mark.parametrize("block", [3, 7, 1000])
 def test_spread_against_numpy(spark, block):
     rng = np.random.default_rng(5)
