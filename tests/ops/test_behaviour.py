@@ -4,9 +4,11 @@ import json
 import random
 import re
 import time
+import tracemalloc
 from difflib import SequenceMatcher
 
 import numpy as np
+import pandas as pd
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
@@ -525,6 +527,34 @@ def test_speakers(spark):
     assert len(set(one.values())) == 2 and all(one[i] == one[i % 2] for i in one)
 
 
+def test_speakers_hold_one_matrix_of_a_group(spark):
+    """Memory of a group is its matrix of distances and half of one more; it was more than four."""
+    rng, n = np.random.default_rng(3), 600
+    group = pd.DataFrame({"media_id": 1, "seg_id": range(n), "embedding": list(rng.normal(size=(n, 8)))})
+    for run, matrices in ((media._landmarks(6, 0.3), 2), (media._small(6, 0.2, 0.3), 3)):
+        tracemalloc.start()
+        assert len(run(group))
+        peak = tracemalloc.get_traced_memory()[1]
+        tracemalloc.stop()
+        assert peak < matrices * 8 * n * n
+
+
+def test_linkage_takes_the_first_of_equal_pairs():
+    rng = np.random.default_rng(8)
+    for n in range(2, 40):
+        x = rng.integers(0, 3, size=(n, 2)).astype(float)
+        d = np.abs(x[:, None] - x[None]).sum(axis=2)
+        groups, dist, want = {i: [i] for i in range(n)}, d.copy(), {}
+        while len(groups) > 1:
+            i, j = min(((i, j) for i in groups for j in groups if i < j), key=lambda p: (dist[p], p))
+            a, b = len(groups[i]), len(groups[j])
+            dist[i] = dist[:, i] = (dist[i] * a + dist[j] * b) / (a + b)
+            groups[i] += groups.pop(j)
+            want[len(groups)] = sorted(sorted(g) for g in groups.values())
+        for k, labels in media._linkage(d, 6).items():
+            assert k == n or sorted(np.flatnonzero(labels == c).tolist() for c in range(k)) == want[k]
+
+
 def speaker_rows(media_id, n, speakers, rng, noise):
     centres = np.eye(8)[:speakers]
     return [(media_id, i, (centres[(i * 7 // 3) % speakers] + noise * rng.normal(size=8)).tolist()) for i in range(n)]
