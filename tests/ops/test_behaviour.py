@@ -555,6 +555,13 @@ def test_linkage_takes_the_first_of_equal_pairs():
             assert k == n or sorted(np.flatnonzero(labels == c).tolist() for c in range(k)) == want[k]
 
 
+def test_spread_compares_every_two_parts_in_a_task_of_their_own(spark):
+    prints = spark.createDataFrame([(1, i, [1.0, float(i)]) for i in range(9)], "media_id long, seg_id long, embedding array<double>")
+    plan = media.spread(prints, 3)._jdf.queryExecution().executedPlan().toString().split("\n")
+    below = [next(x for x in plan[k:] if re.search(r"Exchange|Join|Union", x)) for k, line in enumerate(plan) if "FlatMapGroupsInPandas" in line]
+    assert below and all(re.search(r"Exchange hashpartitioning\(media_id#\d+L, i#\d+, j#\d+", x) for x in below), below
+
+
 def speaker_rows(media_id, n, speakers, rng, noise):
     centres = np.eye(8)[:speakers]
     return [(media_id, i, (centres[(i * 7 // 3) % speakers] + noise * rng.normal(size=8)).tolist()) for i in range(n)]
