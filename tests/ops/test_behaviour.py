@@ -438,6 +438,17 @@ def test_charsets_over_all_files(spark, sf, tmp_path):
     assert got["bad"]["charset"] is None
 
 
+def test_charsets_decode_a_few_files_at_a_time():
+    class Files:
+        select = lambda self, *columns: self
+        mapInPandas = lambda self, f, schema: f
+
+    given = pd.DataFrame({"path": [f"{i}.srt" for i in range(1234)], "content": [b"\xe9" if i % 3 else b"e" for i in range(1234)]})
+    got = list(files.any_charset(Files(), ["utf-8", "latin-1"])(iter([given, given[:0], given[:1]])))
+    assert max(len(x) for x in got) <= files.DECODED and pd.concat(got)["media_id"].tolist() == [*map(str, range(1234)), "0"]
+    assert pd.concat(got)["charset"].tolist() == ["latin-1" if i % 3 else "utf-8" for i in [*range(1234), 0]]
+
+
 def test_merged_frames_over_all_rows(spark, sf):
     """Runs of like frames, one row after the other."""
     called = {}
