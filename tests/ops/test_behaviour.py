@@ -946,6 +946,22 @@ def test_files_follow_bytes_and_not_media(name, spark, sf, tmp_path, monkeypatch
     assert seen[1] <= max(seen[0], 2 * 4)  # two folders at most, as many files in each as there are shuffle partitions
 
 
+def test_transcripts_are_parsed_once(spark, tmp_path):
+    """An array and an object are parsed for once each, whichever key has the items; shapes, keys of no items and broken files."""
+    item = '[{"id":1,"start":2,"end":3.5,"text":"a","text_vi":"b"},{"id":2}]'
+    want = [(1, 2.0, 3.5, "a", "b"), (2, None, None, None, None)]
+    bodies = {
+        " \n" + item: want, f'{{"segments":{item}}}': want, f'{{"x":1,"data":{item}}}': want, f'{{"translations":{item}}}': want, f'{{"segments":null,"data":{item}}}': want,
+        f'{{"data":[{{"id":7}}],"segments":{item}}}': want, f'{{"segments":"oops","data":{item}}}': want, f'{{"segments":[],"data":{item}}}': [], f'{{"segments":{item}': [], item[:-5]: [], "{}": [], "7": [], "": [], None: [],
+    }
+    files.write_files(spark.createDataFrame(list(enumerate(bodies)), "media_id long, value string"), f"{tmp_path}/out")
+    df = files.read_transcripts(spark, f"{tmp_path}/out")
+    got = [tuple(r) for r in df.collect()]
+    for i, rows in enumerate(bodies.values()):
+        assert [r[1:] for r in got if r[0] == i] == rows, i
+    assert df._jdf.queryExecution().executedPlan().toString().count("from_json") == 2
+
+
 def test_keys_share_state_by_groups(spark, tmp_path):
     """Forty orders in two groups of state, one without a code; the rows of the batch twin."""
     m = machines.payment(900)
