@@ -649,6 +649,30 @@ def test_three_reports(spark, tmp_path):
     assert (f["total_fused"], f["total_asr"], f["merged_count"], f["ocr_added_count"], f["asr_kept_count"]) == (3, 2, 1, 1, 1)
 
 
+def test_fusion_reports_take_every_row(spark, tmp_path, monkeypatch):
+    """A decision for each segment, every fifth and one without a number too, with its whole text, and for each OCR text alone; the
+    figures are those of SQL. A segment without letters has the time of the OCR texts that touch it."""
+    import duckdb
+
+    from cuesheet.plans import corpora
+
+    lines = {1: [f"line {i} of one " * i for i in range(1, 12)], 2: [f"{i} of two" * 2 for i in range(1, 9)], 4: ["hm", "…", "three of four", "four of four", "the fifth line of four", ""]}
+    rows = [*((m, i, "user", x) for m, own in lines.items() for i, x in enumerate(own)), (9, None, "user", "without a turn")]
+    spark.createDataFrame(rows, "conv_id long, turn long, role string, text string").coalesce(1).write.parquet(f"{tmp_path}/in/conversations.parquet")
+    monkeypatch.setattr(corpora, "work_folder", lambda _: f"{tmp_path}/out")
+    got = {r["media_id"]: (r["items"], r["total"], r["ms"]) for r in registry.queries()["a9_reports"](spark, f"{tmp_path}/in").where("report = 'fusion'").collect()}
+    assert {m: x[:2] for m, x in got.items()} == {1: (11, 11), 2: (8 + 2, 8), 4: (6, 6), 9: (1, 1)}
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW conversations AS SELECT * FROM '{tmp_path}/in/conversations.parquet/*.parquet'")
+    assert got == {m: tuple(x) for m, *x in con.execute(f"SELECT media_id, items, total, ms FROM ({registry.oracle_sql()['a9_reports']}) WHERE report = 'fusion'").fetchall()}
+    said = {(r["media_id"], r["seg_id"]): r for r in views.load(spark, f"{tmp_path}/in", "segments").collect()}
+    made = {(r["media_id"], r["seg_id"]): r for r in spark.read.json(f"{tmp_path}/out/fusion/items").where("decision <> 'ocr_standalone'").collect()}
+    assert {k: r["asr_text"] for k, r in made.items()} == {k: r["text"].strip() for k, r in said.items()}
+    assert said[4, 5]["text"] in made[4, 5]["ocr_text"]  # not without its first letters
+    silent = made[4, 2]
+    assert (silent["decision"], silent["start_ms"], silent["end_ms"]) == ("ocr_override_empty", said[4, 1]["start_ms"] + 150, said[4, 2]["end_ms"] + 300)
+
+
 def test_long_splits_cover_the_segment(spark, sf):
     from pyspark.sql import Window
 
